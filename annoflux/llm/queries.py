@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annoflux.llm import substring_dedup
+from annoflux.llm import media, pii, secret_scan, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,25 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(_documents(spark, sf_dir), width=13, with_text=False)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(_documents(spark, sf_dir))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_documents(spark, sf_dir))
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_as_media(_documents(spark, sf_dir), with_media=False)
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_substring_dedup": op3_substring_dedup}
+    return {
+        "op3_substring_dedup": op3_substring_dedup,
+        "op6_pii": op6_pii,
+        "op7_secrets": op7_secrets,
+        "op9_media": op9_media,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
