@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annoflux.llm import media, pii, secret_scan, substring_dedup
+from annoflux.llm import media, pii, secret_scan, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated_strings(_documents(spark, sf_dir), with_text=False)
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_as_media(_documents(spark, sf_dir), with_media=False)
 
@@ -36,6 +40,7 @@ def queries() -> dict[str, Query]:
         "op3_substring_dedup": op3_substring_dedup,
         "op6_pii": op6_pii,
         "op7_secrets": op7_secrets,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_media": op9_media,
     }
 
