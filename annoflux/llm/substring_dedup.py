@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from annoflux.llm import bytehash as bh
 from annoflux.llm import exchange as ex
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 12 << 20
+#: Bytes of a hash that travel; with its bucket, 60 bits and more tell windows apart.
+KEY_BYTES = 7
 #: Text bytes whose windows a task compares before it sends them.
 SHARD_BYTES = 16 << 20
 
 
-def _windows(batch: pa.RecordBatch, width: int, lo: int, hi: int, flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(width: int, lo: int, hi: int, flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row and word number of every window of rows lo..hi."""
     keys, rows, at = [], [], []
     for a, b in bh.pieces(offs[lo : hi + 1]):
@@ -44,28 +46,27 @@ def _windows(batch: pa.RecordBatch, width: int, lo: int, hi: int, flat: np.ndarr
 
 
 def repeated_windows(named: DataFrame, width: int, buckets: int) -> DataFrame:
-    """(k, uid, at): word numbers of windows that start in a document with a smaller k, first place of each."""
+    """Answers: word numbers of windows that start in a document with a smaller k, first place of each."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, offs = bh.text_bytes(batch["text"])
             ks, uids = batch["k"].to_numpy(), batch["uid"].to_numpy()
             for lo, hi in bh.pieces(offs, SHARD_BYTES):
-                keys, rows, at = _windows(batch, width, lo, hi, flat, offs)
+                keys, rows, at = _windows(width, lo, hi, flat, offs)
                 pick, least, _, _ = ex.firsts(keys, rows, at, ks)
                 # later rows of a key are repeated already here: only their answers travel
                 known = np.where(least, 0, 3).astype(np.uint8)
-                packed = ex.pack(ex.scattered(keys[pick], known, uids[rows[pick]]), rows[pick], at[pick], known, ks, uids, buckets)
+                packed = ex.pack(ex.scattered(keys[pick], known, uids[rows[pick]]), rows[pick], at[pick], known, ks, uids, buckets, KEY_BYTES)
                 if packed:
                     yield pa.RecordBatch.from_pylist(packed, schema=_PACKED)
 
     sent = named.select("k", "uid", "text").mapInArrow(send, ex.PACKED)
-    found = sent.groupBy("bucket").applyInPandas(ex.answer_later, ex.ANSWER)
-    return found.groupBy("k", "uid").agg(F.collect_list("at").alias("at"))
+    return sent.groupBy("bucket").applyInPandas(lambda group: ex.answer_later(group, buckets), ex.ANSWER)
 
 
 _PACKED = pa.schema(
-    [("bucket", pa.int32()), ("width", pa.int32()), *[(n, pa.binary()) for n in ("keys", "ks", "uids", "counts", "gaps", "known")]]
+    [("bucket", pa.int32()), ("width", pa.int32()), *[(n, pa.binary()) for n in ("keys", "ks", "uids", "counts", "gaps", "far", "known")]]
 )
 
 REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_intervals long, removed array<struct<start:int,end:int>>, kept string"
@@ -97,40 +98,38 @@ def remove_repeated_windows(docs: DataFrame, width: int = 13, bucket_bytes: int
     than each other; a null doc_id counts as the largest. Other columns are ignored.
     """
     named = ex.named(docs)
-    found = repeated_windows(named, width, ex.bucket_count(docs, bucket_bytes))
-    joined = named.join(found.hint("shuffle_hash"), ["k", "uid"], "left").select("doc_id", "text", "at")
-
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, offs = bh.text_bytes(batch["text"])
-            hits = batch["at"].to_pylist()
-            out = {n: [] for n in ("n_words", "n_removed", "kept_sha256", "n_intervals", "removed", "kept")}
-            for a, b in bh.pieces(offs):
-                f, o = flat[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
-                starts, ends, row = bh.words(f, o)
-                edges = np.searchsorted(row, np.arange(b - a + 1))
-                hashed = bh.word_hashes(f, starts, ends) if any(hits[a:b]) else None
-                data = f.tobytes()
-                for i in range(b - a):
-                    s, e = starts[edges[i] : edges[i + 1]], ends[edges[i] : edges[i + 1]]
-                    n = len(s)
-                    gone = np.zeros(n, bool)
-                    if hits[a + i]:
-                        window, _ = bh.window_hashes(hashed[edges[i] : edges[i + 1]], np.zeros(n, np.int64), width)
-                        at = np.frombuffer(b"".join(hits[a + i]), np.int32)
-                        gone = _cover(np.flatnonzero(np.isin(window, window[at])), width, n)
-                    stay = ~gone
-                    kept = b" ".join([data[x:y] for x, y in zip(s[stay].tolist(), e[stay].tolist(), strict=True)])
-                    lo, hi = runs(gone)
-                    out["n_words"].append(n)
-                    out["n_removed"].append(int(gone.sum()))
-                    out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    out["n_intervals"].append(len(lo))
-                    out["removed"].append([{"start": x, "end": y} for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
-                    out["kept"].append(kept.decode() if with_text else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], **out}, schema=_REMOVED)
-
-    result = joined.mapInArrow(remove, REMOVED)
+    buckets = ex.bucket_count(docs, bucket_bytes)
+    found = repeated_windows(named, width, buckets)
+
+    def remove(texts: pa.Table, hits: pa.Table) -> pa.Table:
+        at = ex.answered(hits.to_pylist(), texts["k"].to_numpy(), texts["uid"].to_numpy())
+        flat, offs = bh.text_bytes(texts["text"])
+        out = {n: [] for n in ("n_words", "n_removed", "kept_sha256", "n_intervals", "removed", "kept")}
+        for a, b in bh.pieces(offs):
+            f, o = flat[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+            starts, ends, row = bh.words(f, o)
+            edges = np.searchsorted(row, np.arange(b - a + 1))
+            hashed = bh.word_hashes(f, starts, ends)
+            data = f.tobytes()
+            for i in range(b - a):
+                s, e = starts[edges[i] : edges[i + 1]], ends[edges[i] : edges[i + 1]]
+                n = len(s)
+                gone = np.zeros(n, bool)
+                if a + i in at:
+                    window, _ = bh.window_hashes(hashed[edges[i] : edges[i + 1]], np.zeros(n, np.int64), width)
+                    gone = _cover(np.flatnonzero(np.isin(window, window[at[a + i]])), width, n)
+                stay = ~gone
+                kept = b" ".join([data[x:y] for x, y in zip(s[stay].tolist(), e[stay].tolist(), strict=True)])
+                lo, hi = runs(gone)
+                out["n_words"].append(n)
+                out["n_removed"].append(int(gone.sum()))
+                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+                out["n_intervals"].append(len(lo))
+                out["removed"].append([{"start": x, "end": y} for x, y in zip(lo.tolist(), hi.tolist(), strict=True)])
+                out["kept"].append(kept.decode() if with_text else None)
+        return pa.Table.from_pydict({"doc_id": texts["doc_id"], **out}, schema=_REMOVED)
+
+    result = ex.dealt(named, buckets).groupBy("part").cogroup(found.groupBy("part")).applyInArrow(remove, REMOVED)
     return result if with_text else result.drop("kept")
 
 
