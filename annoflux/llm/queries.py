@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from annoflux.llm import media, pii, secret_scan, substring_dedup, suffix_dedup
+from annoflux.llm import jaccard_join, media, pii, secret_scan, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(_documents(spark, sf_dir), width=13, with_text=False)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_documents(spark, sf_dir))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_documents(spark, sf_dir))
 
@@ -38,6 +42,7 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_pii": op6_pii,
         "op7_secrets": op7_secrets,
         "op8_suffix_dedup": op8_suffix_dedup,
