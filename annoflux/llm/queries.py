@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from annoflux.llm import jaccard_join, media, pii, secret_scan, substring_dedup, suffix_dedup
+from annoflux.llm import jaccard_join, language_id, media, pii, secret_scan, sentencepiece_wfst, substring_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, round_trip and the digest of the decoded text."""
+    done = sentencepiece_wfst.encode_decode(_documents(spark, sf_dir).select("doc_id", "text"), sentencepiece_wfst.read_model())
+    return done.select("doc_id", "n_tokens", "ids", "round_trip", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_documents(spark, sf_dir))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_windows(_documents(spark, sf_dir), width=13, with_text=False)
 
@@ -41,6 +52,8 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
+        "op2_language_id": op2_language_id,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
         "op6_pii": op6_pii,
