@@ -113,7 +113,7 @@ def train(rows: pd.DataFrame) -> pd.DataFrame:
         truth = label[list(held)]
         grid = np.exp(np.linspace(-2, 3, 51))
         loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(truth)), truth], 1e-9)).mean() for t in grid]
-        temperature = float(grid[int(np.argmin(loss))])
+        temperature = float(grid[np.flatnonzero(np.array(loss) <= min(loss) + 1e-3)[-1]])  # the least sure of the equally good
     table = (SCALE * idf[:, None] * w).astype(np.float32)
     return pd.DataFrame({"langs": [langs], "weights": [table.tobytes()], "temperature": [temperature]})
 
@@ -125,7 +125,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarra
     share = min(1.0, sample / max(1, total))
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
     counted = chosen.mapInArrow(_counted, "lang string, feature binary, count binary")
-    model = counted.groupBy(F.lit(0)).applyInPandas(lambda rows: train(rows), "langs array<string>, weights binary, temperature double").first()
+    one = counted.withColumn("sample", F.lit("all")).groupBy("sample")  # about ``sample`` rows of counts
+    model = one.applyInPandas(lambda rows: train(rows), "langs array<string>, weights binary, temperature double").first()
     if model is None:
         return [], np.zeros((1 << BITS, 0), np.float32), 1.0
     return list(model["langs"]), np.frombuffer(bytes(model["weights"]), np.float32).reshape(1 << BITS, -1), model["temperature"]
