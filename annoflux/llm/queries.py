@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoflux.llm import jaccard_join, language_id, media, pii, secret_scan, sentencepiece_wfst, substring_dedup, suffix_dedup
+from annoflux.llm import jaccard_join, language_id, media, pii, secret_scan, sentencepiece_wfst, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(_documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(_documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Query]:
         "op2_language_id": op2_language_id,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_toxicity": op5_toxicity,
         "op6_pii": op6_pii,
         "op7_secrets": op7_secrets,
         "op8_suffix_dedup": op8_suffix_dedup,
