@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoflux.llm import jaccard_join, language_id, media, pii, secret_scan, sentencepiece_wfst, substring_dedup, suffix_dedup, toxicity
+from annoflux.llm import decontaminate, jaccard_join, language_id, media, pii, secret_scan, sentencepiece_wfst, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_as_media(_documents(spark, sf_dir), with_media=False)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaking documents with the items that they leak."""
+    return decontaminate.leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("k", "uid")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
@@ -65,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op7_secrets": op7_secrets,
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_media": op9_media,
+        "op10_decontamination": op10_decontamination,
     }
 
 
