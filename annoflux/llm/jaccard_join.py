@@ -40,9 +40,9 @@ SHORT_BITS = 40
 ASKED = "bucket int, part int, steps binary, far binary, docs binary"
 _ASKED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("steps", pa.binary()), ("far", pa.binary()), ("docs", pa.binary())])
 TOLD = "part int, bucket int, docs binary"
-DESCRIBED = "doc_id long, k long, n long, node long, check long, lonely int, shingles binary"
+DESCRIBED = "doc_id long, k long, uid int, n long, node long, check long, lonely int, shingles binary"
 _DESCRIBED = pa.schema(
-    [("doc_id", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("lonely", pa.int32()), ("shingles", pa.binary())]
+    [("doc_id", pa.int64()), ("k", pa.int64()), ("uid", pa.int32()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("lonely", pa.int32()), ("shingles", pa.binary())]
 )
 _FAR = 2**32 - 1
 
@@ -143,7 +143,7 @@ def describe(docs: DataFrame, width: int, similarity: int, buckets: int) -> Data
         check = other[edges[1:]] - other[edges[:-1]]
         data = [rarest[edges[i] : edges[i + 1]].tobytes() if may[i] else None for i in range(len(n))]
         return pa.Table.from_arrays(
-            [texts["doc_id"].combine_chunks(), texts["k"].combine_chunks(), pa.array(n), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(lonely.astype(np.int32)), pa.array(data, pa.binary())],
+            [texts["doc_id"].combine_chunks(), texts["k"].combine_chunks(), texts["uid"].combine_chunks(), pa.array(n), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array(lonely.astype(np.int32)), pa.array(data, pa.binary())],
             schema=_DESCRIBED,
         )
 
@@ -298,16 +298,8 @@ def _large_cells(members: DataFrame, similarity: int, cell: int) -> DataFrame:
     return components(links.union(stars))
 
 
-def similar_documents(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, part_bytes: int = PART_BYTES, cell: int = CELL) -> DataFrame:
-    """Components of the documents linked by 100 * intersection >= similarity * union of their shingle sets.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; a set holds the different runs of ``width`` words, or
-    the whole sequence of a document with fewer. Returned, a row for each row of ``docs``: doc_id, n_shingles,
-    component_id (the smallest doc_id that links reach, its own included) and set_id (equal for equal sets).
-
-    Null and empty texts and texts without a word: 0 shingles, linked with nothing. A null doc_id is the
-    largest; rows that repeat are linked like any others. Other columns are ignored.
-    """
+def _classed(docs: DataFrame, similarity: int, width: int, part_bytes: int, cell: int) -> DataFrame:
+    """(doc_id, k, uid, n, node, root, component): a row for each row; root names its component, component is the smallest k of it."""
     described = cut(describe(docs, width, similarity, ex.bucket_count(docs, part_bytes)))
     sets = cut(
         described.where(F.col("shingles").isNotNull())
@@ -322,9 +314,41 @@ def similar_documents(docs: DataFrame, similarity: int = SIMILARITY, width: int
         roots = roots.union(_large_cells(members.where(F.col("size") > cell).select("cell", "node", "shingles"), similarity, cell))
     classes = sets.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     component = classes.groupBy("root").agg(F.min("least").alias("component"))
-    found = classes.join(component, "root").select("node", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    out = described.select("doc_id", "k", "n", "node", F.col("shingles").isNotNull().alias("may"))
+    found = classes.join(component, "root").select("node", "root", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = described.select("doc_id", "k", "uid", "n", "node", F.col("shingles").isNotNull().alias("may"))
     tied = out.where("may").withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(found, ["node", "salt"], "left")
-    every = tied.select("doc_id", "k", "n", "node", "component").unionByName(out.where("not may").select("doc_id", "k", "n", "node", F.col("k").alias("component")))
-    component_id = F.coalesce("component", "k")
-    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(component_id < ex.LAST, component_id).alias("component_id"), F.col("node").alias("set_id"))
+    columns = ["doc_id", "k", "uid", "n", "node"]
+    every = tied.select(*columns, "root", "component").unionByName(out.where("not may").select(*columns, F.col("node").alias("root"), F.col("k").alias("component")))
+    return every.withColumn("component", F.coalesce("component", "k"))
+
+
+def similar_documents(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, part_bytes: int = PART_BYTES, cell: int = CELL) -> DataFrame:
+    """Components of the documents linked by 100 * intersection >= similarity * union of their shingle sets.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; a set holds the different runs of ``width`` words, or
+    the whole sequence of a document with fewer. Returned, a row for each row of ``docs``: doc_id, n_shingles,
+    component_id (the smallest doc_id that links reach, its own included) and set_id (equal for equal sets).
+
+    Null and empty texts and texts without a word: 0 shingles, linked with nothing. A null doc_id is the
+    largest; rows that repeat are linked like any others. Other columns are ignored.
+    """
+    every = _classed(docs, similarity, width, part_bytes, cell)
+    return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") < ex.LAST, F.col("component")).alias("component_id"), F.col("node").alias("set_id"))
+
+
+def one_of_each(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, part_bytes: int = PART_BYTES, cell: int = CELL) -> DataFrame:
+    """The rows of ``docs`` without all but one document - the smallest - of each component, with all their columns.
+
+    Documents without a word all stay. Of rows equal in id and text one stays, if they have words.
+    """
+    every = cut(_classed(docs, similarity, width, part_bytes, cell).select("k", "uid", "n", "root", "component"))
+    first = every.where("n > 0 and k = component").groupBy("root").agg(F.min(F.struct("k", "uid")).alias("row")).select("row.k", "row.uid")
+    alone = every.where("n = 0").select("k", "uid").distinct()
+    kept = first.union(alone).select(F.col("k").alias("_k"), F.col("uid").alias("_uid"))
+    k = F.coalesce(F.col("doc_id").cast("long"), F.lit(ex.LAST))
+    uid = F.xxhash64(k, F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    rows = docs.withColumns({"_k": k, "_uid": uid}).join(kept, ["_k", "_uid"], "left_semi")
+    if every.where("n > 0").groupBy("k", "uid").count().where("count > 1").limit(1).count():
+        repeated = F.when(F.trim("text") != "", F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+        rows = rows.withColumn("_each", repeated).dropDuplicates(["_k", "_uid", "_each"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -16,8 +16,6 @@ string around them, so that no merger gathers a context from every document.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,11 +24,13 @@ from pyspark.sql import DataFrame
 from annoflux.llm import bytehash as bh
 from annoflux.llm import exchange as ex
 from annoflux.llm.substring_dedup import runs
-from annoflux.llm.suffix import equal_prefix_classes
+from annoflux.llm.suffix import equal_prefix_classes, words_at
 
 WIDTH = 50
 GRAM = 32
 SHARD_BYTES = 12 << 20
+#: Mergers for each shard.
+MERGES = 4
 #: Documents from which an anchor is dealt out by the strings around it.
 COMMON = 4096
 #: Bytes of an anchor's hash that travel (with its bucket, 46 bits and more; a false partner only costs a look).
@@ -86,10 +86,16 @@ def _different(key: np.ndarray, row: np.ndarray, buckets: int) -> tuple[np.ndarr
     """The shard's different anchors by bucket and key: bucket, short key, rows with it (up to 255), place of every anchor among them."""
     bucket, short = _dealt_keys(key, buckets)
     joint = (bucket.astype(np.uint64) << np.uint64(ANCHOR_BITS)) | short
-    kinds, place = np.unique(joint, return_inverse=True)
-    pair = np.unique((place.astype(np.uint64) << np.uint64(32)) | row.astype(np.uint64))
-    rows = np.bincount((pair >> np.uint64(32)).astype(np.int64), minlength=len(kinds))
-    return (kinds >> np.uint64(ANCHOR_BITS)).astype(np.int64), kinds & np.uint64((1 << ANCHOR_BITS) - 1), np.minimum(rows, 255), place
+    order = np.argsort(joint, kind="stable")  # rows ascend under a key
+    ordered, rows = joint[order], row[order]
+    fresh = np.r_[True, ordered[1:] != ordered[:-1]] if len(ordered) else np.zeros(0, bool)
+    other = fresh | np.r_[True, rows[1:] != rows[:-1]] if len(rows) else fresh
+    lead = np.flatnonzero(fresh)
+    place = np.empty(len(joint), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    kinds = ordered[lead]
+    many = np.add.reduceat(other.astype(np.int64), lead) if len(lead) else np.zeros(0, np.int64)
+    return (kinds >> np.uint64(ANCHOR_BITS)).astype(np.int64), kinds & np.uint64((1 << ANCHOR_BITS) - 1), np.minimum(many, 255), place
 
 
 ASKED = "bucket int, part int, steps binary, far binary, rows binary"
@@ -106,34 +112,31 @@ def _lead(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
-def _packed_contexts(bucket: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, flat: np.ndarray, offs: np.ndarray, ks: np.ndarray, uids: np.ndarray, width: int) -> list[dict]:
-    """Runs of strings starting at lo..hi-1 with the bytes that they cover, a row for each bucket."""
-    order = np.lexsort((lo, row, bucket))
+def _listed(part: int, row: np.ndarray, at: np.ndarray, ks: np.ndarray, uids: np.ndarray) -> dict:
+    """Positions of one part's rows, both ascending, as an answer."""
+    starts = _lead(row)
+    gaps, far = ex._gaps(at, starts)
+    return {
+        "part": part, "ks": ks[row[starts]].tobytes(), "uids": uids[row[starts]].astype(np.int32).tobytes(),
+        "counts": np.diff(np.r_[starts, len(row)]).astype(np.int32).tobytes(), "gaps": gaps, "far": far,
+    }
+
+
+def _packed_contexts(part: int, bucket: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, flat: np.ndarray, offs: np.ndarray, ks: np.ndarray, uids: np.ndarray, width: int) -> list[dict]:
+    """Runs of strings starting at lo..hi-1, in text order, with the bytes that they cover; a row for each bucket."""
+    order = np.argsort(bucket, kind="stable")
     bucket, row, lo, hi = bucket[order], row[order], lo[order], hi[order]
     edges = np.r_[_lead(bucket), len(bucket)]
     out = []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        r = row[a:b]
-        starts = _lead(r)
-        gaps, far = ex._gaps(lo[a:b] - offs[r], starts)
         size = hi[a:b] - lo[a:b] + width - 1
         begin = np.cumsum(size) - size
         take = np.arange(int(size.sum())) + np.repeat(lo[a:b] - begin, size)
-        out.append(
-            {
-                "bucket": int(bucket[a]), "kind": 0, "part": None, "ks": ks[r[starts]].tobytes(), "uids": uids[r[starts]].astype(np.int32).tobytes(),
-                "counts": np.diff(np.r_[starts, b - a]).astype(np.int32).tobytes(), "gaps": gaps, "far": far,
-                "windows": (hi[a:b] - lo[a:b]).astype(np.uint8).tobytes(), "bytes": flat[take].tobytes(),
-            }
-        )
+        told = _listed(part, row[a:b], lo[a:b] - offs[row[a:b]], ks, uids)
+        out.append(told | {"bucket": int(bucket[a]), "kind": 0, "windows": (hi[a:b] - lo[a:b]).astype(np.uint8).tobytes(), "bytes": flat[take].tobytes()})
     return out
 
 
-def _removals(frame: pd.DataFrame, buckets: int) -> Iterable[dict]:
-    for x in frame.to_dict("records"):
-        yield x | {"bucket": x["part"] % buckets, "kind": 1, "windows": b"", "bytes": b""}
-
-
 def _local_classes(flat: np.ndarray, offs: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, ks: np.ndarray, width: int) -> np.ndarray:
     """Starts of strings that also start in a document of the shard with a smaller k, by the suffix array of what lo..hi cover."""
     if not len(lo):
@@ -154,75 +157,72 @@ def _local_classes(flat: np.ndarray, offs: np.ndarray, row: np.ndarray, lo: np.n
     return origin[suffixes[k > least]]
 
 
-def merge_runs(runs_: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted runs of (key, smallest k, place) merged pair by pair: the keys of one are looked up in the other by binary search."""
-    while len(runs_) > 1:
-        merged = []
-        for x, y in zip(runs_[::2], runs_[1::2], strict=False):
-            a, b = (x, y) if len(x[0]) >= len(y[0]) else (y, x)
-            spot = np.searchsorted(a[0], b[0])
-            same = np.zeros(len(spot), bool)
-            inner = spot < len(a[0])
-            same[inner] = a[0][spot[inner]] == b[0][inner]
-            hit = spot[same]
-            smaller = b[1][same] < a[1][hit]
-            k, place = a[1].copy(), a[2].copy()
-            k[hit[smaller]], place[hit[smaller]] = b[1][same][smaller], b[2][same][smaller]
-            fresh = ~same
-            merged.append(tuple(np.insert(old, spot[fresh], new[fresh]) for old, new in ((a[0], b[0]), (k, b[1]), (place, b[2]))))
-        if len(runs_) % 2:
-            merged.append(runs_[-1])
-        runs_ = merged
-    return runs_[0]
-
-
-def _merged(group: pd.DataFrame, width: int, parts: int) -> pd.DataFrame:
+def merge_runs(runs_: list[tuple[np.ndarray, np.ndarray, np.ndarray]], at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted runs of (key, smallest k, place), one from each shard, as one run.
+
+    Splitters cut the keys into ranges; binary search finds the cuts in every run, and the runs'
+    pieces of a range - about ``at_once`` keys, whatever the number of shards - are merged.
+    """
+    total = sum(len(x[0]) for x in runs_)
+    parts = max(1, total // at_once)
+    splitters = (np.arange(1, parts, dtype=np.float64) / parts * 2.0**64).astype(np.uint64)
+    cuts = [np.r_[0, np.searchsorted(x[0], splitters), len(x[0])] for x in runs_]
+    out = []
+    for r in range(parts):
+        pieces = [[x[column][c[r] : c[r + 1]] for x, c in zip(runs_, cuts, strict=True)] for column in range(3)]
+        key, k, place = (np.concatenate(p) for p in pieces)
+        order = np.argsort(key, kind="stable")
+        key, k, place = key[order], k[order], place[order]
+        lead = _lead(key)
+        if not len(lead):
+            continue
+        size = np.diff(np.r_[lead, len(key)])
+        least = np.minimum.reduceat(k, lead)
+        holder = np.where(k == np.repeat(least, size), np.arange(len(k)), len(k))
+        out.append((key[lead], least, place[np.minimum.reduceat(holder, lead)]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else runs_[0]
+
+
+def _merged(group: pd.DataFrame, width: int) -> pd.DataFrame:
     """Strings of a bucket that start in a document with a smaller k, as answers by part; removals pass through."""
-    through = group[group["kind"] == 1][["part", "ks", "uids", "counts", "gaps", "far"]]
+    columns = ["part", "ks", "uids", "counts", "gaps", "far"]
+    through = group[group["kind"] == 1][columns]
     sent = group[group["kind"] == 0]
     if not len(sent):
         return through
-    doc_ks, doc_uids, docs, at, runs_, blobs, spots = [], [], [], [], [], [], []
-    n_docs, n_bytes = 0, 0
-    keys_of, ks_of = [], []
+    kept, runs_, n_bytes = [], [], 0
+    blob = np.frombuffer(b"".join(sent["bytes"]) + b"\0" * 8, np.uint8)
+    word = words_at(blob)
     for x in sent.itertuples(index=False):
         counts, windows = np.frombuffer(x.counts, np.int32), np.frombuffer(x.windows, np.uint8).astype(np.int64)
-        begin = ex._positions(x.gaps, x.far, counts)
-        blob = np.frombuffer(x.bytes, np.uint8)
         size = windows + width - 1
         base = np.cumsum(size) - size
         step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
         spot = np.repeat(base, windows) + step
-        doc = np.repeat(np.repeat(np.arange(len(counts)), counts), windows)
-        ks = np.frombuffer(x.ks, np.int64)
-        key = bh.gram_hashes(blob, width)[spot]
-        order = np.lexsort((ks[doc], key))
+        ks, uids = np.frombuffer(x.ks, np.int64), np.frombuffer(x.uids, np.int32)
+        doc = np.repeat(np.repeat(np.arange(len(counts), dtype=np.int32), counts), windows)
+        at = (np.repeat(ex._positions(x.gaps, x.far, counts), windows) + step).astype(np.int32)
+        key = bh.gram_hashes(np.frombuffer(x.bytes, np.uint8), width)[spot]
+        order = np.argsort(key, kind="stable").astype(np.int32)  # documents of a part ascend by k, so a key's first is its least
         first = order[_lead(key[order])]
-        runs_.append((key[first], ks[doc][first], spot[first] + n_bytes))
-        keys_of.append(key)
-        ks_of.append(ks[doc])
-        spots.append(spot + n_bytes)
-        docs.append(doc + n_docs)
-        at.append(np.repeat(begin, windows) + step)
-        doc_ks.append(ks)
-        doc_uids.append(np.frombuffer(x.uids, np.int32))
-        blobs.append(blob)
-        n_docs += len(counts)
-        n_bytes += len(blob)
+        runs_.append((key[first], ks[doc[first]], spot[first] + n_bytes))
+        kept.append((x.part, key[order], order, (spot + n_bytes).astype(np.int32), doc, at, ks, uids))
+        n_bytes += len(x.bytes)
     keys, least, place = merge_runs(runs_)
-    blob = np.concatenate(blobs)
-    hits_doc, hits_at = [], []
-    for key, k, spot, doc, start in zip(keys_of, ks_of, spots, docs, at, strict=True):
-        found = np.searchsorted(keys, key)
-        later = np.flatnonzero(k > least[found])
-        mine, other = spot[later], place[found[later]]
-        same = np.ones(len(later), bool)
-        for j in range(width):  # the bytes themselves
-            same &= blob[mine + j] == blob[other + j]
-        hits_doc.append(doc[later[same]])
-        hits_at.append(start[later[same]])
-    out = ex.answers(np.concatenate(hits_doc), np.concatenate(hits_at), np.concatenate(doc_ks), np.concatenate(doc_uids), parts)
-    return pd.concat([through, out], ignore_index=True)
+    del runs_
+    out = []
+    for part, ordered, order, spot, doc, at, ks, uids in kept:
+        found = np.searchsorted(keys, ordered)
+        late = np.flatnonzero(ks[doc[order]] > least[found])
+        mine, other = spot[order[late]], place[found[late]]
+        same = np.ones(len(late), bool)
+        for j in [*range(0, width - 7, 8), width - 8]:  # the bytes themselves
+            same &= word[mine + j] == word[other + j]
+        hit = np.sort(order[late[same]])
+        if len(hit):
+            # by document and place; a document's contexts ascend, so its strings do
+            out.append(_listed(part, doc[hit], at[hit], ks, uids))
+    return pd.concat([through, pd.DataFrame(out, columns=columns)], ignore_index=True)
 
 
 def repeated_strings(dealt: DataFrame, width: int, gram: int, buckets: int, common: int = COMMON) -> DataFrame:
@@ -232,9 +232,8 @@ def repeated_strings(dealt: DataFrame, width: int, gram: int, buckets: int, comm
         flat, offs = bh.text_bytes(texts["text"])
         found = _shard_anchors(flat, offs, width, gram)
         bucket, short, rows, _ = _different(found["key"], found["row"], buckets)
-        part = texts["part"][0].as_py()
+        part, out = texts["part"][0].as_py(), []
         edges = np.r_[_lead(bucket), len(bucket)]
-        out = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             step = np.diff(np.r_[np.uint64(0), short[a:b]])
             far = step >= _FAR
@@ -260,6 +259,8 @@ def repeated_strings(dealt: DataFrame, width: int, gram: int, buckets: int, comm
     def move(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.Table.from_pylist([], schema=_MOVED)
+        texts = texts.sort_by("k")
+        part = texts["part"][0].as_py()
         flat, offs = bh.text_bytes(texts["text"])
         ks, uids = texts["k"].to_numpy(), texts["uid"].to_numpy()
         found = _shard_anchors(flat, offs, width, gram)
@@ -278,7 +279,7 @@ def repeated_strings(dealt: DataFrame, width: int, gram: int, buckets: int, comm
         gone[_local_classes(flat, offs, row[here], found["lo"][here], found["hi"][here], ks, width)] = True
         starts = np.flatnonzero(gone)
         owner = np.searchsorted(offs, starts, side="right") - 1
-        out = list(_removals(ex.answers(owner, starts - offs[owner], ks, uids, buckets), buckets))
+        out = [_listed(part, owner, starts - offs[owner], ks, uids) | {"bucket": part, "kind": 1}] if len(starts) else []
         # what is left of each anchor that other shards have
         far = np.flatnonzero(flag & 1)
         size = found["hi"][far] - found["lo"][far]
@@ -297,13 +298,14 @@ def repeated_strings(dealt: DataFrame, width: int, gram: int, buckets: int, comm
             if alone.any():
                 deal = deal.copy()
                 deal[alone] = _string_hashes(flat, lo[alone], width)
-            out += _packed_contexts((deal % np.uint64(buckets)).astype(np.int32), row[who], lo, hi, flat, offs, ks, uids, width)
+            out += _packed_contexts(part, (deal % np.uint64(merges)).astype(np.int32), row[who], lo, hi, flat, offs, ks, uids, width)
         return pa.Table.from_pylist(out, schema=_MOVED)
 
+    merges = MERGES * buckets
     by_part = dealt.groupBy("part")
     told = by_part.applyInArrow(ask, ASKED).groupBy("bucket").applyInPandas(tell, TOLD)
     moved = by_part.cogroup(told.groupBy("part")).applyInArrow(move, MOVED)
-    return moved.groupBy("bucket").applyInPandas(lambda group: _merged(group, width, buckets), ex.ANSWER)
+    return moved.groupBy("bucket").applyInPandas(lambda group: _merged(group, width), ex.ANSWER)
 
 
 def _string_hashes(flat: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:

@@ -189,8 +189,8 @@ def calibrate(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str], np.ndarray]:
-    """Words, beginnings and weights, from columns text and toxic of about ``sample`` rows."""
+def fit(labelled: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
+    """Words, beginnings and weights, from columns text and toxic of a bounded sample."""
     rows = labelled.where(F.col("toxic").isNotNull() & (F.length("text") > 0)).select("text", (F.col("toxic") == 1).alias("toxic"))
     one = rows.mapInArrow(_families, "text string, toxic boolean, family long").dropDuplicates(["family", "toxic"])
     per_class = {bool(r["toxic"]): r["count"] for r in one.groupBy("toxic").count().collect()}  # two rows
@@ -227,6 +227,21 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[str]
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 
+def _teach(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[str], list[str], np.ndarray]:
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select(F.col("doc_id"), "toxic")
+    share = min(1.0, sample / max(1, known.count()))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # about ``sample`` short rows
+
+
+def _read(texts: pa.Array, grammar: Grammar, weights: np.ndarray) -> np.ndarray:
+    out = [np.zeros(0)]
+    for lo in range(0, len(texts), 1024):
+        read = np.array([grammar.read(x or "") for x in texts.slice(lo, 1024).to_pylist()]).reshape(-1, 3)
+        out.append(1 / (1 + np.exp(-np.clip(weights[0] + read @ weights[1:], -30, 30))))
+    return np.concatenate(out)
+
+
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Toxicity of every whole text of ``docs``.
 
@@ -238,20 +253,24 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     kinds the fixed insults and weights hold. Equal texts have equal scores; null ids are kept and teach
     nothing. Other columns are ignored.
     """
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select(F.col("doc_id"), "toxic")
-    share = min(1.0, sample / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    teaching = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # about ``sample`` short rows
-    words, beginnings, weights = fit(teaching, sample)
+    words, beginnings, weights = _teach(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(words, beginnings)
         for batch in batches:
-            out = []
-            for lo in range(0, batch.num_rows, 1024):
-                read = np.array([grammar.read(x or "") for x in batch["text"].slice(lo, 1024).to_pylist()]).reshape(-1, 3)
-                out.append(1 / (1 + np.exp(-np.clip(weights[0] + read @ weights[1:], -30, 30))))
-            p = np.concatenate(out) if out else np.zeros(0)
+            p = _read(batch["text"], grammar, weights)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text").mapInArrow(run, OUT)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that ``score`` doesn't predict toxic, with all their columns; nothing is shuffled."""
+    words, beginnings, weights = _teach(docs, labels, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(words, beginnings)
+        for batch in batches:
+            yield batch.filter(pa.array(_read(batch["text"], grammar, weights) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
