@@ -28,9 +28,9 @@ from annoflux.llm.suffix import equal_prefix_classes, words_at
 
 WIDTH = 50
 GRAM = 32
-SHARD_BYTES = 12 << 20
-#: Mergers for each shard.
-MERGES = 4
+SHARD_BYTES = 6 << 20
+#: Text whose anchors, and later strings, one merger gets.
+MERGE_BYTES = 8 << 20
 #: Documents from which an anchor is dealt out by the strings around it.
 COMMON = 4096
 #: Bytes of an anchor's hash that travel (with its bucket, 46 bits and more; a false partner only costs a look).
@@ -100,10 +100,11 @@ def _different(key: np.ndarray, row: np.ndarray, buckets: int) -> tuple[np.ndarr
 
 ASKED = "bucket int, part int, steps binary, far binary, rows binary"
 TOLD = "part int, bucket int, flags binary"
+FOUND = "part int, rows binary, rows_far binary, counts binary, counts_far binary, gaps binary, far binary"
 _ASKED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("steps", pa.binary()), ("far", pa.binary()), ("rows", pa.binary())])
-MOVED = "bucket int, kind int, part int, ks binary, uids binary, counts binary, gaps binary, far binary, windows binary, bytes binary"
+MOVED = f"bucket int, kind int, {FOUND}, ks binary, windows binary, bytes binary"
 _MOVED = pa.schema(
-    [("bucket", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), *[(n, pa.binary()) for n in ("ks", "uids", "counts", "gaps", "far", "windows", "bytes")]]
+    [("bucket", pa.int32()), ("kind", pa.int32()), ("part", pa.int32()), *[(n, pa.binary()) for n in ("rows", "rows_far", "counts", "counts_far", "gaps", "far", "ks", "windows", "bytes")]]
 )
 _FAR = 2**32 - 1
 
@@ -112,17 +113,29 @@ def _lead(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
 
 
-def _listed(part: int, row: np.ndarray, at: np.ndarray, ks: np.ndarray, uids: np.ndarray) -> dict:
-    """Positions of one part's rows, both ascending, as an answer."""
+def _listed(part: int, row: np.ndarray, at: np.ndarray) -> dict:
+    """Positions of a part's rows, both ascending; rows are counted in the part's order by (k, uid)."""
     starts = _lead(row)
+    zero = np.zeros(1, np.int64)
+    rows, rows_far = ex._gaps(row[starts], zero)
+    counts = np.diff(np.r_[starts, len(row)])
+    many = counts >= 255
     gaps, far = ex._gaps(at, starts)
     return {
-        "part": part, "ks": ks[row[starts]].tobytes(), "uids": uids[row[starts]].astype(np.int32).tobytes(),
-        "counts": np.diff(np.r_[starts, len(row)]).astype(np.int32).tobytes(), "gaps": gaps, "far": far,
+        "part": part, "rows": rows, "rows_far": rows_far, "counts": np.where(many, 255, counts).astype(np.uint8).tobytes(),
+        "counts_far": counts[many].astype(np.uint32).tobytes(), "gaps": gaps, "far": far,
     }
 
 
-def _packed_contexts(part: int, bucket: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, flat: np.ndarray, offs: np.ndarray, ks: np.ndarray, uids: np.ndarray, width: int) -> list[dict]:
+def _rows_of(x: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, positions of each and all positions, of what ``_listed`` packed."""
+    rows = ex._positions(x["rows"], x["rows_far"], np.array([len(x["rows"])]))
+    counts = np.frombuffer(x["counts"], np.uint8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(x["counts_far"], np.uint32)
+    return rows, counts, ex._positions(x["gaps"], x["far"], counts)
+
+
+def _packed_contexts(part: int, bucket: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, flat: np.ndarray, offs: np.ndarray, ks: np.ndarray, width: int) -> list[dict]:
     """Runs of strings starting at lo..hi-1, in text order, with the bytes that they cover; a row for each bucket."""
     order = np.argsort(bucket, kind="stable")
     bucket, row, lo, hi = bucket[order], row[order], lo[order], hi[order]
@@ -132,8 +145,10 @@ def _packed_contexts(part: int, bucket: np.ndarray, row: np.ndarray, lo: np.ndar
         size = hi[a:b] - lo[a:b] + width - 1
         begin = np.cumsum(size) - size
         take = np.arange(int(size.sum())) + np.repeat(lo[a:b] - begin, size)
-        told = _listed(part, row[a:b], lo[a:b] - offs[row[a:b]], ks, uids)
-        out.append(told | {"bucket": int(bucket[a]), "kind": 0, "windows": (hi[a:b] - lo[a:b]).astype(np.uint8).tobytes(), "bytes": flat[take].tobytes()})
+        r = row[a:b]
+        told = _listed(part, r, lo[a:b] - offs[r])
+        steps = np.diff(np.r_[0, ks[r[_lead(r)]]])  # ascending, so mostly small numbers
+        out.append(told | {"bucket": int(bucket[a]), "kind": 0, "ks": steps.tobytes(), "windows": (hi[a:b] - lo[a:b]).astype(np.uint8).tobytes(), "bytes": flat[take].tobytes()})
     return out
 
 
@@ -185,7 +200,7 @@ def merge_runs(runs_: list[tuple[np.ndarray, np.ndarray, np.ndarray]], at_once:
 
 def _merged(group: pd.DataFrame, width: int) -> pd.DataFrame:
     """Strings of a bucket that start in a document with a smaller k, as answers by part; removals pass through."""
-    columns = ["part", "ks", "uids", "counts", "gaps", "far"]
+    columns = [x.split()[0] for x in FOUND.split(", ")]
     through = group[group["kind"] == 1][columns]
     sent = group[group["kind"] == 0]
     if not len(sent):
@@ -194,24 +209,26 @@ def _merged(group: pd.DataFrame, width: int) -> pd.DataFrame:
     blob = np.frombuffer(b"".join(sent["bytes"]) + b"\0" * 8, np.uint8)
     word = words_at(blob)
     for x in sent.itertuples(index=False):
-        counts, windows = np.frombuffer(x.counts, np.int32), np.frombuffer(x.windows, np.uint8).astype(np.int64)
+        rows, counts, begin = _rows_of(x._asdict())
+        windows = np.frombuffer(x.windows, np.uint8).astype(np.int64)
         size = windows + width - 1
         base = np.cumsum(size) - size
         step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
         spot = np.repeat(base, windows) + step
-        ks, uids = np.frombuffer(x.ks, np.int64), np.frombuffer(x.uids, np.int32)
+        ks = np.cumsum(np.frombuffer(x.ks, np.int64))
         doc = np.repeat(np.repeat(np.arange(len(counts), dtype=np.int32), counts), windows)
-        at = (np.repeat(ex._positions(x.gaps, x.far, counts), windows) + step).astype(np.int32)
+        at = (np.repeat(begin, windows) + step).astype(np.int32)
         key = bh.gram_hashes(np.frombuffer(x.bytes, np.uint8), width)[spot]
         order = np.argsort(key, kind="stable").astype(np.int32)  # documents of a part ascend by k, so a key's first is its least
         first = order[_lead(key[order])]
         runs_.append((key[first], ks[doc[first]], spot[first] + n_bytes))
-        kept.append((x.part, key[order], order, (spot + n_bytes).astype(np.int32), doc, at, ks, uids))
+        kept.append((x.part, key[order], order, (spot + n_bytes).astype(np.int32), doc, at, ks, rows))
         n_bytes += len(x.bytes)
     keys, least, place = merge_runs(runs_)
     del runs_
     out = []
-    for part, ordered, order, spot, doc, at, ks, uids in kept:
+    while kept:
+        part, ordered, order, spot, doc, at, ks, rows = kept.pop()
         found = np.searchsorted(keys, ordered)
         late = np.flatnonzero(ks[doc[order]] > least[found])
         mine, other = spot[order[late]], place[found[late]]
@@ -221,12 +238,12 @@ def _merged(group: pd.DataFrame, width: int) -> pd.DataFrame:
         hit = np.sort(order[late[same]])
         if len(hit):
             # by document and place; a document's contexts ascend, so its strings do
-            out.append(_listed(part, doc[hit], at[hit], ks, uids))
+            out.append(_listed(part, rows[doc[hit]], at[hit]))
     return pd.concat([through, pd.DataFrame(out, columns=columns)], ignore_index=True)
 
 
 def repeated_strings(dealt: DataFrame, width: int, gram: int, buckets: int, common: int = COMMON) -> DataFrame:
-    """Answers: starts of ``width``-byte strings that also start in a document with a smaller k."""
+    """By part: starts of ``width``-byte strings that also start in a document with a smaller k."""
 
     def ask(texts: pa.Table) -> pa.Table:
         flat, offs = bh.text_bytes(texts["text"])
@@ -259,10 +276,10 @@ def repeated_strings(dealt: DataFrame, width: int, gram: int, buckets: int, comm
     def move(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.Table.from_pylist([], schema=_MOVED)
-        texts = texts.sort_by("k")
+        texts = _in_order(texts)
         part = texts["part"][0].as_py()
         flat, offs = bh.text_bytes(texts["text"])
-        ks, uids = texts["k"].to_numpy(), texts["uid"].to_numpy()
+        ks = texts["k"].to_numpy()
         found = _shard_anchors(flat, offs, width, gram)
         bucket, _, _, place = _different(found["key"], found["row"], buckets)
         flags = np.zeros(len(bucket), np.uint8)
@@ -279,7 +296,7 @@ def repeated_strings(dealt: DataFrame, width: int, gram: int, buckets: int, comm
         gone[_local_classes(flat, offs, row[here], found["lo"][here], found["hi"][here], ks, width)] = True
         starts = np.flatnonzero(gone)
         owner = np.searchsorted(offs, starts, side="right") - 1
-        out = [_listed(part, owner, starts - offs[owner], ks, uids) | {"bucket": part, "kind": 1}] if len(starts) else []
+        out = [_listed(part, owner, starts - offs[owner]) | {"bucket": part % buckets, "kind": 1}] if len(starts) else []
         # what is left of each anchor that other shards have
         far = np.flatnonzero(flag & 1)
         size = found["hi"][far] - found["lo"][far]
@@ -298,14 +315,18 @@ def repeated_strings(dealt: DataFrame, width: int, gram: int, buckets: int, comm
             if alone.any():
                 deal = deal.copy()
                 deal[alone] = _string_hashes(flat, lo[alone], width)
-            out += _packed_contexts(part, (deal % np.uint64(merges)).astype(np.int32), row[who], lo, hi, flat, offs, ks, uids, width)
+            out += _packed_contexts(part, (deal % np.uint64(buckets)).astype(np.int32), row[who], lo, hi, flat, offs, ks, width)
         return pa.Table.from_pylist(out, schema=_MOVED)
 
-    merges = MERGES * buckets
     by_part = dealt.groupBy("part")
     told = by_part.applyInArrow(ask, ASKED).groupBy("bucket").applyInPandas(tell, TOLD)
     moved = by_part.cogroup(told.groupBy("part")).applyInArrow(move, MOVED)
-    return moved.groupBy("bucket").applyInPandas(lambda group: _merged(group, width), ex.ANSWER)
+    return moved.groupBy("bucket").applyInPandas(lambda group: _merged(group, width), FOUND)
+
+
+def _in_order(texts: pa.Table) -> pa.Table:
+    """A part's rows in the order in which they are counted; rows that tie are equal."""
+    return texts.sort_by([("k", "ascending"), ("uid", "ascending")])
 
 
 def _string_hashes(flat: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -333,21 +354,28 @@ def remove_repeated_strings(docs: DataFrame, width: int = WIDTH, gram: int = GRA
     Null texts are empty; texts shorter than ``width`` keep everything. Rows with the same doc_id don't count
     as earlier than each other; a null doc_id counts as the largest. Other columns are ignored.
     """
-    buckets = ex.bucket_count(docs, shard_bytes)
-    dealt = ex.dealt(ex.named(docs), buckets)
+    parts = ex.bucket_count(docs, shard_bytes)
+    buckets = max(1, -(-parts * shard_bytes // MERGE_BYTES))
+    dealt = ex.dealt(ex.named(docs), parts)
     found = repeated_strings(dealt, width, gram, buckets, common)
 
     def remove(texts: pa.Table, hits: pa.Table) -> pa.Table:
-        at = ex.answered(hits.to_pylist(), texts["k"].to_numpy(), texts["uid"].to_numpy())
+        texts = _in_order(texts)
+        at: dict[int, list] = {}
+        for x in hits.to_pylist():
+            rows, counts, places = _rows_of(x)
+            for row, some in zip(rows.tolist(), np.split(places, np.cumsum(counts)[:-1]), strict=True):
+                at.setdefault(row, []).append(some)
         flat, offs = bh.text_bytes(texts["text"])
         out = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept")}
         for i in range(len(offs) - 1):
             data = flat[offs[i] : offs[i + 1]]
             gone = np.zeros(len(data), bool)
             if i in at:
+                places = np.concatenate(at[i])
                 step = np.zeros(len(data) + 1, np.int64)
-                np.add.at(step, at[i], 1)
-                np.add.at(step, at[i] + width, -1)
+                np.add.at(step, places, 1)
+                np.add.at(step, places + width, -1)
                 gone = np.cumsum(step[:-1]) > 0
             kept = data[~gone].tobytes()
             lo, hi = runs(gone)
