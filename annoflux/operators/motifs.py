@@ -27,6 +27,7 @@ def builtin_patterns(spark: SparkSession) -> DataFrame:
 def prosite_to_regex(pattern: Column) -> Column:
     """PROSITE syntax as a regular expression."""
     steps = (
+        (r"([\]}])\([0-9,]*\)", "$1"),  # counts after a class don't count
         (r"[^A-Zx\[\]{}()<>,0-9]", ""),  # hyphens, the final dot and anything unknown
         (r"\{([A-Z]+)\}", "[^$1]"),
         (r"\((\d+(?:,\d+)?)\)", "{$1}"),

@@ -1 +1,143 @@
-"""Queries over evaluation and catalogues."""
+"""Queries over evaluation of gene calls, catalogues, exports and the stream."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from annoflux.operators import evaluation as bm
+from annoflux.operators import orfs
+from annoflux.plans.queries_interpret import _interpreted, results_view
+from annoflux.plans.queries_evidence import evidence_view
+from annoflux.plans.queries_sequence import ORFS
+from annoflux.plans.registry import query
+from annoflux.plans.views import view
+from annoflux.sources import sinks
+from annoflux.streaming.interpretation import stream_interpret
+
+
+def _truth_and_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    spans = view(spark, sf_dir, "spans")
+    return spans.where("flag = 'A'").drop("flag"), spans.where("flag = 'R'").drop("flag")
+
+
+@query("b2_match_genes")
+def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm.match_genes(*_truth_and_calls(spark, sf_dir))
+
+
+@query("b3_evaluation")
+def b3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm.evaluation(*_truth_and_calls(spark, sf_dir))
+
+
+@query("b4_compare_tools")
+def b4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth, calls = _truth_and_calls(spark, sf_dir)
+    return bm.compare_tools(bm.evaluation(truth, calls), bm.evaluation(truth, calls.where("strand = 1")))
+
+
+@query(
+    "b5_count_by_mode",
+    "SELECT genome_id, flag AS mode, count(*) AS n, count(*) / (200000 / 1000.0::double) AS per_kb FROM spans GROUP BY ALL",
+    ("spans",),
+)
+def b5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = view(spark, sf_dir, "spans").withColumnRenamed("flag", "mode")
+    return bm.count_by_mode(spans, spans.select("genome_id").distinct().withColumn("length", F.lit(200_000)))
+
+
+_JSON = "jobs_with AS (SELECT *, CASE WHEN total_genes % 2 = 0 THEN 'x' || (total_genes % 500) ELSE 'y' || (total_genes % 300) END AS gene, total_genes % 3 > 0 AS dark FROM jobs) "
+
+
+@query(
+    "k1_dark_gene_catalogue",
+    _JSON + "SELECT gene AS gene_id, job_id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY created_at DESC, job_id) AS r FROM jobs_with WHERE status = 'COMPLETED' AND dark) WHERE r = 1",
+    ("jobs",),
+)
+def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("total_genes")
+    gene = F.when(n % 2 == 0, F.concat(F.lit("x"), n % 500)).otherwise(F.concat(F.lit("y"), n % 300))
+    jobs = view(spark, sf_dir, "jobs").withColumn("genes_json", F.to_json(F.array(F.struct(gene.alias("gene_id"), (n % 3 > 0).alias("is_dark")))))
+    return bm.dark_gene_catalogue(jobs)
+
+
+@query("k2_job_list", "SELECT * FROM jobs ORDER BY created_at DESC, job_id", ("jobs",))
+def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm.job_list(view(spark, sf_dir, "jobs"))
+
+
+@query("k3_stale_jobs", "SELECT job_id, CASE WHEN status IN ('PENDING', 'RUNNING') AND created_at::timestamp < timestamp '1996-01-01' - interval 10 minute THEN 'CANCELLED' ELSE status END AS status FROM jobs", ("jobs",))
+def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm.stale_jobs(view(spark, sf_dir, "jobs"), F.lit("1996-01-01").cast("timestamp")).select("job_id", "status")
+
+
+@query(
+    "k4_lookup_freshness",
+    """e AS (SELECT user_id AS namespace, sha256(upper(trim(status))) AS key_hash, created_at AS stored_at, total_genes AS value FROM jobs),
+    l AS (SELECT *, row_number() OVER (PARTITION BY namespace, key_hash ORDER BY stored_at DESC, value DESC) AS n FROM e) SELECT namespace, key_hash, value FROM l WHERE n = 1 AND stored_at::timestamp >= timestamp '1996-01-01' - interval 30 day""",
+    ("jobs",),
+)
+def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = view(spark, sf_dir, "jobs").select(F.col("user_id").alias("namespace"), F.col("status").alias("key"), F.col("created_at").cast("timestamp").alias("stored_at"), F.col("total_genes").alias("value"))
+    return bm.lookup_freshness(entries, F.lit("1996-01-01").cast("timestamp")).select("namespace", "key_hash", "value")
+
+
+@query("k5_genes_in_order", 'SELECT genome_id, start, "end", strand FROM spans ORDER BY genome_id, start, "end"', ("spans",))
+def k5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm.genes_in_order(view(spark, sf_dir, "spans").drop("flag"))
+
+
+@query("s14_export_genome_json")
+def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genomes = view(spark, sf_dir, "genomes")
+    genes = orfs.orfs_to_genes(orfs.six_frame_orfs(genomes, min_length=300))
+    evidence = genes.select("gene_id", F.lit(1).alias("ev_seq"), F.lit("orf_prediction").alias("evidence_type"), F.col("product").alias("description"), F.lit(0.5).alias("confidence"))
+    return sinks.genome_json(genomes, genes, evidence)
+
+
+@query("s15_export_interpretation_json")
+def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from annoflux.operators.interpretation import interpretation_summary
+
+    results = results_view(spark, sf_dir)
+    return sinks.interpretation_json(results, interpretation_summary(results))
+
+
+@query("s16_export_evidence_json", "SELECT gene_id, count(*) AS n FROM evidence GROUP BY 1", ("evidence",))
+def s16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exported texts, read again and counted."""
+    texts = sinks.evidence_json(evidence_view(spark, sf_dir))
+    return texts.select(F.get_json_object("json", "$.gene_id").alias("gene_id")).groupBy("gene_id").agg(F.count("*").alias("n"))
+
+
+@query("s17_gene_records")
+def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evidence_view(spark, sf_dir)
+    number = F.expr("cast(substring(gene_id, 2) AS bigint)")
+    genes = rows.select("gene_id").distinct().withColumns({"start": number, "end": number + 300, "strand": F.lit(1)})
+    return sinks.gene_records(genes, _interpreted(spark, sf_dir), rows)
+
+
+@query("s18_report_rows")
+def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.report_rows(results_view(spark, sf_dir))
+
+
+@query("t1_stream_interpret", ORFS + "SELECT genome_id, count(*) AS n_orfs FROM orfs GROUP BY 1", ("genomes",))
+def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table as a stream of uploads; each genome's calls, written by batch and read again."""
+    place = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}"
+
+    def interpret(batch: DataFrame) -> DataFrame:
+        blocks = F.sequence(F.lit(0), (F.col("n_chars") % 40).cast("int") + 8)
+        letters = F.transform(blocks, lambda i: F.translate(F.sha2(F.concat(F.col("doc_id"), F.lit(":"), i), 256), "0123456789abcdef", "ACGTACGTACGTACGT"))
+        genomes = batch.select(F.concat(F.lit("d"), "doc_id").alias("genome_id"), F.array_join(letters, "").alias("sequence"))
+        return orfs.six_frame_orfs(genomes).groupBy("genome_id").agg(F.count("*").alias("n_orfs"))
+
+    run = stream_interpret(spark, f"{sf_dir}/documents.parque[t]", f"{place}/out", f"{place}/state", interpret, "doc_id long, n_chars long", key="doc_id")
+    run.awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("genome_id", "n_orfs")
