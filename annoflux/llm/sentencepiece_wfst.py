@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose paths a task keeps; beyond that it forgets the older half.
-KEPT = 600_000
+KEPT = 700_000
 
 # Wire format of the model file (fixed values): field numbers of ModelProto and of its messages.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
@@ -63,6 +63,13 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def _keep(paths: dict[str, tuple[int, ...]], word: str, ids: tuple[int, ...]) -> None:
+    if len(paths) >= KEPT:
+        for old in list(paths)[: KEPT // 2]:
+            del paths[old]
+    paths[word] = ids
+
+
 class Transducer:
     """Normaliser, pieces and byte fallback of one model."""
 
@@ -84,16 +91,31 @@ class Transducer:
         self.merges = trainer.get(_MODEL_TYPE, _UNIGRAM) == _BPE
         if normalizer.get(_CHARSMAP) or normalizer.get(_REMOVE_EXTRA, 1) or not normalizer.get(_ESCAPE, 1):
             raise ValueError("only the identity normaliser with escaped white space is compiled")
-        self.prefix = MARK if normalizer.get(_DUMMY_PREFIX, 1) else ""
+        if not normalizer.get(_DUMMY_PREFIX, 1):
+            raise ValueError("only models that put a mark in front of a text are compiled")
+        self.prefix = MARK
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.types[i] in (_NORMAL, _USER)}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i, t in enumerate(self.types) if t == _BYTE}
         self.unknown = self.types.index(_UNKNOWN)
         self.longest = max(map(len, self.ids))
+        self.reach: dict[str, int] = {}  # longest piece by first two characters
+        for piece in self.ids:
+            self.reach[piece[:2]] = max(self.reach.get(piece[:2], 1), len(piece))
+        # by id the text it stands for; bytes of longer characters as lone surrogates until they meet
+        self.texts = [p.replace(MARK, " ") for p in self.pieces]
+        for i, kind in enumerate(self.types):
+            if kind == _BYTE:
+                byte = int(self.pieces[i][3:5], 16)
+                self.texts[i] = chr(byte) if byte < 128 else chr(0xDC00 + byte)
+            elif kind == _CONTROL:
+                self.texts[i] = ""
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids):
             raise ValueError("a piece runs over a word's end")
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.apart: dict[tuple[str, str], bool] = {}
         self.paths: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
 
     # -- the transducers ---------------------------------------------------------------------
 
@@ -135,24 +157,33 @@ class Transducer:
         return 0.0 if apart else math.inf
 
     def _only_path(self, word: str) -> list[str]:
-        """The shortest path under merges: a position has one last piece that a path of finite weight can end in."""
-        ids, apart, longest = self.ids, self.apart, self.longest
-        last = [""]
-        for end in range(1, len(word) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                piece = word[start:end]
-                if piece in ids or start == end - 1:
-                    good = apart.get((last[start], piece))
+        """The shortest path under merges: the one path whose transitions all weigh 0, longest pieces tried first."""
+        ids, apart, reach = self.ids, self.apart, self.reach
+        n, at, before = len(word), 0, ""
+        out: list[str] = []
+        tried: list[int] = []  # size from which the state before each piece of ``out`` goes on trying
+        dead: set[tuple[int, str]] = set()  # states from which the end can't be reached
+        size = min(n, reach.get(word[:2], 1))
+        while at < n:
+            while size:
+                piece = word[at : at + size]
+                if piece in ids or size == 1:
+                    good = apart.get((before, piece))
                     if good is None:
-                        good = self.weight(last[start], piece) == 0.0
-                    if good:
-                        last.append(piece)
+                        good = self.weight(before, piece) == 0.0
+                    if good and not (dead and (at + size, piece) in dead):
                         break
-        out, end = [], len(word)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+                size -= 1
+            if size:
+                out.append(piece)
+                tried.append(size - 1)
+                at, before = at + size, piece
+                size = min(n - at, reach.get(word[at : at + 2], 1))
+            else:
+                dead.add((at, before))
+                at, size = at - len(out.pop()), tried.pop()
+                before = out[-1] if out else ""
+        return out
 
     def shortest_path(self, word: str) -> list[str]:
         """Pieces (or single characters without one) on the lattice's path of least weight."""
@@ -185,47 +216,52 @@ class Transducer:
     # -- use ---------------------------------------------------------------------------------
 
     def path(self, word: str) -> tuple[int, ...]:
-        found: list[int] = []
-        for piece in self.shortest_path(word):
-            own = self.ids.get(piece)
-            found.extend(self.fallback(piece) if own is None else (own,))
+        """Ids of a word: the lattice falls apart where no piece joins two characters, and each part is looked up."""
+        joins, chunks, found, begin = self.joins, self.chunks, [], 0
+        for end in range(1, len(word) + 1):
+            if end == len(word) or word[end - 1 : end + 1] not in joins:
+                part = word[begin:end]
+                begin = end
+                ids = chunks.get(part)
+                if ids is None:
+                    spelled: list[int] = []
+                    for piece in self.shortest_path(part):
+                        own = self.ids.get(piece)
+                        spelled.extend(self.fallback(piece) if own is None else (own,))
+                    ids = tuple(spelled)
+                    if len(part) <= 64:
+                        _keep(chunks, part, ids)
+                found.extend(ids)
         return tuple(found)
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
+        if not text:
+            return out
         paths = self.paths
-        for word in self.words.findall(self.normalise(text)):
+        if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
+            words = text.split(" ")  # each word of the normalised text is a mark and one of these
+        else:
+            words = [w[1:] for w in self.words.findall(self.normalise(text))]
+        for word in words:
             ids = paths.get(word)
             if ids is None:
-                ids = self.path(word)
+                ids = self.path(MARK + word)
                 if len(word) <= 64:
-                    if len(paths) >= KEPT:
-                        for old in list(paths)[: KEPT // 2]:
-                            del paths[old]
-                    paths[word] = ids
+                    _keep(paths, word, ids)
             out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and runs of bytes; marks become spaces and the one in front goes."""
-        parts: list[str] = []
-        held = bytearray()
-        types, pieces = self.types, self.pieces
-        for i in ids:
-            if types[i] == _BYTE:
-                held.append(int(pieces[i][3:5], 16))
-                continue
-            if held:
-                parts.append(held.decode("utf-8", "replace"))
-                held.clear()
-            if types[i] != _CONTROL:
-                parts.append(pieces[i])
-        if held:
-            parts.append(held.decode("utf-8", "replace"))
-        text = "".join(parts)
-        if self.prefix and text.startswith(MARK):
+        text = "".join(map(self.texts.__getitem__, ids))
+        if text[:1] == " ":
             text = text[1:]
-        return text.replace(MARK, " ")
+        try:
+            text.encode()
+        except UnicodeEncodeError:
+            text = text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        return text
 
 
 _loaded: dict[bytes, Transducer] = {}
