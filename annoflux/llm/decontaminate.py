@@ -3,9 +3,10 @@
 A text becomes a template: numbers, names (capitals inside a sentence) and units after
 numbers turn into typed placeholders, all else is lowered. Runs of ``window`` template
 words are hashed and equi-joined with the windows of the benchmark. A document in which
-enough windows of an item occur is held against the item's slots: each value of the item
-must stand for one value of the document throughout. Equal values make an exact copy,
-consistently changed ones a re-parameterised question, others no leak.
+enough windows of an item occur is held against the item's slots: where the item is laid over
+the document, each of its values must stand for one value of the document throughout. Equal
+values make an exact copy, consistently changed ones a re-parameterised question; if the
+values contradict each other wherever the item lies, there is no leak.
 
 Documents' windows are generated and joined in one pass; only matches are shuffled. The
 benchmark's windows are broadcast when their counted number is at most ``BROADCAST_ROWS``,
@@ -25,8 +26,6 @@ WINDOW = 8
 COVERAGE = 0.5
 #: Words other than placeholders that a window needs to tell anything.
 SPOKEN = 4
-#: Slots that may contradict the others, as a share.
-CONTRADICTION = 0.2
 BROADCAST_ROWS = 500_000
 
 # Units that make a slot after a number.
@@ -109,29 +108,34 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     slotted = items.where(F.size("slots") > 0).select("item_id", "item_at", F.explode("slots").alias("slot"))
     asked = (
         pairs.select("k", "uid", "item_id", F.explode("places").alias("p"))
-        .select("k", "uid", "item_id", "p.item_at", "p.at")
+        .select("k", "uid", "item_id", "p.item_at", (F.col("p.at") - F.col("p.item_at")).alias("shift"))
         .join(slotted, ["item_id", "item_at"])
-        .select("k", "uid", "item_id", F.col("slot.place").alias("place"), "slot.kind", "slot.value", (F.col("at") + F.col("slot.place") - F.col("item_at")).alias("at"))
+        .select("k", "uid", "item_id", "shift", "slot.kind", "slot.value", (F.col("shift") + F.col("slot.place")).alias("at"))
         .distinct()
     )
     wanted = asked.groupBy("k", "uid").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     shown = _worded(named.select("k", "uid", "text").join(wanted, ["k", "uid"])).select("k", "uid", "ats", "words")
     shown = shown.select("k", "uid", F.explode("ats").alias("at"), "words").select("k", "uid", "at", F.lower(F.get("words", F.col("at"))).alias("said")).distinct()
-    votes = asked.join(shown, ["k", "uid", "at"]).groupBy("k", "uid", "item_id", "kind", "value", "said").agg(F.count("*").alias("n"))
-    by_value = votes.groupBy("k", "uid", "item_id", "kind", "value").agg(
-        F.sum("n").alias("n"), F.max("n").alias("agreed"), F.sum(F.when(F.col("said") != F.col("value"), F.col("n")).otherwise(0)).alias("changed")
+    by_value = (
+        asked.join(shown, ["k", "uid", "at"])
+        .groupBy("k", "uid", "item_id", "shift", "kind", "value")
+        .agg(F.count("*").alias("n"), F.count_distinct("said").alias("meanings"), F.count_if(F.col("said") != F.col("value")).alias("changed"))
     )
-    judged = by_value.groupBy("k", "uid", "item_id").agg(F.sum("n").alias("n_slots"), F.sum("agreed").alias("agreed"), F.sum("changed").alias("n_changed"))
-    out = pairs.drop("places").join(judged, ["k", "uid", "item_id"], "left").na.fill(0, ["n_slots", "agreed", "n_changed"])
-    return out.where(F.col("n_slots") - F.col("agreed") <= CONTRADICTION * F.col("n_slots")).select(
+    laid = by_value.groupBy("k", "uid", "item_id", "shift").agg(F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"), F.max("meanings").alias("meanings"))
+    # of the places where the item lies, the consistent one with most slots and fewest changes
+    best = F.max(F.when(F.col("meanings") == 1, F.struct("n_slots", (-F.col("n_changed")).alias("kept"), "n_changed"))).alias("best")
+    judged = laid.groupBy("k", "uid", "item_id").agg(best).withColumn("slotted", F.lit(True))
+    out = pairs.drop("places").join(judged, ["k", "uid", "item_id"], "left").where("slotted IS NULL OR best IS NOT NULL")
+    n_changed = F.coalesce("best.n_changed", F.lit(0))
+    return out.select(
         "doc_id",
         "item_id",
         "n_matched",
         "n_windows",
         (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
-        "n_slots",
-        "n_changed",
-        F.when(F.col("n_changed") > 0, "reparameterised").otherwise("exact").alias("verdict"),
+        F.coalesce("best.n_slots", F.lit(0)).alias("n_slots"),
+        n_changed.alias("n_changed"),
+        F.when(n_changed > 0, "reparameterised").otherwise("exact").alias("verdict"),
         "k",
         "uid",
     )
@@ -141,5 +145,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, **options: float) -> Da
     """The rows of ``docs`` that leak no item, with all their columns."""
     found = leaks(docs, benchmark, **options).select(F.col("k").alias("_k"), F.col("uid").alias("_uid")).distinct()
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(ex.LAST))
-    uid = F.xxhash64(k, F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    uid = ex.uid_of(k, F.coalesce(F.col("text"), F.lit("")))
     return docs.withColumns({"_k": k, "_uid": uid}).join(found, ["_k", "_uid"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

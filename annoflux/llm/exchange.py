@@ -28,6 +28,11 @@ PACKED = "bucket int, width int, keys binary, ks binary, uids binary, counts bin
 ANSWER = "part int, ks binary, uids binary, counts binary, gaps binary, far binary"
 
 
+def uid_of(k: Column, text: Column) -> Column:
+    """31 bits of a hash of k and text."""
+    return F.xxhash64(k, text).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+
+
 def named(docs: DataFrame) -> DataFrame:
     """doc_id and text with ``k`` and ``uid``; null texts are empty."""
     text: Column = F.coalesce(F.col("text"), F.lit(""))
@@ -35,7 +40,7 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         k.alias("k"),
-        F.xxhash64(k, text).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("uid"),
+        uid_of(k, text).alias("uid"),
         text.alias("text"),
     )
 

@@ -346,7 +346,7 @@ def one_of_each(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHIN
     alone = every.where("n = 0").select("k", "uid").distinct()
     kept = first.union(alone).select(F.col("k").alias("_k"), F.col("uid").alias("_uid"))
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(ex.LAST))
-    uid = F.xxhash64(k, F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    uid = ex.uid_of(k, F.coalesce(F.col("text"), F.lit("")))
     rows = docs.withColumns({"_k": k, "_uid": uid}).join(kept, ["_k", "_uid"], "left_semi")
     if every.where("n > 0").groupBy("k", "uid").count().where("count > 1").limit(1).count():
         repeated = F.when(F.trim("text") != "", F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)

@@ -147,7 +147,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     """
     rows = docs.withColumns(
         {"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(ex.LAST)), "_text": F.coalesce("text", F.lit(""))}
-    ).withColumn("_uid", F.xxhash64("_k", "_text"))
+    ).withColumn("_uid", ex.uid_of(F.col("_k"), F.col("_text")))
     found = base_spans(F.col("_text"))
     rows = rows.withColumn("_base", F.concat(*[_generalised(kind, found[kind]) for kind in KINDS]))
     terms = disclosing_terms(docs, disclosure, support).select(F.col("k").alias("_k"), F.col("uid").alias("_uid"), F.col("terms").alias("_terms"))
