@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annoflux.functions import sequence as sq
@@ -60,13 +60,19 @@ def fill_orfs(orf_genes: DataFrame, genes: DataFrame) -> DataFrame:
     return iv.without_overlap(orf_genes, genes)
 
 
+def _piece(low: Column, high: Column) -> Column:
+    """Letters low..high of the scanned strand: cut from the forward strand first, then turned."""
+    forward = F.col("strand") == 1
+    start = F.when(forward, low).otherwise(F.length("_genome") - high)
+    part = F.upper(F.substring("_genome", (start + 1).cast("int"), (high - low).cast("int")))
+    return F.when(forward, part).otherwise(sq.reverse_complement(part, keep_others=True))
+
+
 def _with_context(found: DataFrame, genomes: DataFrame) -> DataFrame:
-    """Adds the scanned strand and the coding sequence of candidates."""
-    strand = F.when(F.col("strand") == 1, F.upper("_genome")).otherwise(sq.reverse_complement(F.upper("_genome"), keep_others=True))
+    """Adds up to 15 bases before the start and the coding sequence of candidates."""
     joined = found.join(genomes.select("genome_id", F.col("sequence").alias("_genome")), "genome_id")
     low = F.greatest(F.col("pos") - 15, F.lit(0))
-    near = joined.withColumn("_strand", strand).withColumn("upstream", F.substring("_strand", (low + 1).cast("int"), (F.col("pos") - low).cast("int")))
-    return near.withColumn("sequence", F.substring("_strand", (F.col("pos") + 1).cast("int"), (F.col("stop") - F.col("pos")).cast("int"))).drop("_strand", "_genome")
+    return joined.withColumns({"upstream": _piece(low, F.col("pos")), "sequence": _piece(F.col("pos"), F.col("stop"))}).drop("_genome")
 
 
 def rescue_candidates(genomes: DataFrame, min_aa: int = 20) -> DataFrame:

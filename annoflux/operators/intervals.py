@@ -46,16 +46,14 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("ge
     return a.join(b, [*keys, "_at", "_bin"]).where(condition & once & right_level).select(*left.columns, *[c for c in renamed.columns if c not in keys])
 
 
-def _marked(left: DataFrame) -> DataFrame:
-    return left.withColumn("_id", F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]))
-
-
 def overlap_filter(left: DataFrame, right: DataFrame, keep: bool, keys: tuple[str, ...] = ("genome_id",), extra: Column | None = None, size: int = BIN) -> DataFrame:
-    """Rows of ``left`` with (``keep``) or without an overlapping row of ``right``; rows that are equal fare alike."""
-    columns = ["_id", *left.columns]
-    marked = _marked(left).select(*columns)
-    met = overlap_join(marked, right, keys, extra, size).select(*left.columns).distinct()
-    return left.join(met, [left[c].eqNullSafe(met[c]) for c in left.columns], "left_semi" if keep else "left_anti")
+    """Rows of ``left`` with (``keep``) or without an overlapping row of ``right``; rows with equal spans fare alike.
+
+    Only different spans go through the bins; ``extra`` may use the keys, start, end and r_ columns.
+    """
+    span = [*keys, "start", "end"]
+    met = overlap_join(left.select(*span).distinct(), right, keys, extra, size).select(*span).distinct()
+    return left.join(met, span, "left_semi" if keep else "left_anti")
 
 
 def without_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -77,11 +75,12 @@ def overlaps_parent(left: DataFrame, parents: DataFrame) -> DataFrame:
 def near_duplicate(left: DataFrame, parents: DataFrame, within: int = 9, keep: bool = False) -> DataFrame:
     """J4: spans without (or with) a parent on their strand both of whose ends lie less than ``within`` from theirs."""
     near = (F.abs(F.col("start") - F.col("p_start")) < within) & (F.abs(F.col("end") - F.col("p_end")) < within)
+    span = ["genome_id", "strand", "start", "end"]
     cell = F.floor(F.col("start") / within)
-    a = left.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    a = left.select(*span).distinct().withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
     b = parents.select("genome_id", "strand", F.col("start").alias("p_start"), F.col("end").alias("p_end")).withColumn("_cell", F.floor(F.col("p_start") / within))
-    met = a.join(b, ["genome_id", "strand", "_cell"]).where(near).select(*left.columns).distinct()
-    return left.join(met, [left[c].eqNullSafe(met[c]) for c in left.columns], "left_semi" if keep else "left_anti")
+    met = a.join(b, ["genome_id", "strand", "_cell"]).where(near).select(*span).distinct()
+    return left.join(met, span, "left_semi" if keep else "left_anti")
 
 
 def genes_in_region(genes: DataFrame, start: int, end: int) -> DataFrame:
