@@ -10,12 +10,10 @@ from annoflux.operators import orfs
 from annoflux.plans.registry import query
 from annoflux.plans.views import view
 
-_SEQ = F.col("sequence")
-
 
 @query("f1_valid_genome", "SELECT genome_id, regexp_full_match(sequence, '[ATGCNRYSWKMBDHV]*') AS valid FROM genomes", ("genomes",))
 def f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "genomes").select("genome_id", _SEQ.rlike(sq.VALID_GENOME).alias("valid"))
+    return view(spark, sf_dir, "genomes").select("genome_id", F.col("sequence").rlike(sq.VALID_GENOME).alias("valid"))
 
 
 @query("f2_normalise_gene_seq", "SELECT gene_id, translate(upper(protein_seq), 'RYWSKMBDHV', 'NNNNNNNNNN') AS seq FROM proteins", ("proteins",))
@@ -70,12 +68,12 @@ def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q1_reverse_complement", "SELECT genome_id, reverse(translate(regexp_replace(sequence, '[^ATGCN]', 'N', 'g'), 'ATGC', 'TACG')) AS revcomp FROM genomes", ("genomes",))
 def q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "genomes").select("genome_id", sq.reverse_complement(_SEQ).alias("revcomp"))
+    return view(spark, sf_dir, "genomes").select("genome_id", sq.reverse_complement(F.col("sequence")).alias("revcomp"))
 
 
 @query("q2_gc_content", "SELECT genome_id, 100.0::double * (length(sequence) - length(translate(sequence, 'GC', ''))) / length(sequence) AS gc FROM genomes", ("genomes",))
 def q2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "genomes").select("genome_id", sq.gc_percent(_SEQ, None).alias("gc"))
+    return view(spark, sf_dir, "genomes").select("genome_id", sq.gc_percent(F.col("sequence"), None).alias("gc"))
 
 
 _CODON = "substr(sequence, 3 * i + {}, 1)"
@@ -84,7 +82,7 @@ _AMINO = f"substr('{sq.AMINO_ACIDS}', 16 * (instr('TCAG', {_CODON.format(1)}) -
 
 @query("q3_translate_dna", f"SELECT genome_id, array_to_string(list_transform(range(0, length(sequence) // 3), lambda i: {_AMINO}), '') AS protein FROM genomes", ("genomes",))
 def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "genomes").select("genome_id", sq.translate_dna(_SEQ).alias("protein"))
+    return view(spark, sf_dir, "genomes").select("genome_id", sq.translate_dna(F.col("sequence")).alias("protein"))
 
 
 @query("q4_protein_length", "SELECT gene_id, length(rtrim(protein_seq, '*')) AS n FROM proteins", ("proteins",))
