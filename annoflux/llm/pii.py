@@ -2,7 +2,7 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Beyond them,
 corpus co-occurrence estimates how strongly a word near a protected entity reveals
-it: with n texts, pointwise mutual information log2(n * n_et / (n_e * n_t)) against
+it: with n different texts, pointwise mutual information log2(n * n_et / (n_e * n_t)) against
 the entity's own information log2(n / n_e). A word that carries at least
 ``disclosure`` of that information, seen with the entity in at least ``support``
 different texts, is a span of its own (kind ``term``). ``sanitise`` generalises base
@@ -88,8 +88,9 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     near = cut(_near_words(mentions))
     pairs = near.select("entity", "word", "said").distinct().groupBy("entity", "word").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     of_entity = near.select("entity", "said").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    of_word = named.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]++"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_t"))
-    n = docs.agg(F.count("*").alias("n"))
+    texts = named.select("text").distinct()  # copies are counted once, like the pairs
+    of_word = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]++"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_t"))
+    n = texts.agg(F.count("*").alias("n"))
     flagged = (
         pairs.join(of_entity, "entity")
         .join(of_word, "word")

@@ -163,6 +163,19 @@ def test_disclosing_terms(spark):
     assert text[0] == texts[0][1]
 
 
+def test_copies_change_no_term(spark):
+    """All counts of the disclosure test are of different texts: copies of a disclosing text hide nothing."""
+    texts = [(n, f"the letter {n}{chr(97 + n % 20)}aa of the office went out today") for n in range(60)]
+    texts += [(100 + n, f"the person zebulon writes from boss@corp.com today number {n}") for n in range(2)]
+    spans = lambda rows: {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    alone = spans(texts)
+    at = texts[60][1].index("zebulon")
+    assert f"term:{at}:{at + 7}" in alone[100]
+    copied = spans(texts + [(200 + n, texts[60][1]) for n in range(6)])
+    assert all(copied[n] == alone[n] for n in alone)
+    assert all(copied[200 + n] == alone[100] for n in range(6))
+
+
 SECRETS = {
     "assign": re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+"),
