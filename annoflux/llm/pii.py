@@ -1,15 +1,15 @@
 """Personal data and information-theoretic sanitisation, by built-in functions only.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. Beyond them,
-corpus co-occurrence estimates how strongly a word near a protected entity reveals
+corpus co-occurrence estimates how strongly a word in a text with a protected entity reveals
 it: with n different texts, pointwise mutual information log2(n * n_et / (n_e * n_t)) against
 the entity's own information log2(n / n_e). A word that carries at least
 ``disclosure`` of that information, seen with the entity in at least ``support``
 different texts, is a span of its own (kind ``term``). ``sanitise`` generalises base
 spans to their kind and removes terms.
 
-Only words near entities are paired with them, so pairs grow with the entities; the
-frequencies of words are summed in the tasks before they are shuffled.
+Entities are paired with the different words of their whole texts, so pairs grow with the
+mentions, and every place of a flagged word in these texts is a span; the frequencies of words are summed in the tasks before they are shuffled.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ CARD = r"[0-9]++(?:[ -][0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 WORD = r"\p{L}{3,}+"
-#: Code points to each side of an entity in which words are paired with it.
-NEAR = 60
 #: Share of an entity's information from which a word discloses it, and texts that must show both.
 DISCLOSURE = 0.9
 SUPPORT = 2
@@ -64,32 +62,31 @@ def _with_base(named: DataFrame) -> DataFrame:
     return named.withColumns({kind: found[kind] for kind in KINDS})
 
 
-def _near_words(mentions: DataFrame) -> DataFrame:
-    """(k, uid, said, entity, word, start, end): words near each mention; ``said`` is a hash of the text."""
-    lo = F.greatest(F.col("start") - NEAR, F.lit(0))
-    before = F.substring(F.col("text"), lo + 1, F.col("start") - lo)
-    after = F.substring(F.col("text"), F.col("end") + 1, F.lit(NEAR))
-    placed = lambda part, at: F.transform(
-        sp.find(part, WORD), lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), F.lower(s["value"]).alias("word"))
-    )
-    words = F.concat(placed(before, lo), placed(after, F.col("end")))
-    return mentions.select("k", "uid", "said", "entity", F.explode(words).alias("w")).select("k", "uid", "said", "entity", "w.word", "w.start", "w.end")
+def _words(text: Column) -> Column:
+    """The different words of a text, lowered."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+
+
+def _standing(text: Column, words: Column) -> Column:
+    """Every place of ``words`` (lowered) in a text: its spellings of them, between other characters than letters."""
+    spelt = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), lambda w: F.array_contains(words, F.lower(w)))
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(spelt, "|"), F.lit(r")(?!\p{L})"))
+    return F.transform(sp.find(text, pattern), lambda s: F.struct(s["start"], s["end"]))
 
 
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(k, uid, terms array<struct<start,end>>): words that disclose an entity near which they stand."""
+    """(k, uid, terms array<struct<start,end>>): words that disclose an entity of their text, wherever they stand in it."""
     named = ex.named(docs)
-    spans = F.concat(*[F.transform(kind, lambda s: F.struct(s["start"], s["end"], F.lower(s["value"]).alias("value"))) for kind in KINDS])
-    mentions = (
-        _with_base(named)
-        .select("k", "uid", "text", F.explode(spans).alias("m"))
-        .select("k", "uid", "text", F.xxhash64("text").alias("said"), F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.xxhash64("m.value").alias("entity"))
-    )
-    near = cut(_near_words(mentions))
-    pairs = near.select("entity", "word", "said").distinct().groupBy("entity", "word").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    of_entity = near.select("entity", "said").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    values = F.concat(*[F.transform(kind, lambda s: F.xxhash64(F.lower(s["value"]))) for kind in KINDS])
+    rows = _with_base(named).select("k", "uid", "text", F.xxhash64("text").alias("said"), F.array_distinct(values).alias("entities"))
+    holding = cut(rows.where(F.size("entities") > 0))  # texts with an entity only
+    # a row for each entity and word of each different text
+    different = holding.select("said", "entities", "text").distinct()
+    seen = different.select("said", _words(F.col("text")).alias("words"), F.explode("entities").alias("entity")).select("said", "entity", F.explode("words").alias("word"))
+    pairs = seen.groupBy("entity", "word").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    of_entity = different.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     texts = named.select("text").distinct()  # copies are counted once, like the pairs
-    of_word = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]++"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_t"))
+    of_word = texts.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_t"))
     n = texts.agg(F.count("*").alias("n"))
     flagged = (
         pairs.join(of_entity, "entity")
@@ -98,7 +95,8 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
         .where(F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) >= disclosure * F.log2(F.col("n") / F.col("n_e")))
         .select("entity", "word")
     )
-    return near.join(flagged, ["entity", "word"], "left_semi").groupBy("k", "uid").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    told = seen.join(flagged, ["entity", "word"], "left_semi").groupBy("said").agg(F.collect_set("word").alias("words"))  # a text's words at most
+    return holding.join(told, "said").select("k", "uid", _standing(F.col("text"), F.col("words")).alias("terms")).dropDuplicates(["k", "uid"])
 
 
 def _clear_of_base(terms: Column, base: Column) -> Column:

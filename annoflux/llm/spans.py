@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def find(text: Column, pattern: str, might: Column | None = None) -> Column:
+def find(text: Column, pattern: str | Column, might: Column | None = None) -> Column:
     """All leftmost non-overlapping matches of a pattern that never matches the empty string.
 
     ``might``: a cheap test that is true of every text with a match.
     """
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))  # lit leaves columns as they are
     between = F.split(text, pattern, -1)
     # (length of the gap before it, value) of each match, folded into places
     pairs = F.arrays_zip(
@@ -43,7 +43,7 @@ def find(text: Column, pattern: str, might: Column | None = None) -> Column:
             ).alias("spans"),
         ),
     )["spans"]
-    test = text.rlike(pattern) if might is None else might & text.rlike(pattern)
+    test = F.rlike(text, F.lit(pattern)) if might is None else might & F.rlike(text, F.lit(pattern))
     return F.when(test, placed).otherwise(F.array().cast(SPAN))
 
 

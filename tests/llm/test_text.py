@@ -176,6 +176,21 @@ def test_copies_change_no_term(spark):
     assert all(copied[200 + n] == alone[100] for n in range(6))
 
 
+def test_terms_of_the_whole_text(spark):
+    """A word that stands far from the address discloses it and goes everywhere in the text; clean words stay whole."""
+    middle = "the office of the letter went out today and " * 4
+    texts = [(n, f"the letter {n}{chr(97 + n % 20)}aa of the office went out today and on number") for n in range(60)]
+    texts += [(100 + n, f"Zebulon, {middle} boss@corp.com {middle} number {n} zebulon, zebulonic{n} ") for n in range(2)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for r in pii.find_personal_data(df).where("doc_id >= 100").collect():
+        text = dict(texts)[r.doc_id]
+        terms = [tuple(map(int, t.split(":")[1:])) for t in r.spans.split(",") if t.startswith("term")]
+        assert [text[a:b] for a, b in terms] == ["Zebulon", "zebulon", "zebulonic"]
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[101] == f", {middle} [EMAIL] {middle} number 1 , 1 "
+    assert all(clean[n] == t for n, t in texts[:60])
+
+
 SECRETS = {
     "assign": re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+"),
