@@ -3,11 +3,16 @@
 A text becomes a template: numbers, names (capitals inside a sentence) and units after
 numbers turn into typed placeholders, all else is lowered. Runs of ``window`` template
 words are hashed and equi-joined with the windows of the benchmark. A document in which
-enough windows of an item occur is held against the item's slots: where the item is laid over
+enough windows of an item occur (they cover a share of its words, or a run of ``RUN`` words)
+is held against the item's slots: where the item is laid over
 the document, each of its values must stand for one value of the document throughout. Equal
 values make an exact copy, consistently changed ones a re-parameterised question; if the
 values contradict each other wherever the item lies, there is no leak.
 
+Items without telling windows (short ones, or mostly numbers and names) are looked for as a
+whole: their words' sequence, in any case, is hashed and joined likewise. The first word of an
+item also stands for itself where the document writes it as a name.
+
 Documents' windows are generated and joined in one pass; only matches are shuffled. The
 benchmark's windows are broadcast when their counted number is at most ``BROADCAST_ROWS``,
 and joined by a shuffle beyond.
@@ -15,15 +20,17 @@ and joined by a shuffle beyond.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoflux.llm import exchange as ex
 from annoflux.llm.storage import cut
 
 WINDOW = 8
-#: Share of an item's windows that a leak shows.
+#: Share of an item's words (of those in telling windows) that the matched windows of a leak cover.
 COVERAGE = 0.5
+#: Words in a row that are a leak whatever their share of the item.
+RUN = 13
 #: Words other than placeholders that a window needs to tell anything.
 SPOKEN = 4
 BROADCAST_ROWS = 500_000
@@ -56,56 +63,126 @@ def _worded(df: DataFrame) -> DataFrame:
 
 def _chained(df: DataFrame, window: int) -> DataFrame:
     """Adds ``windows``: the hash of every run of ``window`` words, built from those of runs half as long."""
-    df = df.withColumn("_1", F.transform("template", lambda x: F.xxhash64(x)))
+    return df.withColumn("_1", F.transform("template", lambda x: F.xxhash64(x))).transform(_joined, "_", window).withColumnRenamed(f"_{window}", "windows")
+
+
+def _joined(df: DataFrame, prefix: str, window: int) -> DataFrame:
+    """Adds column ``prefix`` + ``window``: hashes of runs of ``window`` places, from those of single places in ``prefix`` + 1."""
     length = 1
     while length < window:
         step = min(length, window - length)
-        level = F.col(f"_{length}")
-        n = F.greatest(F.size(level) - step, F.lit(0))
-        df = df.withColumn(f"_{length + step}", F.zip_with(F.slice(level, F.lit(1), n), F.slice(level, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b)))
+        if f"{prefix}{length + step}" not in df.columns:
+            level = F.col(f"{prefix}{length}")
+            n = F.greatest(F.size(level) - step, F.lit(0))
+            df = df.withColumn(f"{prefix}{length + step}", F.zip_with(F.slice(level, F.lit(1), n), F.slice(level, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b)))
         length += step
-    return df.withColumnRenamed(f"_{window}", "windows")
+    return df
+
+
+def _spoken(df: DataFrame) -> DataFrame:
+    """Adds ``w1``: the hash of every word in lower case."""
+    return df.withColumn("w1", F.transform("words", lambda x: F.xxhash64(F.lower(x))))
+
+
+def _covered(places: Column, window: int) -> Column:
+    """Words that windows at ascending ``places`` cover."""
+    start = F.struct(F.lit(-window).alias("at"), F.lit(0).alias("n"))
+    return F.aggregate(places, start, lambda a, x: F.struct(x.alias("at"), (a["n"] + F.least(x - a["at"], F.lit(window))).alias("n")), lambda a: a["n"])
+
+
+def _longest(laid: Column, window: int) -> Column:
+    """Words of the longest run of windows: ``laid`` are structs (shift, item_at), ascending."""
+    start = F.struct(F.lit(None).cast("int").alias("shift"), F.lit(-2).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+
+    def step(a: Column, x: Column) -> Column:
+        n = F.when((x["shift"] == a["shift"]) & (x["item_at"] == a["at"] + 1), a["n"] + 1).otherwise(F.lit(window))
+        return F.struct(x["shift"].alias("shift"), x["item_at"].alias("at"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
+
+    return F.aggregate(laid, start, step, lambda a: a["best"])
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, item_at, hash, slots, n_windows) of each item's telling windows; slots: (place, kind, value)."""
+    """(item_id, item_at, hash, first, slots, n_windows, n_words) of each item's telling windows; slots: (place, kind, value).
+
+    ``first`` is null, or the hash of the item's first word where the window has a name in its place. ``n_words``
+    are the words that the windows cover.
+    """
     items = _chained(_worded(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))), window)
+    as_name = F.concat(F.array(F.lit("#name")), F.slice("template", F.lit(2), F.greatest(F.size("template") - 1, F.lit(0))))
+    capital = F.get("words", F.lit(0)).rlike(r"^\p{Lu}") & ~F.get("template", F.lit(0)).startswith("#")
+    turned = _chained(items.where(capital).withColumn("template", as_name).drop("windows", *[c for c in items.columns if c.startswith("_")]), window)
+    turned = turned.select("item_id", F.lit(0).alias("item_at"), F.get("windows", F.lit(0)).alias("turned"))
     each = items.select("item_id", "words", "template", F.posexplode_outer("windows").alias("item_at", "hash")).where("hash IS NOT NULL")
     here = F.arrays_zip(F.slice("words", F.col("item_at") + 1, window).alias("word"), F.slice("template", F.col("item_at") + 1, window).alias("as"))
     slots = F.filter(
         F.transform(here, lambda s, j: F.struct((F.col("item_at") + j).alias("place"), s["as"].alias("kind"), F.lower(s["word"]).alias("value"))),
         lambda s: s["kind"].startswith("#"),
     )
-    telling = each.select("item_id", "item_at", "hash", slots.alias("slots")).where(F.size("slots") <= window - SPOKEN)
-    counts = telling.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    return telling.join(counts, "item_id")
+    word = F.xxhash64(F.lower(F.get("words", F.lit(0))))
+    telling = each.select("item_id", "item_at", "hash", word.alias("word"), slots.alias("slots")).where(F.size("slots") <= window - SPOKEN)
+    counts = telling.groupBy("item_id").agg(F.count("*").alias("n_windows"), _covered(F.array_sort(F.collect_list("item_at")), window).alias("n_words"))
+    both = F.array(F.struct("hash", F.lit(None).cast("long").alias("first")), F.struct(F.col("turned").alias("hash"), F.col("word").alias("first")))
+    ways = telling.join(turned, ["item_id", "item_at"], "left").select("item_id", "item_at", "slots", F.explode(both).alias("way")).where("way.hash IS NOT NULL")
+    return ways.select("item_id", "item_at", "way.hash", "way.first", "slots").join(counts, "item_id")
+
+
+def whole_items(benchmark: DataFrame, telling: DataFrame) -> DataFrame:
+    """(item_id, n, w1) of the items that have words and no telling window: number and hashes of their words."""
+    items = _spoken(_worded(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))))
+    return items.select("item_id", F.size("words").alias("n"), "w1").where("n > 0").join(telling.select("item_id").distinct(), "item_id", "left_anti")
+
+
+def _found_whole(named: DataFrame, whole: DataFrame, lengths: list[int], small: bool) -> DataFrame:
+    """Pairs of a document and an item whose words it has in a row, in any case; a row each, without places."""
+    runs, needles = _spoken(_worded(named)), whole
+    for n in lengths:
+        runs, needles = _joined(runs, "w", n), _joined(needles, "w", n)
+    different = lambda n: F.transform(F.array_distinct(f"w{n}"), lambda h: F.struct(F.lit(n).alias("n"), h.alias("hash")))
+    key = F.concat(*[different(n) for n in lengths])
+    found = runs.select("doc_id", "k", "uid", F.explode(key).alias("run")).select("doc_id", "k", "uid", "run.n", "run.hash")
+    hashes = F.coalesce(*[F.when(F.col("n") == n, F.get(f"w{n}", F.lit(0))) for n in lengths])
+    needles = needles.select("item_id", "n", hashes.alias("hash"))
+    pairs = found.join(F.broadcast(needles) if small else needles, ["n", "hash"]).select("doc_id", "k", "uid", "item_id").distinct()
+    one = F.lit(1).cast("long")
+    none = F.array().cast("array<struct<shift:int,item_at:int,at:int>>")
+    return pairs.select("*", one.alias("n_windows"), one.alias("n_matched"), none.alias("places"), F.lit(1.0).alias("coverage"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Pairs of a document and a benchmark item that it leaks.
 
     Returned, a row for each leaking row of ``docs`` and item: doc_id, item_id, n_matched (different windows of
-    the item that occur), n_windows (of the item), coverage, n_slots and n_changed (placeholders, and those with
+    the item that occur), n_windows (of the item), coverage (the share of its words), n_slots and n_changed (placeholders, and those with
     another value than the item's), verdict (``exact`` or ``reparameterised``), k and uid (the row, as in exchange).
+    An item found as a whole counts as one window.
 
-    Null and empty texts leak nothing; items of fewer than ``window`` words match nothing. Rows that repeat
+    Null and empty texts leak nothing; items without words match nothing. Rows that repeat
     leak alike; a null doc_id stays null. Items that share a text are each reported. Other columns are ignored.
     """
     items = cut(benchmark_windows(benchmark, window))
     named = ex.named(docs)
-    small = items.count() <= broadcast_rows
-    needles = items.select("item_id", "item_at", "hash", "n_windows")
+    whole = cut(whole_items(benchmark, items))
+    lengths = sorted(r.n for r in whole.select("n").distinct().collect())  # lengths of items, not items
+    small = items.count() + whole.count() <= broadcast_rows
+    needles = items.select("item_id", "item_at", "hash", "first", "n_windows", "n_words")
+    worded = _spoken(_chained(_worded(named), window))
     # outer: else the optimiser tests the windows' number below all that makes them, and makes them twice
-    spread = _chained(_worded(named), window).select("doc_id", "k", "uid", F.posexplode_outer("windows").alias("at", "hash")).where("hash IS NOT NULL")
-    matched = spread.join(F.broadcast(needles) if small else needles, "hash").select("doc_id", "k", "uid", "item_id", "n_windows", "at", "item_at")
+    spread = worded.select("doc_id", "k", "uid", F.posexplode_outer(F.arrays_zip(F.col("windows").alias("hash"), F.slice("w1", F.lit(1), F.size("windows")).alias("word"))).alias("at", "w"))
+    spread = spread.select("doc_id", "k", "uid", "at", "w.hash", "w.word").where("hash IS NOT NULL")
+    matched = spread.join(F.broadcast(needles) if small else needles, "hash").where("first IS NULL OR first = word")
     pairs = (
-        matched.groupBy("doc_id", "k", "uid", "item_id", "n_windows")
-        .agg(F.count_distinct("item_at").alias("n_matched"), F.collect_set(F.struct("item_at", "at")).alias("places"))
-        .where(F.col("n_matched") >= coverage * F.col("n_windows"))
+        matched.groupBy("doc_id", "k", "uid", "item_id", "n_windows", "n_words")
+        .agg(F.count_distinct("item_at").alias("n_matched"), F.collect_set(F.struct((F.col("at") - F.col("item_at")).alias("shift"), "item_at", "at")).alias("places"))
+        .withColumn("covered", _covered(F.array_sort(F.array_distinct(F.col("places.item_at"))), window))
+        .where((F.col("covered") >= coverage * F.col("n_words")) | (_longest(F.array_sort("places"), window) >= RUN))
+        .withColumn("coverage", F.col("covered") / F.col("n_words"))
+        .drop("covered", "n_words")
     )
+    if lengths:
+        pairs = pairs.unionByName(_found_whole(named, whole, lengths, small))
     pairs = cut(pairs)
     # slots, only for pairs whose matched windows have any
-    slotted = items.where(F.size("slots") > 0).select("item_id", "item_at", F.explode("slots").alias("slot"))
+    slotted = items.where(F.col("first").isNull() & (F.size("slots") > 0)).select("item_id", "item_at", F.explode("slots").alias("slot"))
     asked = (
         pairs.select("k", "uid", "item_id", F.explode("places").alias("p"))
         .select("k", "uid", "item_id", "p.item_at", (F.col("p.at") - F.col("p.item_at")).alias("shift"))
@@ -132,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         "item_id",
         "n_matched",
         "n_windows",
-        (F.col("n_matched") / F.col("n_windows")).alias("coverage"),
+        "coverage",
         F.coalesce("best.n_slots", F.lit(0)).alias("n_slots"),
         n_changed.alias("n_changed"),
         F.when(n_changed > 0, "reparameterised").otherwise("exact").alias("verdict"),

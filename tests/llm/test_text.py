@@ -294,6 +294,28 @@ def test_leaks(spark, text, verdict):
     assert decontaminate.without_leaks(docs, bench).count() == (0 if verdict else 1)
 
 
+LONG = "the river rises slowly behind old mills where children gather stones each summer while farmers carry grain across wooden bridges toward markets that open before dawn and close after dusk every single day"
+
+
+@pytest.mark.parametrize(
+    ("item", "text"),
+    [
+        (LONG, "so " + " ".join(LONG.split()[4:18]) + " or not"),  # a run of 14 of 33 words
+        (" ".join(LONG.split()[:22]), " ".join(LONG.split()[:10] + ["changed"] + LONG.split()[11:22])),
+        ("1 2 3 4 5 6 7 8 9 10 11 12", "count 1 2 3 4 5 6 7 8 9 10 11 12 and stop"),
+        ("Name the largest moon", "he said name the largest moon to them"),
+        ("The river rises slowly behind old grey mills", "as told The river rises slowly behind old grey mills"),
+    ],
+)
+def test_leaks_of_any_item(spark, item, text):
+    """Long runs, near copies, items without telling windows and an item's first word in another place are found."""
+    schema = "doc_id long, text string"
+    docs = spark.createDataFrame([(5, text), (6, "as told Boston rises slowly behind old grey mills"), (7, "1 2 3 4 5 6 7 8 9 10 11 13")], schema)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for rows in (500_000, 0):
+        assert [(r.doc_id, r.item_id, r.verdict) for r in decontaminate.leaks(docs, bench, broadcast_rows=rows).collect()] == [(5, 1, "exact")]
+
+
 def test_leaks_on_corpus(spark, corpus, docs, none, sf_dir):
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
