@@ -5,9 +5,9 @@ numbers turn into typed placeholders, all else is lowered. Runs of ``window`` te
 words are hashed and equi-joined with the windows of the benchmark. A document in which
 enough windows of an item occur (they cover a share of its words, or a run of ``RUN`` words)
 is held against the item's slots: where the item is laid over
-the document, each of its values must stand for one value of the document throughout. Equal
+the document, its values must each stand for one value of the document in nearly all slots, or most slots be unchanged. Equal
 values make an exact copy, consistently changed ones a re-parameterised question; if the
-values contradict each other wherever the item lies, there is no leak.
+values contradict each other in more slots wherever the item lies, there is no leak.
 
 Items without telling windows (short ones, or mostly numbers and names) are looked for as a
 whole: their words' sequence, in any case, is hashed and joined likewise. The first word of an
@@ -34,6 +34,9 @@ RUN = 13
 #: Words other than placeholders that a window needs to tell anything.
 SPOKEN = 4
 BROADCAST_ROWS = 500_000
+#: Share of slots that show their value's commonest meaning, or else the share that is unchanged, in a leak.
+CONSISTENT = 0.9
+UNCHANGED = 0.5
 
 # Units that make a slot after a number.
 UNITS = "mm cm m km mg g kg t ml l s sec seconds min minutes h hours days weeks months years percent dollars euros usd eur mph km/h kb mb gb °c °f inches feet miles pounds ounces".split()
@@ -153,7 +156,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
     Returned, a row for each leaking row of ``docs`` and item: doc_id, item_id, n_matched (different windows of
     the item that occur), n_windows (of the item), coverage (the share of its words), n_slots and n_changed (placeholders, and those with
-    another value than the item's), verdict (``exact`` or ``reparameterised``), k and uid (the row, as in exchange).
+    another value than the item's), verdict (``exact``, ``near-exact`` for
+    mostly unchanged slots of which some contradict, ``reparameterised``), k and uid (the row, as in exchange).
     An item found as a whole counts as one window.
 
     Null and empty texts leak nothing; items without words match nothing. Rows that repeat
@@ -193,14 +197,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     wanted = asked.groupBy("k", "uid").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     shown = _worded(named.select("k", "uid", "text").join(wanted, ["k", "uid"])).select("k", "uid", "ats", "words")
     shown = shown.select("k", "uid", F.explode("ats").alias("at"), "words").select("k", "uid", "at", F.lower(F.get("words", F.col("at"))).alias("said")).distinct()
-    by_value = (
-        asked.join(shown, ["k", "uid", "at"])
-        .groupBy("k", "uid", "item_id", "shift", "kind", "value")
-        .agg(F.count("*").alias("n"), F.count_distinct("said").alias("meanings"), F.count_if(F.col("said") != F.col("value")).alias("changed"))
+    by_meaning = asked.join(shown, ["k", "uid", "at"]).groupBy("k", "uid", "item_id", "shift", "kind", "value", "said").agg(F.count("*").alias("n"))
+    by_value = by_meaning.groupBy("k", "uid", "item_id", "shift", "kind", "value").agg(
+        F.sum("n").alias("n"), F.max("n").alias("agreed"), F.sum(F.when(F.col("said") != F.col("value"), F.col("n")).otherwise(0)).alias("changed")
     )
-    laid = by_value.groupBy("k", "uid", "item_id", "shift").agg(F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"), F.max("meanings").alias("meanings"))
-    # of the places where the item lies, the consistent one with most slots and fewest changes
-    best = F.max(F.when(F.col("meanings") == 1, F.struct("n_slots", (-F.col("n_changed")).alias("kept"), "n_changed"))).alias("best")
+    laid = by_value.groupBy("k", "uid", "item_id", "shift").agg(F.sum("n").alias("n_slots"), F.sum("changed").alias("n_changed"), F.sum("agreed").alias("n_agreed"))
+    agreed = F.col("n_agreed") == F.col("n_slots")
+    kept = F.col("n_slots") - F.col("n_changed")
+    leaked = (F.col("n_agreed") >= CONSISTENT * F.col("n_slots")) | (kept > UNCHANGED * F.col("n_slots"))
+    # of the places where the item lies, the leaking one with most slots and fewest changes
+    best = F.max(F.when(leaked, F.struct("n_slots", (-F.col("n_changed")).alias("kept"), "n_changed", (~agreed & (kept > UNCHANGED * F.col("n_slots"))).alias("near")))).alias("best")
     judged = laid.groupBy("k", "uid", "item_id").agg(best).withColumn("slotted", F.lit(True))
     out = pairs.drop("places").join(judged, ["k", "uid", "item_id"], "left").where("slotted IS NULL OR best IS NOT NULL")
     n_changed = F.coalesce("best.n_changed", F.lit(0))
@@ -212,7 +218,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
         "coverage",
         F.coalesce("best.n_slots", F.lit(0)).alias("n_slots"),
         n_changed.alias("n_changed"),
-        F.when(n_changed > 0, "reparameterised").otherwise("exact").alias("verdict"),
+        F.when(F.col("best.near"), "near-exact").when(n_changed > 0, "reparameterised").otherwise("exact").alias("verdict"),
         "k",
         "uid",
     )

@@ -294,6 +294,13 @@ def test_leaks(spark, text, verdict):
     assert decontaminate.without_leaks(docs, bench).count() == (0 if verdict else 1)
 
 
+def test_one_edited_slot_is_a_leak(spark):
+    """A copy that is verbatim but for one occurrence of a repeated number is no contradiction of the whole."""
+    docs = spark.createDataFrame([(5, QUESTION.replace("120 minutes", "8 minutes"))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    assert [(r.verdict, r.n_slots, r.n_changed) for r in decontaminate.leaks(docs, bench).collect()] == [("near-exact", 7, 1)]
+
+
 LONG = "the river rises slowly behind old mills where children gather stones each summer while farmers carry grain across wooden bridges toward markets that open before dawn and close after dusk every single day"
 
 
