@@ -33,6 +33,18 @@ def uid_of(k: Column, text: Column) -> Column:
     return F.xxhash64(k, text).bitwiseAND(F.lit(2**31 - 1)).cast("int")
 
 
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``docs`` bears, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def named(docs: DataFrame) -> DataFrame:
     """doc_id and text with ``k`` and ``uid``; null texts are empty."""
     text: Column = F.coalesce(F.col("text"), F.lit(""))

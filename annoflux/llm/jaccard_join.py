@@ -3,22 +3,25 @@
 1. ``ask``/``tell``: parts of the corpus send their different shingle hashes once and learn
    in how many documents each occurs. A document with more shingles of its own than
    ``1 - similarity`` allows has no partner and is done.
-2. The others are reduced to their different sets (copies are one set). Their rarest shingles -
-   so many that two similar sets must share one - tie sets into cells; no link crosses a cell.
-3. In a cell, shingles are hashed into groups, the group counts are points of an R-tree, the
-   summed minima of the coordinates (or of a node's upper corner) bound the overlap, and pairs
-   that survive are verified on the sets. Pairs that are already tied together need no look.
-   A cell of more than ``cell`` sets is cut into tiles, after its sets have been held against one
-   pivot: only sets that the pivot doesn't settle meet all tiles.
+2. The others are reduced to their different sets (copies are one set). Two similar sets share one
+   of their rarest shingles, so the sets with such a shingle form a block. Blocks with the same
+   members are one; those of very common shingles are cut by bands of size and into tiles.
+3. Shingles are hashed into groups, the group counts of a set are a point, and each block has an
+   R-tree of its points: the summed minima of the coordinates (or of a node's upper corner) bound
+   the overlap. Only points travel to the blocks, not sets.
+4. First each set of a block is verified against the first that the bound leaves, a linear number of
+   pairs, which makes classes. Then the sets that the bound leaves partners of another class
+   are held against each other inside their blocks; no pairs are written down but links.
 """
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annoflux.llm import bytehash as bh
@@ -32,8 +35,11 @@ SIMILARITY = 80
 PART_BYTES = 12 << 20
 GROUPS = 32
 FANOUT = 16
-#: Sets that one task holds of a cell.
-CELL = 4096
+#: Sets, and bytes of sets, of one shingle that one task holds against each other; bytes also of small blocks together.
+TILE = 4096
+TILE_BYTES = 8 << 20
+#: Rows of blocks that one task searches.
+TASK_ROWS = 50_000
 SALTS = 16
 SHORT_BITS = 40
 
@@ -194,9 +200,42 @@ def similar(overlap: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, simil
     return 100 * overlap >= similarity * (a + b - overlap)
 
 
-def tie(sets: list[np.ndarray], queries: np.ndarray, settled: np.ndarray, similarity: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Roots and links among sets: ``queries`` against all; ``settled`` sets are one class to begin with."""
-    root = list(range(len(sets)))
+def _points(column: pd.Series) -> np.ndarray:
+    """Group counts of packed points, a row each."""
+    data = column.to_list()
+    if all(len(x) == 2 * GROUPS for x in data):
+        return np.frombuffer(b"".join(data), np.uint16).reshape(len(data), GROUPS).astype(np.int64)
+    return np.stack([np.frombuffer(x, np.uint16 if len(x) == 2 * GROUPS else np.uint32) for x in data]).astype(np.int64)
+
+
+def _packed(counts: np.ndarray) -> list[bytes]:
+    return [x.astype(np.uint16 if x.max() < 1 << 16 else np.uint32).tobytes() for x in counts]
+
+
+class Block:
+    """Members of a block that may be found, in an R-tree; a member asks for those before it by size, then node."""
+
+    def __init__(self, counts: np.ndarray, sizes: np.ndarray, nodes: np.ndarray, found: np.ndarray, similarity: int):
+        rank = np.empty(len(nodes), np.int64)
+        rank[np.lexsort((nodes, sizes))] = np.arange(len(nodes))
+        self.members = np.flatnonzero(found)
+        self.members = self.members[np.argsort(rank[self.members])]
+        self.before = np.searchsorted(rank[self.members], rank)
+        self.counts, self.sizes = counts, sizes
+        self.tree = CountTree(counts[self.members], sizes[self.members], similarity) if len(self.members) else None
+
+    def near(self, q: int) -> np.ndarray:
+        """Members before ``q`` that may be similar to it, in order."""
+        if self.tree is None or not self.before[q]:
+            return np.zeros(0, np.int64)
+        at = self.tree.near(self.counts[q], self.sizes[q])
+        return self.members[np.sort(at[at < self.before[q]])]
+
+
+def tie(block: Block, sets: list[np.ndarray], queries: np.ndarray, classes: np.ndarray, similarity: int) -> list[tuple[int, int]]:
+    """Links that tie sets of different classes: each query is held against what the block finds for it."""
+    _, first, back = np.unique(classes, return_index=True, return_inverse=True)
+    root = first[back].tolist()
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -204,14 +243,9 @@ def tie(sets: list[np.ndarray], queries: np.ndarray, settled: np.ndarray, simila
             i = root[i]
         return i
 
-    same = np.flatnonzero(settled)
-    for i in same[1:]:
-        root[i] = int(same[0])
-    counts, sizes = group_counts(sets), np.array([len(x) for x in sets])
-    tree = CountTree(counts, sizes, similarity)
-    links = []
+    sizes, links = block.sizes, []
     for q in queries.tolist():
-        near = [x for x in tree.near(counts[q], sizes[q]).tolist() if find(x) != find(q)]
+        near = [x for x in block.near(q).tolist() if find(x) != find(q)]
         for a in range(0, len(near), 64):
             look = [x for x in near[a : a + 64] if find(x) != find(q)]
             if look:
@@ -220,85 +254,145 @@ def tie(sets: list[np.ndarray], queries: np.ndarray, settled: np.ndarray, simila
                     if find(x) != find(q):
                         links.append((q, x))
                         root[find(x)] = find(q)
-    return np.array([find(i) for i in range(len(sets))]), links
-
-
-def _sets(column: pd.Series) -> list[np.ndarray]:
-    return [np.sort(np.frombuffer(x, np.uint64)) for x in column]
-
+    return links
 
-def _cells(sets: DataFrame, similarity: int) -> DataFrame:
-    """(node, root) of the cells: sets that share one of their rarest shingles."""
 
-    def rare(batches):
-        for batch in batches:
-            nodes, keys = [], []
-            for node, n, lonely, data in zip(*(batch[c].to_pylist() for c in ("node", "n", "lonely", "shingles")), strict=True):
-                key = np.frombuffer(data, np.int64)[lonely : slack(n, similarity) + 1]
-                keys.append(key)
-                nodes.append(np.full(len(key), node))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-
-    rows = cut(sets.select("node", "n", "lonely", "shingles").mapInArrow(rare, "key long, node long"))
-    least = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first")
-    return components(rows.join(least, "key").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+def _by_block(group: pd.DataFrame) -> list[pd.DataFrame]:
+    group = group.sort_values(["block", "node"], ignore_index=True)
+    edges = np.r_[_lead(group["block"].to_numpy()), len(group)]
+    return [group.iloc[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _small_cells(members: DataFrame, similarity: int) -> DataFrame:
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("node", ignore_index=True)
-        sets = _sets(group["shingles"])
-        sizes = np.array([len(x) for x in sets])
-        linked = similar(overlaps(sets[0], sets), sizes[0], sizes, similarity)
-        roots, _ = tie(sets, np.flatnonzero(~linked), linked, similarity)
-        return pd.DataFrame({"node": group["node"], "root": group["node"].to_numpy()[roots]})
+def _task(n: int) -> Column:
+    """Blocks are dealt over ``n`` groups, a task's worth each."""
+    return F.pmod(F.col("block"), F.lit(n)).alias("task")
 
-    return members.groupBy("cell").applyInPandas(join, "node long, root long")
 
+def _blocks(sets: DataFrame, similarity: int, tile: int, tile_bytes: int) -> DataFrame:
+    """(block, node, n, point, asks, found): the sets that have one of their rarest shingles in common.
 
-def _large_cells(members: DataFrame, similarity: int, cell: int) -> DataFrame:
-    """(node, root) for cells of more than ``cell`` sets."""
-    pivot = members.groupBy("cell").agg(F.min(F.struct("node", "shingles")).alias("pivot"), F.count("*").alias("size"))
-    pivot = pivot.select("cell", "size", F.col("pivot.node").alias("pivot"), F.col("pivot.shingles").alias("pivot_shingles"))
-    salted = pivot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    Two similar sets share one of as many of their rarest shingles as the one may lack of the other, and one.
+    Of shingles with the same members one is kept. Members of a shingle beyond ``tile`` sets or ``tile_bytes``
+    meet by bands of size (similar sets lie in one band or in neighbours), and each band in tiles.
+    """
 
-    def hold(batches):
+    def rare(batches):
         for batch in batches:
-            mine, theirs = (batch[c].to_pylist() for c in ("shingles", "pivot_shingles"))
-            settled = []
-            for a, b in zip(mine, theirs, strict=True):
-                x, y = np.sort(np.frombuffer(a, np.uint64)), np.sort(np.frombuffer(b, np.uint64))
-                settled.append(bool(similar(overlaps(y, [x])[0], len(x), len(y), similarity)))
-            yield pa.RecordBatch.from_arrays([*[batch[c] for c in ("cell", "size", "pivot", "node", "shingles")], pa.array(settled)], names=["cell", "size", "pivot", "node", "shingles", "settled"])
-
-    held = cut(
-        members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["cell", "salt"])
-        .select("cell", "size", "pivot", "node", "shingles", "pivot_shingles")
-        .mapInArrow(hold, "cell long, size long, pivot long, node long, shingles binary, settled boolean")
-    )
-    open_ = held.where(~F.col("settled"))
-    sizes = open_.groupBy("cell").agg(F.count("*").alias("open"))
-    tiles = F.ceil(F.col("size") / cell).cast("int")
-    strips = F.ceil(F.col("open") / cell).cast("int")
-    hashed = F.xxhash64("node")
-    all_ = held.join(sizes, "cell").select("cell", "node", "shingles", "settled", F.pmod(hashed, tiles).alias("i"), F.explode(F.sequence(F.lit(0), strips - 1)).alias("j"), F.lit(False).alias("asks"))
-    asking = open_.join(sizes, "cell").select("cell", "node", "shingles", "settled", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("i"), F.pmod(hashed, strips).alias("j"), F.lit(True).alias("asks"))
+            for lo in range(0, batch.num_rows, 256):
+                nodes, keys, sizes = [], [], []
+                part = batch.slice(lo, 256)
+                for node, n, lonely, data in zip(*(part[c].to_pylist() for c in ("node", "n", "lonely", "shingles")), strict=True):
+                    key = np.frombuffer(data, np.int64)[lonely : slack(n, similarity) + 1]
+                    keys.append(key)
+                    nodes.append(np.full(len(key), node))
+                    sizes.append(np.full(len(key), n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], names=["key", "node", "n"])
+
+    def place(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                counts = group_counts([np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([part["node"], pa.array(_packed(counts), pa.binary())], names=["node", "point"])
+
+    rows = cut(sets.select("node", "n", "lonely", "shingles").mapInArrow(rare, "key long, node long, n long"))
+    marks = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    held = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size"), F.sum("n").alias("total"), *marks)
+    kept = held.where("first < last").groupBy("first", "last", "size", "x", "y").agg(F.min("key").alias("key"), F.first("total").alias("total"))
+    strips = F.ceil(F.greatest(F.col("size") / tile, 8 * F.col("total") / tile_bytes)).cast("int")
+    salted = kept.select("key", strips.alias("strips"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    here = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+    one = here.where("strips = 1").select(F.xxhash64("key").alias("block"), "node", "n", F.lit(True).alias("asks"), F.lit(True).alias("found"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / similarity) + 1e-9).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("strips")).cast("int")
+    others = F.sequence(F.lit(0), F.col("strips") - 1)
+    many = here.where("strips > 1").withColumns({"band": band, "mine": mine})
+    # a tile (found, asking) of a band; askers also look one band below
+    finds = many.select("key", "node", "n", "band", F.col("mine").alias("i"), F.explode(others).alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("found"))
+    asks = many.withColumn("i", F.explode(others)).select("key", "node", "n", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "i", F.col("mine").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("found"))
+    tiled = finds.union(asks).groupBy(F.xxhash64("key", "band", "i", "j").alias("block"), "node", "n").agg(F.max("asks").alias("asks"), F.max("found").alias("found"))
+    points = sets.select("node", "shingles").mapInArrow(place, "node long, point binary")
+    return cut(one.union(tiled).join(points, "node"))
+
+
+def _candidates(blocks: DataFrame, similarity: int, tasks: int) -> DataFrame:
+    """(block, a, b, n_a, n_b): each asking set b with the first set of its block that the bound doesn't exclude."""
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for g in _by_block(group):
+            node, n = g["node"].to_numpy(), g["n"].to_numpy()
+            block = Block(_points(g["point"]), n, node, g["found"].to_numpy(), similarity)
+            for q in np.flatnonzero(g["asks"]).tolist():
+                near = block.near(q)
+                if len(near):
+                    out.append((g["block"].iat[0], node[near[0]], node[q], n[near[0]], n[q]))
+        return pd.DataFrame(out, columns=["block", "a", "b", "n_a", "n_b"]).astype("int64")
+
+    found = blocks.groupBy(_task(tasks)).applyInPandas(search, "block long, a long, b long, n_a long, n_b long")
+    return found.groupBy("a", "b").agg(F.min("block").alias("block"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"))
+
+
+def _open(blocks: DataFrame, classes: DataFrame, similarity: int, tasks: int) -> DataFrame:
+    """(block, node, n, asks, found, root): members with a partner of another class that the bound doesn't exclude."""
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for g in _by_block(group):
+            root = g["root"].to_numpy()
+            if (root == root[0]).all():
+                continue
+            block = Block(_points(g["point"]), g["n"].to_numpy(), g["node"].to_numpy(), g["found"].to_numpy(), similarity)
+            asks, found = np.zeros(len(g), bool), np.zeros(len(g), bool)
+            for q in np.flatnonzero(g["asks"]).tolist():
+                near = block.near(q)
+                near = near[root[near] != root[q]]
+                asks[q] = len(near) > 0
+                found[near] = True
+            out.append(g[["block", "node", "n", "root"]].assign(asks=asks, found=found)[asks | found])
+        columns = ["block", "node", "n", "asks", "found", "root"]
+        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns).astype({c: bool if c in ("asks", "found") else "int64" for c in columns})
+
+    known = blocks.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return known.groupBy(_task(tasks)).applyInPandas(search, "block long, node long, n long, asks boolean, found boolean, root long")
+
+
+def _linked(members: DataFrame, sets: DataFrame, similarity: int, task_bytes: int) -> DataFrame:
+    """(a, b, root_a, root_b): links that tie the classes inside blocks of ``members``, verified on the sets."""
+    members = cut(members)
+    total = members.agg(F.sum("n")).first()[0] or 0
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy()
-        sets = _sets(group["shingles"])
-        _, links = tie(sets, np.flatnonzero(asks), group["settled"].to_numpy() & ~asks, similarity)
-        nodes = group["node"].to_numpy()
-        return pd.DataFrame([(nodes[a], nodes[b]) for a, b in links], columns=["a", "b"]).astype("int64")
-
-    links = all_.unionByName(asking).groupBy("cell", "i", "j").applyInPandas(join, "a long, b long")
-    stars = held.where("settled").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
-    return components(links.union(stars))
-
-
-def _classed(docs: DataFrame, similarity: int, width: int, part_bytes: int, cell: int) -> DataFrame:
+        out = []
+        for g in _by_block(group):
+            sets = [np.sort(np.frombuffer(x, np.uint64)) for x in g["shingles"]]
+            node, root = g["node"].to_numpy(), g["root"].to_numpy()
+            block = Block(group_counts(sets), g["n"].to_numpy(), node, g["found"].to_numpy(), similarity)
+            out += [(node[a], node[b], root[a], root[b]) for a, b in tie(block, sets, np.flatnonzero(g["asks"]), root, similarity)]
+        return pd.DataFrame(out, columns=["a", "b", "root_a", "root_b"]).astype("int64")
+
+    whole = members.join(sets.select("node", "shingles"), "node")
+    return whole.groupBy(_task(max(1, 8 * total // task_bytes))).applyInPandas(join, "a long, b long, root_a long, root_b long")
+
+
+def _roots(sets: DataFrame, similarity: int, tile: int, tile_bytes: int) -> DataFrame:
+    """(node, root) of the sets that are linked with another."""
+    blocks = _blocks(sets, similarity, tile, tile_bytes)
+    tasks = max(1, blocks.count() // TASK_ROWS)
+    # first every set against the first that may be similar: what a large group of near copies has in common is settled here
+    pairs = cut(_candidates(blocks, similarity, tasks)).withColumn("block", F.xxhash64("a", "block"))
+    askers = pairs.select("block", F.col("b").alias("node"), F.col("n_b").alias("n"), F.lit(True).alias("asks"), F.lit(False).alias("found"))
+    hubs = pairs.select("block", F.col("a").alias("node"), F.col("n_a").alias("n"), F.lit(False).alias("asks"), F.lit(True).alias("found")).distinct()
+    stars = _linked(askers.union(hubs).withColumn("root", F.col("node")), sets, similarity, tile_bytes)
+    classes = cut(components(stars.select("a", "b")))
+    # then all that may still tie different classes
+    rest = _linked(_open(blocks, classes, similarity, tasks), sets, similarity, tile_bytes)
+    joined = components(rest.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("c_node"), F.col("root").alias("c_root"))
+    every = classes.join(joined, classes["root"] == joined["c_node"], "full")
+    return every.select(F.coalesce("node", "c_node").alias("node"), F.coalesce("c_root", "root").alias("root"))
+
+
+def _classed(docs: DataFrame, similarity: int, width: int, part_bytes: int, tile: int, tile_bytes: int) -> DataFrame:
     """(doc_id, k, uid, n, node, root, component): a row for each row; root names its component, component is the smallest k of it."""
     described = cut(describe(docs, width, similarity, ex.bucket_count(docs, part_bytes)))
     sets = cut(
@@ -306,12 +400,7 @@ def _classed(docs: DataFrame, similarity: int, width: int, part_bytes: int, cell
         .groupBy("node", "check", "n")
         .agg(F.min("k").alias("least"), F.first("lonely").alias("lonely"), F.first("shingles").alias("shingles"))
     )
-    cells = cut(_cells(sets, similarity))
-    sizes = cells.groupBy("root").agg(F.count("*").alias("size"))
-    members = cells.join(sizes, "root").select("node", F.col("root").alias("cell"), "size").join(sets.select("node", "shingles"), "node")
-    roots = _small_cells(members.where(F.col("size") <= cell), similarity)
-    if sizes.where(F.col("size") > cell).limit(1).count():
-        roots = roots.union(_large_cells(members.where(F.col("size") > cell).select("cell", "node", "shingles"), similarity, cell))
+    roots = _roots(sets, similarity, tile, tile_bytes)
     classes = sets.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     component = classes.groupBy("root").agg(F.min("least").alias("component"))
     found = classes.join(component, "root").select("node", "root", "component", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
@@ -322,7 +411,7 @@ def _classed(docs: DataFrame, similarity: int, width: int, part_bytes: int, cell
     return every.withColumn("component", F.coalesce("component", "k"))
 
 
-def similar_documents(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, part_bytes: int = PART_BYTES, cell: int = CELL) -> DataFrame:
+def similar_documents(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, part_bytes: int = PART_BYTES, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """Components of the documents linked by 100 * intersection >= similarity * union of their shingle sets.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; a set holds the different runs of ``width`` words, or
@@ -332,23 +421,24 @@ def similar_documents(docs: DataFrame, similarity: int = SIMILARITY, width: int
     Null and empty texts and texts without a word: 0 shingles, linked with nothing. A null doc_id is the
     largest; rows that repeat are linked like any others. Other columns are ignored.
     """
-    every = _classed(docs, similarity, width, part_bytes, cell)
+    every = _classed(docs, similarity, width, part_bytes, tile, tile_bytes)
     return every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component") < ex.LAST, F.col("component")).alias("component_id"), F.col("node").alias("set_id"))
 
 
-def one_of_each(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, part_bytes: int = PART_BYTES, cell: int = CELL) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: int = SIMILARITY, width: int = SHINGLE, part_bytes: int = PART_BYTES, tile: int = TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """The rows of ``docs`` without all but one document - the smallest - of each component, with all their columns.
 
     Documents without a word all stay. Of rows equal in id and text one stays, if they have words.
     """
-    every = cut(_classed(docs, similarity, width, part_bytes, cell).select("k", "uid", "n", "root", "component"))
+    every = cut(_classed(docs, similarity, width, part_bytes, tile, tile_bytes).select("k", "uid", "n", "root", "component"))
     first = every.where("n > 0 and k = component").groupBy("root").agg(F.min(F.struct("k", "uid")).alias("row")).select("row.k", "row.uid")
     alone = every.where("n = 0").select("k", "uid").distinct()
-    kept = first.union(alone).select(F.col("k").alias("_k"), F.col("uid").alias("_uid"))
+    own_k, own_uid, each = ex.free(docs, "k", "uid", "each")
+    kept = first.union(alone).select(F.col("k").alias(own_k), F.col("uid").alias(own_uid))
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(ex.LAST))
     uid = ex.uid_of(k, F.coalesce(F.col("text"), F.lit("")))
-    rows = docs.withColumns({"_k": k, "_uid": uid}).join(kept, ["_k", "_uid"], "left_semi")
+    rows = docs.withColumns({own_k: k, own_uid: uid}).join(kept, [own_k, own_uid], "left_semi")
     if every.where("n > 0").groupBy("k", "uid").count().where("count > 1").limit(1).count():
-        repeated = F.when(F.trim("text") != "", F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
-        rows = rows.withColumn("_each", repeated).dropDuplicates(["_k", "_uid", "_each"])
+        repeated = F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+        rows = rows.withColumn(each, repeated).dropDuplicates([own_k, own_uid, each])
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,7 @@
 """Operators 3, 4 and 8 against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -125,15 +126,15 @@ def test_merged_runs_in_ranges():
     assert key.tolist() == sorted(best)
 
 
-@pytest.mark.parametrize("cell", [4096, 2])
-def test_jaccard_components(docs, cell):
-    found = jaccard_join.similar_documents(docs, cell=cell, part_bytes=4000)
+@pytest.mark.parametrize("tile", [4096, 2])
+def test_jaccard_components(docs, tile):
+    found = jaccard_join.similar_documents(docs, tile=tile, part_bytes=4000)
     assert got(found, "doc_id", "n_shingles", "component_id") == expected_components(pairs_of(docs))
 
 
-@pytest.mark.parametrize("cell", [4096, 3])
-def test_jaccard_on_corpus(corpus, cell):
-    found = jaccard_join.similar_documents(corpus, cell=cell)
+@pytest.mark.parametrize("tile", [4096, 3])
+def test_jaccard_on_corpus(corpus, tile):
+    found = jaccard_join.similar_documents(corpus, tile=tile)
     assert got(found, "doc_id", "n_shingles", "component_id") == expected_components(pairs_of(corpus))
 
 
@@ -143,8 +144,27 @@ def test_jaccard_chain(spark):
     texts = [(n, " ".join(base[:45] + [f"v{n}_{i}" for i in range(4)] if n % 2 else base)) for n in range(6)]
     texts += [(10 + n, " ".join(f"u{i}" for i in range(n, n + 49))) for n in range(12)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    for cell in (4096, 2):
-        assert got(jaccard_join.similar_documents(df, cell=cell), "doc_id", "n_shingles", "component_id") == expected_components(texts)
+    for tile in (4096, 2):
+        assert got(jaccard_join.similar_documents(df, tile=tile), "doc_id", "n_shingles", "component_id") == expected_components(texts)
+
+
+@pytest.mark.parametrize(("tile", "tile_bytes"), [(4096, 8 << 20), (4096, 20_000), (16, 8 << 20)])
+def test_jaccard_large_near_group(spark, tile, tile_bytes):
+    """Long near copies of three bases that share most of their words: many pairs pass the bound, blocks are cut by bytes and by sets."""
+    rnd = random.Random(5)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(400)]
+    texts = []
+    for i in range(120):
+        words = list(base)
+        for at in range(7 * (i % 3), 400, 23 + i % 3):
+            words[at] = f"b{i % 3}"
+        for _ in range(rnd.randint(0, 12)):
+            words[rnd.randrange(400)] = f"own{rnd.randint(0, 50)}"
+        texts.append((i, " ".join(words[: 400 - 3 * (i % 7)])))
+    texts += [(200 + i, f"short {i} text of six words") for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    found = jaccard_join.similar_documents(df, tile=tile, tile_bytes=tile_bytes)
+    assert got(found, "doc_id", "n_shingles", "component_id") == expected_components(texts)
 
 
 def test_one_of_each(docs):
