@@ -1,11 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Words are read into classes by five transducers (insult, threat, target, negation,
-reported speech); their composition is one weighted automaton that runs over the
-classes of a clause and yields, in the tropical semiring, the least cost of a toxic
-reading: an insult costs its own weight, less beside a target, more after a negation
-or inside reported speech. A text's score is a calibrated function of the costs of its
-clauses, not of isolated words.
+Words are read into classes. Five transducers rewrite and weigh a clause's classes: insults and
+threats become hits, at most one of which a reading chooses; the target transducer accepts a hit
+and makes it cheaper where somebody is addressed within ``REACH`` words, a threat only there;
+negation and reported speech make a hit behind them dearer. Their composition is one machine, compiled once;
+the weight of its shortest path over a clause, in the tropical semiring, is the least cost of a
+toxic reading. A text's score is a calibrated function of the costs and the share of its matched clauses.
+An insult that addresses nobody matches at full cost: the labels mark such clauses too.
 
 The insults are learned from labelled rows: whole words and beginnings of words that
 occur in toxic texts far more than chance allows. One text of each family of near
@@ -20,6 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -27,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annoflux.llm.storage import cut
+from annoflux.llm.transducers import Transducer
+
 #: Labelled rows that teach, about.
 SAMPLE = 10_000
 #: Decimal orders by which chance must be ruled out, and the share of toxic texts among those with a term.
 EVIDENCE = 7.0
 PRECISION = 0.95
 BEGINNINGS = range(3, 9)
-#: Learned terms at most, the best proven first; the vocabulary of insults doesn't grow with the corpus.
-TERMS = 2000
 THRESHOLD = 0.3
 
 # The classes' common words in four languages.
@@ -44,7 +47,7 @@ TARGETS = "you your he she they him her them his their du ihr sie dein euch tu v
 NEGATIONS = "not no never nor isn't aren't nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTS = "said says say told quoted wrote called reported sagte sagt schrieb dit disait écrit dijo dice escribió".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INSULTED, THREATENED = range(8)
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n|]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _STOPS = frozenset(".!?;:\n|")
@@ -55,29 +58,66 @@ NEAR_TARGET, NEGATED, REPORTED = -0.4, 1.2, 0.6
 REACH = 4
 
 
-def clause_cost(classes: list[int]) -> float:
-    """Least cost of a toxic reading of a clause; infinite without an insult or a threat.
+def _passing(symbols: tuple, state: object) -> dict:
+    """Arcs that copy ``symbols`` and stay."""
+    return {(state, x): [(x, 0.0, state)] for x in symbols}
+
+
+def _hits(read: int, weight: float) -> Transducer:
+    """Turns one of the symbols ``read`` into a hit, or none; the others become other words."""
+    arcs = {}
+    for state in ("none", "hit"):
+        arcs |= _passing((OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, INSULTED, THREATENED), state)
+        arcs[state, read] = [(OTHER, 0.0, state)]
+    arcs["none", read].append((INSULTED if read == INSULT else THREATENED, weight, "hit"))
+    return Transducer("none", arcs, {"none": 0.0, "hit": 0.0})
+
+
+def _addressed() -> Transducer:
+    """Accepts one hit; cheaper with a target up to REACH words before or behind, and a threat only so."""
+    far, arcs, final = REACH + 1, {}, {"done": 0.0}
+    kinds = ((INSULTED, "insult"), (THREATENED, "threat"))
+    for since in range(far + 1):  # words since a target
+        for x in (OTHER, NEGATION, REPORT):
+            arcs[since, x] = [(x, 0.0, min(since + 1, far))]
+        arcs[since, TARGET] = [(TARGET, 0.0, 0)]
+        for hit, kind in kinds:
+            arcs[since, hit] = [(hit, NEAR_TARGET, "done") if since < REACH else (hit, 0.0, (kind, REACH))]
+    for _, kind in kinds:
+        for left in range(REACH + 1):  # words in which a target may still come
+            state = (kind, left)
+            for x in (OTHER, NEGATION, REPORT):
+                arcs[state, x] = [(x, 0.0, (kind, max(left - 1, 0)))]
+            arcs[state, TARGET] = [(TARGET, NEAR_TARGET, "done") if left else (TARGET, 0.0, state)]
+            if kind == "insult":
+                final[state] = 0.0
+    arcs |= _passing((OTHER, TARGET, NEGATION, REPORT), "done")
+    return Transducer(far, arcs, final)
+
+
+def _dearer(sign: int, weight: float) -> Transducer:
+    """Adds ``weight`` to a hit up to REACH words behind ``sign``."""
+    far, arcs, every = REACH + 1, {}, (OTHER, TARGET, NEGATION, REPORT, INSULTED, THREATENED)
+    for since in range(far + 1):
+        for x in every:
+            arcs[since, x] = [(x, weight if x in (INSULTED, THREATENED) and since < REACH else 0.0, min(since + 1, far))]
+        arcs[since, sign] = [(sign, 0.0, 0)]
+    return Transducer(far, arcs, dict.fromkeys(range(far + 1), 0.0))
+
+
+@cache
+def grammar() -> Transducer:
+    """The composition of the five transducers over the classes of words."""
+    read = (OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT)
+    machine = _hits(INSULT, COST[INSULT])
+    for following in (_hits(THREAT, COST[THREAT]), _addressed(), _dearer(NEGATION, NEGATED), _dearer(REPORT, REPORTED)):
+        machine = following.after(machine, read).numbered()
+    return machine
 
-    States are the distances (up to REACH words) since a target, a negation and a report; a final
-    arc leaves from every insult or threat, and a target up to REACH words later still lowers its cost.
-    """
-    since = {TARGET: REACH + 1, NEGATION: REACH + 1, REPORT: REACH + 1}
-    best, waiting = math.inf, []
-    for c in classes:
-        since = {k: min(v + 1, REACH + 1) for k, v in since.items()}
-        waiting = [(cost, left - 1) for cost, left in waiting if left > 1]
-        if c in since:
-            since[c] = 0
-            if c == TARGET:
-                best = min([best, *(cost + NEAR_TARGET for cost, _ in waiting)])
-        elif c in COST:
-            cost = COST[c] + (NEGATED if since[NEGATION] <= REACH else 0) + (REPORTED if since[REPORT] <= REACH else 0)
-            if since[TARGET] <= REACH:
-                best = min(best, cost + NEAR_TARGET)
-            elif c == INSULT:
-                best = min(best, cost)
-            waiting.append((cost, REACH))
-    return best
+
+def clause_cost(classes: list[int]) -> float:
+    """Least cost of a toxic reading of a clause; infinite without one."""
+    return grammar().least(classes)
 
 
 class Grammar(dict):
@@ -192,7 +232,8 @@ def calibrate(features: np.ndarray, labels: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
     """Words, beginnings and weights, from columns text and toxic of a bounded sample."""
     rows = labelled.where(F.col("toxic").isNotNull() & (F.length("text") > 0)).select("text", (F.col("toxic") == 1).alias("toxic"))
-    one = rows.mapInArrow(_families, "text string, toxic boolean, family long").dropDuplicates(["family", "toxic"])
+    families = rows.mapInArrow(_families, "text string, toxic boolean, family long")
+    one = cut(families.groupBy("family", "toxic").agg(F.min("text").alias("text")))  # the same rows for counts, terms and weights
     per_class = {bool(r["toxic"]): r["count"] for r in one.groupBy("toxic").count().collect()}  # two rows
     n_toxic, n_clean = per_class.get(True, 0), per_class.get(False, 0)
     default = np.array([-4.0, 12.0, 0.5, 0.5])
@@ -205,7 +246,7 @@ def fit(labelled: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
     chance = F.when(share >= 1, 0.0).otherwise((1 - share) * F.log10((1 - share) / F.lit(1 - base)))
     evidence = both * (share * F.log10(share / F.lit(base)) + chance)
     proven = counted.where((F.col("toxic") >= 3) & (share >= PRECISION)).withColumn("evidence", evidence).where(F.col("evidence") >= EVIDENCE)
-    found = proven.orderBy(F.desc("evidence"), "term").limit(TERMS).collect()
+    found = proven.orderBy(F.desc("evidence"), "term").collect()  # terms of a bounded sample
     words, beginnings = choose_terms([(r["term"], r["toxic"], r["clean"]) for r in found])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,10 +269,11 @@ OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def _teach(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[str], list[str], np.ndarray]:
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out()).select(F.col("doc_id"), "toxic")
+    # an id counts once, as toxic if any of its labels says so
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample / max(1, known.count()))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # about ``sample`` short rows
+    return fit(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # about ``sample`` ids
 
 
 def _read(texts: pa.Array, grammar: Grammar, weights: np.ndarray) -> np.ndarray:
@@ -250,7 +292,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     score is at least 0.3).
 
     Null and empty texts score like texts without a match. Null labels teach nothing; without labels of both
-    kinds the fixed insults and weights hold. Equal texts have equal scores; null ids are kept and teach
+    kinds the fixed insults and weights hold. Of labels that repeat an id, toxic holds. Equal texts have equal scores; null ids are kept and teach
     nothing. Other columns are ignored.
     """
     words, beginnings, weights = _teach(docs, labels, sample)
@@ -265,7 +307,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that ``score`` doesn't predict toxic, with all their columns; nothing is shuffled."""
+    """The rows of ``docs`` that ``score`` doesn't predict toxic, with all their columns; nothing is shuffled. Rows with null or empty texts stay."""
     words, beginnings, weights = _teach(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
