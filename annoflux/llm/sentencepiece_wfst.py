@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
 Three transducers are compiled from a model file: the normaliser (white space becomes
-the mark U+2581, one is put in front), the pieces, and the byte fallback (a character
-that no piece spells becomes its UTF-8 bytes). Composed with an input they form a
-lattice whose states are (position, last piece). The weight of a transition in the
-tropical semiring is 0 if the two pieces it joins stay apart under the model's merges,
-infinite if not; of the segmentations of an input exactly one has a finite weight, and
-the shortest path finds it. For a model of unigram scores the weights are the scores.
+the mark U+2581, one is put in front), the pieces (a trie whose accepting states write a piece),
+and the byte fallback (a character that no piece spells becomes its UTF-8 bytes). ``compose``
+composes them with an input: a lattice whose states are (position, last piece). The weight of a
+transition in the tropical semiring is 0 if the two pieces it joins stay apart under the model's
+merges, infinite if not; of the segmentations of an input exactly one has a finite weight, and the
+shortest path finds it. For a model of unigram scores the weights are the scores.
 
 No piece holds a mark anywhere but in front, apart from runs of marks, so the shortest
 path of a text is the concatenation of its words' paths; each task keeps the paths of
@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose paths a task keeps; beyond that it forgets the older half.
-KEPT = 700_000
+#: Words whose paths a task keeps, parts of words, and weights of transitions; beyond that it forgets the older half.
+KEPT = 500_000
+PARTS = 50_000
+WEIGHTS = 400_000
 
 # Wire format of the model file (fixed values): field numbers of ModelProto and of its messages.
 _PIECES, _TRAINER, _NORMALIZER = 1, 2, 3
@@ -63,11 +65,11 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
-def _keep(paths: dict[str, tuple[int, ...]], word: str, ids: tuple[int, ...]) -> None:
-    if len(paths) >= KEPT:
-        for old in list(paths)[: KEPT // 2]:
-            del paths[old]
-    paths[word] = ids
+def _keep(known: dict, key: object, value: object, most: int) -> None:
+    if len(known) >= most:
+        for old in list(known)[: most // 2]:
+            del known[old]
+    known[key] = value
 
 
 class Transducer:
@@ -97,10 +99,12 @@ class Transducer:
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.types[i] in (_NORMAL, _USER)}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i, t in enumerate(self.types) if t == _BYTE}
         self.unknown = self.types.index(_UNKNOWN)
-        self.longest = max(map(len, self.ids))
-        self.reach: dict[str, int] = {}  # longest piece by first two characters
+        self.trie: dict = {}  # by character the next state; a state that writes a piece has the key ""
         for piece in self.ids:
-            self.reach[piece[:2]] = max(self.reach.get(piece[:2], 1), len(piece))
+            state = self.trie
+            for char in piece:
+                state = state.setdefault(char, {})
+            state[""] = True
         # by id the text it stands for; bytes of longer characters as lone surrogates until they meet
         self.texts = [p.replace(MARK, " ") for p in self.pieces]
         for i, kind in enumerate(self.types):
@@ -113,8 +117,8 @@ class Transducer:
             raise ValueError("a piece runs over a word's end")
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.apart: dict[tuple[str, str], bool] = {}
-        self.paths: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.paths: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
 
     # -- the transducers ---------------------------------------------------------------------
@@ -151,94 +155,99 @@ class Transducer:
         if apart is None:
             whole = before + piece
             apart = self._merged(list(whole)) == ([before, piece] if before else [piece])
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            self.apart[pair] = apart
+            _keep(self.apart, pair, apart, WEIGHTS)
         return 0.0 if apart else math.inf
 
+    def compose(self, word: str) -> list[list[int]]:
+        """The lattice of a normalised word: by position the ends of the arcs that leave it, longest first.
+
+        An arc is a piece, or a single character that the fallback spells.
+        """
+        n, lattice = len(word), []
+        for at in range(n):
+            state, end, ends = self.trie, at, []
+            while end < n and word[end] in state:
+                state = state[word[end]]
+                end += 1
+                if "" in state:
+                    ends.append(end)
+            if not ends or ends[0] > at + 1:
+                ends.insert(0, at + 1)
+            lattice.append(ends[::-1])
+        return lattice
+
     def _only_path(self, word: str) -> list[str]:
-        """The shortest path under merges: the one path whose transitions all weigh 0, longest pieces tried first."""
-        ids, apart, reach = self.ids, self.apart, self.reach
-        n, at, before = len(word), 0, ""
+        """The shortest path where weights are 0 or infinite: arcs are tried longest first, dead states once."""
+        lattice, apart = self.compose(word), self.apart
+        n, at, before, arc = len(word), 0, "", 0
         out: list[str] = []
-        tried: list[int] = []  # size from which the state before each piece of ``out`` goes on trying
+        tried: list[int] = []  # arc from which the state before each piece of ``out`` goes on trying
         dead: set[tuple[int, str]] = set()  # states from which the end can't be reached
-        size = min(n, reach.get(word[:2], 1))
         while at < n:
-            while size:
-                piece = word[at : at + size]
-                if piece in ids or size == 1:
-                    good = apart.get((before, piece))
-                    if good is None:
-                        good = self.weight(before, piece) == 0.0
-                    if good and not (dead and (at + size, piece) in dead):
-                        break
-                size -= 1
-            if size:
-                out.append(piece)
-                tried.append(size - 1)
-                at, before = at + size, piece
-                size = min(n - at, reach.get(word[at : at + 2], 1))
+            ends = lattice[at]
+            while arc < len(ends):
+                piece = word[at : ends[arc]]
+                arc += 1
+                good = apart.get((before, piece))
+                if good is None:
+                    good = self.weight(before, piece) == 0.0
+                if good and not (dead and (at + len(piece), piece) in dead):
+                    out.append(piece)
+                    tried.append(arc)
+                    at, before, arc = at + len(piece), piece, 0
+                    break
             else:
                 dead.add((at, before))
-                at, size = at - len(out.pop()), tried.pop()
+                at, arc = at - len(out.pop()), tried.pop()
                 before = out[-1] if out else ""
         return out
 
-    def shortest_path(self, word: str) -> list[str]:
-        """Pieces (or single characters without one) on the lattice's path of least weight."""
-        if self.merges:
-            return self._only_path(word)
-        n = len(word)
-        # by end: last piece -> (weight, its start, piece before)
-        states: list[dict[str, tuple[float, int, str]]] = [{} for _ in range(n + 1)]
-        states[0][""] = (0.0, 0, "")
-        for end in range(1, n + 1):
-            here = states[end]
-            for start in range(max(0, end - self.longest), end):
-                piece = word[start:end]
-                if piece not in self.ids and end - start > 1:
-                    continue
-                for before, (cost, _, _) in states[start].items():
-                    total = cost + self.weight(before, piece)
-                    if total < math.inf and (piece not in here or total < here[piece][0]):
-                        here[piece] = (total, start, before)
-            if here:
-                best = min(here, key=lambda p: here[p][0])
-                states[end] = {best: here[best]}
-        out, end, piece = [], n, next(iter(states[n]))
+    def _best_path(self, word: str) -> list[str]:
+        """The shortest path where a piece's weight doesn't depend on the one before it."""
+        best: list[tuple[float, int]] = [(0.0, 0)] + [(math.inf, 0)] * len(word)  # by end: weight, start of its last arc
+        for at, ends in enumerate(self.compose(word)):
+            for end in ends:
+                total = best[at][0] + self.weight("", word[at:end])
+                if total < best[end][0]:
+                    best[end] = (total, at)
+        out, end = [], len(word)
         while end:
-            out.append(piece)
-            _, start, before = states[end][piece]
-            end, piece = start, before
+            out.append(word[best[end][1] : end])
+            end = best[end][1]
         return out[::-1]
 
+    def shortest_path(self, word: str) -> list[str]:
+        """Pieces (or single characters without one) on the lattice's path of least weight."""
+        return self._only_path(word) if self.merges else self._best_path(word)
+
     # -- use ---------------------------------------------------------------------------------
 
-    def path(self, word: str) -> tuple[int, ...]:
-        """Ids of a word: the lattice falls apart where no piece joins two characters, and each part is looked up."""
-        joins, chunks, found, begin = self.joins, self.chunks, [], 0
+    def path(self, word: str) -> bytes:
+        """Packed ids of a word: the lattice falls apart where no piece joins two characters, and each part has its own path."""
+        joins, found, begin = self.joins, [], 0
         for end in range(1, len(word) + 1):
             if end == len(word) or word[end - 1 : end + 1] not in joins:
                 part = word[begin:end]
-                begin = end
-                ids = chunks.get(part)
+                # a part is a word itself, or follows inside one
+                known, key = (self.paths, part[1:]) if begin == 0 and part[0] == MARK else (self.parts, part)
+                ids = known.get(key)
                 if ids is None:
                     spelled: list[int] = []
                     for piece in self.shortest_path(part):
                         own = self.ids.get(piece)
                         spelled.extend(self.fallback(piece) if own is None else (own,))
-                    ids = tuple(spelled)
+                    ids = np.array(spelled, np.int32).tobytes()
                     if len(part) <= 64:
-                        _keep(chunks, part, ids)
-                found.extend(ids)
-        return tuple(found)
+                        _keep(known, key, ids, KEPT if known is self.paths else PARTS)
+                begin = end
+                found.append(ids)
+        return b"".join(found)
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, four bytes each."""
         if not text:
-            return out
-        paths = self.paths
+            return b""
+        out, paths = [], self.paths
         if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
             words = text.split(" ")  # each word of the normalised text is a mark and one of these
         else:
@@ -248,9 +257,12 @@ class Transducer:
             if ids is None:
                 ids = self.path(MARK + word)
                 if len(word) <= 64:
-                    _keep(paths, word, ids)
-            out += ids
-        return out
+                    _keep(paths, word, ids, KEPT)
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces and runs of bytes; marks become spaces and the one in front goes."""
@@ -303,9 +315,9 @@ def encode_decode(docs: DataFrame, model: bytes, with_decoded: bool = True) -> D
                 part = batch.slice(lo, 1024)
                 flat, ends, decoded, whole = [], [0], [], []
                 for text in part["text"].to_pylist():
-                    ids = fst.encode(text) if text is not None else []
-                    back = fst.decode(ids) if text is not None else None
-                    flat.append(np.array(ids, np.int32))
+                    ids = np.frombuffer(fst.packed(text or ""), np.int32)
+                    back = fst.decode(ids.tolist()) if text is not None else None
+                    flat.append(ids)
                     ends.append(ends[-1] + len(ids))
                     decoded.append(back)
                     whole.append(back == text)
