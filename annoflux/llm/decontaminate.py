@@ -13,7 +13,8 @@ Items without telling windows (short ones, or mostly numbers and names) are look
 whole: their words' sequence, in any case, is hashed and joined likewise. The first word of an
 item also stands for itself where the document writes it as a name.
 
-Documents' windows are generated and joined in one pass; only matches are shuffled. The
+Documents' windows are generated and joined in one pass; only matches are shuffled, with the words of
+their windows, from which slots are judged. The
 benchmark's windows are broadcast when their counted number is at most ``BROADCAST_ROWS``,
 and joined by a shuffle beyond.
 """
@@ -147,7 +148,7 @@ def _found_whole(named: DataFrame, whole: DataFrame, lengths: list[int], small:
     needles = needles.select("item_id", "n", hashes.alias("hash"))
     pairs = found.join(F.broadcast(needles) if small else needles, ["n", "hash"]).select("doc_id", "k", "uid", "item_id").distinct()
     one = F.lit(1).cast("long")
-    none = F.array().cast("array<struct<shift:int,item_at:int,at:int>>")
+    none = F.array().cast("array<struct<shift:int,item_at:int,at:int,said:array<string>>>")
     return pairs.select("*", one.alias("n_windows"), one.alias("n_matched"), none.alias("places"), F.lit(1.0).alias("coverage"))
 
 
@@ -171,12 +172,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     needles = items.select("item_id", "item_at", "hash", "first", "n_windows", "n_words")
     worded = _spoken(_chained(_worded(named), window))
     # outer: else the optimiser tests the windows' number below all that makes them, and makes them twice
-    spread = worded.select("doc_id", "k", "uid", F.posexplode_outer(F.arrays_zip(F.col("windows").alias("hash"), F.slice("w1", F.lit(1), F.size("windows")).alias("word"))).alias("at", "w"))
-    spread = spread.select("doc_id", "k", "uid", "at", "w.hash", "w.word").where("hash IS NOT NULL")
-    matched = spread.join(F.broadcast(needles) if small else needles, "hash").where("first IS NULL OR first = word")
+    spread = worded.select("doc_id", "k", "uid", "words", F.posexplode_outer(F.arrays_zip(F.col("windows").alias("hash"), F.slice("w1", F.lit(1), F.size("windows")).alias("word"))).alias("at", "w"))
+    spread = spread.select("doc_id", "k", "uid", "words", "at", "w.hash", "w.word").where("hash IS NOT NULL")
+    here = F.transform(F.slice("words", F.col("at") + 1, window), lambda w: F.lower(w))
+    if small:  # the words stay with the text until a window is matched
+        found = spread.join(F.broadcast(needles), "hash").withColumn("said", here)
+    else:
+        found = spread.select("doc_id", "k", "uid", "at", "hash", "word", here.alias("said")).join(needles, "hash")
+    matched = found.where("first IS NULL OR first = word")
     pairs = (
         matched.groupBy("doc_id", "k", "uid", "item_id", "n_windows", "n_words")
-        .agg(F.count_distinct("item_at").alias("n_matched"), F.collect_set(F.struct((F.col("at") - F.col("item_at")).alias("shift"), "item_at", "at")).alias("places"))
+        .agg(F.collect_set(F.struct((F.col("at") - F.col("item_at")).alias("shift"), "item_at", "at", "said")).alias("places"))
+        .withColumn("n_matched", F.size(F.array_distinct(F.col("places.item_at"))).cast("long"))
         .withColumn("covered", _covered(F.array_sort(F.array_distinct(F.col("places.item_at"))), window))
         .where((F.col("covered") >= coverage * F.col("n_words")) | (_longest(F.array_sort("places"), window) >= RUN))
         .withColumn("coverage", F.col("covered") / F.col("n_words"))
@@ -189,15 +196,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     slotted = items.where(F.col("first").isNull() & (F.size("slots") > 0)).select("item_id", "item_at", F.explode("slots").alias("slot"))
     asked = (
         pairs.select("k", "uid", "item_id", F.explode("places").alias("p"))
-        .select("k", "uid", "item_id", "p.item_at", (F.col("p.at") - F.col("p.item_at")).alias("shift"))
+        .select("k", "uid", "item_id", "p.item_at", "p.shift", "p.said")
         .join(slotted, ["item_id", "item_at"])
-        .select("k", "uid", "item_id", "shift", "slot.kind", "slot.value", (F.col("shift") + F.col("slot.place")).alias("at"))
+        .select("k", "uid", "item_id", "shift", "slot.kind", "slot.value", "slot.place", F.get("said", F.col("slot.place") - F.col("item_at")).alias("said"))
         .distinct()
     )
-    wanted = asked.groupBy("k", "uid").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-    shown = _worded(named.select("k", "uid", "text").join(wanted, ["k", "uid"])).select("k", "uid", "ats", "words")
-    shown = shown.select("k", "uid", F.explode("ats").alias("at"), "words").select("k", "uid", "at", F.lower(F.get("words", F.col("at"))).alias("said")).distinct()
-    by_meaning = asked.join(shown, ["k", "uid", "at"]).groupBy("k", "uid", "item_id", "shift", "kind", "value", "said").agg(F.count("*").alias("n"))
+    by_meaning = asked.groupBy("k", "uid", "item_id", "shift", "kind", "value", "said").agg(F.count("*").alias("n"))
     by_value = by_meaning.groupBy("k", "uid", "item_id", "shift", "kind", "value").agg(
         F.sum("n").alias("n"), F.max("n").alias("agreed"), F.sum(F.when(F.col("said") != F.col("value"), F.col("n")).otherwise(0)).alias("changed")
     )
@@ -225,8 +229,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options: float) -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns."""
-    found = leaks(docs, benchmark, **options).select(F.col("k").alias("_k"), F.col("uid").alias("_uid")).distinct()
+    """The rows of ``docs`` that leak no item, with all their columns; null and empty texts leak nothing, repeated rows go or stay together."""
+    own_k, own_uid = ex.free(docs, "k", "uid")
+    found = leaks(docs, benchmark, **options).select(F.col("k").alias(own_k), F.col("uid").alias(own_uid)).distinct()
     k = F.coalesce(F.col("doc_id").cast("long"), F.lit(ex.LAST))
     uid = ex.uid_of(k, F.coalesce(F.col("text"), F.lit("")))
-    return docs.withColumns({"_k": k, "_uid": uid}).join(found, ["_k", "_uid"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.withColumns({own_k: k, own_uid: uid}).join(found, [own_k, own_uid], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
