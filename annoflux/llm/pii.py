@@ -1,19 +1,26 @@
 """Personal data and information-theoretic sanitisation, by built-in functions only.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers. Beyond them,
-corpus co-occurrence estimates how strongly a word in a text with a protected entity reveals
-it: with n different texts, pointwise mutual information log2(n * n_et / (n_e * n_t)) against
-the entity's own information log2(n / n_e). A word that carries at least
-``disclosure`` of that information, seen with the entity in at least ``support``
-different texts, is a span of its own (kind ``term``). ``sanitise`` generalises base
-spans to their kind and removes terms.
+Base spans are e-mail addresses, IP addresses, card and phone numbers. Beyond them, corpus
+co-occurrence estimates how strongly a word reveals a protected entity of its text. Entities are
+the exact values and, as exact values seldom recur in different texts, what they are known by:
+an address's domain and name, a network, an area code, an issuer. With n different texts, of which
+n_e hold the entity, n_t the word and n_et both, pointwise mutual information
+log2(n * n_et / (n_e * n_t)) is compared with the entity's own information log2(n / n_e). A word that
+carries at least ``disclosure`` of it in ``support`` different texts, against evidence of chance
+(n_t times the divergence of n_et / n_t from n_e / n, in bits, must exceed those of choosing one
+of all words), is a span of its own (kind ``term``). ``sanitise`` generalises base spans to their
+kind and removes terms.
 
 Entities are paired with the different words of their whole texts, so pairs grow with the
-mentions, and every place of a flagged word in these texts is a span; the frequencies of words are summed in the tasks before they are shuffled.
+mentions, and every place of a flagged word in these texts is a span; the frequencies of words are
+summed in the tasks before they are shuffled. All four counts are of different texts, so copies
+are no evidence.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +39,8 @@ WORD = r"\p{L}{3,}+"
 #: Share of an entity's information from which a word discloses it, and texts that must show both.
 DISCLOSURE = 0.9
 SUPPORT = 2
+#: Parts into which the rows of a pair of entity and word are dealt when flags come back to them.
+SALTS = 16
 
 
 def _digits(value: Column) -> Column:
@@ -62,9 +71,34 @@ def _with_base(named: DataFrame) -> DataFrame:
     return named.withColumns({kind: found[kind] for kind in KINDS})
 
 
+def _entities() -> Column:
+    """Hashes of the protected entities of a text, at every level, from its base spans."""
+    value = lambda s: F.lower(s["value"])
+    digits = lambda s: _digits(s["value"])
+    network = lambda s: F.substring_index(s["value"], ".", 2)
+    levels = [
+        *[(kind, "value", value) for kind in KINDS],
+        ("email", "domain", lambda s: F.substring_index(value(s), "@", -1)),
+        ("email", "name", lambda s: F.regexp_replace(F.substring_index(value(s), "@", 1), "[^a-z]", "")),
+        ("ip", "network", network),
+        ("card", "issuer", lambda s: F.substring(digits(s), 1, 6)),
+        ("phone", "area", lambda s: F.substring(digits(s), 1, 4)),
+    ]
+
+    def named(kind: str, level: str, of: Callable[[Column], Column]) -> Column:
+        return F.transform(kind, lambda s: F.struct(F.lit(level).alias("level"), of(s).alias("of")))
+
+    return F.array_distinct(F.transform(F.filter(F.concat(*[named(*x) for x in levels]), lambda e: e["of"] != ""), lambda e: F.xxhash64(e["level"], e["of"])))
+
+
+def _prose(text: Column) -> Column:
+    """The text with addresses blanked; no other base span has a letter."""
+    return sp.blanked(text, EMAIL, text.contains("@"))
+
+
 def _words(text: Column) -> Column:
     """The different words of a text, lowered."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(_prose(text), F.lit(WORD), F.lit(0)), lambda w: F.lower(w)))
 
 
 def _standing(text: Column, words: Column) -> Column:
@@ -74,34 +108,52 @@ def _standing(text: Column, words: Column) -> Column:
     return F.transform(sp.find(text, pattern), lambda s: F.struct(s["start"], s["end"]))
 
 
-def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(k, uid, terms array<struct<start,end>>): words that disclose an entity of their text, wherever they stand in it."""
-    named = ex.named(docs)
-    values = F.concat(*[F.transform(kind, lambda s: F.xxhash64(F.lower(s["value"]))) for kind in KINDS])
-    rows = _with_base(named).select("k", "uid", "text", F.xxhash64("text").alias("said"), F.array_distinct(values).alias("entities"))
-    holding = cut(rows.where(F.size("entities") > 0))  # texts with an entity only
-    # a row for each entity and word of each different text
-    different = holding.select("said", "entities", "text").distinct()
-    seen = different.select("said", _words(F.col("text")).alias("words"), F.explode("entities").alias("entity")).select("said", "entity", F.explode("words").alias("word"))
+def flagged_pairs(different: DataFrame, texts: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """(entity, word): words that disclose an entity.
+
+    ``different`` has the different texts with entities (said, entities, words), ``texts`` all different texts.
+    """
+    seen = different.select(F.explode("entities").alias("entity"), "words").select("entity", F.explode("words").alias("word"))
     pairs = seen.groupBy("entity", "word").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     of_entity = different.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    texts = named.select("text").distinct()  # copies are counted once, like the pairs
-    of_word = texts.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_t"))
-    n = texts.agg(F.count("*").alias("n"))
-    flagged = (
+    of_word = cut(texts.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_t")))
+    n = texts.agg(F.count("*").alias("n")).crossJoin(of_word.agg(F.count("*").alias("n_words")))  # one row
+    share, usual = F.col("n_et") / F.col("n_t"), F.col("n_e") / F.col("n")
+    rest = F.when(share < 1, (1 - share) * F.log2((1 - share) / (1 - usual))).otherwise(0.0)
+    bits = F.col("n_t") * (share * F.log2(share / usual) + rest)
+    return (
         pairs.join(of_entity, "entity")
         .join(of_word, "word")
         .crossJoin(F.broadcast(n))  # one row
-        .where(F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) >= disclosure * F.log2(F.col("n") / F.col("n_e")))
+        .where((F.col("n_e") < F.col("n")) & (F.log2(share / usual) >= -disclosure * F.log2(usual)) & (bits > F.log2("n_words")))
         .select("entity", "word")
     )
-    told = seen.join(flagged, ["entity", "word"], "left_semi").groupBy("said").agg(F.collect_set("word").alias("words"))  # a text's words at most
-    return holding.join(told, "said").select("k", "uid", _standing(F.col("text"), F.col("words")).alias("terms")).dropDuplicates(["k", "uid"])
 
 
-def _clear_of_base(terms: Column, base: Column) -> Column:
-    """Terms that overlap no base span."""
-    return F.filter(F.coalesce(terms, F.array().cast("array<struct<start:int,end:int>>")), lambda t: ~F.exists(base, lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(k, uid, terms array<struct<start,end>>): words that disclose an entity of their text, wherever they stand in it.
+
+    Terms overlap no base span. Null and empty texts have none; rows that repeat have one row here.
+    """
+    named = ex.named(docs)
+    rows = _with_base(named).where(F.size(F.concat(*KINDS)) > 0)
+    # texts with an entity only; two hashes name a text
+    said = [F.xxhash64("text").alias("said"), F.xxhash64(F.lit(1), "text").alias("said2")]
+    holding = cut(rows.select("k", "uid", "text", *said, _entities().alias("entities")))
+    different = holding.select("said", "said2", "entities", "text").dropDuplicates(["said", "said2"]).select("said", "said2", "entities", _words(F.col("text")).alias("words"))
+    flagged = flagged_pairs(different, named.select("text").distinct(), disclosure, support)
+    salted = flagged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    seen = different.select("said", "said2", F.pmod("said", F.lit(SALTS)).cast("int").alias("salt"), "words", F.explode("entities").alias("entity"))
+    told = (
+        seen.select("said", "said2", "salt", "entity", F.explode("words").alias("word"))
+        .join(salted, ["entity", "word", "salt"], "left_semi")
+        .groupBy("said", "said2")
+        .agg(F.collect_set("word").alias("words"))  # a text's words at most
+    )
+    return holding.join(told, ["said", "said2"]).select("k", "uid", _standing(_prose(F.col("text")), F.col("words")).alias("terms")).dropDuplicates(["k", "uid"])
+
+
+NO_TERMS = "array<struct<start:int,end:int>>"
 
 
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
@@ -121,10 +173,9 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
         "uid",
         *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS],
         F.concat(*[_listed(kind, F.col(kind)) for kind in KINDS]).alias("listed"),
-        F.concat(*[F.transform(kind, lambda s: F.struct(s["start"], s["end"])) for kind in KINDS]).alias("base"),
     )
     terms = disclosing_terms(docs, disclosure, support)
-    kept = base.join(terms, ["k", "uid"], "left").withColumn("terms", _clear_of_base(F.col("terms"), F.col("base")))
+    kept = base.join(terms, ["k", "uid"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(NO_TERMS)))
     return kept.select(
         "doc_id",
         *[f"n_{kind}" for kind in KINDS],
@@ -144,24 +195,13 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     Null texts stay null; all other columns stay as they are. Where base spans of two kinds overlap, one
     placeholder (of the first kind by start) stands for both.
     """
-    rows = docs.withColumns(
-        {"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(ex.LAST)), "_text": F.coalesce("text", F.lit(""))}
-    ).withColumn("_uid", ex.uid_of(F.col("_k"), F.col("_text")))
-    found = base_spans(F.col("_text"))
-    rows = rows.withColumn("_base", F.concat(*[_generalised(kind, found[kind]) for kind in KINDS]))
-    terms = disclosing_terms(docs, disclosure, support).select(F.col("k").alias("_k"), F.col("uid").alias("_uid"), F.col("terms").alias("_terms"))
-    rows = rows.join(terms, ["_k", "_uid"], "left")
-    clear = F.transform(_clear_of_base(F.col("_terms"), F.col("_base")), lambda t: F.struct(t["start"], t["end"], F.lit("").alias("put")))
-    rows = rows.withColumn("_all", F.array_sort(F.concat("_base", clear)))
-    text = F.col("_text")
-    rebuilt = F.aggregate(
-        "_all",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["put"])).alias("parts")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
-    )
-    text_out = F.when(F.col("text").isNull() | (F.size("_all") == 0), F.col("text")).otherwise(rebuilt)
-    return rows.select(*[text_out.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    k, uid, text, base, found_terms = ex.free(docs, "k", "uid", "whole", "base", "terms")
+    rows = docs.withColumns({k: F.coalesce(F.col("doc_id").cast("long"), F.lit(ex.LAST)), text: F.coalesce("text", F.lit(""))})
+    rows = rows.withColumn(uid, ex.uid_of(F.col(k), F.col(text)))
+    found = base_spans(F.col(text))
+    rows = rows.withColumn(base, F.concat(*[_generalised(kind, found[kind]) for kind in KINDS]))
+    terms = disclosing_terms(docs, disclosure, support).select(F.col("k").alias(k), F.col("uid").alias(uid), F.col("terms").alias(found_terms))
+    rows = rows.join(terms, [k, uid], "left")
+    removed = F.transform(F.coalesce(found_terms, F.array().cast(NO_TERMS)), lambda t: F.struct(t["start"], t["end"], F.lit("").alias("put")))
+    clean = F.when(F.col("text").isNull(), F.col("text")).otherwise(sp.replaced(F.col(text), F.array_sort(F.concat(base, removed))))
+    return rows.select(*[clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from annoflux.llm import exchange as ex
 from annoflux.llm import spans as sp
+from annoflux.llm.storage import cut
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?+ *+[:=] *+["']?+[A-Za-z0-9+/_.=-]++"""
@@ -81,7 +82,8 @@ def scan(docs: DataFrame, repository: str = "source", owner: str | None = None,
         F.coalesce(F.col(owner or repository).cast("string"), F.lit("")).alias("owner"),
     ).withColumns({"k": F.coalesce("doc_id", F.lit(ex.LAST)), "said": F.xxhash64("text")})
     found = _candidates(F.col("text"))
-    rows = named.select("doc_id", "k", "said", "repository", "owner", F.concat(*[_described(i, kind, c) for i, (kind, c) in enumerate(found.items())]).alias("c"))
+    # texts are searched once; what is kept is a row's candidates
+    rows = cut(named.select("doc_id", "k", "said", "repository", "owner", F.concat(*[_described(i, kind, c) for i, (kind, c) in enumerate(found.items())]).alias("c")))
     each = rows.select("k", "said", "repository", "owner", F.explode("c").alias("c"))
     spread = (
         each.select(F.col("c.value").alias("value"), "repository", "owner")

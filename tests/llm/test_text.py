@@ -1,14 +1,17 @@
 """Operators 1, 2, 5, 6, 7, 9 and 10."""
 
 import hashlib
+import math
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from annoflux.llm import decontaminate, language_id, media, pii, secret_scan, sentencepiece_wfst, toxicity
+from annoflux.llm import decontaminate, jaccard_join, language_id, media, pii, secret_scan, sentencepiece_wfst, toxicity
 
 
 def test_transducer_equals_library(docs, corpus):
@@ -150,7 +153,7 @@ def test_disclosing_terms(spark):
     """A rare word beside one address in several texts discloses it; common words and single sightings don't."""
     texts = [(n, f"the letter {n}{chr(97 + n % 20)}aa of the office went out today") for n in range(60)]
     texts += [(100 + n, f"the person zebulon writes from boss@corp.com today number {n}") for n in range(3)]
-    texts += [(200, "the person quagmire writes from solo@corp.com today")]
+    texts += [(200, "the person quagmire writes from solo@else.net today")]
     df = spark.createDataFrame(texts, "doc_id long, text string")
     found = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
     at = texts[60][1].index("zebulon")
@@ -176,6 +179,86 @@ def test_copies_change_no_term(spark):
     assert all(copied[200 + n] == alone[100] for n in range(6))
 
 
+def test_terms_by_identifying_part(spark):
+    """No address recurs, but a word stands only in texts with addresses of one domain; chance pairs are no evidence."""
+    texts = [(n, f"the letter {n}{chr(97 + n % 20)}aa of the office went out today") for n in range(60)]
+    texts += [(100 + n, f"the letter of wintermute went out today from person{n}@tessier.example") for n in range(4)]
+    texts += [(200 + n, f"the letter went out today from 10{n}.7.1.{n}") for n in range(4)]
+    found = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    at = texts[60][1].index("wintermute")
+    assert all(f"term:{at}:{at + 10}" in found[100 + n].spans for n in range(4))
+    assert all(found[200 + n].n_term == 0 for n in range(4))
+
+
+def expected_terms(texts, disclosure=0.9, support=2):
+    """Brute force of the disclosure test: (text, word) of all flagged words."""
+    different = {t for t in texts if t is not None}
+    email, word = re.compile(PERSONAL["email"]), re.compile(r"[^\W\d_]{3,}")
+    parts, words = {}, {}
+    for t in different:
+        own = set()
+        for m in email.finditer(t):
+            name, domain = m.group().lower().split("@")
+            own |= {("value", m.group().lower()), ("domain", domain), ("name", re.sub("[^a-z]", "", name))}
+        parts[t] = {p for p in own if p[1]}
+        words[t] = {w.lower() for w in word.findall(email.sub(lambda m: " " * len(m.group()), t))}
+    n, n_words = len(different), len(set().union(*words.values()))
+    out = set()
+    for e in set().union(*parts.values()):
+        holding = [t for t in different if e in parts[t]]
+        for w in set().union(*(words[t] for t in holding)):
+            n_e, n_t, n_et = len(holding), sum(w in words[t] for t in different), sum(w in words[t] for t in holding)
+            share, usual = n_et / n_t, n_e / n
+            if n_et < support or n_e == n or math.log2(share / usual) < -disclosure * math.log2(usual):
+                continue
+            rest = (1 - share) * math.log2((1 - share) / (1 - usual)) if share < 1 else 0
+            if n_t * (share * math.log2(share / usual) + rest) > math.log2(n_words):
+                out |= {(t, w) for t in holding if w in words[t]}
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    rnd = random.Random(3)
+    words = [f"{a}{b}{c}" for a in ("kor", "len", "mip", "tas") for b in ("ba", "do", "fe") for c in ("x", "yy", "zed")]
+    texts = []
+    for n in range(150):
+        mail = f"{rnd.choice(['ann', 'bob', 'cyd'])}{rnd.randint(0, 3)}@{rnd.choice(['one', 'two', 'tri'])}.example " if n % 3 == 0 else ""
+        said = rnd.choices(words, k=rnd.randint(1, 5)) + (["Secretword"] if ".one" in mail or "one." in mail else [])
+        texts.append((n, f"{' '.join(said)} {mail}{rnd.choice(words)}"))
+    texts += [(300 + n, texts[n][1]) for n in range(30)] + [(400, None), (401, "")]
+    expected = expected_terms([t for _, t in texts])
+    assert expected
+    found = set()
+    for r in pii.find_personal_data(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        text = dict(texts)[r.doc_id]
+        found |= {(text, text[int(a) : int(b)].lower()) for kind, a, b in (x.split(":") for x in (r.spans or "").split(",") if x) if kind == "term"}
+    assert found == expected
+
+
+def test_many_spans(spark):
+    """A text of 80,000 numbers and one of 20,000 addresses take seconds."""
+    texts = [(1, " 12.1" * 80_000), (2, "a@b.c and 1.2.3.4 " * 20_000), (3, "token=abcdefghijkl " * 20_000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    assert (found[2].n_email, found[2].n_ip) == (20_000, 20_000)
+    assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[2] == "[EMAIL] and [IP] " * 20_000
+    assert {r.doc_id: r.n_assign for r in secret_scan.scan(df.withColumn("source", F.lit("s"))).collect()}[3] == 20_000
+    assert time.time() - began < 120
+
+
+def test_helper_names_clash(spark):
+    """Columns named like helpers stay as they are."""
+    columns = ["_k", "_uid", "_text", "_base", "_all", "_terms", "_each", "k", "uid", "whole", "base", "terms", "each"]
+    rows = [(n, f"text number {n} of a@b.c with words that differ {n * 7} and {n * 13} times", *[f"{c}{n}" for c in columns]) for n in range(5)]
+    df = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"`{c}` string" for c in columns]]))
+    benchmark = spark.createDataFrame([(1, "nothing of this is in any text at all, is it")], "item_id long, text string")
+    before = sorted(tuple(r)[2:] for r in df.collect())
+    for done in (pii.sanitise(df), jaccard_join.one_of_each(df), decontaminate.without_leaks(df, benchmark)):
+        assert done.columns == df.columns
+        assert sorted(tuple(r)[2:] for r in done.collect()) == before
+
+
 def test_terms_of_the_whole_text(spark):
     """A word that stands far from the address discloses it and goes everywhere in the text; clean words stay whole."""
     middle = "the office of the letter went out today and " * 4
