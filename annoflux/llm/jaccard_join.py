@@ -32,14 +32,14 @@ from annoflux.llm.storage import cut
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 80
-PART_BYTES = 12 << 20
-GROUPS = 32
+PART_BYTES = 8 << 20
+GROUPS = 128
 FANOUT = 16
 #: Sets, and bytes of sets, of one shingle that one task holds against each other; bytes also of small blocks together.
 TILE = 4096
 TILE_BYTES = 8 << 20
 #: Rows of blocks that one task searches.
-TASK_ROWS = 50_000
+TASK_ROWS = 10_000
 SALTS = 16
 SHORT_BITS = 40
 
@@ -185,7 +185,7 @@ class CountTree:
 
 
 def group_counts(sets: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.bincount((x >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS) for x in sets]).astype(np.int64)
+    return np.stack([np.bincount((x >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS) for x in sets]).astype(np.int32)
 
 
 def overlaps(one: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -203,13 +203,14 @@ def similar(overlap: np.ndarray, a: np.ndarray | int, b: np.ndarray | int, simil
 def _points(column: pd.Series) -> np.ndarray:
     """Group counts of packed points, a row each."""
     data = column.to_list()
-    if all(len(x) == 2 * GROUPS for x in data):
-        return np.frombuffer(b"".join(data), np.uint16).reshape(len(data), GROUPS).astype(np.int64)
-    return np.stack([np.frombuffer(x, np.uint16 if len(x) == 2 * GROUPS else np.uint32) for x in data]).astype(np.int64)
+    if all(len(x) == GROUPS for x in data):
+        return np.frombuffer(b"".join(data), np.uint8).reshape(len(data), GROUPS).astype(np.int32)
+    return np.stack([np.frombuffer(x, f"<u{len(x) // GROUPS}") for x in data]).astype(np.int32)
 
 
 def _packed(counts: np.ndarray) -> list[bytes]:
-    return [x.astype(np.uint16 if x.max() < 1 << 16 else np.uint32).tobytes() for x in counts]
+    """Points with as many bytes a coordinate as the largest needs."""
+    return [x.astype("<u1" if x.max() < 1 << 8 else "<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in counts]
 
 
 class Block:
@@ -268,12 +269,33 @@ def _task(n: int) -> Column:
     return F.pmod(F.col("block"), F.lit(n)).alias("task")
 
 
+def _tiled(rows: DataFrame, held: DataFrame, similarity: int, tile: int, tile_bytes: int) -> DataFrame:
+    """(block, node, n, asks, found): rows (key, node, n, asks, found) of a key as one block, or as tiles.
+
+    ``held`` has the keys to take with their size and total n. Members of a key beyond ``tile`` sets or
+    ``tile_bytes`` meet by bands of size (similar sets lie in one band or in neighbours), and each band in tiles.
+    """
+    strips = F.ceil(F.greatest(F.col("size") / tile, 8 * F.col("total") / tile_bytes)).cast("int")
+    salted = held.select("key", strips.alias("strips"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    here = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
+    one = here.where("strips = 1").select(F.xxhash64("key").alias("block"), "node", "n", "asks", "found")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / similarity) + 1e-9).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("strips")).cast("int")
+    others = F.sequence(F.lit(0), F.col("strips") - 1)
+    many = here.where("strips > 1").withColumns({"band": band, "mine": mine})
+    # a tile (found, asking) of a band; askers also look one band below
+    finds = many.where("found").select("key", "node", "n", "band", F.col("mine").alias("i"), F.explode(others).alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("found"))
+    asks = many.where("asks").withColumn("i", F.explode(others))
+    asks = asks.select("key", "node", "n", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "i", F.col("mine").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("found"))
+    tiles = finds.union(asks).groupBy(F.xxhash64("key", "band", "i", "j").alias("block"), "node", "n").agg(F.max("asks").alias("asks"), F.max("found").alias("found"))
+    return one.union(tiles)
+
+
 def _blocks(sets: DataFrame, similarity: int, tile: int, tile_bytes: int) -> DataFrame:
     """(block, node, n, point, asks, found): the sets that have one of their rarest shingles in common.
 
     Two similar sets share one of as many of their rarest shingles as the one may lack of the other, and one.
-    Of shingles with the same members one is kept. Members of a shingle beyond ``tile`` sets or ``tile_bytes``
-    meet by bands of size (similar sets lie in one band or in neighbours), and each band in tiles.
+    Of shingles with the same members one is kept.
     """
 
     def rare(batches):
@@ -298,25 +320,14 @@ def _blocks(sets: DataFrame, similarity: int, tile: int, tile_bytes: int) -> Dat
     rows = cut(sets.select("node", "n", "lonely", "shingles").mapInArrow(rare, "key long, node long, n long"))
     marks = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
     held = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size"), F.sum("n").alias("total"), *marks)
-    kept = held.where("first < last").groupBy("first", "last", "size", "x", "y").agg(F.min("key").alias("key"), F.first("total").alias("total"))
-    strips = F.ceil(F.greatest(F.col("size") / tile, 8 * F.col("total") / tile_bytes)).cast("int")
-    salted = kept.select("key", strips.alias("strips"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    here = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
-    one = here.where("strips = 1").select(F.xxhash64("key").alias("block"), "node", "n", F.lit(True).alias("asks"), F.lit(True).alias("found"))
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / similarity) + 1e-9).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("strips")).cast("int")
-    others = F.sequence(F.lit(0), F.col("strips") - 1)
-    many = here.where("strips > 1").withColumns({"band": band, "mine": mine})
-    # a tile (found, asking) of a band; askers also look one band below
-    finds = many.select("key", "node", "n", "band", F.col("mine").alias("i"), F.explode(others).alias("j"), F.lit(False).alias("asks"), F.lit(True).alias("found"))
-    asks = many.withColumn("i", F.explode(others)).select("key", "node", "n", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "i", F.col("mine").alias("j"), F.lit(True).alias("asks"), F.lit(False).alias("found"))
-    tiled = finds.union(asks).groupBy(F.xxhash64("key", "band", "i", "j").alias("block"), "node", "n").agg(F.max("asks").alias("asks"), F.max("found").alias("found"))
+    held = held.where("first < last").groupBy("first", "last", "size", "x", "y").agg(F.min("key").alias("key"), F.first("total").alias("total"))
+    both = rows.select("key", "node", "n", F.lit(True).alias("asks"), F.lit(True).alias("found"))
     points = sets.select("node", "shingles").mapInArrow(place, "node long, point binary")
-    return cut(one.union(tiled).join(points, "node"))
+    return cut(_tiled(both, held, similarity, tile, tile_bytes).join(points, "node"))
 
 
 def _candidates(blocks: DataFrame, similarity: int, tasks: int) -> DataFrame:
-    """(block, a, b, n_a, n_b): each asking set b with the first set of its block that the bound doesn't exclude."""
+    """(a, b, n_a, n_b): each asking set b with the first set of its block that the bound doesn't exclude."""
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -326,15 +337,17 @@ def _candidates(blocks: DataFrame, similarity: int, tasks: int) -> DataFrame:
             for q in np.flatnonzero(g["asks"]).tolist():
                 near = block.near(q)
                 if len(near):
-                    out.append((g["block"].iat[0], node[near[0]], node[q], n[near[0]], n[q]))
-        return pd.DataFrame(out, columns=["block", "a", "b", "n_a", "n_b"]).astype("int64")
+                    out.append((node[near[0]], node[q], n[near[0]], n[q]))
+        return pd.DataFrame(out, columns=["a", "b", "n_a", "n_b"]).astype("int64")
 
-    found = blocks.groupBy(_task(tasks)).applyInPandas(search, "block long, a long, b long, n_a long, n_b long")
-    return found.groupBy("a", "b").agg(F.min("block").alias("block"), F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"))
+    return blocks.groupBy(_task(tasks)).applyInPandas(search, "a long, b long, n_a long, n_b long").distinct()
 
 
 def _open(blocks: DataFrame, classes: DataFrame, similarity: int, tasks: int) -> DataFrame:
-    """(block, node, n, asks, found, root): members with a partner of another class that the bound doesn't exclude."""
+    """(key, node, n, asks, found): members with a partner of another class that the bound doesn't exclude.
+
+    They are keyed by the first of them in their block, so that blocks with about the same members become one.
+    """
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -349,17 +362,19 @@ def _open(blocks: DataFrame, classes: DataFrame, similarity: int, tasks: int) ->
                 near = near[root[near] != root[q]]
                 asks[q] = len(near) > 0
                 found[near] = True
-            out.append(g[["block", "node", "n", "root"]].assign(asks=asks, found=found)[asks | found])
-        columns = ["block", "node", "n", "asks", "found", "root"]
+            left = g[["node", "n"]].assign(asks=asks, found=found)[asks | found]
+            out.append(left.assign(key=left["node"].min()))
+        columns = ["key", "node", "n", "asks", "found"]
         return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns).astype({c: bool if c in ("asks", "found") else "int64" for c in columns})
 
     known = blocks.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return known.groupBy(_task(tasks)).applyInPandas(search, "block long, node long, n long, asks boolean, found boolean, root long")
+    return known.groupBy(_task(tasks)).applyInPandas(search, "key long, node long, n long, asks boolean, found boolean")
 
 
-def _linked(members: DataFrame, sets: DataFrame, similarity: int, task_bytes: int) -> DataFrame:
-    """(a, b, root_a, root_b): links that tie the classes inside blocks of ``members``, verified on the sets."""
-    members = cut(members)
+def _linked(members: DataFrame, classes: DataFrame | None, sets: DataFrame, similarity: int, tile: int, tile_bytes: int) -> DataFrame:
+    """(a, b, root_a, root_b): links that tie the classes of a key's members (key, node, n, asks, found), verified on the sets."""
+    members = cut(members.groupBy("key", "node").agg(F.max("n").alias("n"), F.max("asks").alias("asks"), F.max("found").alias("found")))
+    held = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
     total = members.agg(F.sum("n")).first()[0] or 0
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
@@ -371,8 +386,10 @@ def _linked(members: DataFrame, sets: DataFrame, similarity: int, task_bytes: in
             out += [(node[a], node[b], root[a], root[b]) for a, b in tie(block, sets, np.flatnonzero(g["asks"]), root, similarity)]
         return pd.DataFrame(out, columns=["a", "b", "root_a", "root_b"]).astype("int64")
 
-    whole = members.join(sets.select("node", "shingles"), "node")
-    return whole.groupBy(_task(max(1, 8 * total // task_bytes))).applyInPandas(join, "a long, b long, root_a long, root_b long")
+    tiled = _tiled(members, held, similarity, tile, tile_bytes)
+    tiled = tiled.withColumn("root", F.col("node")) if classes is None else tiled.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = tiled.join(sets.select("node", "shingles"), "node")
+    return whole.groupBy(_task(max(1, 8 * total // tile_bytes))).applyInPandas(join, "a long, b long, root_a long, root_b long")
 
 
 def _roots(sets: DataFrame, similarity: int, tile: int, tile_bytes: int) -> DataFrame:
@@ -380,13 +397,13 @@ def _roots(sets: DataFrame, similarity: int, tile: int, tile_bytes: int) -> Data
     blocks = _blocks(sets, similarity, tile, tile_bytes)
     tasks = max(1, blocks.count() // TASK_ROWS)
     # first every set against the first that may be similar: what a large group of near copies has in common is settled here
-    pairs = cut(_candidates(blocks, similarity, tasks)).withColumn("block", F.xxhash64("a", "block"))
-    askers = pairs.select("block", F.col("b").alias("node"), F.col("n_b").alias("n"), F.lit(True).alias("asks"), F.lit(False).alias("found"))
-    hubs = pairs.select("block", F.col("a").alias("node"), F.col("n_a").alias("n"), F.lit(False).alias("asks"), F.lit(True).alias("found")).distinct()
-    stars = _linked(askers.union(hubs).withColumn("root", F.col("node")), sets, similarity, tile_bytes)
+    pairs = cut(_candidates(blocks, similarity, tasks))
+    askers = pairs.select(F.col("a").alias("key"), F.col("b").alias("node"), F.col("n_b").alias("n"), F.lit(True).alias("asks"), F.lit(False).alias("found"))
+    hubs = pairs.select(F.col("a").alias("key"), F.col("a").alias("node"), F.col("n_a").alias("n"), F.lit(False).alias("asks"), F.lit(True).alias("found"))
+    stars = _linked(askers.union(hubs), None, sets, similarity, tile, tile_bytes)
     classes = cut(components(stars.select("a", "b")))
     # then all that may still tie different classes
-    rest = _linked(_open(blocks, classes, similarity, tasks), sets, similarity, tile_bytes)
+    rest = _linked(_open(blocks, classes, similarity, tasks), classes, sets, similarity, tile, tile_bytes)
     joined = components(rest.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("c_node"), F.col("root").alias("c_root"))
     every = classes.join(joined, classes["root"] == joined["c_node"], "full")
     return every.select(F.coalesce("node", "c_node").alias("node"), F.coalesce("c_root", "root").alias("root"))
