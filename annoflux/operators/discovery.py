@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annoflux.functions import sequence as sq
@@ -60,24 +60,9 @@ def fill_orfs(orf_genes: DataFrame, genes: DataFrame) -> DataFrame:
     return iv.without_overlap(orf_genes, genes)
 
 
-def _piece(low: Column, high: Column) -> Column:
-    """Letters low..high of the scanned strand: cut from the forward strand first, then turned."""
-    forward = F.col("strand") == 1
-    start = F.when(forward, low).otherwise(F.length("_genome") - high)
-    part = F.upper(F.substring("_genome", (start + 1).cast("int"), (high - low).cast("int")))
-    return F.when(forward, part).otherwise(sq.reverse_complement(part, keep_others=True))
-
-
-def _with_context(found: DataFrame, genomes: DataFrame) -> DataFrame:
-    """Adds up to 15 bases before the start and the coding sequence of candidates."""
-    joined = found.join(genomes.select("genome_id", F.col("sequence").alias("_genome")), "genome_id")
-    low = F.greatest(F.col("pos") - 15, F.lit(0))
-    return joined.withColumns({"upstream": _piece(low, F.col("pos")), "sequence": _piece(F.col("pos"), F.col("stop"))}).drop("_genome")
-
-
 def rescue_candidates(genomes: DataFrame, min_aa: int = 20) -> DataFrame:
     """Longest ATG frames with their number of binding motifs upstream."""
-    found = _with_context(orfs.longest_orf_per_stop(genomes, min_aa), genomes)
+    found = orfs.longest_orf_per_stop(genomes, min_aa, context=True)
     # upstream ends at the start codon: motifs stand in its bases from 14 to 4 before the end
     return found.withColumn("rbs", sq.rbs_count(F.col("upstream"), F.length("upstream")))
 
@@ -104,7 +89,7 @@ def rescue_nested_scan(genomes: DataFrame, hosts: DataFrame, min_aa: int = 20) -
 
 def nested_candidates(genomes: DataFrame, min_aa: int = 50) -> DataFrame:
     """All-start frames with the weighted score of their binding motif."""
-    found = _with_context(orfs.all_starts_orfs(genomes, min_aa), genomes)
+    found = orfs.all_starts_orfs(genomes, min_aa, context=True)
     return found.withColumn("sd", sq.weighted_sd_score(F.col("upstream"), F.length("upstream")))
 
 
@@ -124,8 +109,11 @@ def add_ncrna(genes: DataFrame, trna: DataFrame, rrna: DataFrame) -> DataFrame:
     return with_trna.unionByName(iv.without_overlap(rrna, with_trna))
 
 
-def gene_discovery(genomes: DataFrame, genes: DataFrame, phage: bool = True) -> DataFrame:
-    """Annotated genes, filled ORFs, rescued and, for phages, nested genes: one row a span with its source."""
+def gene_discovery(genomes: DataFrame, genes: DataFrame, phage: bool = True, trna: DataFrame | None = None, rrna: DataFrame | None = None) -> DataFrame:
+    """Annotated genes, filled ORFs, rescued and, for phages, nested genes, then non-coding RNAs: one row a span with its source.
+
+    ``trna`` and ``rrna`` are the finders' frames (genome_id, start, end, strand); None where a finder didn't run.
+    """
     columns = ["genome_id", "start", "end", "strand", "source"]
     known = genes.select(*columns)
     wanting = genomes.join(needs_orfs(genomes, known).where("needs"), "genome_id", "left_semi")
@@ -136,5 +124,8 @@ def gene_discovery(genomes: DataFrame, genes: DataFrame, phage: bool = True) ->
     now = cut(now.unionByName(rescued))
     if phage:
         nested = nested_orfs(genomes, now, codon_usage(_gene_sequence(now, genomes))).withColumn("source", F.lit("nested_orf")).select(*columns)
-        now = now.unionByName(nested)
+        now = cut(now.unionByName(nested))
+    for found, source in ((trna, "tRNA_prediction"), (rrna, "rRNA_prediction")):
+        if found is not None:
+            now = now.unionByName(iv.without_overlap(found.withColumn("source", F.lit(source)).select(*columns), now))
     return now

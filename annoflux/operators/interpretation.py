@@ -144,16 +144,50 @@ def uninterpreted(genes: DataFrame, interpretations: DataFrame) -> DataFrame:
     return genes.select("gene_id").distinct().join(interpretations.select("gene_id"), "gene_id", "left_anti")
 
 
+# Sentences of the narrative; {} is the function.
+AMBIGUOUS = "The function of this gene is ambiguous due to conflicting evidence."
+OPENINGS = {
+    "sure": "GIAE identifies this gene as a **{}** with very high confidence.",
+    "high": "Primary evidence strongly suggests this gene encodes a **{}**.",
+    "moderate": "This gene is likely a **{}**, though some uncertainty remains.",
+    "low": "Preliminary analysis suggests a possible role as a **{}**.",
+    "speculative": "The function is speculative, potentially resembling a **{}**.",
+}
+SUPPORT = {
+    "none": "No specific evidence details were provided.",
+    "both": "This conclusion is supported by both sequence homology and specific structural motifs, providing a robust consensus.",
+    "homology": "This is based primarily on sequence homology to known proteins in the database.",
+    "motif": "The identification is driven by the presence of conserved functional motifs, characteristic of this protein family.",
+    "other": "This based on available structural and sequence features.",
+}
+CAVEATS = {
+    "conflict": "However, there are conflicting signal from different evidence sources that warrant manual review.",
+    "alternative": "An alternative hypothesis ({}) was also considered but had lower support.",
+    "single": "Note that this relies on a single type of evidence, which increases the risk of false positives.",
+}
+
+
+def _said(sentence: str, value: Column) -> Column:
+    before, after = sentence.split("{}")
+    return F.concat(F.lit(before), value, F.lit(after))
+
+
 def narrative(interpretations: DataFrame) -> DataFrame:
-    opening = (
-        F.when((F.col("level") == "high") & (F.col("score") > 0.9), "This gene is confidently identified as ")
-        .when(F.col("level") == "high", "This gene is likely ")
-        .when(F.col("level") == "moderate", "This gene may be ")
-        .otherwise("This gene is tentatively suggested to be ")
-    )
-    based = F.when(F.exists("reasoning", lambda r: r.contains("BLAST")), " Sequence homology supports this.").when(F.exists("reasoning", lambda r: r.contains("motif")), " Motifs support this.").otherwise("")
-    caveat = F.when(F.array_contains("uncertainty", "conflicting_evidence"), " Evidence conflicts.").otherwise("")
-    return interpretations.select("gene_id", F.concat(opening, "hypothesis", F.lit("."), based, caveat).alias("narrative"))
+    """A paragraph a gene: opening by level, what supports it, caveats. Null lists are empty."""
+    function = F.coalesce("hypothesis", F.lit(""))
+    level = F.when((F.col("level") == "high") & (F.col("score") > 0.9), "sure").when(F.col("level").isin("high", "moderate", "low"), F.col("level")).otherwise("speculative")
+    opening = F.when(function.contains("Ambiguous"), AMBIGUOUS)
+    for name, sentence in OPENINGS.items():
+        opening = opening.when(level == name, _said(sentence, function))
+    chain = F.coalesce("reasoning", F.array().cast("array<string>"))
+    mentions = lambda *words: F.exists(chain, lambda r: F.lower(r).rlike("|".join(words)))
+    homology, motif = F.exists(chain, lambda r: r.contains("BLAST")) | mentions("homology"), mentions("motif", "domain")
+    kind = F.when(F.size(chain) == 0, "none").when(homology & motif, "both").when(homology, "homology").when(motif, "motif").otherwise("other")
+    sources = F.coalesce("uncertainty", F.array().cast("array<string>"))
+    first = F.get(F.coalesce(F.col("competing.function"), F.array().cast("array<string>")), F.lit(0))
+    conflict = F.when(F.array_contains(sources, "conflicting_evidence"), CAVEATS["conflict"]).when(first.isNotNull(), _said(CAVEATS["alternative"], first))
+    single = F.when(F.array_contains(sources, "Single Evidence Type"), CAVEATS["single"])
+    return interpretations.select("gene_id", F.concat_ws(" ", opening, _lookup(kind, SUPPORT), conflict, single).alias("narrative"))
 
 
 # -- function ------------------------------------------------------------------------------

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "ord int, name string, pattern string, description string, category string, weight double"
 MIN_SCORE = 0.3
+MOST_PATTERNS = 20_000
 # The built-in motifs.
 BUILTIN = [
     (0, "helix_turn_helix", "[LIVMFYWC][ASGTNQ].{2}[LIVMFYWC].{4,5}[LIVMFYWC].{2}G[LIVMFYWC].{5,6}[LIVMFYWC]{2}", "Helix-turn-helix DNA binding motif", "domain", 0.7),
@@ -91,35 +96,39 @@ def scan_categories(patterns: DataFrame, *categories: str) -> DataFrame:
 
 
 def motif_scan(sequences: DataFrame, patterns: DataFrame, key: str = "gene_id", sequence: str = "protein_seq", min_score: float = MIN_SCORE) -> DataFrame:
-    """Leftmost non-overlapping matches of every pattern: key, ord, name, category, start, end, matched, score.
+    """Leftmost non-overlapping matches of every pattern: key, ord, name, description, category, start, end, matched, score.
 
-    The pattern table is small by nature (the whole of PROSITE has some 1,800 rows) and is broadcast;
-    a pair goes on only if it matches. Places come from the lengths between the matches.
+    The patterns (the whole of PROSITE has some 1,800; at most ``MOST_PATTERNS``) go to the tasks, which compile
+    each once and run it over Arrow batches. Null sequences match nothing; a score of more than 1 counts as 1.
     """
-    seq, p = F.col("_seq"), F.col("pattern")
-    pairs = sequences.select(key, F.upper(sequence).alias("_seq")).crossJoin(F.broadcast(patterns)).where(F.regexp("_seq", "pattern"))
-    values = F.regexp_extract_all(seq, p, F.lit(0))
-    between = F.split(seq, p, -1)
-    found = pairs.withColumns({"_values": values, "_between": between})
-    zipped = F.zip_with(F.col("_values"), F.slice("_between", F.lit(1), F.size("_values")), lambda v, b: F.struct(v.alias("value"), F.length(b).alias("gap")))
-    placed = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("all")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
-            F.concat(acc["all"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["value"].alias("value")))).alias("all"),
-        ),
-    )["all"]
-    each = found.select(key, "ord", "name", "description", "category", "weight", "pattern", F.explode_outer(placed).alias("m"))
-    expected = F.floor((F.length(F.regexp_replace("pattern", r"[\[\]]", ""))) / 2)
-    ratio = F.length("m.value") / expected
-    score = F.when((expected > 0) & ratio.between(0.8, 1.2), F.col("weight") * 1.1).otherwise(F.col("weight"))
-    return (
-        each.where("m IS NOT NULL")
-        .select(key, "ord", "name", "description", "category", F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.value")).alias("end"), F.col("m.value").alias("matched"), score.alias("score"))
-        .where(F.col("score") >= min_score)
-        .withColumn("score", F.least("score", F.lit(1.0)))
-    )
+    table = patterns.select("ord", "name", "pattern", "description", "category", "weight").limit(MOST_PATTERNS + 1).collect()
+    if len(table) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns")
+    rules = [(tuple(r), len(re.sub(r"[\[\]]", "", r.pattern)) // 2) for r in table]
+    schema = f"`{key}` {sequences.schema[key].dataType.simpleString()}, ord int, name string, description string, category string, start int, end int, matched string, score double"
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [(re.compile(pattern).finditer, expected, weight, (ord_, name, description, category)) for (ord_, name, pattern, description, category, weight), expected in rules]
+        types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                rows, out = [], []
+                for i, text in enumerate(part["sequence"].to_pylist()):
+                    for find, expected, weight, own in compiled if text else ():
+                        for m in find(text):
+                            near = expected > 0 and 0.8 <= (m.end() - m.start()) / expected <= 1.2
+                            score = weight * 1.1 if near else weight
+                            if score >= min_score:
+                                rows.append(i)
+                                out.append((*own, m.start(), m.end(), m.group(), min(score, 1.0)))
+                columns = list(zip(*out, strict=True)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays(
+                    [part["key"].take(pa.array(rows, pa.int32())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]],
+                    names=[key, "ord", "name", "description", "category", "start", "end", "matched", "score"],
+                )
+
+    return sequences.select(F.col(key).alias("key"), F.upper(sequence).alias("sequence")).mapInArrow(scan, schema)
 
 
 def motif_report(genes: DataFrame, matches: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Open reading frames in six frames.
 
-A small Arrow helper turns sequences into codon events (starts and stops only); the next
-stop of a start is a window over tiles of the events, with the first stop of later tiles
-carried by a second window over one row a tile, so that no partition holds a chromosome.
+A small Arrow helper finds the next stop of every start, from the sequence's end to its begin in
+tiles, and carries each frame's next stop on; so nothing is shuffled, and what a task holds besides
+the sequence is a tile's work and its starts. On request it adds the bases before a start and
+the coding sequence, so that no genome is joined to its frames later.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ from pyspark.sql import functions as F
 STOPS = ("TAA", "TAG", "TGA")
 STARTS = ("ATG", "GTG", "TTG")
 TILE = 1 << 16
-EVENTS = "genome_id string, length long, strand int, frame int, pos long, start boolean, whole_end long"
+FRAMES = "genome_id string, length long, strand int, frame int, pos long, stop long, whole_end long"
+#: Bases before a start that hold its binding motif.
+UPSTREAM = 15
+#: Rows that the helper yields at once.
+ROWS = 2048
 
 _CODE = np.full(256, 4, np.int16)
 _CODE[np.frombuffer(b"TCAGtcag", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
-_COMPLEMENT = np.full(256, ord("N"), np.uint8)
+_COMPLEMENT = np.arange(256, dtype=np.uint8)  # ambiguity codes stay: they are in no start and no stop
 _COMPLEMENT[np.frombuffer(b"ATGCN", np.uint8)] = np.frombuffer(b"TACGN", np.uint8)
 
 
@@ -33,42 +38,71 @@ def _kinds(codons: tuple[str, ...]) -> np.ndarray:
     return flags
 
 
-def codon_events(genomes: DataFrame, starts: tuple[str, ...] = STARTS) -> DataFrame:
-    """Start and stop codons of both strands; pos counts on the scanned strand, whole_end ends its frame's last codon."""
+def _next_stops(letters: np.ndarray, is_start: np.ndarray, is_stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of start codons, ascending, and the end of the next stop codon in frame (-1 without one)."""
+    n, none = len(letters) - 2, np.iinfo(np.int64).max
+    carried = [none, none, none]
+    places, stops = [], []
+    for lo in range((max(n, 1) - 1) // TILE * TILE, -1, -TILE):
+        code = _CODE[letters[lo : min(lo + TILE, n) + 2]]
+        codon = code[:-2] * 25 + code[1:-1] * 5 + code[2:]
+        for frame in range(3):
+            at = np.arange((frame - lo) % 3, len(codon), 3)
+            if not len(at):
+                continue
+            after = np.where(is_stop[codon[at]], lo + at + 3, none)
+            after[-1] = min(after[-1], carried[frame])
+            after = np.minimum.accumulate(after[::-1])[::-1]
+            carried[frame] = after[0]
+            begins = is_start[codon[at]]
+            places.append(lo + at[begins])
+            stops.append(after[begins])
+    place, stop = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (places, stops))
+    order = np.argsort(place, kind="stable")
+    return place[order], np.where(stop == none, -1, stop)[order]
+
+
+def frames(genomes: DataFrame, starts: tuple[str, ...] = STARTS, least: int = 0, earliest: bool = False, partial: bool = False, context: bool = False) -> DataFrame:
+    """Start codons of both strands with the next stop in frame, ``least`` bases and more.
+
+    pos and stop count on the scanned strand, whole_end ends its frame's last codon. ``partial``: starts
+    without a stop have a null one and reach to whole_end. ``earliest``: of the starts of a stop only the first.
+    ``context`` adds upstream and sequence, in upper case. Null and short sequences have none.
+    """
     is_start, is_stop = _kinds(starts), _kinds(STOPS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for gid, seq in zip(batch["genome_id"].to_pylist(), batch["sequence"].to_pylist(), strict=True):
-                raw = np.frombuffer((seq or "").upper().encode(), np.uint8)
+            for gid, seq in zip(batch["genome_id"].to_pylist(), batch["sequence"], strict=True):
+                raw = np.frombuffer((seq.as_py() or "").upper().encode(), np.uint8)
                 if len(raw) < 3:
                     continue
                 for strand, letters in ((1, raw), (-1, _COMPLEMENT[raw][::-1])):
-                    code = _CODE[letters]
-                    codon = code[:-2] * 25 + code[1:-1] * 5 + code[2:]
-                    begins = is_start[codon]
-                    pos = np.flatnonzero(begins | is_stop[codon])
-                    n = len(pos)
-                    frame = pos % 3
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([gid] * n, pa.string()), pa.array(np.full(n, len(raw))), pa.array(np.full(n, strand, np.int32)), pa.array(frame.astype(np.int32)),
-                         pa.array(pos), pa.array(begins[pos]), pa.array(frame + (len(raw) - frame) // 3 * 3)],
-                        names=["genome_id", "length", "strand", "frame", "pos", "start", "whole_end"],
-                    )
-
-    return genomes.select("genome_id", "sequence").mapInArrow(scan, EVENTS)
-
-
-def _next_stops(events: DataFrame) -> DataFrame:
-    """Starts with ``stop``, the end of the next stop codon in frame; null without one."""
-    tiled = events.withColumns({"tile": F.floor(F.col("pos") / TILE), "stop_at": F.when(~F.col("start"), F.col("pos") + 3)})
-    frame = ["genome_id", "strand", "frame"]
-    following = Window.partitionBy(*frame, "tile").orderBy("pos").rowsBetween(0, Window.unboundedFollowing)
-    here = tiled.withColumn("stop", F.min("stop_at").over(following)).where("start")
-    first = tiled.groupBy(*frame, "tile").agg(F.min("stop_at").alias("first_stop"))
-    later = Window.partitionBy(*frame).orderBy("tile").rowsBetween(1, Window.unboundedFollowing)
-    carried = first.withColumn("carried", F.min("first_stop").over(later)).select(*frame, "tile", "carried")
-    return here.join(carried, [*frame, "tile"]).withColumn("stop", F.coalesce("stop", "carried")).drop("tile", "stop_at", "carried")
+                    pos, stop = _next_stops(letters, is_start, is_stop)
+                    whole = pos % 3 + (len(raw) - pos % 3) // 3 * 3
+                    keep = np.where(stop < 0, whole, stop) - pos >= least
+                    if not partial:
+                        keep &= stop >= 0
+                    if earliest:
+                        first = np.zeros(len(pos), bool)
+                        first[np.unique(np.where(stop < 0, -1 - pos, stop), return_index=True)[1]] = True
+                        keep &= first
+                    pos, stop, whole = pos[keep], stop[keep], whole[keep]
+                    for lo in range(0, len(pos), ROWS):
+                        p, q, w = pos[lo : lo + ROWS], stop[lo : lo + ROWS], whole[lo : lo + ROWS]
+                        n = len(p)
+                        columns = [
+                            pa.array([gid] * n, pa.string()), pa.array(np.full(n, len(raw))), pa.array(np.full(n, strand, np.int32)),
+                            pa.array((p % 3).astype(np.int32)), pa.array(p), pa.array(q, mask=q < 0), pa.array(w),
+                        ]
+                        if context:
+                            columns.append(pa.array([letters[max(x - UPSTREAM, 0) : x].tobytes().decode() for x in p.tolist()], pa.string()))
+                            columns.append(pa.array([letters[x:y].tobytes().decode() for x, y in zip(p.tolist(), np.where(q < 0, w, q).tolist(), strict=True)], pa.string()))
+                        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = FRAMES + (", upstream string, sequence string" if context else "")
+    names = [x.split()[0] for x in schema.split(", ")]
+    return genomes.select("genome_id", "sequence").mapInArrow(scan, schema)
 
 
 def _on_forward(df: DataFrame) -> DataFrame:
@@ -87,24 +121,27 @@ def six_frame_orfs(genomes: DataFrame, min_length: int = 100, include_partial: b
     ``pos`` and ``stop`` count on the scanned strand, ``start`` and ``end`` on the forward strand.
     ``include_partial``: starts without a stop reach to the last whole codon.
     """
-    found = _next_stops(codon_events(genomes, starts))
+    found = frames(genomes, starts, min_length, partial=include_partial)
     if include_partial:
         found = found.withColumns({"partial": F.col("stop").isNull(), "stop": F.coalesce("stop", "whole_end")})
-    columns = [*COLUMNS, *(["partial"] if include_partial else [])]
-    return _on_forward(found.where(F.col("stop") - F.col("pos") >= min_length)).select(*columns)
+    return _on_forward(found).select(*COLUMNS, *(["partial"] if include_partial else []))
+
+
+def orfs_with_sequence(genomes: DataFrame, min_length: int = 100) -> DataFrame:
+    """``six_frame_orfs`` with the coding ``sequence`` of each."""
+    return _on_forward(frames(genomes, least=min_length, context=True)).select(*COLUMNS, "sequence")
 
 
-def longest_orf_per_stop(genomes: DataFrame, min_aa: int = 20) -> DataFrame:
+def longest_orf_per_stop(genomes: DataFrame, min_aa: int = 20, context: bool = False) -> DataFrame:
     """The earliest ATG of each stop codon; the length test sees that start alone."""
-    found = _next_stops(codon_events(genomes, ("ATG",))).where(F.col("stop").isNotNull())
-    earliest = found.groupBy("genome_id", "length", "strand", "frame", "stop").agg(F.min("pos").alias("pos"))
-    return _on_forward(earliest.where(F.col("stop") - F.col("pos") >= 3 * min_aa + 3)).select(*COLUMNS)
+    found = frames(genomes, ("ATG",), 3 * min_aa + 3, earliest=True, context=context)
+    return _on_forward(found).select(*COLUMNS, *(["upstream", "sequence"] if context else []))
 
 
-def all_starts_orfs(genomes: DataFrame, min_aa: int = 50) -> DataFrame:
+def all_starts_orfs(genomes: DataFrame, min_aa: int = 50, context: bool = False) -> DataFrame:
     """Every start of each stop codon with ``min_aa`` codons before the stop."""
-    found = _next_stops(codon_events(genomes)).where(F.col("stop").isNotNull())
-    return _on_forward(found.where(F.col("stop") - F.col("pos") >= 3 * min_aa + 3)).select(*COLUMNS)
+    found = frames(genomes, least=3 * min_aa + 3, context=context)
+    return _on_forward(found).select(*COLUMNS, *(["upstream", "sequence"] if context else []))
 
 
 def orf_sequence(sequence: Column, start: Column, end: Column, strand: Column) -> Column:
@@ -115,12 +152,17 @@ def orf_sequence(sequence: Column, start: Column, end: Column, strand: Column) -
     return F.when(strand == 1, part).otherwise(reverse_complement(part))
 
 
+def gene_id() -> Column:
+    """The id of a predicted gene, of its genome and place."""
+    return F.sha2(F.concat_ws("|", "genome_id", "start", "end", "strand", F.lit("orf_prediction")), 256)
+
+
 def orfs_to_genes(orfs: DataFrame, prefix: str = "ORF") -> DataFrame:
     """Genes numbered by position within their genome."""
     order = Window.partitionBy("genome_id").orderBy("start", "end", F.desc("strand"), "frame")
     return orfs.withColumn("rank", F.row_number().over(order)).select(
         "genome_id",
-        F.sha2(F.concat_ws("|", "genome_id", "start", "end", "strand", F.lit("orf_prediction")), 256).alias("gene_id"),
+        gene_id().alias("gene_id"),
         F.format_string(f"{prefix}_%04d", "rank").alias("locus_tag"),
         "start",
         "end",

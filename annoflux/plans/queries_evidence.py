@@ -153,14 +153,14 @@ def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j7_lookup_by_length",
-    """p AS (SELECT gene_id, length(protein_seq) % 500 AS len FROM proteins), q AS (SELECT DISTINCT len FROM p WHERE len >= 10),
+    """p AS (SELECT gene_id, length(protein_seq) AS len FROM proteins), q AS (SELECT DISTINCT len FROM p WHERE len >= 10),
     r AS (SELECT len, accession, row_number() OVER (PARTITION BY len ORDER BY abs(length - len), accession) AS hit_rank FROM q JOIN annotations ON abs(length - len) <= 20)
     SELECT gene_id, accession, hit_rank FROM p JOIN r USING (len) WHERE hit_rank <= 3""",
     ("proteins", "annotations"),
 )
 def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
     proteins = view(spark, sf_dir, "proteins")
-    genes = proteins.select("gene_id", F.expr("substring(protein_seq, 1, length(protein_seq) % 500)").alias("protein_seq"), F.lit(None).cast("string").alias("name"))
+    genes = proteins.select("gene_id", "protein_seq", F.lit(None).cast("string").alias("name"))
     return ev.lookup_by_length(genes, view(spark, sf_dir, "annotations")).select("gene_id", "accession", "hit_rank")
 
 
@@ -179,9 +179,9 @@ def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.domains_by_name(_named(spark, sf_dir), view(spark, sf_dir, "annotations"), domains).select("gene_id", "accession", "domain_id", "hit_rank")
 
 
-@query("j9_pfam_lookup", "t AS (SELECT accession AS hit, gene_name AS cog FROM annotations WHERE length % 20 = 0) SELECT gene_id, hit_id, cog FROM hits LEFT JOIN t ON 'sp|' || substr(hit, 2) = hit_id", ("hits", "annotations"))
+@query("j9_pfam_lookup", "t AS (SELECT accession AS hit, gene_name AS cog FROM annotations) SELECT gene_id, hit_id, cog FROM hits LEFT JOIN t ON 'sp|' || substr(hit, 2) = hit_id", ("hits", "annotations"))
 def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = view(spark, sf_dir, "annotations").where("length % 20 = 0").select(F.concat(F.lit("sp|"), F.expr("substring(accession, 2)")).alias("pfam_id"), F.col("gene_name").alias("cog"))
+    table = view(spark, sf_dir, "annotations").select(F.concat(F.lit("sp|"), F.expr("substring(accession, 2)")).alias("pfam_id"), F.col("gene_name").alias("cog"))
     return ev.pfam_lookup(view(spark, sf_dir, "hits").withColumn("pfam_id", F.col("hit_id")), table).select("gene_id", "hit_id", "cog")
 
 

@@ -308,10 +308,8 @@ def f8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w1_genome_support")
 def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six-frame ORFs, motifs of their proteins, evidence, hypotheses, confidence; counts by genome."""
-    genomes = view(spark, sf_dir, "genomes")
-    found = orfs.six_frame_orfs(genomes).join(genomes, "genome_id")
-    coding = orfs.orf_sequence(F.col("sequence"), F.col("start"), F.col("end"), F.col("strand"))
-    genes = found.select("genome_id", F.concat_ws("|", "genome_id", "start", "end", "strand").alias("gene_id"), sq.translate_dna(coding).alias("protein_seq"))
+    found = orfs.orfs_with_sequence(view(spark, sf_dir, "genomes"))
+    genes = found.select("genome_id", F.concat_ws("|", "genome_id", "start", "end", "strand").alias("gene_id"), sq.translate_dna(F.col("sequence")).alias("protein_seq"))
     evidence = cut(ev.collect_evidence(ev.motif_evidence(mt.motif_scan(genes, mt.builtin_patterns(spark)))))
     scored = ip.rank_hypotheses(ip.score_confidence(hy.generate_hypotheses(evidence), evidence))
     return ip.interpretation_summary(genes.select("genome_id", "gene_id").join(ip.interpret(scored), "gene_id", "left"))
@@ -320,6 +318,8 @@ def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("g6_genome_summary")
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
     genomes = view(spark, sf_dir, "genomes")
-    genes = orfs.orfs_to_genes(orfs.six_frame_orfs(genomes))
-    proteins = genes.join(genomes, "genome_id").select("gene_id", sq.translate_dna(orfs.orf_sequence(F.col("sequence"), F.col("start"), F.col("end"), F.col("strand"))).alias("protein_seq"))
+    found = orfs.orfs_with_sequence(genomes)
+    genes = orfs.orfs_to_genes(found)
+    # a gene's id is made of its genome and place, so proteins need no join with genes
+    proteins = found.select(orfs.gene_id().alias("gene_id"), sq.translate_dna(F.col("sequence")).alias("protein_seq"))
     return ev.genome_summary(genomes, genes, mt.motif_scan(proteins, mt.builtin_patterns(spark)))

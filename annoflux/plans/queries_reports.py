@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annoflux.functions import sequence as sq
 from annoflux.operators import evaluation as bm
 from annoflux.operators import orfs
-from annoflux.plans.queries_interpret import _interpreted, results_view
+from annoflux.plans.queries_interpret import _interpreted, _scored, results_view
 from annoflux.plans.queries_evidence import evidence_view
 from annoflux.plans.queries_sequence import ORFS
+from annoflux.operators.evidence import aggregate_evidence
+from annoflux.operators.interpretation import annotate_function, first_pfam_id, interpretation_summary, normalize_product, rank_hypotheses
+from annoflux.operators.lineage import cut, shared_folder
 from annoflux.plans.registry import query
-from annoflux.plans.views import view
+from annoflux.plans.views import as_genomes, view
 from annoflux.sources import sinks
 from annoflux.streaming.interpretation import stream_interpret
 
@@ -93,18 +96,19 @@ def k5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s14_export_genome_json")
 def s14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genomes with their frames as genes: protein, evidence and non-coding interpretations."""
     genomes = view(spark, sf_dir, "genomes")
-    genes = orfs.orfs_to_genes(orfs.six_frame_orfs(genomes, min_length=300))
+    found = orfs.orfs_with_sequence(genomes, min_length=300)
+    genes = orfs.orfs_to_genes(found).join(found.select(orfs.gene_id().alias("gene_id"), "sequence", sq.translate_dna(F.col("sequence")).alias("protein_seq")), "gene_id")
     evidence = genes.select("gene_id", F.lit(1).alias("ev_seq"), F.lit("orf_prediction").alias("evidence_type"), F.col("product").alias("description"), F.lit(0.5).alias("confidence"))
     return sinks.genome_json(genomes, genes, evidence)
 
 
 @query("s15_export_interpretation_json")
 def s15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from annoflux.operators.interpretation import interpretation_summary
-
-    results = results_view(spark, sf_dir)
-    return sinks.interpretation_json(results, interpretation_summary(results))
+    results = cut(results_view(spark, sf_dir))
+    evidence = evidence_view(spark, sf_dir)
+    return sinks.interpretation_json(results, interpretation_summary(results), rank_hypotheses(_scored(spark, sf_dir)), aggregate_evidence(evidence))
 
 
 @query("s16_export_evidence_json", "SELECT gene_id, count(*) AS n FROM evidence GROUP BY 1", ("evidence",))
@@ -119,7 +123,10 @@ def s17(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evidence_view(spark, sf_dir)
     number = F.expr("cast(substring(gene_id, 2) AS bigint)")
     genes = rows.select("gene_id").distinct().withColumns({"start": number, "end": number + 300, "strand": F.lit(1)})
-    return sinks.gene_records(genes, _interpreted(spark, sf_dir), rows)
+    told = _interpreted(spark, sf_dir).withColumn("normalized_product", normalize_product(F.col("hypothesis")))
+    families = first_pfam_id(rows.withColumn("accession", F.lit(None).cast("string")))
+    table = spark.createDataFrame([("PF00136", "L", ["GO:0003677"])], "pfam_id string, cog string, go_terms array<string>")
+    return sinks.gene_records(genes, annotate_function(told, families, table), rows)
 
 
 @query("s18_report_rows")
@@ -130,14 +137,12 @@ def s18(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("t1_stream_interpret", ORFS + "SELECT genome_id, count(*) AS n_orfs FROM orfs GROUP BY 1", ("genomes",))
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as a stream of uploads; each genome's calls, written by batch and read again."""
-    place = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def interpret(batch: DataFrame) -> DataFrame:
-        blocks = F.sequence(F.lit(0), (F.col("n_chars") % 40).cast("int") + 8)
-        letters = F.transform(blocks, lambda i: F.translate(F.sha2(F.concat(F.col("doc_id"), F.lit(":"), i), 256), "0123456789abcdef", "ACGTACGTACGTACGT"))
-        genomes = batch.select(F.concat(F.lit("d"), "doc_id").alias("genome_id"), F.array_join(letters, "").alias("sequence"))
+        genomes = as_genomes(batch)
         return orfs.six_frame_orfs(genomes).groupBy("genome_id").agg(F.count("*").alias("n_orfs"))
 
-    run = stream_interpret(spark, f"{sf_dir}/documents.parque[t]", f"{place}/out", f"{place}/state", interpret, "doc_id long, n_chars long", key="doc_id")
+    run = stream_interpret(spark, f"{sf_dir}/documents.parque[t]", f"{place}/out", f"{place}/state", interpret, "doc_id long, text string", key="doc_id")
     run.awaitTermination()
     return spark.read.parquet(f"{place}/out").select("genome_id", "n_orfs")

@@ -12,11 +12,12 @@ _PRODUCTS = (
     "'chaperone GroEL', 'terminase small subunit', 'orf0001'"
 )
 _MOTIFS = "'atp_binding_p_loop', 'walker_b', 'serine_protease', 'signal_peptide', 'phosphorylation_site', 'egf_like', 'mystery'"
+# a genome has 64 bases for every 64 characters of its whole text
 _ORDINAL = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice, l_quantity, l_discount, l_tax)"
 
 SPARK = {
-    "genomes": """SELECT concat('d', doc_id) AS genome_id, array_join(transform(sequence(0, cast(n_chars % 40 AS int) + 8),
-        i -> translate(sha2(concat(doc_id, ':', i), 256), '0123456789abcdef', 'ACGTACGTACGTACGT')), '') AS sequence FROM documents""",
+    "genomes": """SELECT concat('d', doc_id) AS genome_id, array_join(transform(sequence(0, cast(length(coalesce(text, '')) / 64 AS int)),
+        i -> translate(sha2(concat(i, ':', substring(coalesce(text, ''), i * 64 + 1, 64)), 256), '0123456789abcdef', 'ACGTACGTACGTACGT')), '') AS sequence FROM documents""",
     "proteins": "SELECT concat('d', doc_id) AS gene_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '')), 'BJOUXZ', 'AKCGMS') AS protein_seq FROM documents",
     "spans": """SELECT concat('ctg', l_suppkey) AS genome_id, l_returnflag AS flag, cast((l_orderkey * 37) % 200000 AS bigint) AS start,
         cast((l_orderkey * 37) % 200000 + 60 + cast(l_quantity AS int) * 30 AS bigint) AS `end`, CASE WHEN l_linestatus = 'F' THEN -1 ELSE 1 END AS strand FROM lineitem""",
@@ -32,8 +33,8 @@ SPARK = {
 }
 
 DUCK = {
-    "genomes": """SELECT concat('d', doc_id) AS genome_id, array_to_string(list_transform(range(0, cast(n_chars % 40 AS int) + 9),
-        lambda i: translate(sha256(concat(doc_id, ':', i)), '0123456789abcdef', 'ACGTACGTACGTACGT')), '') AS sequence FROM documents""",
+    "genomes": """SELECT concat('d', doc_id) AS genome_id, array_to_string(list_transform(range(0, length(coalesce(text, '')) // 64 + 1),
+        lambda i: translate(sha256(concat(i, ':', substr(coalesce(text, ''), i * 64 + 1, 64))), '0123456789abcdef', 'ACGTACGTACGTACGT')), '') AS sequence FROM documents""",
     "proteins": "SELECT concat('d', doc_id) AS gene_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BJOUXZ', 'AKCGMS') AS protein_seq FROM documents",
     "spans": SPARK["spans"].replace("`end`", '"end"'),
     "evidence": SPARK["evidence"].replace(f"element_at(array({_PRODUCTS}), ", f"list_extract([{_PRODUCTS}], ").replace(f"element_at(array({_MOTIFS}), ", f"list_extract([{_MOTIFS}], ").replace("1.0D", "1.0::double").replace("0.2D", "0.2::double"),
@@ -49,6 +50,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SPARK[name].replace("FROM documents", "FROM {documents}").replace("FROM lineitem", "FROM {lineitem}").replace("JOIN part", "JOIN {part}").replace("FROM part", "FROM {part}").replace("FROM orders", "FROM {orders}"), **tables)
 
 
+def as_genomes(documents: DataFrame) -> DataFrame:
+    """The view ``genomes`` over rows (doc_id, text) from elsewhere, such as a batch of a stream."""
+    return documents.sparkSession.sql(SPARK["genomes"].replace("FROM documents", "FROM {documents}"), documents=documents)
+
+
 def duck(body: str, *names: str) -> str:
     """DuckDB SQL with the named views in front; ``body`` begins with SELECT or with more common tables and ``SELECT``."""
     views = ", ".join(f"{n} AS ({DUCK[n]})" for n in names)
