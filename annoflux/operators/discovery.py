@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from annoflux.functions import sequence as sq
 from annoflux.operators import intervals as iv
@@ -17,9 +19,24 @@ NESTED_SCORE = 0.012
 NESTED_SD = 0.7
 
 
-def _gene_sequence(genes: DataFrame, genomes: DataFrame) -> DataFrame:
-    joined = genes.join(genomes.select("genome_id", F.col("sequence").alias("_genome")), "genome_id")
-    return joined.withColumn("sequence", orfs.orf_sequence(F.col("_genome"), F.col("start"), F.col("end"), F.col("strand"))).drop("_genome")
+def with_sequences(genes: DataFrame, genomes: DataFrame) -> DataFrame:
+    """Adds the coding ``sequence`` of each gene, in upper case.
+
+    A genome meets its genes in one group and travels once, whatever their number. Spans beyond its ends are cut.
+    """
+    complement = str.maketrans("ATGC", "TACG")
+    out = StructType([*genes.schema.fields, StructField("sequence", StringType())])
+
+    def slices(genes: pa.Table, genome: pa.Table) -> pa.Table:
+        whole = (genome["sequence"][0].as_py() or "").upper() if genome.num_rows else ""
+        found = []
+        for start, end, strand in zip(*(genes[c].to_pylist() for c in ("start", "end", "strand")), strict=True):
+            part = whole[max(start, 0) : end]
+            found.append(part if strand == 1 else part.translate(complement)[::-1])
+        return pa.Table.from_arrays([*genes.columns, pa.array(found, pa.string())], names=out.names)
+
+    one = genomes.select("genome_id", "sequence").groupBy("genome_id")
+    return genes.groupBy("genome_id").cogroup(one).applyInArrow(slices, out)
 
 
 def codon_usage(genes: DataFrame, orientation: str = "reference") -> DataFrame:
@@ -119,11 +136,11 @@ def gene_discovery(genomes: DataFrame, genes: DataFrame, phage: bool = True, trn
     wanting = genomes.join(needs_orfs(genomes, known).where("needs"), "genome_id", "left_semi")
     filled = fill_orfs(orfs.six_frame_orfs(wanting).withColumn("source", F.lit("orf_prediction")).select(*columns), known)
     now = cut(known.unionByName(filled))
-    usage = codon_usage(_gene_sequence(now, genomes))
+    usage = codon_usage(with_sequences(now, genomes))
     rescued = short_orf_rescue(genomes, now, usage).withColumn("source", F.lit("orf_rescue")).select(*columns)
     now = cut(now.unionByName(rescued))
     if phage:
-        nested = nested_orfs(genomes, now, codon_usage(_gene_sequence(now, genomes))).withColumn("source", F.lit("nested_orf")).select(*columns)
+        nested = nested_orfs(genomes, now, codon_usage(with_sequences(now, genomes))).withColumn("source", F.lit("nested_orf")).select(*columns)
         now = cut(now.unionByName(nested))
     for found, source in ((trna, "tRNA_prediction"), (rrna, "rRNA_prediction")):
         if found is not None:

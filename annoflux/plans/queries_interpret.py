@@ -11,6 +11,7 @@ from annoflux.operators import hypotheses as hy
 from annoflux.operators import interpretation as ip
 from annoflux.operators import motifs as mt
 from annoflux.operators import orfs
+from annoflux.operators.genome import interpret_genomes
 from annoflux.operators.lineage import cut
 from annoflux.plans.queries_evidence import BEST, TYPED, evidence_view
 from annoflux.plans.registry import query
@@ -315,6 +316,16 @@ def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ip.interpretation_summary(genes.select("genome_id", "gene_id").join(ip.interpret(scored), "gene_id", "left"))
 
 
+@query("w2_interpret_genomes")
+def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way over every genome, with its long frames as annotated genes; summary by genome."""
+    genomes = view(spark, sf_dir, "genomes")
+    products = ("DNA polymerase", "hypothetical protein", "capsid protein", "putative helicase")
+    product = F.element_at(F.array(*[F.lit(x) for x in products]), (F.col("start") % len(products) + 1).cast("int"))
+    known = orfs.six_frame_orfs(genomes, min_length=300).withColumn("product_name", product)
+    return interpret_genomes(genomes, known, mt.builtin_patterns(spark), phage=True).summary
+
+
 @query("g6_genome_summary")
 def g6(spark: SparkSession, sf_dir: str) -> DataFrame:
     genomes = view(spark, sf_dir, "genomes")
