@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from annoflux.llm import bytehash as bh
 
-#: Labelled rows that train the model, about, and n-gram hashes.
+#: Labelled rows that train the model, about, and bits of n-gram hashes.
 SAMPLE = 6000
 BITS = 16
 ORDERS = (1, 2, 3)
@@ -30,7 +30,11 @@ SCALE = 30.0
 UNDETERMINED = "und"
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # letters, and numerals such as fractions
+
+
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
 
 
 def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -119,11 +123,17 @@ def train(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, float]:
-    """Model from columns text and lang; about ``sample`` rows by a hash of the text. No rows: no languages."""
+    """Model from columns text and lang; about ``sample`` rows, as many of each language as there are, by a hash of the text.
+
+    Of texts that repeat in a language one counts. No rows: no languages.
+    """
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang")
-    total = rows.count()
-    share = min(1.0, sample / max(1, total))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language, as in the model
+    if not counts:
+        return [], np.zeros((1 << BITS, 0), np.float32), 1.0
+    shares = {lang: min(1.0, sample / len(counts) / n) for lang, n in counts.items()}
+    bounds = F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, int(share * (1 << 30)))])
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.element_at(bounds, F.col("lang"))).distinct()
     counted = chosen.mapInArrow(_counted, "lang string, feature binary, count binary")
     one = counted.withColumn("sample", F.lit("all")).groupBy("sample")  # about ``sample`` rows of counts
     model = one.applyInPandas(lambda rows: train(rows), "langs array<string>, weights binary, temperature double").first()
@@ -168,7 +178,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, sample: int = S
                     if len(lead):
                         total[text[lead]] += np.add.reduceat(weights[feature], lead, axis=0, dtype=np.float64)
                         grams += np.bincount(text, minlength=hi - lo)
-                known = np.array([bool(langs) and _LETTER.search(x) is not None for x in part])
+                known = np.array([bool(langs) and has_letter(x) for x in part])
                 p = _softmax(total / np.maximum(grams, 1)[:, None] / temperature) if langs else np.zeros((hi - lo, 1))
                 top = p.argmax(axis=1)
                 best += [langs[t] if k else UNDETERMINED for t, k in zip(top.tolist(), known.tolist(), strict=True)]
