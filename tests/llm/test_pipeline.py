@@ -43,3 +43,22 @@ def test_run_is_the_stages(spark, sf_dir):
     found = corpus_pipeline.run(spark, sf_dir)
     assert found.count() > 0
     assert "n_tokens" in found.columns
+
+
+def test_stages_on_hard_rows(spark, docs, none, sf_dir):
+    """Nulls, empty and repeated rows and clashing columns pass every stage; so does an empty table."""
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        after = stage(spark, docs, sf_dir)
+        assert after.columns == docs.columns, name
+        rows = {(r.doc_id, r.text) for r in after.collect()}
+        assert {(None, None), (6, None), (7, ""), (8, " \t\n ")} <= rows, name
+        assert stage(spark, none, sf_dir).count() == 0
+    last = corpus_pipeline.STAGES[4][1](spark, docs, sf_dir)
+    assert last.count() == docs.count()
+
+
+def test_run_on_an_empty_table(spark, corpus, sf_dir, tmp_path):
+    corpus.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -61,6 +61,48 @@ def test_language(corpus, docs, none):
     assert language_id.identify(none).count() == 0
 
 
+def test_letters():
+    assert not any(map(language_id.has_letter, ["", "½ ² 12", "①", "_", "💩"]))
+    assert all(map(language_id.has_letter, ["½ a", "²ß", "漢", "12x"]))
+
+
+def test_copies_teach_once(spark, corpus):
+    """Copies of a labelled text change no prediction: of repeated texts one counts, and each language has its share."""
+    labelled = corpus.select("doc_id", "text", "lang")
+    one = labelled.where("lang IS NOT NULL AND length(text) > 0").orderBy("doc_id").limit(1)
+    copies = one.crossJoin(spark.range(50)).select(F.lit(1).cast("long").alias("doc_id"), "text", "lang")
+    rows = lambda taught: {(r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id.identify(labelled, taught, sample=10**6).collect()}
+    assert rows(labelled) == rows(labelled.unionByName(copies))
+
+
+def brute_clause(classes):
+    """Least cost over all choices of one hit, by the distances to targets, negations and reports."""
+    t, best = toxicity, float("inf")
+    for i, c in enumerate(classes):
+        if c not in t.COST:
+            continue
+        near = any(x == t.TARGET and 0 < abs(i - j) <= t.REACH for j, x in enumerate(classes))
+        before = lambda sign, i=i: any(x == sign and 0 < i - j <= t.REACH for j, x in enumerate(classes))
+        if near or c == t.INSULT:
+            best = min(best, t.COST[c] + (t.NEAR_TARGET if near else 0) + (t.NEGATED if before(t.NEGATION) else 0) + (t.REPORTED if before(t.REPORT) else 0))
+    return best
+
+
+def test_composition_against_brute_force():
+    rnd = random.Random(4)
+    for _ in range(3000):
+        classes = rnd.choices(range(6), [6, 1, 1, 1, 1, 1], k=rnd.randint(0, 20))
+        assert toxicity.clause_cost(classes) == pytest.approx(brute_clause(classes))
+
+
+def test_repeated_labels(spark, corpus, sf_dir):
+    """Labels that repeat an id, or name none, change no score."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    none = spark.createDataFrame([(None, 1, 1), (None, 0, 0)], labels.schema)
+    rows = lambda taught: {(r.doc_id, round(r.score, 9)) for r in toxicity.score(corpus, taught).collect()}
+    assert rows(labels) == rows(labels.union(labels).union(none))
+
+
 def test_clause_costs():
     t = toxicity
     assert t.clause_cost([t.OTHER, t.TARGET, t.OTHER]) == float("inf")
@@ -310,6 +352,25 @@ def test_ownership(spark):
     assert found == {**{n: ["example"] for n in range(5)}, 10: ["live"], 11: ["live"], 12: ["unclear"]}
 
 
+def test_ownership_against_brute_force(spark):
+    rnd = random.Random(6)
+    values = [f"token = {x}{n}ZyXwVuTs0918{x}" for n, x in enumerate("abcdefgh")]
+    rows = [(n, " and ".join(rnd.sample(values, rnd.randint(0, 3))) or None, f"repo{rnd.randint(0, 4)}", rnd.choice(["ann", "bob", None])) for n in range(40)]
+    spread = {}
+    for _, text, repository, owner in rows:
+        for v in (text or "").split(" and "):
+            if v:
+                spread.setdefault(v, (set(), set()))
+                spread[v][0].add(repository)
+                spread[v][1].add(owner or "")
+    verdict = {v: "example" if len(r) >= 3 else "live" if len(o) == 1 else "unclear" for v, (r, o) in spread.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, who string")
+    for r in secret_scan.scan(df, owner="who").collect():
+        text = rows[r.doc_id][1] or ""
+        found = [(text[c.start : c.end], c.n_repositories, c.n_owners, c.verdict) for c in r.candidates if c.kind == "assign"]
+        assert found == [(v, len(spread[v][0]), len(spread[v][1]), verdict[v]) for v in text.split(" and ") if v]
+
+
 def test_media(docs, none):
     rows = media.store_as_media(docs).collect()
     texts = Counter((r.doc_id, r.text or "") for r in docs.collect())
