@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annoflux.operators.evidence import aggregate_evidence, top_evidence
+from annoflux.operators.lineage import cut
 
 # Keywords of each category, in the order in which categories are tried.
 KEYWORDS = {
@@ -74,7 +75,7 @@ def function_from_description(text: Column) -> Column:
     for word in ("probable ", "hypothetical ", "predicted "):
         cleaned = F.regexp_replace(cleaned, word, "")
     part = F.trim(F.substring_index(F.regexp_replace(cleaned, r"\[.*?\]", ""), ",", 1))
-    return F.when(part == "", "Hypothetical protein").otherwise(F.concat(F.upper(F.substring(part, 1, 1)), F.substring(part, 2, 1_000_000)))
+    return F.when(part == "", "Hypothetical protein").otherwise(F.concat(F.upper(F.substring(part, 1, 1)), F.substring(part, F.lit(2), F.length(part))))
 
 
 def motif_function(name: Column) -> Column:
@@ -213,7 +214,11 @@ def all_tiers(evidence: DataFrame) -> DataFrame:
 
 
 def generate_hypotheses(evidence: DataFrame, least: float = MIN_CONFIDENCE, most: int = MOST) -> DataFrame:
-    """Merged hypotheses of at least ``least``, the ``most`` surest of a gene in order (rank)."""
+    """Merged hypotheses of at least ``least``, the ``most`` surest of a gene in order (rank).
+
+    Evidence is dealt out by gene once and written, as all tiers read it and group it by gene.
+    """
+    evidence = cut(evidence.repartition("gene_id"))
     # to nine digits: means must not depend on the order in which partitions are summed
     merged = merge_similar(all_tiers(evidence)).withColumn("confidence", F.round("confidence", 9)).where(F.col("confidence") >= least)
     order = Window.partitionBy("gene_id").orderBy(F.desc("confidence"), "hyp_seq")

@@ -9,7 +9,7 @@ from annoflux.operators import discovery as dc
 from annoflux.operators import intervals as iv
 from annoflux.operators import motifs as mt
 from annoflux.operators import orfs
-from annoflux.plans.queries_sequence import ALL_STARTS, LONGEST, ORFS
+from annoflux.plans.queries_sequence import ALL_STARTS, EVENTS, LONGEST, ORFS
 from annoflux.plans.registry import query
 from annoflux.plans.views import view
 
@@ -136,7 +136,7 @@ _USAGE = (
 @query("q10_codon_usage", _USAGE + "SELECT genome_id, codon, round(frequency, 9) AS frequency FROM usage", ("genomes",))
 def q10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """In reference orientation a reverse gene's coding strand is complemented again: the forward letters."""
-    genes = dc._gene_sequence(_genes(spark, sf_dir), _genomes(spark, sf_dir))
+    genes = dc.with_sequences(_genes(spark, sf_dir), _genomes(spark, sf_dir))
     return dc.codon_usage(genes).withColumn("frequency", F.round("frequency", 9))
 
 
@@ -153,14 +153,36 @@ _SCORED = _USAGE.replace("usage AS (", "usage AS MATERIALIZED (")
 )
 def q11(spark: SparkSession, sf_dir: str) -> DataFrame:
     genomes = _genomes(spark, sf_dir)
-    genes = dc._gene_sequence(_genes(spark, sf_dir), genomes)
+    genes = dc.with_sequences(_genes(spark, sf_dir), genomes)
     return dc.codon_score(genes, dc.codon_usage(genes)).select("genome_id", "start", "end", "strand", F.round("codon_score", 9).alias("codon_score"))
 
 
-@query("o8_short_orf_rescue")
+_STRANDED = "(SELECT genome_id AS gid, strand AS st, s AS letters FROM strands) ON gid = genome_id AND st = strand"
+
+
+def _rated(source: str, extra: str) -> str:
+    """Common tables that give the rows of ``source`` (with seq and ``extra``) their codon score."""
+    return f"""split AS (SELECT genome_id, start, "end", strand, {extra}, unnest(range(0, length(seq) // 3)) AS i, seq FROM {source}),
+    rated AS (SELECT split.genome_id, start, "end", strand, {extra}, avg(coalesce(frequency, 0)) AS codon_score FROM split LEFT JOIN usage ON usage.genome_id = split.genome_id AND codon = substr(seq, 3 * i + 1, 3) GROUP BY ALL)
+    SELECT genome_id, start, "end", strand, {extra}, round(codon_score, 6) AS codon_score FROM rated """
+
+
+_SHORT = (
+    _SCORED + ", " + LONGEST[len(EVENTS) :] + f", near AS (SELECT rescue.*, letters, {_WINDOW} FROM rescue JOIN {_STRANDED}), "
+    + f"""gated AS (SELECT genome_id, strand, start, "end", {_RBS} AS rbs, substr(letters, pos + 1, stop - pos) AS seq FROM near),
+    free AS (SELECT * FROM gated a WHERE rbs > 0 AND NOT EXISTS (SELECT 1 FROM genes r WHERE {_MEETS} AND (least(a."end", r."end") - greatest(a.start, r.start))::double / (a."end" - a.start) > 0.5)), """
+)
+_INNER = (
+    _SCORED + ", " + _NEAR[len(EVENTS) :] + f""", strong AS (SELECT genome_id, strand, start, "end", seq, CASE WHEN pos < 3 THEN 0.0::double ELSE greatest({_SD}) END AS sd FROM near),
+    inner_ AS (SELECT * FROM strong a WHERE sd >= 0.7 AND EXISTS (SELECT 1 FROM genes r WHERE {_MEETS})
+      AND NOT EXISTS (SELECT 1 FROM genes r WHERE r.genome_id = a.genome_id AND r.strand = a.strand AND abs(r.start - a.start) < 9 AND abs(r."end" - a."end") < 9)), """
+)
+
+
+@query("o8_short_orf_rescue", _SHORT + _rated("free", "rbs") + "WHERE codon_score >= 0.010", ("genomes",))
 def o8(spark: SparkSession, sf_dir: str) -> DataFrame:
     genomes, genes = _genomes(spark, sf_dir), _genes(spark, sf_dir)
-    return dc.short_orf_rescue(genomes, genes, dc.codon_usage(dc._gene_sequence(genes, genomes))).select("genome_id", "start", "end", "strand", "rbs", F.round("codon_score", 6).alias("codon_score"))
+    return dc.short_orf_rescue(genomes, genes, dc.codon_usage(dc.with_sequences(genes, genomes))).select("genome_id", "start", "end", "strand", "rbs", F.round("codon_score", 6).alias("codon_score"))
 
 
 @query("o9_rescue_nested_scan")
@@ -168,10 +190,10 @@ def o9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.rescue_nested_scan(_genomes(spark, sf_dir), _genes(spark, sf_dir))
 
 
-@query("o10_nested_orfs")
+@query("o10_nested_orfs", _INNER + _rated("inner_", "sd") + "WHERE codon_score >= 0.012", ("genomes",))
 def o10(spark: SparkSession, sf_dir: str) -> DataFrame:
     genomes, genes = _genomes(spark, sf_dir), _genes(spark, sf_dir)
-    return dc.nested_orfs(genomes, genes, dc.codon_usage(dc._gene_sequence(genes, genomes))).select("genome_id", "start", "end", "strand", "sd", F.round("codon_score", 6).alias("codon_score"))
+    return dc.nested_orfs(genomes, genes, dc.codon_usage(dc.with_sequences(genes, genomes))).select("genome_id", "start", "end", "strand", "sd", F.round("codon_score", 6).alias("codon_score"))
 
 
 @query(

@@ -114,16 +114,16 @@ def q6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # -- codon events in SQL: both strands, kinds by position, the next stop by a window
-_EVENTS = """strands AS (SELECT genome_id, 1 AS strand, length(sequence) AS len, sequence AS s FROM genomes
+EVENTS = """strands AS (SELECT genome_id, 1 AS strand, length(sequence) AS len, sequence AS s FROM genomes
     UNION ALL SELECT genome_id, -1, length(sequence), reverse(translate(sequence, 'ATGC', 'TACG')) FROM genomes),
 codons AS (SELECT genome_id, strand, len, s, pos, pos % 3 AS frame, substr(s, pos + 1, 3) AS codon FROM (SELECT *, unnest(range(0, len - 2)) AS pos FROM strands)),
 events AS (SELECT *, min(CASE WHEN codon IN ('TAA', 'TAG', 'TGA') THEN pos + 3 END) OVER (PARTITION BY genome_id, strand, frame ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS stop,
     len - ((len - frame) % 3) AS whole_end FROM codons WHERE codon IN ('TAA', 'TAG', 'TGA', 'ATG', 'GTG', 'TTG')),
 begun AS (SELECT * FROM events WHERE codon IN ('ATG', 'GTG', 'TTG')), """
 _FORWARD = 'CASE WHEN strand = 1 THEN pos ELSE len - stop END AS start, CASE WHEN strand = 1 THEN stop ELSE len - pos END AS "end"'
-ORFS = _EVENTS + f"orfs AS (SELECT genome_id, strand, frame, pos, stop, {_FORWARD} FROM begun WHERE stop - pos >= 100) "
-LONGEST = _EVENTS + f"longest AS (SELECT genome_id, strand, frame, min(pos) AS pos, stop, any_value(len) AS len FROM begun WHERE codon = 'ATG' AND stop IS NOT NULL GROUP BY genome_id, strand, frame, stop), rescue AS (SELECT *, {_FORWARD} FROM longest WHERE stop - pos >= 63) "
-ALL_STARTS = _EVENTS + f"nested AS (SELECT *, {_FORWARD} FROM begun WHERE stop - pos >= 153) "
+ORFS = EVENTS + f"orfs AS (SELECT genome_id, strand, frame, pos, stop, {_FORWARD} FROM begun WHERE stop - pos >= 100) "
+LONGEST = EVENTS + f"longest AS (SELECT genome_id, strand, frame, min(pos) AS pos, stop, any_value(len) AS len FROM begun WHERE codon = 'ATG' AND stop IS NOT NULL GROUP BY genome_id, strand, frame, stop), rescue AS (SELECT *, {_FORWARD} FROM longest WHERE stop - pos >= 63) "
+ALL_STARTS = EVENTS + f"nested AS (SELECT *, {_FORWARD} FROM begun WHERE stop - pos >= 153) "
 
 
 @query("o1_six_frame_orfs", ORFS + "SELECT * FROM orfs", ("genomes",))
@@ -133,7 +133,7 @@ def o1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "o2_partial_orfs",
-    _EVENTS + "open AS (SELECT genome_id, strand, frame, pos, coalesce(stop, whole_end) AS stop, stop IS NULL AS partial, len FROM begun) SELECT genome_id, strand, frame, pos, stop, partial, " + _FORWARD + " FROM open WHERE stop - pos >= 100",
+    EVENTS + "open AS (SELECT genome_id, strand, frame, pos, coalesce(stop, whole_end) AS stop, stop IS NULL AS partial, len FROM begun) SELECT genome_id, strand, frame, pos, stop, partial, " + _FORWARD + " FROM open WHERE stop - pos >= 100",
     ("genomes",),
 )
 def o2(spark: SparkSession, sf_dir: str) -> DataFrame:
