@@ -108,16 +108,18 @@ def _standing(text: Column, words: Column) -> Column:
     return F.transform(sp.find(text, pattern), lambda s: F.struct(s["start"], s["end"]))
 
 
-def flagged_pairs(different: DataFrame, texts: DataFrame, disclosure: float, support: int) -> DataFrame:
+def flagged_pairs(different: DataFrame, named: DataFrame, disclosure: float, support: int) -> DataFrame:
     """(entity, word): words that disclose an entity.
 
-    ``different`` has the different texts with entities (said, entities, words), ``texts`` all different texts.
+    ``different`` has the different texts with entities (entities, words), ``named`` all texts.
     """
+    texts = named.select("text").distinct()
     seen = different.select(F.explode("entities").alias("entity"), "words").select("entity", F.explode("words").alias("word"))
     pairs = seen.groupBy("entity", "word").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
     of_entity = different.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     of_word = cut(texts.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_t")))
-    n = texts.agg(F.count("*").alias("n")).crossJoin(of_word.agg(F.count("*").alias("n_words")))  # one row
+    hashes = named.select(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).distinct()  # to count texts without moving them
+    n = hashes.agg(F.count("*").alias("n")).crossJoin(of_word.agg(F.count("*").alias("n_words")))  # one row
     share, usual = F.col("n_et") / F.col("n_t"), F.col("n_e") / F.col("n")
     rest = F.when(share < 1, (1 - share) * F.log2((1 - share) / (1 - usual))).otherwise(0.0)
     bits = F.col("n_t") * (share * F.log2(share / usual) + rest)
@@ -140,8 +142,9 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     # texts with an entity only; two hashes name a text
     said = [F.xxhash64("text").alias("said"), F.xxhash64(F.lit(1), "text").alias("said2")]
     holding = cut(rows.select("k", "uid", "text", *said, _entities().alias("entities")))
-    different = holding.select("said", "said2", "entities", "text").dropDuplicates(["said", "said2"]).select("said", "said2", "entities", _words(F.col("text")).alias("words"))
-    flagged = flagged_pairs(different, named.select("text").distinct(), disclosure, support)
+    once = holding.select("said", "said2", "entities", "text").dropDuplicates(["said", "said2"])
+    different = cut(once.select("said", "said2", "entities", _words(F.col("text")).alias("words")))
+    flagged = flagged_pairs(different, named, disclosure, support)
     salted = flagged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     seen = different.select("said", "said2", F.pmod("said", F.lit(SALTS)).cast("int").alias("salt"), "words", F.explode("entities").alias("entity"))
     told = (
