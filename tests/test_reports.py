@@ -3,8 +3,8 @@
 import json
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from annoflux.operators import discovery, evaluation, interpretation, motifs, orfs
 from annoflux.operators import evidence as ev
@@ -123,9 +123,21 @@ def dna(n, seed):
     return "".join(rnd.choice(["A", "C", "G", "T", "AGGAGG"]) for _ in range(n))
 
 
-@pytest.mark.parametrize("tile", [30, 65536])
-def test_frames_with_context(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile", [3, 30, 31, 64, 5000])
+def test_next_stops_across_tiles(monkeypatch, tile):
+    """Next stops are carried from later tiles; tasks import the module anew, so the helper is called here."""
     monkeypatch.setattr(orfs, "TILE", tile)
+    for n in (3, 4, 5, 66, 1500):
+        seq = dna(n, n)
+        place, stop = orfs._next_stops(np.frombuffer(seq.encode(), np.uint8), orfs._kinds(orfs.STARTS), orfs._kinds(orfs.STOPS))
+        expected = []
+        for i in range(len(seq) - 2):
+            if seq[i : i + 3] in orfs.STARTS:
+                expected.append((i, next((j + 3 for j in range(i, len(seq) - 2, 3) if seq[j : j + 3] in orfs.STOPS), -1)))
+        assert list(zip(place.tolist(), stop.tolist(), strict=True)) == expected
+
+
+def test_frames_with_context(spark):
     seqs = {"a": dna(1500, 1), "b": dna(40, 2), "short": "AT", "none": None, "n": dna(300, 3) + "NNN" + dna(300, 4)}
     genomes = spark.createDataFrame(list(seqs.items()), "genome_id string, sequence string")
     rows = lambda df: {(r.genome_id, r.start, r.end, r.strand, r.upstream, r.sequence) for r in df.collect()}
