@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annoflux.llm import conversation_repair, decontaminate, hard_negatives, jaccard_join, language_id, media, pii, secret_scan, sentencepiece_wfst, substring_dedup, suffix_dedup, toxicity
+from annoflux.llm import context_mixing, conversation_repair, decontaminate, hard_negatives, jaccard_join, language_id, media, pii, secret_scan, sentencepiece_wfst, substring_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -80,6 +80,12 @@ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DE
 """
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh of the checksums of doc_id is held out."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    return context_mixing.score(_documents(spark, sf_dir), held)
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repaired_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -97,6 +103,7 @@ def queries() -> dict[str, Query]:
         "op9_media": op9_media,
         "op10_decontamination": op10_decontamination,
         "op11_hard_negatives": op11_hard_negatives,
+        "op12_context_mixing": op12_context_mixing,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
