@@ -37,7 +37,10 @@ from annoflux.llm.storage import cut
 
 BLANK = r"[^\x20\x09-\x0D]"
 #: Rows of a conversation that are searched at once.
-PIECE = 64
+PIECE = 16
+#: (state, other): what the rest of a conversation costs more from the state than from the other at most. 3 can do
+#: what 1 does, and Delete a row that 0 would Keep as s; an Insert leads from 3 to 2 and back; 0 can do what 1 does.
+APART = {(3, 2): 2, (3, 0): 3, (3, 1): 0, (2, 0): 5, (2, 1): 2, (0, 1): 0}
 #: States: nothing yet, after s, after u, after a; what may follow in each, and the role that Insert and Rerole give.
 NEXT = ({"s": 1, "u": 2}, {"u": 2}, {"a": 3}, {"u": 2})
 ROLE = ("user", "user", "assistant", "user")
@@ -50,10 +53,12 @@ REPAIRED = "conv_id string, known boolean, gaps long, blank long, duplicate long
 
 
 @lru_cache(1 << 16)
-def search(cells: str, start: int, goals: frozenset[int], last: bool) -> tuple[int, str] | None:
-    """(cost, edits) from ``start`` to a state of ``goals`` over the rows ``cells``; the last piece may insert at its end.
+def search(cells: str, start: int, goals: frozenset[int], last: bool, most: int = 1 << 40) -> tuple[int, str] | None:
+    """(cost, edits) from ``start`` to a state of ``goals`` over the rows ``cells``, of at most ``most``; the last piece may insert at its end.
 
     A row is two characters: its role's initial, and ``!`` if it must go, ``~`` if it is truncated, else ``.``.
+    An Insert is followed by Keep, Rerole or the end: Delete would come first at the same cost, and two
+    Inserts lead nowhere that is not cheaper to reach.
     """
     rows = [(cells[i], cells[i + 1]) for i in range(0, len(cells), 2)]
     n = len(rows)
@@ -61,70 +66,69 @@ def search(cells: str, start: int, goals: frozenset[int], last: bool) -> tuple[i
     for i in range(n - 1, -1, -1):
         ahead[i] = ahead[i + 1] + (3 if rows[i][1] == "!" else rows[i][1] == "~")
 
-    def deepen(i: int, state: int, left: int) -> str | None:
+    def deepen(i: int, state: int, left: int, inserted: bool) -> str | None:
         nonlocal over
         if ahead[i] > left:
             over = min(over, ahead[i] - left)
             return None
         if i == n and state in goals:
             return ""
-        if failed.get((i, state), -1) >= left:
-            over = min(over, short[i, state] - left)
+        here = i, state, inserted
+        if failed.get(here, -1) >= left:
+            over = min(over, short[here] - left)
             return None
         outer, over = over, 1 << 60
         found = None
-        for edit, to, at, cost in moves(i, state):
-            rest = deepen(at, to, left - cost)
+        for edit, to, at, cost in moves(i, state, inserted):
+            rest = deepen(at, to, left - cost, edit == "I")
             if rest is not None:
                 found = edit + rest
                 break
         if found is None:
             # the least budget beyond this one with which the state may do better
-            failed[i, state], short[i, state] = left, left + over
+            failed[here], short[here] = left, left + over
         over = min(outer, over)
         return found
 
-    def moves(i: int, state: int) -> Iterator[tuple[str, int, int, int]]:
+    def moves(i: int, state: int, inserted: bool) -> Iterator[tuple[str, int, int, int]]:
+        after = NEXT[state][ROLE[state][0]]
         if i < n:
             initial, fault = rows[i]
-            yield "D", state, i + 1, 3
-        after = NEXT[state][ROLE[state][0]]
-        if i < n or last:
-            yield "I", after, i, 2
+        if not inserted:
+            if i < n:
+                yield "D", state, i + 1, 3
+            if i < n or last:
+                yield "I", after, i, 2
         if i < n and fault != "!":
             cut_off = fault == "~"
             if initial in NEXT[state]:
                 yield "K", NEXT[state][initial], i + 1, int(cut_off)
             yield "R", after, i + 1, 2 + cut_off
 
-    bound, most = ahead[0], 3 * n + 8
+    bound, most = ahead[0], min(most, 3 * n + 8)  # all can be deleted, and what must follow inserted
     while bound <= most:
-        failed: dict[tuple[int, int], int] = {}
-        short: dict[tuple[int, int], int] = {}
+        failed: dict[tuple[int, int, bool], int] = {}
+        short: dict[tuple[int, int, bool], int] = {}
         over = 1 << 60
-        found = deepen(0, start, bound)
+        found = deepen(0, start, bound, False)
         if found is not None:
             return bound, found
         bound += over
     return None
 
 
-def _reachable(cells: str, start: int, end: int) -> bool:
-    if end == 0:
-        return start == 0
-    if end == 1:
-        return start == 1 or start == 0 and any(cells[i] == "s" and cells[i + 1] != "!" for i in range(0, len(cells), 2))
-    return True
-
-
 @lru_cache(1 << 12)
 def table(cells: str) -> tuple[tuple[int, int, int, str], ...]:
-    """(start, end, cost, edits) of a piece that others follow, for every pair of states."""
+    """(start, end, cost, edits) of a piece that others follow, for every pair of states that the cheapest edits may need."""
     out = []
     for start in range(4):
-        for end in range(4):
-            if _reachable(cells, start, end) and (found := search(cells, start, frozenset([end]), False)) is not None:
+        most = {end: 1 << 40 for end in range(4)}
+        for end in (3, 2, 0, 1):
+            if (found := search(cells, start, frozenset([end]), False, most[end])) is not None:
                 out.append((start, end, *found))
+                for (state, other), more in APART.items():
+                    if state == end:
+                        most[other] = min(most[other], found[0] + more)
     return tuple(out)
 
 
@@ -146,7 +150,8 @@ class Whole:
         self.ways = {end: (cost, order[end], (self.ways[start][2], edits)) for end, (cost, _, edits, start) in best.items()}
 
     def edits(self) -> tuple[int, str]:
-        cost, _, chain = min((w for s, w in self.ways.items() if s in (0, 3)), key=lambda w: w[:2])
+        """Of the way to state 3, which stands for the end."""
+        cost, _, chain = self.ways[3]
         parts = []
         while chain is not None:
             chain, edits = chain
@@ -192,7 +197,8 @@ def _plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     opened, whole, held, counts = None, Whole(), None, [0, 0, 0]
 
     def close() -> dict:
-        whole.follow([(s, e, *found) for s in whole.ways for e in (0, 3) if _reachable(held, s, e) and (found := search(held, s, frozenset([e]), True)) is not None])
+        # no way: only a system row is left, which is cheaper to delete than to follow with two Inserts
+        whole.follow([(s, 3, *found) for s in whole.ways if (found := search(held, s, frozenset([0, 3]), True)) is not None])
         cost, audit = whole.edits()
         return {"conv_id": opened[0], "known": opened[1], "cost": cost, "audit": audit, "blank": counts[0], "duplicate": counts[1], "truncated": counts[2]}
 
