@@ -5,13 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annoflux.operators.automaton import Automaton
+
 SCHEMA = "ord int, name string, pattern string, description string, category string, weight double"
 MIN_SCORE = 0.3
 MOST_PATTERNS = 20_000
+#: Letters that a task scans at once.
+CHUNK = 1 << 18
 # The built-in motifs.
 BUILTIN = [
     (0, "helix_turn_helix", "[LIVMFYWC][ASGTNQ].{2}[LIVMFYWC].{4,5}[LIVMFYWC].{2}G[LIVMFYWC].{5,6}[LIVMFYWC]{2}", "Helix-turn-helix DNA binding motif", "domain", 0.7),
@@ -82,6 +88,14 @@ def prosite_patterns(entries: DataFrame) -> DataFrame:
     )
 
 
+def prosite_lookup(entries: DataFrame, entry_id: str | None = None, accession: str | None = None, description: str | None = None) -> DataFrame:
+    """Entries (id, accession, description, ...) with that id and accession, in any case, whose description contains the text, in any case."""
+    for column, value in (("id", entry_id), ("accession", accession)):
+        if value is not None:
+            entries = entries.where(F.lower(column) == value.lower())
+    return entries if description is None else entries.where(F.lower("description").contains(description.lower()))
+
+
 def prosite_summary(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("category").agg(F.count("*").alias("n"))
 
@@ -95,12 +109,18 @@ def scan_categories(patterns: DataFrame, *categories: str) -> DataFrame:
     return patterns.where(F.col("category").isin(*categories))
 
 
-def motif_scan(sequences: DataFrame, patterns: DataFrame, key: str = "gene_id", sequence: str = "protein_seq", min_score: float = MIN_SCORE) -> DataFrame:
+def motif_scan(sequences: DataFrame, patterns: DataFrame, key: str = "gene_id", sequence: str = "protein_seq", min_score: float = MIN_SCORE, once: bool = False) -> DataFrame:
     """Leftmost non-overlapping matches of every pattern: key, ord, name, description, category, start, end, matched, score.
 
-    The patterns (the whole of PROSITE has some 1,800; at most ``MOST_PATTERNS``) go to the tasks, which compile
-    each once and run it over Arrow batches. Null sequences match nothing; a score of more than 1 counts as 1.
+    The patterns (the whole of PROSITE has some 1,800; at most ``MOST_PATTERNS``) go to the tasks, which build one
+    automaton of them: it tells which patterns can match which sequences, and only those are run. Sequences that repeat within
+    ``CHUNK`` letters are scanned once. ``once``: those that repeat anywhere are, at the cost of two shuffles.
+    Null sequences match nothing; a score of more than 1 counts as 1.
     """
+    if once:
+        named = sequences.select(F.col(key), F.upper(sequence).alias("_text")).where("_text <> ''").withColumn("_of", F.sha2("_text", 256))
+        found = motif_scan(named.groupBy("_of").agg(F.any_value("_text").alias("_text")), patterns, "_of", "_text", min_score)
+        return named.drop("_text").join(found, "_of").drop("_of")
     table = patterns.select("ord", "name", "pattern", "description", "category", "weight").limit(MOST_PATTERNS + 1).collect()
     if len(table) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} patterns")
@@ -109,19 +129,27 @@ def motif_scan(sequences: DataFrame, patterns: DataFrame, key: str = "gene_id",
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(re.compile(pattern).finditer, expected, weight, (ord_, name, description, category)) for (ord_, name, pattern, description, category, weight), expected in rules]
+        machine = Automaton([rule[2] for rule, _ in rules])
         types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                rows, out = [], []
+            sizes = np.cumsum(np.nan_to_num(pc.utf8_length(batch["sequence"]).to_numpy(zero_copy_only=False)))
+            edges = [0, *(np.searchsorted(sizes, np.arange(CHUNK, sizes[-1], CHUNK)) + 1 if len(sizes) else []), batch.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(lo, hi - lo)
+                places: dict[str, list[int]] = {}
                 for i, text in enumerate(part["sequence"].to_pylist()):
-                    for find, expected, weight, own in compiled if text else ():
-                        for m in find(text):
-                            near = expected > 0 and 0.8 <= (m.end() - m.start()) / expected <= 1.2
-                            score = weight * 1.1 if near else weight
-                            if score >= min_score:
-                                rows.append(i)
-                                out.append((*own, m.start(), m.end(), m.group(), min(score, 1.0)))
+                    if text:
+                        places.setdefault(text, []).append(i)
+                texts = list(places)
+                rows, out = [], []
+                for of, which in zip(*(x.tolist() for x in machine.candidates(texts)), strict=True):
+                    find, expected, weight, own = compiled[which]
+                    for m in find(texts[of]):
+                        near = expected > 0 and 0.8 <= (m.end() - m.start()) / expected <= 1.2
+                        score = weight * 1.1 if near else weight
+                        if score >= min_score:
+                            rows += places[texts[of]]
+                            out += [(*own, m.start(), m.end(), m.group(), min(score, 1.0))] * len(places[texts[of]])
                 columns = list(zip(*out, strict=True)) or [()] * len(types)
                 yield pa.RecordBatch.from_arrays(
                     [part["key"].take(pa.array(rows, pa.int32())), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]],
