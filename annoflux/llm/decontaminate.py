@@ -13,10 +13,11 @@ Items without telling windows (short ones, or mostly numbers and names) are look
 whole: their words' sequence, in any case, is hashed and joined likewise. The first word of an
 item also stands for itself where the document writes it as a name.
 
-Documents' windows are generated and joined in one pass; only matches are shuffled, with the words of
-their windows, from which slots are judged. The
-benchmark's windows are broadcast when their counted number is at most ``BROADCAST_ROWS``,
-and joined by a shuffle beyond.
+Documents' windows are generated in blocks, which carry the words that they span and no more, and joined in
+one pass; only matches are shuffled, with the words of their windows, from which slots are judged. Ways in which an item lies over a document are
+rows, not entries of one list, and equal ones count once, so a line that a document repeats costs
+its repetitions and no more memory. The benchmark's windows are broadcast when their counted number is at most
+``BROADCAST_ROWS``; beyond that hashes alone are shuffled, and words are fetched for what matches.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ RUN = 13
 #: Words other than placeholders that a window needs to tell anything.
 SPOKEN = 4
 BROADCAST_ROWS = 500_000
+#: Windows that travel with one slice of a document's words.
+BLOCK = 256
 #: Share of slots that show their value's commonest meaning, or else the share that is unchanged, in a leak.
 CONSISTENT = 0.9
 UNCHANGED = 0.5
@@ -94,15 +97,47 @@ def _covered(places: Column, window: int) -> Column:
     return F.aggregate(places, start, lambda a, x: F.struct(x.alias("at"), (a["n"] + F.least(x - a["at"], F.lit(window))).alias("n")), lambda a: a["n"])
 
 
-def _longest(laid: Column, window: int) -> Column:
-    """Words of the longest run of windows: ``laid`` are structs (shift, item_at), ascending."""
-    start = F.struct(F.lit(None).cast("int").alias("shift"), F.lit(-2).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+def _longest(places: Column, window: int) -> Column:
+    """Words of the longest run of windows at ascending ``places``."""
+    start = F.struct(F.lit(-2).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("best"))
 
     def step(a: Column, x: Column) -> Column:
-        n = F.when((x["shift"] == a["shift"]) & (x["item_at"] == a["at"] + 1), a["n"] + 1).otherwise(F.lit(window))
-        return F.struct(x["shift"].alias("shift"), x["item_at"].alias("at"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
+        n = F.when(x == a["at"] + 1, a["n"] + 1).otherwise(F.lit(window))
+        return F.struct(x.alias("at"), n.alias("n"), F.greatest(a["best"], n).alias("best"))
+
+    return F.aggregate(places, start, step, lambda a: a["best"])
+
+
+def _blocks(docs: DataFrame, window: int) -> DataFrame:
+    """(doc_id, k, uid, base, words, w): at most ``BLOCK`` windows with the words that they span, so that no later row carries a text."""
+    n = F.size("windows")
+    cuts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(BLOCK)))
+    block = F.transform(
+        cuts,
+        lambda b: F.struct(
+            b.alias("base"),
+            F.slice("words", b + 1, F.lit(BLOCK + window - 1)).alias("words"),
+            F.arrays_zip(F.slice("windows", b + 1, F.lit(BLOCK)).alias("hash"), F.slice(F.slice("w1", F.lit(1), n), b + 1, F.lit(BLOCK)).alias("word")).alias("w"),
+        ),
+    )
+    # outer: else the optimiser tests the windows' number below all that makes them, and makes them twice
+    return docs.select("doc_id", "k", "uid", F.explode_outer(block).alias("b")).select("doc_id", "k", "uid", "b.*").where("base IS NOT NULL")
 
-    return F.aggregate(laid, start, step, lambda a: a["best"])
+
+def _matched(docs: DataFrame, needles: DataFrame, window: int, small: bool) -> DataFrame:
+    """Windows of documents that are windows of items: the item's columns, shift and said (the window's words)."""
+    blocks = _blocks(docs, window)
+    here = F.transform(F.slice("words", F.col("j") + 1, window), lambda w: F.lower(w))
+    item = [c for c in needles.columns if c not in ("hash", "first")]
+    meant = F.col("first").isNull() | (F.col("first") == F.col("w.word"))
+    if small:
+        spread = blocks.select("doc_id", "k", "uid", "base", "words", F.posexplode_outer("w").alias("j", "w"))
+        found = spread.join(F.broadcast(needles), F.col("w.hash") == F.col("hash")).where(meant)
+    else:  # hashes alone meet the benchmark; words are fetched for what is found
+        spread = blocks.select("k", "uid", "base", F.posexplode_outer("w").alias("j", "w"))
+        found = spread.join(needles, F.col("w.hash") == F.col("hash")).where(meant).select("k", "uid", "base", "j", *item).distinct()
+        found = found.join(blocks.select("doc_id", "k", "uid", "base", "words"), ["k", "uid", "base"])
+    return found.select("doc_id", "k", "uid", *item, (F.col("base") + F.col("j") - F.col("item_at")).alias("shift"), here.alias("said"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int) -> DataFrame:
@@ -148,8 +183,7 @@ def _found_whole(named: DataFrame, whole: DataFrame, lengths: list[int], small:
     needles = needles.select("item_id", "n", hashes.alias("hash"))
     pairs = found.join(F.broadcast(needles) if small else needles, ["n", "hash"]).select("doc_id", "k", "uid", "item_id").distinct()
     one = F.lit(1).cast("long")
-    none = F.array().cast("array<struct<shift:int,item_at:int,at:int,said:array<string>>>")
-    return pairs.select("*", one.alias("n_windows"), one.alias("n_matched"), none.alias("places"), F.lit(1.0).alias("coverage"))
+    return pairs.select("*", one.alias("n_windows"), one.alias("n_matched"), F.lit(1.0).alias("coverage"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -170,24 +204,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     lengths = sorted(r.n for r in whole.select("n").distinct().collect())  # lengths of items, not items
     small = items.count() + whole.count() <= broadcast_rows
     needles = items.select("item_id", "item_at", "hash", "first", "n_windows", "n_words")
-    worded = _spoken(_chained(_worded(named), window))
-    # outer: else the optimiser tests the windows' number below all that makes them, and makes them twice
-    spread = worded.select("doc_id", "k", "uid", "words", F.posexplode_outer(F.arrays_zip(F.col("windows").alias("hash"), F.slice("w1", F.lit(1), F.size("windows")).alias("word"))).alias("at", "w"))
-    spread = spread.select("doc_id", "k", "uid", "words", "at", "w.hash", "w.word").where("hash IS NOT NULL")
-    here = F.transform(F.slice("words", F.col("at") + 1, window), lambda w: F.lower(w))
-    if small:  # the words stay with the text until a window is matched
-        found = spread.join(F.broadcast(needles), "hash").withColumn("said", here)
-    else:
-        found = spread.select("doc_id", "k", "uid", "at", "hash", "word", here.alias("said")).join(needles, "hash")
-    matched = found.where("first IS NULL OR first = word")
+    pair = ["doc_id", "k", "uid", "item_id", "n_windows", "n_words"]
+    matched = _matched(_spoken(_chained(_worded(named), window)), needles, window, small)
+    # a way to lay the item over the document: places of the item with what the document says there; equal ways count once
+    laid = matched.groupBy(*pair, "shift").agg(F.array_sort(F.collect_set(F.struct("item_at", "said"))).alias("places"))
+    ways = cut(laid.groupBy(*pair, "places").agg(F.min("shift").alias("shift")))
+    of_item = ways.select(*pair, _longest(F.col("places.item_at"), window).alias("run"), F.explode("places.item_at").alias("at")).groupBy(*pair).agg(F.array_sort(F.collect_set("at")).alias("ats"), F.max("run").alias("run"))
     pairs = (
-        matched.groupBy("doc_id", "k", "uid", "item_id", "n_windows", "n_words")
-        .agg(F.collect_set(F.struct((F.col("at") - F.col("item_at")).alias("shift"), "item_at", "at", "said")).alias("places"))
-        .withColumn("n_matched", F.size(F.array_distinct(F.col("places.item_at"))).cast("long"))
-        .withColumn("covered", _covered(F.array_sort(F.array_distinct(F.col("places.item_at"))), window))
-        .where((F.col("covered") >= coverage * F.col("n_words")) | (_longest(F.array_sort("places"), window) >= RUN))
-        .withColumn("coverage", F.col("covered") / F.col("n_words"))
-        .drop("covered", "n_words")
+        of_item.withColumn("covered", _covered(F.col("ats"), window))
+        .where((F.col("covered") >= coverage * F.col("n_words")) | (F.col("run") >= RUN))
+        .select("doc_id", "k", "uid", "item_id", "n_windows", F.size("ats").cast("long").alias("n_matched"), (F.col("covered") / F.col("n_words")).alias("coverage"))
     )
     if lengths:
         pairs = pairs.unionByName(_found_whole(named, whole, lengths, small))
@@ -195,8 +221,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     # slots, only for pairs whose matched windows have any
     slotted = items.where(F.col("first").isNull() & (F.size("slots") > 0)).select("item_id", "item_at", F.explode("slots").alias("slot"))
     asked = (
-        pairs.select("k", "uid", "item_id", F.explode("places").alias("p"))
-        .select("k", "uid", "item_id", "p.item_at", "p.shift", "p.said")
+        ways.join(pairs.select("k", "uid", "item_id"), ["k", "uid", "item_id"], "left_semi")
+        .select("k", "uid", "item_id", "shift", F.explode("places").alias("p"))
+        .select("k", "uid", "item_id", "shift", "p.item_at", "p.said")
         .join(slotted, ["item_id", "item_at"])
         .select("k", "uid", "item_id", "shift", "slot.kind", "slot.value", "slot.place", F.get("said", F.col("slot.place") - F.col("item_at")).alias("said"))
         .distinct()
@@ -212,7 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
     # of the places where the item lies, the leaking one with most slots and fewest changes
     best = F.max(F.when(leaked, F.struct("n_slots", (-F.col("n_changed")).alias("kept"), "n_changed", (~agreed & (kept > UNCHANGED * F.col("n_slots"))).alias("near")))).alias("best")
     judged = laid.groupBy("k", "uid", "item_id").agg(best).withColumn("slotted", F.lit(True))
-    out = pairs.drop("places").join(judged, ["k", "uid", "item_id"], "left").where("slotted IS NULL OR best IS NOT NULL")
+    out = pairs.join(judged, ["k", "uid", "item_id"], "left").where("slotted IS NULL OR best IS NOT NULL")
     n_changed = F.coalesce("best.n_changed", F.lit(0))
     return out.select(
         "doc_id",

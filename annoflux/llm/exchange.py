@@ -8,8 +8,8 @@ smallest document), so the entries of a very common key number the pieces, not
 its occurrences. A bucket's task answers with positions, packed by part: the
 documents are dealt into parts by ``uid``, and meet their answers there.
 
-Rows are named by ``k`` (doc_id; nulls count as the largest) and ``uid`` (31 bits
-of a hash of id and text), so that repeated ids keep their own answers.
+Rows are named by ``k`` (doc_id; nulls count as the largest) and ``uid`` (a hash of
+id and text, 64 bits), so that repeated and null ids keep their own answers.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ ANSWER = "part int, ks binary, uids binary, counts binary, gaps binary, far bina
 
 
 def uid_of(k: Column, text: Column) -> Column:
-    """31 bits of a hash of k and text."""
-    return F.xxhash64(k, text).bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    """64 bits of a hash of k and text."""
+    return F.xxhash64(k, text)
 
 
 def free(docs: DataFrame, *names: str) -> list[str]:
@@ -59,7 +59,7 @@ def named(docs: DataFrame) -> DataFrame:
 
 def dealt(named_docs: DataFrame, parts: int) -> DataFrame:
     """The documents with the part in which they meet their answers."""
-    return named_docs.withColumn("part", F.col("uid") % parts)
+    return named_docs.withColumn("part", F.pmod("uid", F.lit(parts)).cast("int"))
 
 
 def bucket_count(docs: DataFrame, bytes_each: int) -> int:
@@ -140,7 +140,7 @@ def pack(keys: np.ndarray, rows: np.ndarray, at: np.ndarray, known: np.ndarray,
                 "width": width,
                 "keys": np.ascontiguousarray(keys[lo:hi, None].view(np.uint8)[:, :width]).tobytes(),
                 "ks": ks[r[starts]].tobytes(),
-                "uids": uids[r[starts]].astype(np.int32).tobytes(),
+                "uids": uids[r[starts]].astype(np.int64).tobytes(),
                 "counts": np.diff(np.r_[starts, hi - lo]).astype(np.int32).tobytes(),
                 "gaps": gaps,
                 "far": far,
@@ -164,7 +164,7 @@ def unpack(group: pd.DataFrame) -> dict[str, np.ndarray]:
         out["doc"].append(np.repeat(np.arange(docs, docs + len(counts)), counts))
         out["known"].append(np.frombuffer(row.known, np.uint8) if row.known else np.zeros(n, np.uint8))
         out["ks"].append(np.frombuffer(row.ks, np.int64))
-        out["uids"].append(np.frombuffer(row.uids, np.int32))
+        out["uids"].append(np.frombuffer(row.uids, np.int64))
         docs += len(counts)
     return {n: np.concatenate(v) for n, v in out.items()}
 
@@ -189,7 +189,7 @@ def answered(rows: list[dict], ks: np.ndarray, uids: np.ndarray) -> dict[int, np
     for row in rows:
         counts = np.frombuffer(row["counts"], np.int32)
         cuts = np.split(_positions(row["gaps"], row["far"], counts), np.cumsum(counts)[:-1])
-        for k, u, at in zip(np.frombuffer(row["ks"], np.int64).tolist(), np.frombuffer(row["uids"], np.int32).tolist(), cuts, strict=True):
+        for k, u, at in zip(np.frombuffer(row["ks"], np.int64).tolist(), np.frombuffer(row["uids"], np.int64).tolist(), cuts, strict=True):
             found.setdefault((k, u), []).append(at)
     return {i: np.concatenate(found[n]) for i, n in enumerate(zip(ks.tolist(), uids.tolist(), strict=True)) if n in found}
 

@@ -46,9 +46,9 @@ SHORT_BITS = 40
 ASKED = "bucket int, part int, steps binary, far binary, docs binary"
 _ASKED = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("steps", pa.binary()), ("far", pa.binary()), ("docs", pa.binary())])
 TOLD = "part int, bucket int, docs binary"
-DESCRIBED = "doc_id long, k long, uid int, n long, node long, check long, lonely int, shingles binary"
+DESCRIBED = "doc_id long, k long, uid long, n long, node long, check long, lonely int, shingles binary"
 _DESCRIBED = pa.schema(
-    [("doc_id", pa.int64()), ("k", pa.int64()), ("uid", pa.int32()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("lonely", pa.int32()), ("shingles", pa.binary())]
+    [("doc_id", pa.int64()), ("k", pa.int64()), ("uid", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("check", pa.int64()), ("lonely", pa.int32()), ("shingles", pa.binary())]
 )
 _FAR = 2**32 - 1
 

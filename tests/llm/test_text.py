@@ -475,3 +475,37 @@ def test_leaks_on_corpus(spark, corpus, docs, none, sf_dir):
     assert decontaminate.leaks(none, bench).count() == 0
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.without_leaks(docs, bench).count() == docs.count()
+
+
+LINE = "The quick brown fox jumps over the lazy dog near the river bank today."
+
+
+@pytest.mark.parametrize("rows", [500_000, 0])
+def test_repeated_lines_of_texts_and_items(spark, rows):
+    """Places don't carry the text, and equal ways to lay an item over a document count once."""
+    items = [(1, LINE), (2, f"{LINE} {LINE}"), (3, "Tom has 5 apples and gives 2 of them to Ann, so how many apples does he keep?"), (4, "the quick brown fox")]
+    docs = [(1, " ".join([LINE] * 3000)), (2, "Tom has 7 apples and gives 3 of them to Ann, so how many apples does he keep?"), (3, "nothing of note here, really nothing that any item has")]
+    docs.append((1, docs[0][1]))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=rows)
+    told = sorted((r.doc_id, r.item_id, r.n_matched, r.n_windows, r.coverage, r.verdict) for r in found.collect())
+    assert sorted(set(told)) == [(1, 1, 7, 7, 1.0, "exact"), (1, 2, 21, 21, 1.0, "exact"), (1, 4, 1, 1, 1.0, "exact"), (2, 3, 11, 11, 1.0, "reparameterised")]
+
+
+def test_templates_against_brute_force(spark):
+    """Generated questions with numbers, and copies with consistent and with contradicting numbers."""
+    rnd = random.Random(8)
+    plain = "the a of in box shop train road river farm market window paper stone garden village morning".split()
+    items, docs, want = [], [], set()
+    for i in range(40):
+        words = [rnd.choice(plain) for _ in range(30)]
+        for at in range(3, 30, 6):
+            words[at] = "#"
+        values = [str(rnd.randint(10, 99)) for _ in range(2)]
+        say = lambda v: " ".join(v[words[: k + 1].count("#") % len(v)] if w == "#" else w for k, w in enumerate(words))  # noqa: B023, E731
+        items.append((i, say(values)))
+        docs.append((3 * i, "so it was. " + say(values) + " and so on"))
+        docs.append((3 * i + 1, say([str(int(v) + 100 + n) for n, v in enumerate(values)])))
+        docs.append((3 * i + 2, say([str(1000 + k) for k in range(5)])))
+        want |= {(3 * i, i, "exact"), (3 * i + 1, i, "reparameterised")}
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.verdict) for r in found.collect()} == want
