@@ -144,26 +144,26 @@ def uninterpreted(genes: DataFrame, interpretations: DataFrame) -> DataFrame:
     return genes.select("gene_id").distinct().join(interpretations.select("gene_id"), "gene_id", "left_anti")
 
 
-# Sentences of the narrative; {} is the function.
-AMBIGUOUS = "The function of this gene is ambiguous due to conflicting evidence."
+# Sentences of the narrative; {} is the function.
+AMBIGUOUS = "What this gene does stays ambiguous, as its evidence disagrees."
 OPENINGS = {
-    "sure": "GIAE identifies this gene as a **{}** with very high confidence.",
-    "high": "Primary evidence strongly suggests this gene encodes a **{}**.",
-    "moderate": "This gene is likely a **{}**, though some uncertainty remains.",
-    "low": "Preliminary analysis suggests a possible role as a **{}**.",
-    "speculative": "The function is speculative, potentially resembling a **{}**.",
+    "sure": "Called a **{}** with very high confidence.",
+    "high": "The evidence strongly suggests a **{}**.",
+    "moderate": "Probably a **{}**; some doubt is left.",
+    "low": "A first look hints at a **{}**.",
+    "speculative": "Open; at best it resembles a **{}**.",
 }
 SUPPORT = {
-    "none": "No specific evidence details were provided.",
-    "both": "This conclusion is supported by both sequence homology and specific structural motifs, providing a robust consensus.",
-    "homology": "This is based primarily on sequence homology to known proteins in the database.",
-    "motif": "The identification is driven by the presence of conserved functional motifs, characteristic of this protein family.",
-    "other": "This based on available structural and sequence features.",
+    "none": "No details of the evidence are at hand.",
+    "both": "Sequence homology and motifs agree on it.",
+    "homology": "It rests mainly on sequence homology to known proteins.",
+    "motif": "It rests on conserved motifs or domains of this family.",
+    "other": "It rests on features of the sequence and structure alone.",
 }
 CAVEATS = {
-    "conflict": "However, there are conflicting signal from different evidence sources that warrant manual review.",
-    "alternative": "An alternative hypothesis ({}) was also considered but had lower support.",
-    "single": "Note that this relies on a single type of evidence, which increases the risk of false positives.",
+    "conflict": "There is a conflicting signal between sources: review by hand.",
+    "alternative": "The runner-up ({}) has less support.",
+    "single": "One type of evidence carries it, so a false positive is more likely.",
 }
 
 

@@ -22,18 +22,18 @@ def told(gene="g", hypothesis="kinase", score=0.95, level="high", severity="NONE
 @pytest.mark.parametrize(
     ("row", "parts"),
     [
-        (told(), ["GIAE identifies this gene as a **kinase** with very high confidence.", "primarily on sequence homology"]),
-        (told(score=0.85, reasoning=["a Motif"]), ["Primary evidence strongly suggests this gene encodes a **kinase**.", "conserved functional motifs"]),
-        (told(level="moderate", reasoning=["BLAST", "motif"]), ["This gene is likely a **kinase**, though some uncertainty remains.", "both sequence homology and specific structural motifs"]),
-        (told(level="low", reasoning=[], competing=[(2, "pump", 0.4)]), ["Preliminary analysis suggests a possible role as a **kinase**. No specific evidence details were provided. An alternative hypothesis (pump) was also considered"]),
-        (told(level="speculative", reasoning=["length"]), ["The function is speculative, potentially resembling a **kinase**. This based on available"]),
-        (told(hypothesis="Ambiguous interpretation: 'a' vs 'b'", level="low", competing=[(2, "pump", 0.4)], uncertainty=["conflicting_evidence"]), ["ambiguous due to conflicting evidence.", "warrant manual review."]),
+        (told(), ["Called a **kinase** with very high confidence.", "mainly on sequence homology"]),
+        (told(score=0.85, reasoning=["a Motif"]), ["The evidence strongly suggests a **kinase**.", "conserved motifs"]),
+        (told(level="moderate", reasoning=["BLAST", "motif"]), ["Probably a **kinase**; some doubt is left.", "homology and motifs agree"]),
+        (told(level="low", reasoning=[], competing=[(2, "pump", 0.4)]), ["A first look hints at a **kinase**. No details of the evidence are at hand. The runner-up (pump)"]),
+        (told(level="speculative", reasoning=["length"]), ["Open; at best it resembles a **kinase**. It rests on features"]),
+        (told(hypothesis="Ambiguous interpretation: 'a' vs 'b'", level="low", competing=[(2, "pump", 0.4)], uncertainty=["conflicting_evidence"]), ["stays ambiguous", "conflicting signal"]),
     ],
 )
 def test_narrative(spark, row, parts):
     text = interpretation.narrative(spark.createDataFrame([row], TOLD)).first().narrative
     assert all(p in text for p in parts), text
-    assert ("alternative" in text) == (bool(row[8]) and "conflicting_evidence" not in row[9])
+    assert ("runner-up" in text) == (bool(row[8]) and "conflicting_evidence" not in row[9])
 
 
 def test_genome_json(spark):
