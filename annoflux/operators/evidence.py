@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annoflux.functions.sequence import is_uninformative
+from annoflux.operators.lineage import cut
 
 COLUMNS = ("gene_id", "layer", "layer_seq", "evidence_type", "description", "confidence", "source", "motif_name", "domain_name", "accession", "tool_name")
 #: Layers in their fixed order.
@@ -228,26 +233,80 @@ def genome_summary(genomes: DataFrame, genes: DataFrame, interpretations: DataFr
 # -- user-defined surface ------------------------------------------------------------------
 
 
+GENE_EVIDENCE = "evidence_type string, description string, confidence double, source string, motif_name string, domain_name string, accession string"
+
+
+def gene_plugin(name: str, scan_gene: Callable[[dict], Iterable[dict]]) -> Callable[[DataFrame], DataFrame]:
+    """A plugin of a function from one gene (a dict of its columns) to its evidence (dicts with fields of ``GENE_EVIDENCE``).
+
+    A gene on which the function fails, or returns what is no evidence, has one row with the fault as ``error``
+    and no evidence; the other genes are not affected.
+    """
+    fields = [x.split()[0] for x in GENE_EVIDENCE.split(", ")]
+    columns = ["gene_id", "layer_seq", *fields, "error"]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for gene in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+                try:
+                    rows = []
+                    for n, found in enumerate(scan_gene(gene) or ()):
+                        if set(found) - set(fields) or not 0 <= float(found["confidence"]) <= 1:
+                            raise ValueError(f"no evidence: {found}")
+                        rows.append((gene["gene_id"], n, *[float(found[c]) if c == "confidence" else found.get(c) for c in fields], None))
+                    out += rows
+                except Exception as fault:  # noqa: BLE001  any fault of foreign code, kept as a row
+                    out.append((gene["gene_id"], 0, *[None] * len(fields), f"{type(fault).__name__}: {fault}"))
+            yield pd.DataFrame(out, columns=columns)
+
+    def plugin(genes: DataFrame) -> DataFrame:
+        found = genes.mapInPandas(scan, f"gene_id {genes.schema['gene_id'].dataType.simpleString()}, layer_seq long, {GENE_EVIDENCE}, error string")
+        return found.withColumns({"layer": F.lit(LAYERS.index("plugin")), "tool_name": F.lit(name)}).select(*COLUMNS, "error")
+
+    return plugin
+
+
 class EvidencePlugins:
     """Registered sources of evidence: functions from genes to rows with the columns of an evidence layer."""
 
     def __init__(self) -> None:
-        self._scans: dict[str, object] = {}
+        self._scans: dict[str, Callable[[DataFrame], DataFrame]] = {}
+        #: Faults of the plugins that the last scan skipped, by name.
+        self.skipped: dict[str, str] = {}
 
-    def register(self, name: str, scan, available: bool = True) -> None:
+    def register(self, name: str, scan: Callable[[DataFrame], DataFrame], available: bool = True) -> None:
         if available:
             self._scans[name] = scan
 
-    def scan(self, genes: DataFrame) -> DataFrame | None:
-        """The union of all plugins' rows; a plugin that fails to plan is skipped."""
-        found = None
+    def register_gene_scan(self, name: str, scan_gene: Callable[[dict], Iterable[dict]], available: bool = True) -> None:
+        """A plugin that sees one gene at a time, as ``gene_plugin`` runs it."""
+        self.register(name, gene_plugin(name, scan_gene), available)
+
+    def scan(self, genes: DataFrame, isolate: bool = False) -> DataFrame | None:
+        """The union of all plugins' rows; a plugin that fails to plan is skipped, and told in ``skipped``.
+
+        ``isolate``: each plugin is run by itself and its rows are checkpointed, so that one that fails while it
+        runs is skipped too. Genes on which a ``gene_plugin`` fails are left out either way; ``faults`` lists them.
+        """
+        found, self.skipped = None, {}
         for name, scan in self._scans.items():
             try:
-                rows = scan(genes).select(*COLUMNS)
+                rows = scan(genes)
+                rows = (rows.where("error IS NULL") if "error" in rows.columns else rows).select(*COLUMNS)
+                rows = cut(rows) if isolate else rows
             except Exception as error:  # noqa: BLE001  a plugin's fault must not end the job
-                import logging
-
                 logging.getLogger(__name__).warning("plugin %s skipped: %s", name, error)
+                self.skipped[name] = f"{type(error).__name__}: {error}"
                 continue
             found = rows if found is None else found.unionByName(rows)
         return found
+
+    def faults(self, genes: DataFrame) -> DataFrame | None:
+        """(plugin, gene_id, error): the genes on which gene plugins fail."""
+        found = None
+        for name, scan in self._scans.items():
+            if name not in self.skipped and "error" in (rows := scan(genes)).columns:
+                bad = rows.where("error IS NOT NULL").select(F.lit(name).alias("plugin"), "gene_id", "error")
+                found = bad if found is None else found.unionByName(bad)
+        return found
