@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from annoflux.functions import sequence as sq
 from annoflux.operators import intervals as iv
@@ -93,15 +94,37 @@ def short_orf_rescue(genomes: DataFrame, genes: DataFrame, usage: DataFrame, min
 
 
 def rescue_nested_scan(genomes: DataFrame, hosts: DataFrame, min_aa: int = 20) -> DataFrame:
-    """The same scan inside host genes, the host itself aside; motifs are looked for inside the host only."""
-    wide = hosts.where(F.col("end") - F.col("start") >= 3 * min_aa + 6).select("genome_id", F.col("start").alias("h_start"), F.col("end").alias("h_end"))
-    key = F.concat_ws("|", "genome_id", "h_start", "h_end")
-    regions = genomes.join(wide, "genome_id").select(key.alias("genome_id"), F.substring("sequence", (F.col("h_start") + 1).cast("int"), (F.col("h_end") - F.col("h_start")).cast("int")).alias("sequence"))
-    found = rescue_candidates(regions.distinct(), min_aa).where("rbs > 0")
-    part = F.split("genome_id", r"\|")
-    placed = found.withColumns({"h_start": part[1].cast("long"), "h_end": part[2].cast("long"), "_genome": part[0]})
-    placed = placed.withColumns({"start": F.col("start") + F.col("h_start"), "end": F.col("end") + F.col("h_start"), "genome_id": F.col("_genome")})
-    return placed.where((F.col("start") != F.col("h_start")) | (F.col("end") != F.col("h_end"))).select("genome_id", "start", "end", "strand", "h_start", "h_end", "rbs").distinct()
+    """The same scan inside host genes, the host itself aside; motifs are looked for inside the host only.
+
+    A genome meets its hosts in one group and travels once. Each strand is read once for all hosts. Hosts that repeat count once;
+    parts beyond the genome's ends are cut. Ids may hold any character.
+    """
+    wide = hosts.where(F.col("end") - F.col("start") >= 3 * min_aa + 6).select("genome_id", F.col("start").cast("long").alias("h_start"), F.col("end").cast("long").alias("h_end"))
+    kind = StructType([genomes.schema["genome_id"], *[StructField(n, LongType()) for n in ("start", "end", "strand", "h_start", "h_end")], StructField("upstream", StringType())])
+    columns = kind.names
+
+    def sweep(genome: pa.Table, hosts: pa.Table) -> pa.Table:
+        spans = sorted(set(zip(hosts["h_start"].to_pylist(), hosts["h_end"].to_pylist(), strict=True)))
+        found: set[tuple] = set()
+        for seq in set(genome["sequence"].to_pylist()) - {None}:
+            raw = np.frombuffer(seq.upper().encode(), np.uint8)
+            inside = [(max(a, 0), min(b, len(raw))) for a, b in spans]
+            for strand, letters in ((1, raw), (-1, orfs._COMPLEMENT[raw][::-1])) if len(raw) > 2 else ():
+                regions = inside if strand == 1 else [(len(raw) - b, len(raw) - a) for a, b in inside]
+                for number, first, stop in orfs.longest_inside(letters, regions, 3 * min_aa + 3):
+                    for p, q in zip(first.tolist(), stop.tolist(), strict=True):
+                        start, end = (p, q) if strand == 1 else (len(raw) - q, len(raw) - p)
+                        if (start, end) != spans[number]:
+                            found.add((start, end, strand, *spans[number], letters[max(p - orfs.UPSTREAM, regions[number][0]) : p].tobytes().decode()))
+        rows = list(zip(*sorted(found), strict=True)) or [()] * 6
+        ids = genome["genome_id"] if genome.num_rows else hosts["genome_id"]
+        types = [pa.int64()] * 5 + [pa.string()]
+        return pa.Table.from_arrays([ids.take(pa.array([0] * len(rows[0]), pa.int64())), *[pa.array(r, t) for r, t in zip(rows, types, strict=True)]], names=columns)
+
+    one = genomes.select("genome_id", "sequence").groupBy("genome_id")
+    found = one.cogroup(wide.groupBy("genome_id")).applyInArrow(sweep, kind)
+    rbs = sq.rbs_count(F.col("upstream"), F.length("upstream"))
+    return found.select("genome_id", "start", "end", F.col("strand").cast("int").alias("strand"), "h_start", "h_end", rbs.alias("rbs")).where("rbs > 0")
 
 
 def nested_candidates(genomes: DataFrame, min_aa: int = 50) -> DataFrame:

@@ -2,35 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annoflux.operators import intervals as iv
+from annoflux.operators.ranges import islands, numbered
+
+
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Matches of pairs that come by island, prediction, truth; what is taken is kept while predictions can still reach it."""
+    island, last, taken = None, None, {}
+    for batch in batches:
+        out = []
+        for x in batch.itertuples(index=False):
+            own = (x.genome_id, x.strand, x.island)
+            if own != island:
+                island, last, taken = own, None, {}
+            if x.p != last and x.t not in taken:
+                taken, last = {t: end for t, end in taken.items() if end > x.start} if len(taken) > 1024 else taken, x.p
+                taken[x.t] = x.r_end
+                out.append((x.genome_id, x.strand, x.p, x.t))
+        yield pd.DataFrame(out, columns=["genome_id", "strand", "p", "t"])
 
 
 def match_genes(truth: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(genome_id, strand, p, t): greedy matches of predictions, in order, with the first free truth span.
 
-    Spans are numbered within genome and strand by position. The pairs that overlap enough come from
-    the binned join; only they go to the sequential step, a contig strand at a time.
+    Spans are numbered within genome and strand by position, without a task for a contig. The pairs that overlap
+    enough come from the binned join; pairs whose spans are chained by overlaps are an island. Islands don't
+    compete for a span: each is matched by itself, its pairs streamed in order.
     """
-    order = lambda: Window.partitionBy("genome_id", "strand").orderBy("start", "end")
-    p = predictions.select("genome_id", "strand", "start", "end").withColumn("p", F.row_number().over(order()))
-    t = truth.select("genome_id", "strand", "start", "end").withColumn("t", F.row_number().over(order()))
+    spans = ("genome_id", "strand", "start", "end")
+    p, t = (numbered(x.select(*spans), ("genome_id", "strand"), ["start", "end"], n) for x, n in ((predictions, "p"), (truth, "t")))
     enough = iv.reciprocal_overlap(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end")) >= threshold
-    pairs = iv.overlap_join(p, t, keys=("genome_id", "strand"), extra=enough).select("genome_id", "strand", "p", F.col("r_t").alias("t"))
-
-    def greedy(pairs: pd.DataFrame) -> pd.DataFrame:
-        taken, done, out = set(), set(), []
-        for x in pairs.sort_values(["p", "t"]).itertuples(index=False):
-            if x.p not in done and x.t not in taken:
-                taken.add(x.t)
-                done.add(x.p)
-                out.append(x)
-        return pd.DataFrame(out, columns=pairs.columns)
-
-    return pairs.groupBy("genome_id", "strand").applyInPandas(greedy, "genome_id string, strand int, p int, t int")
+    pairs = iv.overlap_join(p, t, keys=("genome_id", "strand"), extra=enough).withColumnRenamed("r_t", "t")
+    pairs = pairs.withColumns({"low": F.least("start", "r_start"), "high": F.greatest("end", "r_end")})
+    chained = islands(pairs, ("genome_id", "strand"), "low", "high", "island")
+    key = ["genome_id", "strand", "island"]
+    streamed = chained.select(*key, "p", "t", "start", "r_end").repartition(*key).sortWithinPartitions(*key, "p", "t")
+    return streamed.mapInPandas(_greedy, "genome_id string, strand int, p long, t long")
 
 
 def evaluation(truth: DataFrame, predictions: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -12,9 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annoflux.operators.ranges import numbered
+
 STOPS = ("TAA", "TAG", "TGA")
 STARTS = ("ATG", "GTG", "TTG")
 TILE = 1 << 16
@@ -62,6 +64,31 @@ def _next_stops(letters: np.ndarray, is_start: np.ndarray, is_stop: np.ndarray)
     return place[order], np.where(stop == none, -1, stop)[order]
 
 
+def longest_inside(letters: np.ndarray, regions: list[tuple[int, int]], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each region the earliest ATG of each stop codon inside it and the stop's end, ``least`` bases and more.
+
+    The strand is read once: each stop's earliest start is known for all regions, and only the first
+    stop of a frame in a region, whose starts the region may cut off, is looked at again.
+    """
+    code = _CODE[letters]
+    codon = code[:-2] * 25 + code[1:-1] * 5 + code[2:]
+    by_frame = []
+    for frame in range(3):
+        at = np.arange(frame, len(codon), 3)
+        starts, stops = at[_kinds(("ATG",))[codon[at]]], at[_kinds(STOPS)[codon[at]]]
+        starts = np.r_[starts, len(letters)]
+        by_frame.append((starts, stops, starts[np.searchsorted(starts, np.r_[0, stops[:-1] + 3])] if len(stops) else stops))
+    for number, (a, b) in enumerate(regions):
+        for starts, stops, earliest in by_frame:
+            lo, hi = np.searchsorted(stops, a), np.searchsorted(stops, b - 3, "right")
+            if lo < hi:
+                first = earliest[lo:hi].copy()
+                first[0] = starts[np.searchsorted(starts, a)]
+                keep = stops[lo:hi] + 3 - first >= least
+                if keep.any():
+                    yield number, first[keep], stops[lo:hi][keep] + 3
+
+
 def frames(genomes: DataFrame, starts: tuple[str, ...] = STARTS, least: int = 0, earliest: bool = False, partial: bool = False, context: bool = False) -> DataFrame:
     """Start codons of both strands with the next stop in frame, ``least`` bases and more.
 
@@ -158,9 +185,8 @@ def gene_id() -> Column:
 
 
 def orfs_to_genes(orfs: DataFrame, prefix: str = "ORF") -> DataFrame:
-    """Genes numbered by position within their genome."""
-    order = Window.partitionBy("genome_id").orderBy("start", "end", F.desc("strand"), "frame")
-    return orfs.withColumn("rank", F.row_number().over(order)).select(
+    """Genes numbered by position within their genome; a genome's genes may lie in any number of tasks."""
+    return numbered(orfs, ("genome_id",), [F.col("start"), F.col("end"), F.desc("strand"), F.col("frame")], "rank").select(
         "genome_id",
         gene_id().alias("gene_id"),
         F.format_string(f"{prefix}_%04d", "rank").alias("locus_tag"),

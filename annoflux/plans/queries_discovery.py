@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -185,7 +187,21 @@ def o8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.short_orf_rescue(genomes, genes, dc.codon_usage(dc.with_sequences(genes, genomes))).select("genome_id", "start", "end", "strand", "rbs", F.round("codon_score", 6).alias("codon_score"))
 
 
-@query("o9_rescue_nested_scan")
+# the scan of the rescue over the hosts' parts instead of the genomes
+_HOSTED = re.sub(r"\b(strands|codons|events|begun|longest|rescue|near)\b", r"host_\1", _RESCUED).replace("FROM genomes", "FROM regions")
+_REGIONS = """, hosts AS (SELECT DISTINCT genome_id, start, "end" FROM genes WHERE "end" - start >= 66), regions AS (SELECT row_number() OVER () AS genome_id, h.genome_id AS host_of, start AS h_start, "end" AS h_end,
+    substr(g.sequence, start + 1, "end" - start) AS sequence FROM hosts h JOIN genomes g ON g.genome_id = h.genome_id), """
+
+
+@query(
+    "o9_rescue_nested_scan",
+    _KNOWN
+    + _REGIONS
+    + _HOSTED
+    + f""", found AS (SELECT r.host_of AS genome_id, n.start + h_start AS start, n."end" + h_start AS "end", strand, h_start, h_end, {_RBS} AS rbs FROM host_near n JOIN regions r ON r.genome_id = n.genome_id)
+    SELECT DISTINCT * FROM found WHERE rbs > 0 AND (start <> h_start OR "end" <> h_end)""",
+    ("genomes",),
+)
 def o9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.rescue_nested_scan(_genomes(spark, sf_dir), _genes(spark, sf_dir))
 

@@ -27,17 +27,40 @@ def _truth_and_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
     return spans.where("flag = 'A'").drop("flag"), spans.where("flag = 'R'").drop("flag")
 
 
-@query("b2_match_genes")
+def _matched(name: str, calls: str) -> str:
+    """Common tables in SQL that walk the calls of each contig strand in order, each taking its first free truth span."""
+    return f"""t{name} AS (SELECT genome_id, strand, start, "end", row_number() OVER (PARTITION BY genome_id, strand ORDER BY start, "end") AS t FROM spans WHERE flag = 'A'),
+    p{name} AS (SELECT genome_id, strand, start, "end", row_number() OVER (PARTITION BY genome_id, strand ORDER BY start, "end") AS p FROM spans WHERE {calls}),
+    c{name} AS (SELECT p.genome_id, p.strand, p, list(t ORDER BY t) AS ts, row_number() OVER (PARTITION BY p.genome_id, p.strand ORDER BY p) AS k FROM p{name} p JOIN t{name} t ON t.genome_id = p.genome_id AND t.strand = p.strand
+        AND (least(p."end", t."end") - greatest(p.start, t.start))::double / greatest(p."end" - p.start, t."end" - t.start) >= 0.5 GROUP BY p.genome_id, p.strand, p),
+    walk{name} AS (SELECT genome_id, strand, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS p, NULL::BIGINT AS t FROM c{name} WHERE k = 1
+        UNION ALL SELECT genome_id, strand, k, CASE WHEN got IS NULL THEN taken ELSE list_append(taken, got) END, p, got
+        FROM (SELECT c.genome_id, c.strand, c.k, w.taken, c.p, list_min(list_filter(c.ts, lambda x: NOT list_contains(w.taken, x))) AS got FROM walk{name} w JOIN c{name} c ON c.genome_id = w.genome_id AND c.strand = w.strand AND c.k = w.k + 1)),
+    rated{name} AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM (
+        SELECT genome_id, tp, n_p - tp AS fp, n_t - tp AS fn, CASE WHEN n_p > 0 THEN tp / n_p::double ELSE 0 END AS precision, CASE WHEN n_t > 0 THEN tp / n_t::double ELSE 0 END AS recall FROM (
+            SELECT coalesce(a.genome_id, b.genome_id) AS genome_id, coalesce(a.n, 0) AS n_t, coalesce(b.n, 0) AS n_p, coalesce(m.n, 0) AS tp FROM (SELECT genome_id, count(*) AS n FROM t{name} GROUP BY 1) a
+            FULL JOIN (SELECT genome_id, count(*) AS n FROM p{name} GROUP BY 1) b ON a.genome_id = b.genome_id
+            LEFT JOIN (SELECT genome_id, count(*) AS n FROM walk{name} WHERE t IS NOT NULL GROUP BY 1) m ON m.genome_id = coalesce(a.genome_id, b.genome_id))))"""
+
+
+_CALLS = _matched("", "flag = 'R'")
+
+
+@query("b2_match_genes", _CALLS + " SELECT genome_id, strand, p, t FROM walk WHERE t IS NOT NULL", ("spans",))
 def b2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm.match_genes(*_truth_and_calls(spark, sf_dir))
 
 
-@query("b3_evaluation")
+@query("b3_evaluation", _CALLS + " SELECT * FROM rated", ("spans",))
 def b3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm.evaluation(*_truth_and_calls(spark, sf_dir))
 
 
-@query("b4_compare_tools")
+@query(
+    "b4_compare_tools",
+    _CALLS + ", " + _matched("_forward", "flag = 'R' AND strand = 1") + " SELECT a.genome_id, a.f1 AS f1_a, b.f1 AS f1_b, a.f1 - b.f1 AS delta FROM rated a JOIN rated_forward b ON a.genome_id = b.genome_id",
+    ("spans",),
+)
 def b4(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, calls = _truth_and_calls(spark, sf_dir)
     return bm.compare_tools(bm.evaluation(truth, calls), bm.evaluation(truth, calls.where("strand = 1")))

@@ -58,4 +58,4 @@ def as_genomes(documents: DataFrame) -> DataFrame:
 def duck(body: str, *names: str) -> str:
     """DuckDB SQL with the named views in front; ``body`` begins with SELECT or with more common tables and ``SELECT``."""
     views = ", ".join(f"{n} AS ({DUCK[n]})" for n in names)
-    return f"WITH {views}{', ' if not body.lstrip().upper().startswith('SELECT') else ' '}{body}"
+    return f"WITH {'RECURSIVE ' if ' UNION ALL SELECT ' in body and 'walk' in body else ''}{views}{', ' if not body.lstrip().upper().startswith('SELECT') else ' '}{body}"
