@@ -97,9 +97,14 @@ def firsts(keys: np.ndarray, rows: np.ndarray, at: np.ndarray, ks: np.ndarray) -
     return order, least, several, first
 
 
-def scattered(keys: np.ndarray, known: np.ndarray, uids: np.ndarray) -> np.ndarray:
+def scattered(keys: np.ndarray, known: np.ndarray, rows: np.ndarray, uids: np.ndarray) -> np.ndarray:
     """Keys to deal out by: entries that aren't counted go by their document, so that no key's bucket fills up."""
-    return np.where(known & 2, bh.mix(uids.astype(np.uint64)), keys)
+    away = np.flatnonzero(known & 2)
+    if not len(away):
+        return keys
+    out = keys.copy()
+    out[away] = bh.mix(uids.astype(np.uint64))[rows[away]]
+    return out
 
 
 def _gaps(at: np.ndarray, starts: np.ndarray) -> tuple[bytes, bytes]:
@@ -171,7 +176,7 @@ def unpack(group: pd.DataFrame) -> dict[str, np.ndarray]:
 
 def answers(doc: np.ndarray, at: np.ndarray, ks: np.ndarray, uids: np.ndarray, parts: int) -> pd.DataFrame:
     """Positions packed by part and document."""
-    part = (uids[doc] % parts).astype(np.int32)
+    part = (uids % parts).astype(np.int32)[doc]
     order = np.lexsort((at, doc, part))
     part, doc, at = part[order], doc[order], at[order]
     edges = np.r_[_lead(part), len(part)]

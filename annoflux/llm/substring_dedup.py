@@ -59,7 +59,8 @@ def repeated_windows(named: DataFrame, width: int, buckets: int) -> DataFrame:
                 pick, least, _, _ = ex.firsts(keys, rows, at, ks)
                 # later rows of a key are repeated already here: only their answers travel
                 known = np.where(least, 0, 3).astype(np.uint8)
-                packed = ex.pack(ex.scattered(keys[pick], known, uids[rows[pick]]), rows[pick], at[pick], known, ks, uids, buckets, KEY_BYTES)
+                keys, rows, at = keys[pick], rows[pick], at[pick]
+                packed = ex.pack(ex.scattered(keys, known, rows, uids), rows, at, known, ks, uids, buckets, KEY_BYTES)
                 if packed:
                     yield pa.RecordBatch.from_pylist(packed, schema=_PACKED)
 
