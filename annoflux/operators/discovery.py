@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -40,17 +42,36 @@ def with_sequences(genes: DataFrame, genomes: DataFrame) -> DataFrame:
     return genes.groupBy("genome_id").cogroup(one).applyInArrow(slices, out)
 
 
+_BASES = np.full(256, 4, np.int64)
+_BASES[np.frombuffer(b"TCAGtcag", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
+_CODONS = np.array([a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"])
+
+
 def codon_usage(genes: DataFrame, orientation: str = "reference") -> DataFrame:
     """(genome_id, codon, frequency) over gene sequences; codons of A, C, G, T only.
 
     ``reference`` orientation complements reverse-strand sequences once more, though they are coding
-    strands already; ``coding`` takes them as they are. A gene is counted into its codons before the
-    genome's sums, so at most 64 rows of a gene are shuffled.
+    strands already; ``coding`` takes them as they are. A gene is counted into a vector of 64 in its task, and the vectors
+    of a genome are added there: no codon becomes a row, and at most 64 rows of a genome and batch are shuffled.
     """
-    turn = (F.col("strand") == -1) & F.lit(orientation == "reference")
-    seq = F.when(turn, sq.reverse_complement(F.upper("sequence"), keep_others=True)).otherwise(F.upper("sequence"))
-    codon = genes.select("genome_id", F.explode_outer(sq.codons(seq)).alias("codon")).where(F.col("codon").rlike("^[ACGT]{3}$"))
-    counts = codon.groupBy("genome_id", "codon").agg(F.count("*").alias("n"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[str, np.ndarray] = {}
+            for genome, strand, seq in zip(batch["genome_id"].to_pylist(), batch["strand"].to_pylist(), batch["sequence"], strict=True):
+                base = _BASES[np.frombuffer((seq.as_py() or "").encode(), np.uint8)]
+                if strand == -1 and orientation == "reference":
+                    base = np.where(base < 4, base ^ 2, 4)[::-1]
+                whole = base[: len(base) // 3 * 3].reshape(-1, 3)
+                whole = whole[(whole < 4).all(1)]
+                own = np.bincount(whole @ np.array([16, 4, 1]), minlength=64)
+                sums[genome] = sums[genome] + own if genome in sums else own
+            found = [(genome, codon, int(n)) for genome, own in sums.items() for codon, n in zip(_CODONS.tolist(), own, strict=True) if n]
+            ids, codon, n = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("genome_id").type), pa.array(codon, pa.string()), pa.array(n, pa.int64())], names=["genome_id", "codon", "n"])
+
+    kind = StructType([genes.schema["genome_id"], StructField("codon", StringType()), StructField("n", LongType())])
+    counts = genes.select("genome_id", "strand", "sequence").mapInArrow(count, kind).groupBy("genome_id", "codon").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy("genome_id"))  # 64 rows a genome at most
     return counts.select("genome_id", "codon", (F.col("n") / total).alias("frequency"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -167,45 +170,62 @@ def combined_hypothesis(evidence: DataFrame) -> DataFrame:
     return _rows(found, 5, F.lit(0), F.concat(title(c), F.lit("-related protein")), c, F.least(F.col("mean") * 1.2, F.lit(0.95)), "COMBINED", F.col("t.ev_seq"), why, F.array().cast("array<string>"))
 
 
-_MEMBER = "struct<function:string,category:string,confidence:double,source_type:string,ids:array<bigint>,reasoning:array<string>,keywords:array<string>,n:int>"
+_MERGED = "hyp_seq int, function string, category string, confidence double, source_type string, ids array<bigint>, reasoning array<string>, keywords array<string>"
+
+
+class _Group:
+    """Hypotheses that resemble their first."""
+
+    def __init__(self, row) -> None:  # noqa: ANN001
+        self.first, self.n, self.confidence = row, 0, 0.0
+        self.ids, self.reasoning = {}, {}
+
+    def add(self, row) -> None:  # noqa: ANN001
+        self.n += 1
+        self.confidence += row.confidence
+        self.ids.update(dict.fromkeys(row.ids))
+        self.reasoning.update(dict.fromkeys(row.reasoning))
+
+    def row(self, seq: int) -> tuple:
+        one = self.n == 1
+        confidence = self.confidence if one else min(self.confidence / self.n * 1.1, 0.95)
+        return (self.first.gene_id, seq, self.first.function, self.first.category, confidence, self.first.source_type if one else "aggregated", sorted(self.ids), list(self.reasoning), self.first.keywords)
+
+
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Groups of each gene's hypotheses, which come in order; a gene's groups are found by category and by function."""
+    gene, groups, by_category, by_function = None, [], {}, {}
+    columns = ["gene_id", *[c.split()[0] for c in _MERGED.split(", ")]]
+    for batch in batches:
+        out = []
+        for row in batch.itertuples(index=False):
+            if row.gene_id != gene:
+                out += [g.row(n) for n, g in enumerate(groups)]
+                gene, groups, by_category, by_function = row.gene_id, [], {}, {}
+            known = row.category is not None and row.category != "unknown"
+            at = min(by_category.get(row.category, len(groups)) if known else len(groups), by_function.get(row.lowered, len(groups)) if row.lowered is not None else len(groups))
+            if at == len(groups):
+                groups.append(_Group(row))
+                if known:
+                    by_category.setdefault(row.category, at)
+                if row.lowered is not None:
+                    by_function.setdefault(row.lowered, at)
+            groups[at].add(row)
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame([g.row(n) for n, g in enumerate(groups)], columns=columns)
 
 
 def merge_similar(hypotheses: DataFrame) -> DataFrame:
     """Folds each gene's hypotheses, in order, into groups that resemble their first member.
 
-    Alike: the same category other than unknown, or the same function but for case. A gene has few
-    hypotheses (its annotations, three hits, three domains or its motifs), so the fold is an array's.
+    Alike: the same category other than unknown, or the same function but for case. Hypotheses are dealt out by
+    gene and streamed in order; a group is found by a lookup, so the work is linear in a gene's
+    hypotheses, and a task holds no more than the groups of one gene.
     """
-    member = F.struct(
-        "tier", "place", "function", "category", "confidence", "source_type", F.transform("ids", lambda i: i.cast("long")).alias("ids"), "reasoning", "keywords"
-    )
-    ordered = hypotheses.groupBy("gene_id").agg(F.array_sort(F.collect_list(member)).alias("all"))
-
-    def alike(g: Column, h: Column) -> Column:
-        return ((g["category"] == h["category"]) & (g["category"] != "unknown")) | (F.lower(g["function"]) == F.lower(h["function"]))
-
-    def joined(g: Column, h: Column) -> Column:
-        return F.struct(
-            g["function"].alias("function"), g["category"].alias("category"), (g["confidence"] + h["confidence"]).alias("confidence"), F.lit("aggregated").alias("source_type"),
-            F.array_union(g["ids"], h["ids"]).alias("ids"), F.array_union(g["reasoning"], h["reasoning"]).alias("reasoning"), g["keywords"].alias("keywords"), (g["n"] + 1).alias("n"),
-        )
-
-    def alone(h: Column) -> Column:
-        return F.struct(*[h[c].alias(c) for c in ("function", "category", "confidence", "source_type", "ids", "reasoning", "keywords")], F.lit(1).alias("n"))
-
-    def step(groups: Column, h: Column) -> Column:
-        at = F.array_position(F.transform(groups, lambda g: alike(g, h)), True)
-        grown = F.transform(groups, lambda g, i: F.when(i + 1 == at, joined(g, h)).otherwise(g))
-        return F.when(at > 0, grown).otherwise(F.concat(groups, F.array(alone(h))))
-
-    groups = F.aggregate("all", F.array().cast(f"array<{_MEMBER}>"), step)
-    each = ordered.select("gene_id", F.posexplode_outer(groups).alias("hyp_seq", "h")).where("h IS NOT NULL")
-    many = F.col("h.n") > 1
-    return each.select(
-        "gene_id", "hyp_seq", "h.function", "h.category",
-        F.when(many, F.least(F.col("h.confidence") / F.col("h.n") * 1.1, F.lit(0.95))).otherwise(F.col("h.confidence")).alias("confidence"),
-        "h.source_type", F.array_sort("h.ids").alias("ids"), "h.reasoning", "h.keywords",
-    )
+    order = ["gene_id", "tier", "place", "function", "category", "confidence"]
+    member = hypotheses.select(*order, "source_type", F.transform("ids", lambda i: i.cast("long")).alias("ids"), "reasoning", "keywords", F.lower("function").alias("lowered"))
+    kind = hypotheses.schema["gene_id"].dataType.simpleString()
+    return member.repartition("gene_id").sortWithinPartitions(*order).mapInPandas(_fold, f"gene_id {kind}, {_MERGED}")
 
 
 def all_tiers(evidence: DataFrame) -> DataFrame:

@@ -313,7 +313,9 @@ def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
     genes = found.select("genome_id", F.concat_ws("|", "genome_id", "start", "end", "strand").alias("gene_id"), sq.translate_dna(F.col("sequence")).alias("protein_seq"))
     evidence = cut(ev.collect_evidence(ev.motif_evidence(mt.motif_scan(genes, mt.builtin_patterns(spark)))))
     scored = ip.rank_hypotheses(ip.score_confidence(hy.generate_hypotheses(evidence), evidence))
-    return ip.interpretation_summary(genes.select("genome_id", "gene_id").join(ip.interpret(scored), "gene_id", "left"))
+    # every frame again, but without its sequence
+    every = orfs.six_frame_orfs(view(spark, sf_dir, "genomes")).select("genome_id", F.concat_ws("|", "genome_id", "start", "end", "strand").alias("gene_id"))
+    return ip.interpretation_summary(every.join(ip.interpret(scored), "gene_id", "left"))
 
 
 @query("w2_interpret_genomes")

@@ -10,11 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annoflux.functions.sequence import VALID_GENOME
+from annoflux.operators.lineage import cut
 from annoflux.operators.orfs import orf_sequence
 
 EXTENSIONS = {"fasta": ("fasta", "fa", "fna", "ffn", "faa"), "genbank": ("gb", "gbk", "genbank", "gbff")}
@@ -51,6 +53,52 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parse_fasta(spark.read.option("lineSep", "\n>").text(path))
 
 
+CHUNK = "file string, block long, n long, header string, sequence string"
+
+
+def _record_pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pieces of records from lines: a piece ends with its record, its block of the file or its batch; only a record's first has a header."""
+    here, n = None, 0
+    for batch in batches:
+        out = []
+        for (file, block), lines in batch.groupby(["file", "block"], sort=False)["value"]:
+            if (file, block) != here:
+                here, n = (file, block), 0
+            header, body = None, []
+            for line in lines:
+                if line.startswith(">"):
+                    if header is not None or body:
+                        out.append((file, block, n, header, "".join(body)))
+                        n += 1
+                    header, body = line[1:].rstrip("\r"), []
+                else:
+                    body.append("".join(line.split()).upper())
+            out.append((file, block, n, header, "".join(body)))
+            n += 1
+        yield pd.DataFrame(out, columns=["file", "block", "n", "header", "sequence"])
+
+
+def read_fasta_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record, chunk, header, sequence): the records of FASTA files in chunks, for records too long for one row.
+
+    Files are read by line and split anywhere, so a record longer than a split is read by several tasks; no row
+    holds more of it than a batch. ``record`` and ``chunk`` count up in the file's order, with gaps. What comes before a
+    file's first header is left out. A chunk that starts without a header belongs to the last header
+    before it: that is looked up over one row for each block of a file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    pieces = cut(lines.mapInPandas(_record_pieces, CHUNK))
+    place = F.struct("block", "n")
+    of_block = pieces.groupBy("file", "block").agg(F.max(F.when(F.col("header").isNotNull(), F.struct("block", "n", "header"))).alias("last"))
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    handed = of_block.withColumn("before", before).select("file", "block", "before")
+    # within a block the last header is the piece's own or one above it
+    inner = F.last(F.when(F.col("header").isNotNull(), F.struct("block", "n", "header")), ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("n"))
+    owned = pieces.withColumn("inner", inner).join(handed, ["file", "block"]).withColumn("of", F.coalesce("inner", "before")).where("of IS NOT NULL")
+    number = lambda p: p["block"] * F.lit(1 << 20) + p["n"]
+    return owned.select("file", number(F.col("of")).alias("record"), number(place).alias("chunk"), "of.header", "sequence")
+
+
 # -- GenBank -------------------------------------------------------------------------------
 
 FLAT = (
