@@ -86,6 +86,15 @@ def job_list(jobs: DataFrame, most: int | None = None) -> DataFrame:
     return ordered if most is None else ordered.limit(most)
 
 
+def job_statistics(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """Jobs with total_genes, interpreted_genes, high_confidence_count and dark_count of their results (job_id, score, level); 0 without any."""
+    counts = results.groupBy("job_id").agg(
+        F.count("*").alias("total_genes"), F.count("score").alias("interpreted_genes"), F.count_if(F.col("level") == "high").alias("high_confidence_count"), (F.count("*") - F.count("score")).alias("dark_count")
+    )
+    names = ["total_genes", "interpreted_genes", "high_confidence_count", "dark_count"]
+    return jobs.drop(*names).join(counts, "job_id", "left").na.fill(0, names)
+
+
 def stale_jobs(jobs: DataFrame, now: Column, minutes: int = 10) -> DataFrame:
     """Jobs with the status that cleaning gives them: pending or running ones older than ``minutes`` are cancelled."""
     old = F.col("created_at").cast("timestamp") < now - F.make_dt_interval(mins=F.lit(minutes))
@@ -103,5 +112,11 @@ def lookup_freshness(entries: DataFrame, now: Column, days: int = 30) -> DataFra
     return kept.where(F.col("stored_at") >= now - F.make_dt_interval(days=F.lit(days)))
 
 
+def entries_by_namespace(entries: DataFrame) -> DataFrame:
+    """(namespace, n): different stored keys of each namespace, expired ones included."""
+    keys = entries.select("namespace", F.sha2(F.upper(F.trim("key")), 256).alias("key_hash")).distinct()
+    return keys.groupBy("namespace").agg(F.count("*").alias("n"))
+
+
 def genes_in_order(genes: DataFrame) -> DataFrame:
     return genes.orderBy("genome_id", "start", "end")

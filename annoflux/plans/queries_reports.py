@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from annoflux.functions import sequence as sq
 from annoflux.operators import evaluation as bm
 from annoflux.operators import orfs
-from annoflux.plans.queries_interpret import _interpreted, _scored, results_view
+from annoflux.plans.queries_interpret import _RESULTS, _interpreted, _scored, results_view
 from annoflux.plans.queries_evidence import evidence_view
 from annoflux.plans.queries_sequence import ORFS
 from annoflux.operators.evidence import aggregate_evidence
@@ -96,6 +96,19 @@ def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm.job_list(view(spark, sf_dir, "jobs"))
 
 
+@query(
+    "k2_job_statistics",
+    _RESULTS
+    + """SELECT job_id, user_id, status, created_at, count(gene_id) AS total_genes, count(score) AS interpreted_genes, count(*) FILTER (WHERE level = 'high') AS high_confidence_count, count(gene_id) - count(score) AS dark_count
+    FROM jobs LEFT JOIN results ON job_id = concat('job', substr(gene_id, 2)) GROUP BY job_id, user_id, status, created_at""",
+    ("evidence", "jobs"),
+)
+def k2_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is a job, whose genes are those of its lines."""
+    results = results_view(spark, sf_dir).withColumn("job_id", F.concat(F.lit("job"), F.expr("substring(gene_id, 2)")))
+    return bm.job_statistics(view(spark, sf_dir, "jobs"), results)
+
+
 @query("k3_stale_jobs", "SELECT job_id, CASE WHEN status IN ('PENDING', 'RUNNING') AND created_at::timestamp < timestamp '1996-01-01' - interval 10 minute THEN 'CANCELLED' ELSE status END AS status FROM jobs", ("jobs",))
 def k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm.stale_jobs(view(spark, sf_dir, "jobs"), F.lit("1996-01-01").cast("timestamp")).select("job_id", "status")
@@ -112,6 +125,11 @@ def k4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm.lookup_freshness(entries, F.lit("1996-01-01").cast("timestamp")).select("namespace", "key_hash", "value")
 
 
+@query("k4_entries_by_namespace", "SELECT user_id AS namespace, count(DISTINCT upper(trim(status))) AS n FROM jobs GROUP BY 1", ("jobs",))
+def k4_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm.entries_by_namespace(view(spark, sf_dir, "jobs").select(F.col("user_id").alias("namespace"), F.col("status").alias("key")))
+
+
 @query("k5_genes_in_order", 'SELECT genome_id, start, "end", strand FROM spans ORDER BY genome_id, start, "end"', ("spans",))
 def k5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm.genes_in_order(view(spark, sf_dir, "spans").drop("flag"))
