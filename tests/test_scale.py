@@ -1,5 +1,6 @@
 """Long records, long lists of annotations and codon counts, against plain Python."""
 
+import json
 import random
 import time
 from collections import Counter
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from annoflux.operators import discovery, hypotheses
-from annoflux.sources import readers
+from annoflux.operators.interpretation import interpretation_summary
+from annoflux.sources import readers, sinks
 
 
 @pytest.mark.parametrize("split", ["1k", "128m"])
@@ -70,3 +72,22 @@ def test_codon_usage(spark):
         want = {(g, c): n / sum(own.values()) for g, own in counts.items() for c, n in own.items()}
         found = {(r["genome_id"], r["codon"]): r["frequency"] for r in discovery.codon_usage(df, orientation).collect()}
         assert found == pytest.approx(want)
+
+
+def test_exports_in_lines(spark, tmp_path):
+    """Lines of an export, written and put together by object, are the texts of the export in one row."""
+    genomes = spark.createDataFrame([(f"g{i}", "ACGT" * i) for i in range(5)], "genome_id string, sequence string")
+    genes = spark.range(300).select(F.concat(F.lit("g"), F.col("id") % 3).alias("genome_id"), F.concat(F.lit("x"), "id").alias("gene_id"), (F.col("id") * 7 % 100).alias("start"), (F.col("id") * 7 % 100 + 3).alias("end"), F.lit(1).alias("strand"), F.lit("M*").alias("protein_seq"))
+    evidence = genes.select("gene_id", F.lit(1).alias("ev_seq"), F.lit("motif_match").alias("evidence_type"), F.lit('a "quoted" },{ text').alias("description"), F.lit(0.5).alias("confidence"))
+    results = genes.select("genome_id", "gene_id", F.when(F.col("start") > 20, "kinase").alias("hypothesis"), F.when(F.col("start") > 20, 0.9).alias("score"), F.lit("high").alias("level"), F.lit("NONE").alias("severity"))
+    pairs = [
+        (sinks.genome_json(genomes, genes, evidence), sinks.genome_json_lines(genomes, genes, evidence)),
+        (sinks.interpretation_json(results, interpretation_summary(results)), sinks.interpretation_json_lines(results, interpretation_summary(results))),
+    ]
+    for n, (whole, lines) in enumerate(pairs):
+        sinks.write_lines(lines, str(tmp_path / str(n)))
+        texts = "".join(p.read_text() for p in (tmp_path / str(n)).glob("part-*")).replace("\n]}\n", "\n]}\0").replace("[]}\n", "[]}\0").split("\0")
+        found = {x.get("id", x.get("genome_id")): x for x in (json.loads(t) for t in texts if t.strip())}
+        assert found == {r["genome_id"]: json.loads(r["json"]) for r in whole.collect()}
+        plan = lines._jdf.queryExecution().toString()
+        assert "collect_list(struct(start" not in plan and "collect_list(struct(gene_id" not in plan
