@@ -14,22 +14,27 @@ from annoflux.llm.storage import cut
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold, whole; null and empty texts stay, repeated rows stay or go together."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: that of the least id (nulls last), a repeated row once. Texts without words are no copies and stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no item of the benchmark; null and empty texts leak nothing, repeated rows stay or go together."""
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def generalise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same rows with personal data replaced by its kind and disclosing words removed; null texts stay null."""
     return pii.sanitise(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' columns with the pieces' ids and what they decode to; null texts have no pieces."""
     return sentencepiece_wfst.encode_decode(docs, sentencepiece_wfst.read_model())
 
 
