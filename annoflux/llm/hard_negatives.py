@@ -6,8 +6,8 @@ summaries of two vectors bound their score from both sides. Pairs are tested wit
 segments first and with shorter ones while the bounds leave them in question; what is left is
 scored exactly, in whole numbers. The bounds never drop a row that belongs to the answer.
 
-``positives``: the best rows of an anchor's own label. ``mine``: for each anchor and positive
-the best rows of other labels whose score lies in the band below the positive's.
+``mine`` finds an anchor's positives, the best rows of its own label, and for each positive the best rows
+of other labels whose score lies in the band below the positive's.
 
 Anchors are a stated share of the rows, held against all rows in blocks: rows are dealt into
 strands, anchors into parts of at most ``PART``; a task holds the anchors of a part and streams
