@@ -22,7 +22,15 @@ def spans(spark):
     return rows, spark.createDataFrame(rows, SPAN).repartition(5)
 
 
-def test_numbers(spans):
+@pytest.fixture(params=[10_000, 37])
+def batch(request, spark):
+    """Rows that a task sees at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(request.param))
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_numbers(spans, batch):
     rows, df = spans
     found = numbered(df, ("genome_id", "strand"), [F.col("start"), F.desc("end")], "n").collect()
     assert sorted((*r[:4],) for r in map(tuple, found)) == sorted(rows)
@@ -32,7 +40,7 @@ def test_numbers(spans):
         assert [x[1:] for x in own] == sorted(x[1:] for x in own)
 
 
-def test_islands(spans):
+def test_islands(spans, batch):
     rows, df = spans
     found = [tuple(r) for r in islands(df, ("genome_id", "strand"), "start", "end", "island").collect()]
     assert len(found) == len(rows)
@@ -47,7 +55,7 @@ def test_islands(spans):
     assert sorted(found) == sorted(want)
 
 
-def test_greedy_matches(spark, spans):
+def test_greedy_matches(spark, spans, batch):
     rows, df = spans
     truth = [r for i, r in enumerate(rows) if i % 2]
     calls = [r for i, r in enumerate(rows) if not i % 2]
