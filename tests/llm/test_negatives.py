@@ -91,3 +91,13 @@ def test_bounds_hold_and_prune(scale):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert hard_negatives.mine(df, F.col("vec_id") % 50 == 0, F.col("label")).count() == 0
+
+
+def test_batches_end_anywhere(spark):
+    rnd = random.Random(8)
+    rows = [(i, i % 3, [rnd.gauss(0.4, 1) for _ in range(10)]) for i in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert mined(spark, rows) == expected(rows, lambda i: i % 5 == 0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -135,3 +135,13 @@ def test_every_conversation_of_the_table(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     found = {r[0]: tuple(r)[1:] for r in cr.repaired_conversations(df).collect()}
     assert found == expected([tuple(r) for r in df.select("conv_id", "turn", "role", "text").collect()])
+
+
+def test_batches_end_anywhere(spark):
+    rnd = random.Random(9)
+    rows = [r for conv in range(40) for r in talk(rnd, conv, rnd.choice([1, 3, 8, 40]))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert repaired(spark, rows) == expected(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
