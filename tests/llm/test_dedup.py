@@ -183,3 +183,20 @@ def test_empty_tables(none):
     assert suffix_dedup.remove_repeated_strings(none).count() == 0
     assert jaccard_join.similar_documents(none).count() == 0
     assert jaccard_join.one_of_each(none).count() == 0
+
+
+def test_rows_without_ids_keep_their_own_answers(spark):
+    """Two texts without ids whose hashes agree in 31 bits: only the one that repeats a passage loses it."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"said{i}" for i in range(20))
+    other = " ".join(f"else{i}" for i in range(20))
+    n = F.col("id")
+    texts = spark.range(300_000).select(F.concat(F.when(n % 2 == 0, passage).otherwise(other), F.lit(" no"), n).alias("text"), (n % 2 == 0).alias("repeats"))
+    short = texts.withColumn("h", F.xxhash64(F.lit(LAST).cast("long"), "text").bitwiseAND(F.lit(2**31 - 1)))
+    pair = short.where("repeats").alias("a").join(short.where("not repeats").alias("b"), "h").select("a.text", "b.text").first()
+    assert pair is not None
+    rows = [(1, f"{passage} first"), (2, "nothing of that"), (None, pair[0]), (None, pair[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.remove_repeated_windows(df, width=13, with_text=False)
+    assert sorted((r.doc_id or 0, r.n_removed) for r in found.collect()) == [(0, 0), (0, 20), (1, 0), (2, 0)]
