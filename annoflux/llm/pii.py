@@ -15,6 +15,12 @@ Entities are paired with the different words of their whole texts, so pairs grow
 mentions, and every place of a flagged word in these texts is a span; the frequencies of words are
 summed in the tasks before they are shuffled. All four counts are of different texts, so copies
 are no evidence.
+
+With ``alike``, near copies are none either. The texts that show a word with an entity are settled by leaders:
+the first by hash leads, texts whose different words overlap the leader's by ``alike`` (Jaccard) go with it, and so on
+with the rest, ``support - 1`` times. A pair holds if texts are left over, and if its bits, in the
+share of the leaders and the left texts, exceed those of choosing one of all pairs of word and entity.
+Leaders are compared with their texts only, so the work is linear in the places of flagged pairs.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ WORD = r"\p{L}{3,}+"
 #: Share of an entity's information from which a word discloses it, and texts that must show both.
 DISCLOSURE = 0.9
 SUPPORT = 2
+#: Overlap of different words from which two texts are one piece of evidence (for ``alike``).
+ALIKE = 0.5
 #: Parts into which the rows of a pair of entity and word are dealt when flags come back to them.
 SALTS = 16
 
@@ -108,10 +116,11 @@ def _standing(text: Column, words: Column) -> Column:
     return F.transform(sp.find(text, pattern), lambda s: F.struct(s["start"], s["end"]))
 
 
-def flagged_pairs(different: DataFrame, named: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """(entity, word): words that disclose an entity.
+def flagged_pairs(different: DataFrame, named: DataFrame, disclosure: float, support: int, of_pairs: bool = False) -> DataFrame:
+    """(entity, word, n_et, bits, least): words that disclose an entity, by more ``bits`` than the ``least``.
 
-    ``different`` has the different texts with entities (entities, words), ``named`` all texts.
+    ``different`` has the different texts with entities (entities, words), ``named`` all texts. The least are the
+    bits of choosing one of all words, or with ``of_pairs`` one of all pairs of word and entity.
     """
     texts = named.select("text").distinct()
     seen = different.select(F.explode("entities").alias("entity"), "words").select("entity", F.explode("words").alias("word"))
@@ -119,23 +128,56 @@ def flagged_pairs(different: DataFrame, named: DataFrame, disclosure: float, sup
     of_entity = different.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     of_word = cut(texts.select(F.explode(_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n_t")))
     hashes = named.select(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).distinct()  # to count texts without moving them
-    n = hashes.agg(F.count("*").alias("n")).crossJoin(of_word.agg(F.count("*").alias("n_words")))  # one row
+    n = hashes.agg(F.count("*").alias("n")).crossJoin(of_word.agg(F.log2(F.count("*")).alias("least")))  # one row
+    if of_pairs:
+        n = n.crossJoin(of_entity.agg(F.log2(F.count("*")).alias("more"))).select("n", (F.col("least") + F.col("more")).alias("least"))
     share, usual = F.col("n_et") / F.col("n_t"), F.col("n_e") / F.col("n")
     rest = F.when(share < 1, (1 - share) * F.log2((1 - share) / (1 - usual))).otherwise(0.0)
-    bits = F.col("n_t") * (share * F.log2(share / usual) + rest)
     return (
         pairs.join(of_entity, "entity")
         .join(of_word, "word")
         .crossJoin(F.broadcast(n))  # one row
-        .where((F.col("n_e") < F.col("n")) & (F.log2(share / usual) >= -disclosure * F.log2(usual)) & (bits > F.log2("n_words")))
-        .select("entity", "word")
+        .withColumn("bits", F.col("n_t") * (share * F.log2(share / usual) + rest))
+        .where((F.col("n_e") < F.col("n")) & (F.log2(share / usual) >= -disclosure * F.log2(usual)) & (F.col("bits") > F.col("least")))
+        .select("entity", "word", "n_et", "bits", "least")
     )
 
 
-def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def _beside(many: DataFrame, salt_of: str, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``many`` rows a key with one row a key; a hot key's rows are dealt out by a hash they hold."""
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return many.withColumn("salt", F.pmod(salt_of, F.lit(SALTS)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+
+
+def independent_pairs(flagged: DataFrame, places: DataFrame, different: DataFrame, alike: float, support: int) -> DataFrame:
+    """(entity, word): the flagged pairs that hold when texts alike are one piece of evidence.
+
+    ``places`` has the texts of each flagged pair (said, said2, entity, word).
+    """
+    hashes = F.transform("words", lambda w: F.xxhash64(w))
+    of_text = different.select("said", "said2", hashes.alias("own"))
+    left = places
+    for _ in range(support - 1):
+        leads = left.groupBy("entity", "word").agg(F.min(F.struct("said", "said2")).alias("lead"))
+        led = cut(_beside(left, "said", leads.select("entity", "word", F.col("lead.said").alias("lead"), F.col("lead.said2").alias("lead2")), ["entity", "word"]))
+        # each text meets each of its leaders once, whatever the number of their words
+        pairs = led.select("said", "said2", "lead", "lead2").distinct()
+        leading = of_text.select(F.col("said").alias("lead"), F.col("said2").alias("lead2"), F.col("own").alias("theirs"))
+        leading = leading.join(led.select("lead", "lead2").distinct(), ["lead", "lead2"], "left_semi")
+        both = _beside(pairs.join(of_text, ["said", "said2"]), "said", leading, ["lead", "lead2"])
+        common = F.size(F.array_intersect("own", "theirs"))
+        apart = both.where(common < alike * (F.size("own") + F.size("theirs") - common)).select("said", "said2", "lead", "lead2")
+        left = led.join(apart, ["said", "said2", "lead", "lead2"], "left_semi").select("said", "said2", "entity", "word")
+    rest = left.groupBy("entity", "word").agg(F.count("*").alias("rest"))
+    evidence = F.col("rest") + (support - 1)
+    return flagged.join(rest, ["entity", "word"]).where(F.col("bits") * evidence / F.col("n_et") > F.col("least")).select("entity", "word")
+
+
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, alike: float | None = None) -> DataFrame:
     """(k, uid, terms array<struct<start,end>>): words that disclose an entity of their text, wherever they stand in it.
 
-    Terms overlap no base span. Null and empty texts have none; rows that repeat have one row here.
+    Terms overlap no base span. Null and empty texts have none; rows that repeat have one row here. With ``alike``
+    near copies are one piece of evidence; a flagged word is a term in each of them all the same.
     """
     named = ex.named(docs)
     rows = _with_base(named).where(F.size(F.concat(*KINDS)) > 0)
@@ -144,22 +186,22 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
     holding = cut(rows.select("k", "uid", "text", *said, _entities().alias("entities")))
     once = holding.select("said", "said2", "entities", "text").dropDuplicates(["said", "said2"])
     different = cut(once.select("said", "said2", "entities", _words(F.col("text")).alias("words")))
-    flagged = flagged_pairs(different, named, disclosure, support)
-    salted = flagged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    seen = different.select("said", "said2", F.pmod("said", F.lit(SALTS)).cast("int").alias("salt"), "words", F.explode("entities").alias("entity"))
-    told = (
-        seen.select("said", "said2", "salt", "entity", F.explode("words").alias("word"))
-        .join(salted, ["entity", "word", "salt"], "left_semi")
-        .groupBy("said", "said2")
-        .agg(F.collect_set("word").alias("words"))  # a text's words at most
-    )
+    flagged = flagged_pairs(different, named, disclosure, support, of_pairs=alike is not None)
+    seen = different.select("said", "said2", "words", F.explode("entities").alias("entity")).select("said", "said2", "entity", F.explode("words").alias("word"))
+    if alike is None:
+        told = _beside(seen, "said", flagged.select("entity", "word"), ["entity", "word"])
+    else:
+        flagged = cut(flagged)
+        places = cut(_beside(seen, "said", flagged.select("entity", "word"), ["entity", "word"]))
+        told = _beside(places, "said", independent_pairs(flagged, places, different, alike, support), ["entity", "word"])
+    told = told.groupBy("said", "said2").agg(F.collect_set("word").alias("words"))  # a text's words at most
     return holding.join(told, ["said", "said2"]).select("k", "uid", _standing(_prose(F.col("text")), F.col("words")).alias("terms")).dropDuplicates(["k", "uid"])
 
 
 NO_TERMS = "array<struct<start:int,end:int>>"
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, alike: float | None = None) -> DataFrame:
     """Spans of personal data in every text.
 
     Returned, a row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256 (of the
@@ -167,7 +209,7 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
     kind ``term`` last) and n_term. Offsets are code points, end exclusive.
 
     Null texts are empty; empty texts have no spans. Words count once for each text that shows them with an
-    entity, so copies are no evidence. Rows with equal id and text have equal results; null ids are kept.
+    entity, so copies are no evidence, nor with ``alike`` near copies. Rows with equal id and text have equal results; null ids are kept.
     Other columns are ignored.
     """
     base = _with_base(ex.named(docs)).select(
@@ -177,7 +219,7 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
         *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in KINDS],
         F.concat(*[_listed(kind, F.col(kind)) for kind in KINDS]).alias("listed"),
     )
-    terms = disclosing_terms(docs, disclosure, support)
+    terms = disclosing_terms(docs, disclosure, support, alike)
     kept = base.join(terms, ["k", "uid"], "left").withColumn("terms", F.coalesce("terms", F.array().cast(NO_TERMS)))
     return kept.select(
         "doc_id",
@@ -192,7 +234,7 @@ def _generalised(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"], s["end"], F.lit(f"[{kind.upper()}]").alias("put")))
 
 
-def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, alike: float | None = None) -> DataFrame:
     """The rows of ``docs`` with base spans of ``text`` generalised to ``[KIND]`` and disclosing terms removed.
 
     Null texts stay null; all other columns stay as they are. Where base spans of two kinds overlap, one
@@ -203,7 +245,7 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUP
     rows = rows.withColumn(uid, ex.uid_of(F.col(k), F.col(text)))
     found = base_spans(F.col(text))
     rows = rows.withColumn(base, F.concat(*[_generalised(kind, found[kind]) for kind in KINDS]))
-    terms = disclosing_terms(docs, disclosure, support).select(F.col("k").alias(k), F.col("uid").alias(uid), F.col("terms").alias(found_terms))
+    terms = disclosing_terms(docs, disclosure, support, alike).select(F.col("k").alias(k), F.col("uid").alias(uid), F.col("terms").alias(found_terms))
     rows = rows.join(terms, [k, uid], "left")
     removed = F.transform(F.coalesce(found_terms, F.array().cast(NO_TERMS)), lambda t: F.struct(t["start"], t["end"], F.lit("").alias("put")))
     clean = F.when(F.col("text").isNull(), F.col("text")).otherwise(sp.replaced(F.col(text), F.array_sort(F.concat(base, removed))))

@@ -39,7 +39,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_personal_data(_documents(spark, sf_dir))
+    return pii.find_personal_data(_documents(spark, sf_dir), alike=pii.ALIKE)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

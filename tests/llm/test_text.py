@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from annoflux.llm import decontaminate, jaccard_join, language_id, media, pii, secret_scan, sentencepiece_wfst, toxicity
@@ -232,7 +233,19 @@ def test_terms_by_identifying_part(spark):
     assert all(found[200 + n].n_term == 0 for n in range(4))
 
 
-def expected_terms(texts, disclosure=0.9, support=2):
+def left_texts(texts, words, alike, support):
+    """Leaders and what is left of the texts of a pair, leaders by the first hash of a text."""
+    signed = lambda t: (lambda h: h - (h >> 63 << 64))(xxhash.xxh64_intdigest(t.encode(), seed=42))
+    left = sorted(texts, key=signed)
+    for _ in range(support - 1):
+        if not left:
+            break
+        first = words[left[0]]
+        left = [t for t in left if len(first & words[t]) < alike * len(first | words[t])]
+    return len(left) and len(left) + support - 1
+
+
+def expected_terms(texts, disclosure=0.9, support=2, alike=None):
     """Brute force of the disclosure test: (text, word) of all flagged words."""
     different = {t for t in texts if t is not None}
     email, word = re.compile(PERSONAL["email"]), re.compile(r"[^\W\d_]{3,}")
@@ -254,7 +267,9 @@ def expected_terms(texts, disclosure=0.9, support=2):
             if n_et < support or n_e == n or math.log2(share / usual) < -disclosure * math.log2(usual):
                 continue
             rest = (1 - share) * math.log2((1 - share) / (1 - usual)) if share < 1 else 0
-            if n_t * (share * math.log2(share / usual) + rest) > math.log2(n_words):
+            evidence = n_et if alike is None else left_texts([t for t in holding if w in words[t]], words, alike, support)
+            least = math.log2(n_words) + (0 if alike is None else math.log2(len(set().union(*parts.values()))))
+            if n_t * (share * math.log2(share / usual) + rest) * evidence / n_et > least:
                 out |= {(t, w) for t in holding if w in words[t]}
     return out
 
@@ -277,6 +292,70 @@ def test_terms_against_brute_force(spark):
     assert found == expected
 
 
+def found_terms(df, texts, **how):
+    found = set()
+    for r in pii.find_personal_data(df, **how).collect():
+        found |= {(texts[r.doc_id], texts[r.doc_id][int(a) : int(b)].lower()) for kind, a, b in (x.split(":") for x in (r.spans or "").split(",") if x) if kind == "term"}
+    return found
+
+
+@pytest.mark.parametrize("support", [1, 2, 3])
+def test_independent_terms_against_brute_force(spark, support):
+    """Texts beside an address in families of near copies, families of one text among them."""
+    rnd = random.Random(support)
+    letters = lambda: "".join(rnd.choices("abcdefghijklmnop", k=5))
+    vocabulary = [letters() for _ in range(300)]
+    texts = [" ".join(rnd.choices(vocabulary, k=20)) for _ in range(300)]
+    for n in range(12):
+        for _ in range(1 + n % 4):
+            base = rnd.choices(vocabulary, k=12) + [f"name{letters()}"]
+            for _ in range(rnd.choice([1, 1, 2, 5])):
+                said = [*base[: rnd.choice([6, 11, 12])], letters(), f"known{'abcdefghijkl'[n]}"]
+                rnd.shuffle(said)
+                texts.append(f"{' '.join(said)} m{letters()}@house{n}.example")
+    by_id = dict(enumerate(texts))
+    df = spark.createDataFrame(list(by_id.items()), "doc_id long, text string")
+    expected = expected_terms(texts, support=support, alike=0.5)
+    assert expected
+    assert found_terms(df, by_id, support=support, alike=0.5) == expected
+
+
+def test_near_copies_are_one_piece_of_evidence(spark):
+    """Two texts that differ in a word and share an address flag nothing; a name in four texts of other words is found in all its texts."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=4))
+    texts = {n: " ".join(word() for _ in range(12)) for n in range(3000)}
+    line = "This {} says that Zorblax Quine from Upper Dunstead owes the Miller bakery forty pounds, mail zq@corp.example"
+    texts |= {4000: line.format("note"), 4001: line.format("memo")}
+    other = {n: f"{' '.join(word() for _ in range(9))} wintermute {word()} w{n}@tessier.example" for n in range(5000, 5004)}
+    other[5004] = other[5003].replace("@", "x@")
+    for rows, expected in ((texts, set()), (texts | other, {(t, "wintermute") for t in other.values()})):
+        df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+        assert found_terms(df, rows, alike=pii.ALIKE) == expected
+    clean = {r.doc_id: r.text for r in pii.sanitise(df, alike=pii.ALIKE).collect()}
+    assert clean[4000] == line.format("note").replace("zq@corp.example", "[EMAIL]")
+    assert all("wintermute" not in clean[n] for n in other)
+
+
+def test_planted_disclosures_in_the_corpus(spark, corpus):
+    """Forty names, each beside different addresses of one domain in five documents of the corpus: what is found, and what else."""
+    rnd = random.Random(5)
+    texts = {r.doc_id: r.text for r in corpus.select("doc_id", "text").where("length(text) > 0").collect()}
+    ways = ["{} wrote from {}", "please ask {} ({}) about it", "mail for {}: {}", "{} can be reached at {}", "{} of {}"]
+    letters = lambda n: "".join(rnd.choices("aeioubdgklmnprst", k=n))
+    planted = set()
+    for n in range(40):
+        name = "qz" + letters(7)
+        for way, doc in zip(ways, rnd.sample(sorted(texts), 5), strict=True):
+            at = rnd.randint(0, len(texts[doc]))
+            texts[doc] = f"{texts[doc][:at]} {way.format(name.title(), f'{letters(8)}@firm{n}.example')} {texts[doc][at:]}"
+            planted.add((doc, name))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {(r.doc_id, texts[r.doc_id][int(a) : int(b)].lower()) for r in pii.find_personal_data(df, alike=pii.ALIKE).collect() for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind == "term"}
+    assert len(found & planted) >= 0.95 * len(planted)
+    assert len(found - planted) <= 0.05 * len(planted)
+
+
 def test_many_spans(spark):
     """A text of 80,000 numbers and one of 20,000 addresses take seconds."""
     texts = [(1, " 12.1" * 80_000), (2, "a@b.c and 1.2.3.4 " * 20_000), (3, "token=abcdefghijkl " * 20_000)]
