@@ -30,7 +30,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def generalise_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same rows with personal data replaced by its kind and disclosing words removed; null texts stay null."""
-    return pii.sanitise(docs)
+    return pii.sanitise(docs, alike=pii.ALIKE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
