@@ -49,6 +49,8 @@ SUPPORT = 2
 ALIKE = 0.5
 #: Parts into which the rows of a pair of entity and word are dealt when flags come back to them.
 SALTS = 16
+#: Flagged pairs up to which they are broadcast to the texts (counted; some tens of MB); beyond, the pairs of all texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 
 
 def _digits(value: Column) -> Column:
@@ -192,7 +194,9 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
         told = _beside(seen, "said", flagged.select("entity", "word"), ["entity", "word"])
     else:
         flagged = cut(flagged)
-        places = cut(_beside(seen, "said", flagged.select("entity", "word"), ["entity", "word"]))
+        pairs = flagged.select("entity", "word")
+        few = flagged.count() <= BROADCAST_ROWS
+        places = cut(seen.join(F.broadcast(pairs), ["entity", "word"]) if few else _beside(seen, "said", pairs, ["entity", "word"]))
         told = _beside(places, "said", independent_pairs(flagged, places, different, alike, support), ["entity", "word"])
     told = told.groupBy("said", "said2").agg(F.collect_set("word").alias("words"))  # a text's words at most
     return holding.join(told, ["said", "said2"]).select("k", "uid", _standing(_prose(F.col("text")), F.col("words")).alias("terms")).dropDuplicates(["k", "uid"])

@@ -299,9 +299,10 @@ def found_terms(df, texts, **how):
     return found
 
 
-@pytest.mark.parametrize("support", [1, 2, 3])
-def test_independent_terms_against_brute_force(spark, support):
-    """Texts beside an address in families of near copies, families of one text among them."""
+@pytest.mark.parametrize(("support", "broadcast"), [(1, 10**6), (2, 10**6), (2, 0), (3, 0)])
+def test_independent_terms_against_brute_force(spark, monkeypatch, support, broadcast):
+    """Texts beside an address in families of near copies, families of one text among them; flagged pairs broadcast or shuffled."""
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", broadcast)
     rnd = random.Random(support)
     letters = lambda: "".join(rnd.choices("abcdefghijklmnop", k=5))
     vocabulary = [letters() for _ in range(300)]
