@@ -338,6 +338,15 @@ def test_near_copies_are_one_piece_of_evidence(spark):
     assert all("wintermute" not in clean[n] for n in other)
 
 
+def test_independent_evidence_on_hard_rows(docs, none):
+    """Nulls, repeated rows, clashing columns and an empty table, with near copies settled."""
+    assert pii.find_personal_data(none, alike=pii.ALIKE).count() == 0
+    assert pii.find_personal_data(docs, alike=pii.ALIKE).count() == docs.count()
+    clean = pii.sanitise(docs, alike=pii.ALIKE)
+    assert clean.columns == docs.columns
+    assert sorted(map(str, clean.collect())) == sorted(map(str, docs.collect()))  # no personal data in these
+
+
 def test_planted_disclosures_in_the_corpus(spark, corpus):
     """Forty names, each beside different addresses of one domain in five documents of the corpus: what is found, and what else."""
     rnd = random.Random(5)
