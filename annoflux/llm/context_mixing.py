@@ -7,9 +7,11 @@ gated: by how many predictors have seen their context, and by how often each has
 are learned online, one small step after another; an adaptive map of the result then
 refines it. Texts end in the byte 255, which UTF-8 never has, so the probabilities of all texts sum to at most one.
 
-Corpus counts (contexts, words) cover every training text. Only the mixer, a logistic
-classifier, learns on a sample bounded by ``LEARN_BYTES``: whole texts of at most ``LEARN_TEXT`` bytes by a hash, and at most
-a quarter of the training texts; meanwhile their own counts are taken out of the tables.
+Counts (contexts, words), weights and map are all learned from every training text. The mixer, a logistic classifier, learns
+in a second pass, in each task from heaps of texts: what it sees of a heap is its different windows and how often they
+occur, and the heap's own counts are taken out of the tables. A heap is at most ``HELD`` different windows, and no more than a
+quarter of the training bytes (or one text). The tasks' weights are averaged, each weight by the task's sum of squared
+gradients; what the maps count is summed.
 
 Tables grow with the training bytes up to ``BITS[1]``, so a task's and the model's memory is bounded. All contexts
 are functions of the last five bytes: a task counts and scores each different window of six bytes once.
@@ -31,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,21 +48,27 @@ END = 255
 #: Least and most bits of a table's slots.
 BITS = (16, 20)
 RANGE = 1 << 16
-LEARN_BYTES, LEARN_TEXT = 2 << 20, 64 << 10
+#: Bytes that one learning task reads at least, so that its weights can settle.
+LEARN = 4 << 20
 PIECE = 4 << 20
 #: Bytes that one counting task reads at least, where there are more tasks than cores.
 TASK = 256 << 20
 #: Windows evaluated at once.
 BLOCK = 1 << 15
-#: Bytes of text that a counting task turns into windows at once, and different windows that it holds before it counts them.
+#: Bytes of text that a task turns into windows at once, and different windows that it holds before it counts them or learns from them.
 CHUNK, HELD = 4 << 20, 1 << 21
 #: Counts from which a context has been seen more often: 0, 1, 2, 3-4, ...
 SEEN = np.array([1, 2, 3, 5, 9, 17, 65])
 #: Steps of the adaptive map between logits of -12 and 12, and steps of its interpolation.
 STEPS, FINE = 24, 384
+#: Least and most windows of a learning step.
+STEP = (256, 4096)
+#: Times the mean count from which a window comes in more than one learning step.
+OFTEN = 8
 LN2, LN10 = np.log(2), np.log(10)
 
-COUNTED = "predictor int, part int, sample boolean, small binary, far binary, size int"
+COUNTED = "predictor int, part int, small binary, far binary, size int"
+LEARNED = "kind string, place int, a double, b double"
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -140,6 +149,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def refined(ones: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The map by node and step from how often each was met and followed by a 1."""
+    prior = _sigmoid(np.arange(STEPS + 1) * 24 / STEPS - 12)
+    return (ones.reshape(256, -1) + 20 * prior) / (total.reshape(256, -1) + 20)
+
+
 class Mixer:
     """Gated weights over the predictors of a table, and the map that refines their sum."""
 
@@ -147,6 +162,8 @@ class Mixer:
         self.table, self.bits = table, int(table.shape[1]).bit_length() - 1
         self.weights = np.full((PREDICTORS + 1, PREDICTORS, len(SEEN) + 1), 0.3) if weights is None else weights
         self.refine = refine
+        self.square = np.full(self.weights.size, 1e-4)
+        self.ones, self.total = np.zeros(256 * (STEPS + 1)), np.zeros(256 * (STEPS + 1))
 
     def inputs(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Logits, places of their weights, nodes and bits of windows; the first two by (predictor, window, bit)."""
@@ -161,23 +178,21 @@ class Mixer:
     def mixed(self, logit: np.ndarray, place: np.ndarray) -> np.ndarray:
         return np.clip((self.weights.astype(np.float32).ravel().take(place) * logit).sum(0), -11, 11)
 
-    def learn(self, w: np.ndarray, step: int = 256, rate: float = 0.08) -> None:
-        """One pass in order, ``step`` bytes at a time; then the map of what came out."""
-        square, seen = np.full(self.weights.size, 1e-4), []
-        flat = self.weights.reshape(-1)
+    def learn(self, w: np.ndarray, times: np.ndarray | None = None, step: int = STEP[0], rate: float = 0.08) -> None:
+        """One pass in order, ``step`` windows at a time, each as often as ``times`` says; then the map of what came out."""
+        times = np.ones(len(w)) if times is None else times.astype(np.float64)
+        flat, cells = self.weights.reshape(-1), STEPS + 1
         for at in range(0, len(w), step):
             logit, place, node, bit = self.inputs(w[at : at + step])
+            n = times[at : at + step, None]
             x = self.mixed(logit, place)
-            seen.append((np.rint((x + 12) * STEPS / 24).astype(np.int64), node, bit))
-            slope = np.bincount(place.ravel(), (logit * (bit - _sigmoid(x))[None]).ravel(), minlength=flat.size)
-            square += slope**2
-            flat += rate * slope / np.sqrt(square)
-        ones, total = np.zeros((256, STEPS + 1)), np.zeros((256, STEPS + 1))
-        for near, node, bit in seen:
-            np.add.at(ones, (node, near), bit)
-            np.add.at(total, (node, near), 1)
-        prior = _sigmoid(np.arange(STEPS + 1) * 24 / STEPS - 12)
-        self.refine = (ones + 20 * prior) / (total + 20)
+            cell = (node * cells + np.rint((x + 12) * STEPS / 24).astype(np.int64)).ravel()
+            self.total += np.bincount(cell, np.broadcast_to(n, bit.shape).ravel(), minlength=256 * cells)
+            self.ones += np.bincount(cell, (n * bit).ravel(), minlength=256 * cells)
+            slope = np.bincount(place.ravel(), (logit * (n * (bit - _sigmoid(x)))[None]).ravel(), minlength=flat.size)
+            self.square += slope**2
+            flat += rate * slope / np.sqrt(self.square)
+        self.refine = refined(self.ones, self.total)
 
     def prices(self) -> np.ndarray:
         """Bits that a 0 and a 1 cost, by node and by the mixed logit in ``FINE`` steps."""
@@ -211,65 +226,116 @@ def _bytes(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def counted(bits: int, sample: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Counts of bits by slot of all texts of a task, packed by range of slots; an entry is a byte, larger ones follow apart."""
+def _together(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(w)
+    first = np.flatnonzero(np.r_[True, np.diff(w[order]) != 0])
+    return w[order[first]], np.add.reduceat(n[order], first)
 
-    def add(table: np.ndarray, w: np.ndarray, times: np.ndarray) -> None:
-        for at in range(0, len(w), BLOCK):
-            node, bit = nodes(w[at : at + BLOCK])
-            context, n = contexts(w[at : at + BLOCK]), np.repeat(times[at : at + BLOCK].astype(np.uint32), 8)
-            for i in range(PREDICTORS):
-                np.add.at(table[i], (slots(context[i][:, None], node, bits) * 2 + bit).ravel(), n)
 
-    def together(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        w, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(w)
-        first = np.flatnonzero(np.r_[True, np.diff(w[order]) != 0])
-        return w[order[first]], np.add.reduceat(n[order], first)
+def heaps(batches: Iterator[pd.DataFrame], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All windows of a task's texts in heaps of at most ``most`` bytes or one text: the different ones, in order, and how often they occur."""
+    chunk, held, size = min(CHUNK, max(1, most or CHUNK)), [], 0
+    for batch in batches:
+        texts = _bytes(batch["text"])
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + chunk, "right")))
+            own = int(ends[hi - 1] - (ends[lo - 1] if lo else 0))
+            if held and most is not None and size + own > most:
+                yield _together(held)
+                held, size = [], 0
+            held.append(np.unique(windows(texts[lo:hi])[0], return_counts=True))
+            size += own
+            if sum(len(w) for w, _ in held) > HELD:
+                held = [_together(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield held.pop()
+                    size = 0
+            lo = hi
+    if held:
+        yield _together(held)
+
+
+def add(table: np.ndarray, w: np.ndarray, times: np.ndarray, bits: int) -> None:
+    """Counts the bits of windows in their slots."""
+    for at in range(0, len(w), BLOCK):
+        node, bit = nodes(w[at : at + BLOCK])
+        context, n = contexts(w[at : at + BLOCK]), np.repeat(times[at : at + BLOCK].astype(np.uint32), 8)
+        for i in range(PREDICTORS):
+            np.add.at(table[i], (slots(context[i][:, None], node, bits) * 2 + bit).ravel(), n)
+
+
+def counted(bits: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Counts of bits by slot of all texts of a task, packed by range of slots; an entry is a byte, larger ones follow apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, held = None, []
-        for batch in batches:
-            texts = _bytes(batch["text"])
-            edges = np.searchsorted(np.cumsum([len(t) for t in texts]), np.arange(CHUNK, sum(map(len, texts)), CHUNK)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(texts)], strict=True):
-                if not texts[lo:hi]:
-                    continue
-                if table is None:
-                    table = np.zeros((PREDICTORS, 2 << bits), np.uint32)
-                held.append(np.unique(windows(texts[lo:hi])[0], return_counts=True))
-                if sum(len(w) for w, _ in held) > HELD:
-                    held = [together(held)]
-                    if len(held[0][0]) > HELD // 2:
-                        add(table, *held.pop())
-        if held:
-            add(table, *together(held))
+        table = None
+        for w, times in heaps(batches):
+            if table is None:
+                table = np.zeros((PREDICTORS, 2 << bits), np.uint32)
+            add(table, w, times, bits)
         if table is None:
             return
         for i in range(PREDICTORS):
             for part, lo in enumerate(range(0, 2 << bits, 2 * RANGE)):
                 own = table[i, lo : lo + 2 * RANGE]
                 far = np.flatnonzero(own >= 255)
-                row = (i, part, sample, zlib.compress(np.minimum(own, 255).astype(np.uint8).tobytes(), 1), zlib.compress(np.stack([far.astype(np.uint32), own[far]]).tobytes(), 1), len(own))
+                row = (i, part, zlib.compress(np.minimum(own, 255).astype(np.uint8).tobytes(), 1), zlib.compress(np.stack([far.astype(np.uint32), own[far]]).tobytes(), 1), len(own))
                 yield pd.DataFrame([row], columns=[c.split()[0] for c in COUNTED.split(", ")])
 
     return run
 
 
 def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ranges of the table, over all training texts and without the sample."""
+    """Ranges of the counts over all training texts."""
     sums: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
         for row in batch.itertuples(index=False):
-            total = sums.setdefault((row.predictor, row.part), np.zeros((2, row.size), np.int64))
+            total = sums.setdefault((row.predictor, row.part), np.zeros(row.size, np.int64))
             own = np.frombuffer(zlib.decompress(row.small), np.uint8).astype(np.int64)
             far, value = np.frombuffer(zlib.decompress(row.far), np.uint32).reshape(2, -1)
             own[far] = value
-            total[int(row.sample)] += own
-    for (predictor, part), (whole, sample) in sums.items():
-        rest = whole - sample
-        packed = [zlib.compress(quantised(x[::2], x[1::2]).tobytes(), 1) for x in (whole, rest)]
-        yield pd.DataFrame([(predictor, part, *packed)], columns=["predictor", "part", "whole", "rest"])
+            total += own
+    for (predictor, part), total in sums.items():
+        yield pd.DataFrame([(predictor, part, zlib.compress(total.astype(np.float32).tobytes(), 1))], columns=["predictor", "part", "counts"])
+
+
+def held_back(counts: np.ndarray, w: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The table of ``counts`` without those of the windows ``w``."""
+    bits = int(counts.shape[1]).bit_length() - 2
+    own = np.zeros(counts.shape, np.uint32)
+    add(own, w, times, bits)
+    table = np.empty((PREDICTORS, 1 << bits), np.int16)
+    for i in range(PREDICTORS):
+        left = np.maximum(counts[i] - own[i], 0)
+        table[i] = quantised(left[::2], left[1::2])
+    return table
+
+
+def learned(counts: Broadcast, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """What a task learns from all its texts: squared gradients and their products with the weights, and the counts of the map."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mixer = None
+        for w, times in heaps(batches, most):
+            table = held_back(counts.value, w, times)
+            if mixer is None:
+                mixer = Mixer(table)
+            mixer.table = table
+            # frequent windows come in several steps, so that none outweighs the others of its step
+            share = -(-times // max(1, OFTEN * int(times.sum()) // len(times)))
+            again = np.repeat(np.arange(len(w)), share)
+            salted = (w[again] + np.arange(len(again), dtype=np.uint64) * _M2) * _M3
+            order = again[np.argsort(salted ^ (salted >> np.uint64(31)), kind="stable")]
+            mixer.learn(w[order], (times / share)[order], step=min(STEP[1], max(STEP[0], len(order) >> 8)))
+        if mixer is not None:
+            flat = mixer.weights.reshape(-1)
+            yield pd.DataFrame({"kind": "weights", "place": np.arange(flat.size), "a": mixer.square, "b": mixer.square * flat})
+            yield pd.DataFrame({"kind": "refine", "place": np.arange(mixer.ones.size), "a": mixer.total, "b": mixer.ones})
+
+    return run
 
 
 def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,32 +360,25 @@ def fit(train: DataFrame, n_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     """Table, weights and map from the column ``text`` of all rows of ``train``, of ``n_bytes`` together."""
     spark = train.sparkSession
     bits = int(np.clip(np.ceil(np.log2(max(n_bytes, 1) / 64)), *BITS))
-    share = min(0.25, LEARN_BYTES / max(n_bytes, 1))
-    chosen = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(share * (1 << 30))) & (F.octet_length("text") <= LEARN_TEXT)
-    sample = cut(train.where(chosen).groupBy("text").agg(F.count("*").alias("copies")))
     tasks = max(spark.sparkContext.defaultParallelism, n_bytes // TASK)
-    copies = sample.select("text", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select("text")
-    counts = train.select("text").coalesce(tasks).mapInPandas(counted(bits, False), COUNTED).unionByName(copies.coalesce(1).mapInPandas(counted(bits, True), COUNTED))
-    merged = counts.repartition(PREDICTORS * max(1, (1 << bits) // RANGE), "predictor", "part").mapInPandas(_merged, "predictor int, part int, whole binary, rest binary")
-    tables = np.zeros((2, PREDICTORS, 1 << bits), np.int16)
-    for row in merged.toLocalIterator():  # at most PREDICTORS tables of 2**BITS[1] slots of two bytes
-        for k, packed in enumerate((row["whole"], row["rest"])):
-            own = np.frombuffer(zlib.decompress(bytes(packed)), np.int16)
-            tables[k, row["predictor"], row["part"] * RANGE : row["part"] * RANGE + len(own)] = own
-    rest = spark.sparkContext.broadcast(tables[1])
-
-    def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        mixer = Mixer(rest.value)
-        texts = sorted(_bytes(rows["text"]), key=lambda t: (zlib.crc32(t), t))
-        mixer.learn(windows(texts)[0])
-        return pd.DataFrame({"weights": [mixer.weights.tobytes()], "refine": [mixer.refine.tobytes()]})
-
-    learned = sample.select("text", F.lit(0).alias("all")).groupBy("all").applyInPandas(learn, "weights binary, refine binary").first()
-    rest.unpersist()
-    if learned is None:
-        return tables[0], Mixer(tables[0]).weights, None
-    shape = (PREDICTORS + 1, PREDICTORS, len(SEEN) + 1)
-    return tables[0], np.frombuffer(bytes(learned["weights"])).reshape(shape), np.frombuffer(bytes(learned["refine"])).reshape(256, STEPS + 1)
+    texts = train.select("text")
+    merged = texts.coalesce(tasks).mapInPandas(counted(bits), COUNTED).repartition(PREDICTORS * max(1, (1 << bits) // RANGE), "predictor", "part").mapInPandas(_merged, "predictor int, part int, counts binary")
+    counts = np.zeros((PREDICTORS, 2 << bits), np.float32)
+    for row in merged.toLocalIterator():  # at most PREDICTORS tables of 2**BITS[1] slots of two counts
+        own = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.float32)
+        counts[row["predictor"], row["part"] * 2 * RANGE : row["part"] * 2 * RANGE + len(own)] = own
+    table = np.stack([quantised(own[::2], own[1::2]) for own in counts])
+    shared = spark.sparkContext.broadcast(counts)
+    # sums in a fixed order, a number for each task
+    total = lambda c: F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda x, y: x + y).alias(c)
+    found = texts.coalesce(min(tasks, max(1, n_bytes // LEARN))).mapInPandas(learned(shared, max(1, n_bytes // 4)), LEARNED).groupBy("kind", "place").agg(total("a"), total("b")).toPandas()
+    shared.destroy()
+    mixer = Mixer(table)
+    if not len(found):
+        return table, mixer.weights, None
+    by_kind = {kind: own.sort_values("place") for kind, own in found.groupby("kind")}
+    weights, refine = by_kind["weights"], by_kind["refine"]
+    return table, (weights["b"] / weights["a"]).to_numpy().reshape(mixer.weights.shape), refined(refine["b"].to_numpy(), refine["a"].to_numpy())
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:

@@ -4,8 +4,10 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,69 @@ def test_counts_take_large_numbers_and_several_ranges(spark, monkeypatch):
     assert (table == slow_table([b"aaaa bbbb"] * 700 + [b"cccc"], 18)).all()
 
 
+def every_window(texts):
+    return Counter(w for t in texts for w in cm.windows([t.encode()])[0].tolist())
+
+
+@pytest.mark.parametrize("most", [None, 1, 100, 10_000])
+def test_heaps_hold_every_window(monkeypatch, most):
+    monkeypatch.setattr(cm, "CHUNK", 64)
+    monkeypatch.setattr(cm, "HELD", 150)
+    texts = ["", "a" * 300, *(f"text {n} of {n * n}" for n in range(40)), "", "b", "b"]
+    batches = [pd.DataFrame({"text": texts[:17]}), pd.DataFrame({"text": []}), pd.DataFrame({"text": texts[17:]})]
+    found, longest = Counter(), max(len(t) + 1 for t in texts)
+    for w, times in cm.heaps(iter(batches), most):
+        assert len(set(w.tolist())) == len(w)
+        assert most is None or times.sum() <= max(most, longest)
+        found.update(dict(zip(w.tolist(), times.tolist(), strict=True)))
+    assert found == every_window(texts)
+
+
+def test_heap_is_taken_out_of_the_counts():
+    texts = [f"the {a} of {b}" * 3 for a in ("cat", "dog") for b in ("hat", "mat", "hat")]
+    bits, counts = 16, np.zeros((cm.PREDICTORS, 2 << 16), np.uint32)
+    for w, times in cm.heaps(iter([pd.DataFrame({"text": texts})])):
+        cm.add(counts, w, times, bits)
+    ((w, times),) = cm.heaps(iter([pd.DataFrame({"text": texts[:2]})]))
+    assert (cm.held_back(counts.astype(np.float32), w, times) == slow_table([t.encode() for t in texts[2:]], bits)).all()
+
+
+@pytest.mark.parametrize("often", [1, 8])
+def test_mixer_learns_from_every_bit(monkeypatch, often):
+    monkeypatch.setattr(cm, "OFTEN", often)
+    texts = [f"text {n % 7} of {n}, " * (1 + n % 3) for n in range(60)] + ["x" * 5000]
+    shared = SimpleNamespace(value=np.zeros((cm.PREDICTORS, 2 << 16), np.float32))
+    for w, times in cm.heaps(iter([pd.DataFrame({"text": texts})])):
+        own = np.zeros(shared.value.shape, np.uint32)
+        cm.add(own, w, times, 16)
+        shared.value += own
+    found = pd.concat(cm.learned(shared, 500)(iter([pd.DataFrame({"text": texts[:20]}), pd.DataFrame({"text": texts[20:]})])))
+    own = found[found["kind"] == "refine"]
+    every = every_window(texts)
+    assert own["a"].sum() == pytest.approx(8 * sum(every.values()))
+    assert own["b"].sum() == pytest.approx(sum(n * (w & 255).bit_count() for w, n in every.items()))
+
+
+def test_mixer_learns_from_long_texts_alone(spark):
+    words = [f"word{n % 97} and{n % 13}" for n in range(9000)]
+    texts = [" ".join(words[k:] + words[:k]) for k in (0, 3000, 6000)]
+    assert min(map(len, texts)) > 64 << 10
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    table, weights, refine = cm.fit(df, sum(len(t) + 1 for t in texts))
+    start = cm.Mixer(table).weights
+    assert refine is not None and (weights != start).any()
+    unseen = [" ".join(words[1500:1700]).encode()]
+    assert cm.Mixer(table, weights, refine).score(unseen)[0] < cm.Mixer(table).score(unseen)[0]
+
+
+def test_weights_are_the_same_again_and_in_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(cm, "LEARN", 2000)
+    df = spark.createDataFrame([(f"text {n % 7} of {n}, {n * n}",) for n in range(600)], "text string").repartition(5).cache()
+    size = sum(len(r["text"]) + 1 for r in df.collect())
+    first, second = cm.fit(df, size), cm.fit(df, size)
+    assert all((a == b).all() for a, b in zip(first, second, strict=True))
+
+
 def test_learns_from_every_training_text(spark, sf_dir, corpus):
     found = queries.op12_context_mixing(spark, sf_dir).collect()
     want = {r[0]: r for r in base([tuple(r) for r in corpus.select("doc_id", "text").collect()])}
