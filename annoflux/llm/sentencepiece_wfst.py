@@ -10,7 +10,8 @@ shortest path finds it. For a model of unigram scores the weights are the scores
 
 No piece holds a mark anywhere but in front, apart from runs of marks, so the shortest
 path of a text is the concatenation of its words' paths; each task keeps the paths of
-words that it has met.
+words that it has met, in two generations: a word that comes again moves to the younger, and the
+older is forgotten as a whole, so frequent words stay.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame
 
 MARK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words whose paths a task keeps, parts of words, and weights of transitions; beyond that it forgets the older half.
-KEPT = 500_000
+#: Words whose paths a task keeps, parts of words, and weights of transitions; beyond that it forgets the older half, and all weights.
+KEPT = 800_000
 PARTS = 50_000
 WEIGHTS = 400_000
 
@@ -116,8 +118,10 @@ class Transducer:
         if any(MARK in p[1:] and p.strip(MARK) for p in self.ids):
             raise ValueError("a piece runs over a word's end")
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[str, dict[str, bool]] = {}  # by piece before, by piece
+        self.weights = 0
         self.paths: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.joins = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
 
@@ -150,12 +154,15 @@ class Transducer:
         """Tropical weight of ``piece`` after ``before`` (``""`` at the start)."""
         if not self.merges:
             return -self.scores[self.ids[piece]] if piece in self.ids else 10.0 - min(self.scores)
-        pair = (before, piece)
-        apart = self.apart.get(pair)
+        apart = self.apart.get(before, {}).get(piece)
         if apart is None:
             whole = before + piece
             apart = self._merged(list(whole)) == ([before, piece] if before else [piece])
-            _keep(self.apart, pair, apart, WEIGHTS)
+            if self.weights >= WEIGHTS:
+                self.apart.clear()
+                self.weights = 0
+            self.apart.setdefault(before, {})[piece] = apart
+            self.weights += 1
         return 0.0 if apart else math.inf
 
     def compose(self, word: str) -> list[list[int]]:
@@ -163,32 +170,40 @@ class Transducer:
 
         An arc is a piece, or a single character that the fallback spells.
         """
-        n, lattice = len(word), []
-        for at in range(n):
-            state, end, ends = self.trie, at, []
-            while end < n and word[end] in state:
-                state = state[word[end]]
-                end += 1
-                if "" in state:
-                    ends.append(end)
-            if not ends or ends[0] > at + 1:
-                ends.insert(0, at + 1)
-            lattice.append(ends[::-1])
-        return lattice
+        return [self.arcs(word, at) for at in range(len(word))]
+
+    def arcs(self, word: str, at: int) -> list[int]:
+        """Ends of the arcs that leave one position, longest first."""
+        n, state, end, ends = len(word), self.trie, at, []
+        while end < n and word[end] in state:
+            state = state[word[end]]
+            end += 1
+            if "" in state:
+                ends.append(end)
+        if not ends or ends[0] > at + 1:
+            ends.insert(0, at + 1)
+        ends.reverse()
+        return ends
 
     def _only_path(self, word: str) -> list[str]:
-        """The shortest path where weights are 0 or infinite: arcs are tried longest first, dead states once."""
-        lattice, apart = self.compose(word), self.apart
+        """The shortest path where weights are 0 or infinite: arcs are tried longest first, dead states once.
+
+        Of the lattice only the positions that the search reaches are composed.
+        """
+        lattice: dict[int, list[int]] = {}
+        apart, none = self.apart, {}
         n, at, before, arc = len(word), 0, "", 0
         out: list[str] = []
         tried: list[int] = []  # arc from which the state before each piece of ``out`` goes on trying
         dead: set[tuple[int, str]] = set()  # states from which the end can't be reached
         while at < n:
-            ends = lattice[at]
+            ends, follow = lattice.get(at), apart.get(before, none)
+            if ends is None:
+                ends = lattice[at] = self.arcs(word, at)
             while arc < len(ends):
                 piece = word[at : ends[arc]]
                 arc += 1
-                good = apart.get((before, piece))
+                good = follow.get(piece)
                 if good is None:
                     good = self.weight(before, piece) == 0.0
                 if good and not (dead and (at + len(piece), piece) in dead):
@@ -222,43 +237,65 @@ class Transducer:
 
     # -- use ---------------------------------------------------------------------------------
 
+    def _keep_path(self, word: str, ids: bytes) -> None:
+        if len(self.paths) >= KEPT // 2:
+            self.older, self.paths = self.paths, {}
+        self.paths[word] = ids
+
+    def known_path(self, word: str) -> bytes:
+        """Packed ids of a mark and ``word``, searched if neither generation has them."""
+        ids = self.paths.get(word)
+        if ids is None:
+            ids = self.older.get(word)
+            if ids is None:
+                ids = self.path(MARK + word)
+            if len(word) <= 64:
+                self._keep_path(word, ids)
+        return ids
+
+    def searched(self, part: str) -> bytes:
+        """Packed ids of a part's shortest path."""
+        spelled: list[int] = []
+        for piece in self.shortest_path(part):
+            own = self.ids.get(piece)
+            if own is None:
+                spelled.extend(self.fallback(piece))
+            else:
+                spelled.append(own)
+        return pack(f"<{len(spelled)}i", *spelled)
+
     def path(self, word: str) -> bytes:
         """Packed ids of a word: the lattice falls apart where no piece joins two characters, and each part has its own path."""
-        joins, found, begin = self.joins, [], 0
-        for end in range(1, len(word) + 1):
-            if end == len(word) or word[end - 1 : end + 1] not in joins:
-                part = word[begin:end]
-                # a part is a word itself, or follows inside one
-                known, key = (self.paths, part[1:]) if begin == 0 and part[0] == MARK else (self.parts, part)
-                ids = known.get(key)
-                if ids is None:
-                    spelled: list[int] = []
-                    for piece in self.shortest_path(part):
-                        own = self.ids.get(piece)
-                        spelled.extend(self.fallback(piece) if own is None else (own,))
-                    ids = np.array(spelled, np.int32).tobytes()
-                    if len(part) <= 64:
-                        _keep(known, key, ids, KEPT if known is self.paths else PARTS)
-                begin = end
-                found.append(ids)
+        joins = self.joins  # pairs of characters inside pieces
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in joins]
+        if not cuts:
+            return self.searched(word)
+        # the first part is a word itself, the others follow inside one
+        first, found = word[: cuts[0]], []
+        found.append(self.known_path(first[1:]) if first[0] == MARK else self.searched(first))
+        for begin, end in zip(cuts, [*cuts[1:], len(word)], strict=True):
+            part = word[begin:end]
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self.searched(part)
+                if len(part) <= 64:
+                    _keep(self.parts, part, ids, PARTS)
+            found.append(ids)
         return b"".join(found)
 
     def packed(self, text: str) -> bytes:
         """Ids of a text, four bytes each."""
         if not text:
             return b""
-        out, paths = [], self.paths
         if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " ":
             words = text.split(" ")  # each word of the normalised text is a mark and one of these
         else:
             words = [w[1:] for w in self.words.findall(self.normalise(text))]
-        for word in words:
-            ids = paths.get(word)
-            if ids is None:
-                ids = self.path(MARK + word)
-                if len(word) <= 64:
-                    _keep(paths, word, ids, KEPT)
-            out.append(ids)
+        out = list(map(self.paths.get, words))
+        if None in out:
+            for i, word in enumerate(words):
+                if out[i] is None:
+                    out[i] = self.known_path(word)
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:

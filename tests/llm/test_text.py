@@ -47,6 +47,20 @@ def test_encode_rows(docs, none):
     assert sentencepiece_wfst.encode_decode(none, model).count() == 0
 
 
+def test_sentencepiece_frequent_words_stay(monkeypatch):
+    model = sentencepiece_wfst.read_model()
+    whole, small = sentencepiece_wfst.Transducer(model), sentencepiece_wfst.Transducer(model)
+    texts = [f"often thndantier{n} word{n}ing  é{n * n}💩 often" for n in range(150)]
+    want = [whole.encode(t) for t in texts]
+    for name, most in (("KEPT", 20), ("PARTS", 4), ("WEIGHTS", 30)):
+        monkeypatch.setattr(sentencepiece_wfst, name, most)
+    searched, path = [], small.path
+    monkeypatch.setattr(small, "path", lambda word: searched.append(word) or path(word))
+    assert [small.encode(t) for t in texts] == want
+    assert searched.count("▁often") == 1
+    assert len(small.paths) + len(small.older) <= 20 and len(small.parts) <= 4
+
+
 def test_language(corpus, docs, none):
     found = language_id.identify(corpus).join(corpus, "doc_id")
     right = found.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")), F.count("*")).first()
