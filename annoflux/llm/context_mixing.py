@@ -9,7 +9,7 @@ refines it. Texts end in the byte 255, which UTF-8 never has, so the probabiliti
 
 Counts (contexts, words), weights and map are all learned from every training text. The mixer, a logistic classifier, learns
 in a second pass, in each task from heaps of texts: what it sees of a heap is its different windows and how often they
-occur, and the heap's own counts are taken out of the tables. A heap is at most ``HELD`` different windows, and no more than a
+occur, and the heap's own counts are taken out of the tables. A heap is about ``HELD`` different windows at most, and no more than a
 quarter of the training bytes (or one text). The tasks' weights are averaged, each weight by the task's sum of squared
 gradients; what the maps count is summed.
 
