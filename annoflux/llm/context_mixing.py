@@ -16,7 +16,7 @@ gradients; what the maps count is summed.
 Tables grow with the training bytes up to ``BITS[1]``, so a task's and the model's memory is bounded. All contexts
 are functions of the last five bytes: a task counts and scores each different window of six bytes once.
 
-Words are counted by text and batch, then by word in a shuffle. For the score the texts are dealt into pieces of about ``PIECE``
+Words are split, counted and looked up by Arrow, a batch at once, and summed by word in a shuffle. For the score the texts are dealt into pieces of about ``PIECE``
 bytes; a piece asks for each of its words once, whatever the number of texts that have it, and
 answers meet texts in the piece. Rows equal in id and text share a piece.
 
@@ -28,11 +28,12 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -338,22 +339,42 @@ def learned(counts: Broadcast, most: int) -> Callable[[Iterator[pd.DataFrame]],
     return run
 
 
-def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def words(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array | pa.ChunkedArray, np.ndarray]:
+    """The words of all texts, A-Z in lower case, text by text, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = pc.list_flatten(lists)
+    # splitting leaves an empty word where a text begins or ends with a space
+    own = pc.greater(pc.binary_length(flat), 0)
+    text = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+    return flat.filter(own).cast(pa.binary()), np.bincount(text[np.asarray(own)], minlength=len(lists))
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found: Counter[bytes] = Counter()
-        for t in _bytes(batch["text"]):
-            found.update(t.lower().split())
-        yield pd.DataFrame({"word": list(found), "c": list(found.values())})
+        found = words(batch["text"])[0].value_counts()
+        yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "c"])
 
 
-def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The different words of each piece in each batch."""
     for batch in batches:
-        for piece, texts in batch.groupby("piece")["text"]:
-            found: set[bytes] = set()
-            for t in _bytes(texts):
-                found.update(t.lower().split())
-            yield pd.DataFrame({"piece": piece, "word": list(found)})
+        pieces = np.asarray(batch["piece"])
+        for piece in np.unique(pieces):
+            found = words(batch["text"].filter(pa.array(pieces == piece)))[0].unique()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), piece)), found], ["piece", "word"])
+
+
+def counts_of(texts: pa.ChunkedArray, known: pa.Table, n_train: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By text: tokens, those known and the sum of log10(c + 1), the end included, by the table ``known`` of word and c."""
+    own, sizes = words(texts)
+    place = np.asarray(pc.index_in(own, value_set=known["word"]).fill_null(len(known)))
+    logs = np.log10(np.r_[np.asarray(known["c"]), 0] + 1)
+    sums, n_known, some = np.full(len(sizes), np.log10(n_train + 1)), np.full(len(sizes), int(n_train > 0)), sizes > 0
+    if some.any():
+        starts = (np.cumsum(sizes) - sizes)[some]
+        sums[some] += np.add.reduceat(logs.take(place), starts)
+        n_known[some] += np.add.reduceat((place < len(known)).astype(np.int64), starts)
+    return sizes + 1, n_known, sums
 
 
 def fit(train: DataFrame, n_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -396,7 +417,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     table, weights, refine = fit(train, train_bytes or 0)
     model = spark.sparkContext.broadcast((table, weights, refine))
 
-    vocabulary = cut(train.mapInPandas(_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
+    vocabulary = cut(train.mapInArrow(_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")))
     n_words, different = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens, kinds = n_words + n_train, different + (n_train > 0)
     unit = np.log10(tokens + kinds + 1)
@@ -404,30 +425,25 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     pieces = -(-(all_bytes or 1) // PIECE)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pieces // 4))
     dealt = texts.withColumn("piece", F.pmod(F.xxhash64("doc_id", "has_id", "text"), F.lit(pieces))).repartition(parts, "piece")
-    answers = dealt.mapInPandas(_asked, "piece long, word binary").join(vocabulary, "word")
+    answers = dealt.mapInArrow(_asked, "piece long, word binary").join(vocabulary, "word")
 
-    def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        count = dict(zip(known["word"], known["c"], strict=True))
-        data = _bytes(rows["text"])
+    def run(rows: pa.Table, known: pa.Table) -> pa.Table:
+        data = rows["text"].cast(pa.binary()).to_pylist()
         bits = Mixer(*model.value).score(data)
-        found = []
-        for t in data:
-            c = np.array([n_train, *(count.get(x, 0) for x in t.lower().split())], np.int64)
-            found.append((len(c), np.count_nonzero(c), np.log10(c + 1).sum() - len(c) * unit))
-        n_tokens, n_known, base = zip(*found, strict=True) if found else ((), (), ())
+        n_tokens, n_known, sums = counts_of(rows["text"], known, n_train)
         n_bytes = np.array([len(t) + 1 for t in data], np.int64)
-        return pd.DataFrame(
+        return pa.table(
             {
-                "doc_id": rows["doc_id"].astype("Int64").mask(~rows["has_id"]),
+                "doc_id": pc.if_else(rows["has_id"], rows["doc_id"], pa.scalar(None, pa.int64())),
                 "held_out": rows["held_out"],
                 "n_tokens": n_tokens,
                 "n_known": n_known,
-                "train_tokens": tokens,
-                "base_score": base,
+                "train_tokens": np.full(len(data), tokens),
+                "base_score": sums - n_tokens * unit,
                 "score": -bits * (LN2 / LN10),
                 "n_bytes": n_bytes,
                 "bits_per_byte": bits / n_bytes,
             }
         )
 
-    return dealt.groupBy("piece").cogroup(answers.groupBy("piece")).applyInPandas(run, OUT)
+    return dealt.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(run, OUT)
