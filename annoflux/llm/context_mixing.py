@@ -54,8 +54,8 @@ LEARN = 4 << 20
 PIECE = 4 << 20
 #: Bytes that one counting task reads at least, where there are more tasks than cores.
 TASK = 256 << 20
-#: Windows evaluated at once.
-BLOCK = 1 << 15
+#: Windows evaluated at once, and those whose different ones are found at once.
+BLOCK, NEAR = 1 << 15, 1 << 19
 #: Bytes of text that a task turns into windows at once, and different windows that it holds before it counts them or learns from them.
 CHUNK, HELD = 4 << 20, 1 << 21
 #: Counts from which a context has been seen more often: 0, 1, 2, 3-4, ...
@@ -124,7 +124,21 @@ def quantised(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def distinct(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different values and the place of each value among them, by rounds of a hash table in which the last writer stays."""
+    """The different values and the place of each value among them: those of ``NEAR`` values at a time, then those of what is left."""
+    if len(w) <= NEAR:
+        return _distinct(w)
+    code, held, n = np.empty(len(w), np.int32), [], 0
+    for at in range(0, len(w), NEAR):
+        different, own = _distinct(w[at : at + NEAR])
+        code[at : at + NEAR] = own + np.int32(n)
+        held.append(different)
+        n += len(different)
+    different, own = _distinct(np.concatenate(held))
+    return different, own.take(code)
+
+
+def _distinct(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By rounds of a hash table in which the last writer stays."""
     code, todo = np.empty(len(w), np.int32), np.arange(len(w), dtype=np.int32)
     bits = max(8, int(len(w)).bit_length())
     held = np.empty(1 << bits, np.int32)
@@ -223,23 +237,21 @@ class Mixer:
         return np.add.reduceat(self.cost(different).take(code), np.r_[0, np.cumsum(sizes)[:-1]])
 
 
-def _bytes(texts: pd.Series) -> list[bytes]:
-    return [t.encode("utf-8", "surrogatepass") for t in texts]
-
-
 def _together(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     w, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
     order = np.argsort(w)
-    first = np.flatnonzero(np.r_[True, np.diff(w[order]) != 0])
-    return w[order[first]], np.add.reduceat(n[order], first)
+    w, n = w[order], n[order]
+    first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]])
+    return w[first], np.add.reduceat(n, first)
 
 
-def heaps(batches: Iterator[pd.DataFrame], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def heaps(batches: Iterator[pd.DataFrame | pa.RecordBatch], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All windows of a task's texts in heaps of at most ``most`` bytes or one text: the different ones, in order, and how often they occur."""
     chunk, held, size = min(CHUNK, max(1, most or CHUNK)), [], 0
     for batch in batches:
-        texts = _bytes(batch["text"])
-        ends = np.cumsum([len(t) + 1 for t in texts])
+        texts = pa.array(batch["text"], pa.string())
+        ends = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64) + 1)
         lo = 0
         while lo < len(texts):
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + chunk, "right")))
@@ -247,7 +259,7 @@ def heaps(batches: Iterator[pd.DataFrame], most: int | None = None) -> Iterator[
             if held and most is not None and size + own > most:
                 yield _together(held)
                 held, size = [], 0
-            held.append(np.unique(windows(texts[lo:hi])[0], return_counts=True))
+            held.append(np.unique(windows(texts[lo:hi].cast(pa.binary()).to_pylist())[0], return_counts=True))
             size += own
             if sum(len(w) for w, _ in held) > HELD:
                 held = [_together(held)]
@@ -315,6 +327,28 @@ def held_back(counts: np.ndarray, w: np.ndarray, times: np.ndarray) -> np.ndarra
     return table
 
 
+def in_steps(w: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of a heap in a mixed order; frequent ones come in several steps, so that none outweighs the others of its step."""
+    share = -(-times // max(1, OFTEN * int(times.sum()) // len(times)))
+    again = np.repeat(np.arange(len(w), dtype=np.int32), share)
+    salted = (w[again] + np.arange(len(again), dtype=np.uint64) * _M2) * _M3
+    salted ^= salted >> np.uint64(31)
+    again = again[np.argsort(salted, kind="stable")]
+    return w[again], times[again] / share[again]
+
+
+def by_arrow(run: Callable, columns: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` on Arrow's batches, whose texts are made Python's only a chunk at a time."""
+    kinds = {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string()}
+
+    def on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, columns.split(", "))])
+        for found in run(batches):
+            yield pa.RecordBatch.from_pandas(found, schema, preserve_index=False)
+
+    return on
+
+
 def learned(counts: Broadcast, most: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """What a task learns from all its texts: squared gradients and their products with the weights, and the counts of the map."""
 
@@ -325,12 +359,11 @@ def learned(counts: Broadcast, most: int) -> Callable[[Iterator[pd.DataFrame]],
             if mixer is None:
                 mixer = Mixer(table)
             mixer.table = table
-            # frequent windows come in several steps, so that none outweighs the others of its step
-            share = -(-times // max(1, OFTEN * int(times.sum()) // len(times)))
-            again = np.repeat(np.arange(len(w)), share)
-            salted = (w[again] + np.arange(len(again), dtype=np.uint64) * _M2) * _M3
-            order = again[np.argsort(salted ^ (salted >> np.uint64(31)), kind="stable")]
-            mixer.learn(w[order], (times / share)[order], step=min(STEP[1], max(STEP[0], len(order) >> 8)))
+            w, times = in_steps(w, times)
+            mixer.learn(w, times, step=min(STEP[1], max(STEP[0], len(w) >> 8)))
+            # the next heap is gathered without this one in memory
+            del w, times, table
+            mixer.table = None
         if mixer is not None:
             flat = mixer.weights.reshape(-1)
             yield pd.DataFrame({"kind": "weights", "place": np.arange(flat.size), "a": mixer.square, "b": mixer.square * flat})
@@ -342,11 +375,14 @@ def learned(counts: Broadcast, most: int) -> Callable[[Iterator[pd.DataFrame]],
 def words(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array | pa.ChunkedArray, np.ndarray]:
     """The words of all texts, A-Z in lower case, text by text, and how many each text has."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat = pc.list_flatten(lists)
+    flat, sizes = pc.list_flatten(lists), np.asarray(pc.list_value_length(lists)).astype(np.int64)
     # splitting leaves an empty word where a text begins or ends with a space
-    own = pc.greater(pc.binary_length(flat), 0)
-    text = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
-    return flat.filter(own).cast(pa.binary()), np.bincount(text[np.asarray(own)], minlength=len(lists))
+    size = pc.binary_length(flat)
+    empty = np.flatnonzero(np.asarray(size) == 0)
+    if len(empty):
+        sizes -= np.bincount(np.searchsorted(np.cumsum(sizes), empty, "right"), minlength=len(sizes))
+        flat = flat.filter(pc.greater(size, 0))
+    return flat.cast(pa.binary()), sizes
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +419,7 @@ def fit(train: DataFrame, n_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     bits = int(np.clip(np.ceil(np.log2(max(n_bytes, 1) / 64)), *BITS))
     tasks = max(spark.sparkContext.defaultParallelism, n_bytes // TASK)
     texts = train.select("text")
-    merged = texts.coalesce(tasks).mapInPandas(counted(bits), COUNTED).repartition(PREDICTORS * max(1, (1 << bits) // RANGE), "predictor", "part").mapInPandas(_merged, "predictor int, part int, counts binary")
+    merged = texts.coalesce(tasks).mapInArrow(by_arrow(counted(bits), COUNTED), COUNTED).repartition(PREDICTORS * max(1, (1 << bits) // RANGE), "predictor", "part").mapInPandas(_merged, "predictor int, part int, counts binary")
     counts = np.zeros((PREDICTORS, 2 << bits), np.float32)
     for row in merged.toLocalIterator():  # at most PREDICTORS tables of 2**BITS[1] slots of two counts
         own = np.frombuffer(zlib.decompress(bytes(row["counts"])), np.float32)
@@ -392,7 +428,7 @@ def fit(train: DataFrame, n_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     shared = spark.sparkContext.broadcast(counts)
     # sums in a fixed order, a number for each task
     total = lambda c: F.aggregate(F.array_sort(F.collect_list(c)), F.lit(0.0), lambda x, y: x + y).alias(c)
-    found = texts.coalesce(min(tasks, max(1, n_bytes // LEARN))).mapInPandas(learned(shared, max(1, n_bytes // 4)), LEARNED).groupBy("kind", "place").agg(total("a"), total("b")).toPandas()
+    found = texts.coalesce(min(tasks, max(1, n_bytes // LEARN))).mapInArrow(by_arrow(learned(shared, max(1, n_bytes // 4)), LEARNED), LEARNED).groupBy("kind", "place").agg(total("a"), total("b")).toPandas()
     shared.destroy()
     mixer = Mixer(table)
     if not len(found):

@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -131,6 +132,22 @@ def test_distinct():
         assert (different[code] == w).all() and len(different) == len(set(w.tolist()))
 
 
+@pytest.mark.parametrize("near", [1, 7, 1000, 5000])
+def test_distinct_by_blocks(monkeypatch, near):
+    monkeypatch.setattr(cm, "NEAR", near)
+    test_distinct()
+
+
+def test_distinct_holds_little_at_once():
+    """A piece of 4 MB took 190 MB; two tasks of an executor share 1,200 MB beside the JVM's heap."""
+    w = (500_000 * np.random.default_rng(5).random(4 << 20) ** 4).astype(np.uint64)
+    tracemalloc.start()
+    cm.distinct(w)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130 << 20
+
+
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     table = cm.quantised(rng.integers(0, 9, (cm.PREDICTORS, 1 << 16)), rng.integers(0, 9, (cm.PREDICTORS, 1 << 16)))
@@ -191,6 +208,18 @@ def test_mixer_learns_from_every_bit(monkeypatch, often):
     assert own["b"].sum() == pytest.approx(sum(n * (w & 255).bit_count() for w, n in every.items()))
 
 
+def test_learning_holds_one_heap_at_once():
+    """Each heap was gathered beside the one before and its sorted copies."""
+    rnd = random.Random(4)
+    batches = [pd.DataFrame({"text": ["".join(rnd.choices("abcdefgh", k=400_000))]}) for _ in range(3)]
+    shared = SimpleNamespace(value=np.full((cm.PREDICTORS, 2 << 16), 50, np.float32))
+    tracemalloc.start()
+    list(cm.learned(shared, 400_001)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 << 20
+
+
 def test_mixer_learns_from_long_texts_alone(spark):
     words = [f"word{n % 97} and{n % 13}" for n in range(9000)]
     texts = [" ".join(words[k:] + words[:k]) for k in (0, 3000, 6000)]
