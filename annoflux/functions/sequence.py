@@ -96,7 +96,9 @@ def weighted_sd_score(seq: Column, start: Column) -> Column:
     window = F.upper(F.substring(seq, (low + 1).cast("int"), F.greatest(start - 3 - low, F.lit(0)).cast("int")))
     places = F.sequence(F.lit(0), F.lit(11))
     scores = [F.array_max(F.transform(places, _sd_at(window, motif, weight, start, low))) for motif, weight in RBS]
-    return F.when(start < 3, 0.0).otherwise(F.greatest(*scores))
+    # every motif holds one of the two shorter ones
+    some = window.contains(RBS[1][0]) | window.contains(RBS[2][0])
+    return F.when((start >= 3) & some, F.greatest(*scores)).otherwise(0.0)
 
 
 def _sd_at(window: Column, motif: str, weight: float, start: Column, low: Column):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from annoflux.functions import sequence as sq
 from annoflux.operators import intervals as iv
@@ -45,30 +45,40 @@ def with_sequences(genes: DataFrame, genomes: DataFrame) -> DataFrame:
 _BASES = np.full(256, 4, np.int64)
 _BASES[np.frombuffer(b"TCAGtcag", np.uint8)] = [0, 1, 2, 3, 0, 1, 2, 3]
 _CODONS = np.array([a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG"])
+_PLACE = {codon: n for n, codon in enumerate(_CODONS.tolist())}
+
+
+def _codons_of(sequences: pa.Array, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and number (-1 with other letters than A, C, G, T) of each whole codon of all sequences; rows ``back`` are reversed and complemented before."""
+    raws = [(x or "").encode() for x in sequences.to_pylist()]
+    base, size = _BASES[np.frombuffer(b"".join(raws), np.uint8)], np.array([len(x) for x in raws], np.int64)
+    first, count = np.cumsum(size) - size, size // 3
+    own = np.repeat(np.arange(len(raws)), count)
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    back = back[own]
+    at, step = np.where(back, first[own] + size[own] - 1 - 3 * nth, first[own] + 3 * nth), np.where(back, -1, 1)
+    letters = [base[at + i * step] for i in range(3)]
+    a, b, c = (np.where(back & (x < 4), x ^ 2, x) for x in letters)
+    return own, np.where((a < 4) & (b < 4) & (c < 4), a * 16 + b * 4 + c, -1)
 
 
 def codon_usage(genes: DataFrame, orientation: str = "reference") -> DataFrame:
     """(genome_id, codon, frequency) over gene sequences; codons of A, C, G, T only.
 
     ``reference`` orientation complements reverse-strand sequences once more, though they are coding
-    strands already; ``coding`` takes them as they are. A gene is counted into a vector of 64 in its task, and the vectors
-    of a genome are added there: no codon becomes a row, and at most 64 rows of a genome and batch are shuffled.
+    strands already; ``coding`` takes them as they are. The genes of a batch are counted at once, into 64 numbers a genome:
+    no codon becomes a row, and at most 64 rows of a genome and batch are shuffled.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[str, np.ndarray] = {}
-            for genome, strand, seq in zip(batch["genome_id"].to_pylist(), batch["strand"].to_pylist(), batch["sequence"], strict=True):
-                base = _BASES[np.frombuffer((seq.as_py() or "").encode(), np.uint8)]
-                if strand == -1 and orientation == "reference":
-                    base = np.where(base < 4, base ^ 2, 4)[::-1]
-                whole = base[: len(base) // 3 * 3].reshape(-1, 3)
-                whole = whole[(whole < 4).all(1)]
-                own = np.bincount(whole @ np.array([16, 4, 1]), minlength=64)
-                sums[genome] = sums[genome] + own if genome in sums else own
-            found = [(genome, codon, int(n)) for genome, own in sums.items() for codon, n in zip(_CODONS.tolist(), own, strict=True) if n]
-            ids, codon, n = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("genome_id").type), pa.array(codon, pa.string()), pa.array(n, pa.int64())], names=["genome_id", "codon", "n"])
+            ids = batch["genome_id"].dictionary_encode()
+            strand = batch["strand"].to_numpy(zero_copy_only=False)
+            own, codon = _codons_of(batch["sequence"], strand == -1 if orientation == "reference" else np.zeros(len(strand), bool))
+            known = codon >= 0
+            n = np.bincount(ids.indices.to_numpy()[own[known]] * 64 + codon[known], minlength=64 * len(ids.dictionary))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([ids.dictionary.take(pa.array(at // 64)), pa.array(_CODONS[at % 64].tolist(), pa.string()), pa.array(n[at])], names=["genome_id", "codon", "n"])
 
     kind = StructType([genes.schema["genome_id"], StructField("codon", StringType()), StructField("n", LongType())])
     counts = genes.select("genome_id", "strand", "sequence").mapInArrow(count, kind).groupBy("genome_id", "codon").agg(F.sum("n").alias("n"))
@@ -78,12 +88,27 @@ def codon_usage(genes: DataFrame, orientation: str = "reference") -> DataFrame:
 
 def codon_score(candidates: DataFrame, usage: DataFrame) -> DataFrame:
     """Adds codon_score: mean frequency of the codons of ``sequence``, the stop included, unknown ones 0."""
-    table = usage.groupBy("genome_id").agg(F.map_from_entries(F.collect_list(F.struct("codon", "frequency"))).alias("_usage"))  # 64 entries
+    table = usage.groupBy("genome_id").agg(F.collect_list("codon").alias("_codons"), F.collect_list("frequency").alias("_frequencies"))  # 64 entries
     joined = candidates.join(table, "genome_id", "left")
-    scores = F.transform("_codons", lambda c: F.coalesce(F.try_element_at("_usage", c), F.lit(0.0)))
-    n = F.size("_codons")
-    mean = F.when(n > 0, F.aggregate("_scores", F.lit(0.0), lambda a, x: a + x) / n).otherwise(0.0)
-    return joined.withColumn("_codons", sq.codons(F.upper("sequence"))).withColumn("_scores", scores).withColumn("codon_score", mean).drop("_codons", "_scores", "_usage")
+    out = StructType([*candidates.schema.fields, StructField("codon_score", DoubleType())])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # a task's rows of a genome have equal tables: each is read once
+            ids = batch["genome_id"].dictionary_encode()
+            rows = ids.indices.to_numpy()
+            frequency = np.zeros((len(ids.dictionary), 65))
+            for n, row in zip(*np.unique(rows, return_index=True), strict=True):
+                for codon, value in zip(batch["_codons"][int(row)].as_py() or (), batch["_frequencies"][int(row)].as_py() or (), strict=True):
+                    frequency[n, _PLACE.get(codon, 64)] = value
+            frequency[:, 64] = 0
+            own, codon = _codons_of(batch["sequence"], np.zeros(batch.num_rows, bool))
+            count = np.bincount(own, minlength=batch.num_rows)
+            total = np.bincount(own, frequency[rows[own], codon], batch.num_rows)  # codon -1: the last column
+            mean = np.where(count > 0, total / np.maximum(count, 1), 0.0)
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in out.names[:-1]], pa.array(mean)], names=out.names)
+
+    return joined.mapInArrow(score, out)
 
 
 def needs_orfs(genomes: DataFrame, genes: DataFrame) -> DataFrame:
@@ -176,7 +201,7 @@ def gene_discovery(genomes: DataFrame, genes: DataFrame, phage: bool = True, trn
     ``trna`` and ``rrna`` are the finders' frames (genome_id, start, end, strand); None where a finder didn't run.
     """
     columns = ["genome_id", "start", "end", "strand", "source"]
-    known = genes.select(*columns)
+    known = cut(genes.select(*columns))
     wanting = genomes.join(needs_orfs(genomes, known).where("needs"), "genome_id", "left_semi")
     filled = fill_orfs(orfs.six_frame_orfs(wanting).withColumn("source", F.lit("orf_prediction")).select(*columns), known)
     now = cut(known.unionByName(filled))
@@ -188,5 +213,6 @@ def gene_discovery(genomes: DataFrame, genes: DataFrame, phage: bool = True, trn
         now = cut(now.unionByName(nested))
     for found, source in ((trna, "tRNA_prediction"), (rrna, "rRNA_prediction")):
         if found is not None:
-            now = now.unionByName(iv.without_overlap(found.withColumn("source", F.lit(source)).select(*columns), now))
+            own = cut(found.withColumn("source", F.lit(source)).select(*columns))
+            now = now.unionByName(cut(iv.without_overlap(own, now)))
     return now

@@ -1,8 +1,8 @@
 """Open reading frames in six frames.
 
 A small Arrow helper finds the next stop of every start, from the sequence's end to its begin in
-tiles, and carries each frame's next stop on; so nothing is shuffled, and what a task holds besides
-the sequence is a tile's work and its starts. On request it adds the bases before a start and
+tiles, and carries each frame's next stop on; short genomes are scanned many at once. So nothing is shuffled,
+and what a task holds besides the sequence is a tile's work and its starts. On request it adds the bases before a start and
 the coding sequence, so that no genome is joined to its frames later.
 """
 
@@ -23,6 +23,8 @@ TILE = 1 << 16
 FRAMES = "genome_id string, length long, strand int, frame int, pos long, stop long, whole_end long"
 #: Bases before a start that hold its binding motif.
 UPSTREAM = 15
+#: Between genomes that are scanned at once; its letters are in no codon.
+GAP = b"NNNNN"
 #: Rows that the helper yields at once.
 ROWS = 2048
 
@@ -64,6 +66,40 @@ def _next_stops(letters: np.ndarray, is_start: np.ndarray, is_stop: np.ndarray)
     return place[order], np.where(stop == none, -1, stop)[order]
 
 
+def _together(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """Ids and sequences in upper case of genomes that are scanned at once, a tile or so; a longer one comes alone. Those below a codon are left out."""
+    chosen, raws, size = [], [], 0
+    for n, seq in enumerate(batch["sequence"]):
+        raw = (seq.as_py() or "").upper().encode()
+        if len(raw) < 3:
+            continue
+        if chosen and size + len(raw) > TILE:
+            yield batch["genome_id"].take(pa.array(chosen)), raws
+            chosen, raws, size = [], [], 0
+        chosen.append(n)
+        raws.append(raw)
+        size += len(raw)
+    if chosen:
+        yield batch["genome_id"].take(pa.array(chosen)), raws
+
+
+def _next_stops_of_many(letters: np.ndarray, ends: np.ndarray, is_start: np.ndarray, is_stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_next_stops`` over genomes with a gap around each, which end at ``ends``: no frame goes beyond its genome."""
+    code = _CODE[letters]
+    codon = code[:-2] * 25 + code[1:-1] * 5 + code[2:]
+    event, over = is_stop[codon], np.zeros(len(codon), bool)
+    for i in range(3):
+        over[ends + i] = True
+    n = -(-len(codon) // 3) * 3
+    after = np.full(n, n)
+    at = np.flatnonzero(event | over)
+    after[at] = at
+    after = np.minimum.accumulate(after.reshape(-1, 3)[::-1], axis=0)[::-1].reshape(-1)
+    place = np.flatnonzero(is_start[codon])
+    stop = after[place]
+    return place, np.where(over[stop], -1, stop + 3)
+
+
 def longest_inside(letters: np.ndarray, regions: list[tuple[int, int]], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each region the earliest ATG of each stop codon inside it and the stop's end, ``least`` bases and more.
 
@@ -98,34 +134,44 @@ def frames(genomes: DataFrame, starts: tuple[str, ...] = STARTS, least: int = 0,
     """
     is_start, is_stop = _kinds(starts), _kinds(STOPS)
 
+    def rows(ids: pa.Array, letters: np.ndarray, first: np.ndarray, lengths: np.ndarray, strand: int, place: np.ndarray, stop: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = np.searchsorted(first, place, "right") - 1
+        pos, size = place - first[own], lengths[own]
+        whole = pos % 3 + (size - pos % 3) // 3 * 3
+        keep = np.where(stop < 0, whole, stop - first[own]) - pos >= least
+        if not partial:
+            keep &= stop >= 0
+        if earliest:
+            one = np.zeros(len(pos), bool)
+            one[np.unique(np.where(stop < 0, -1 - place, stop), return_index=True)[1]] = True
+            keep &= one
+        own, place, pos, size, whole, stop = (x[keep] for x in (own, place, pos, size, whole, stop))
+        for lo in range(0, len(pos), ROWS):
+            o, at, p, w, q = (x[lo : lo + ROWS] for x in (own, place, pos, whole, stop))
+            begin, n = first[o], len(p)
+            columns = [
+                ids.take(pa.array(o)), pa.array(size[lo : lo + ROWS]), pa.array(np.full(n, strand, np.int32)),
+                pa.array((p % 3).astype(np.int32)), pa.array(p), pa.array(q - begin, mask=q < 0), pa.array(w),
+            ]
+            if context:
+                columns.append(pa.array([letters[x:y].tobytes().decode() for x, y in zip(np.maximum(at - UPSTREAM, begin).tolist(), at.tolist(), strict=True)], pa.string()))
+                columns.append(pa.array([letters[x:y].tobytes().decode() for x, y in zip(at.tolist(), np.where(q < 0, begin + w, q).tolist(), strict=True)], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for gid, seq in zip(batch["genome_id"].to_pylist(), batch["sequence"], strict=True):
-                raw = np.frombuffer((seq.as_py() or "").upper().encode(), np.uint8)
-                if len(raw) < 3:
-                    continue
-                for strand, letters in ((1, raw), (-1, _COMPLEMENT[raw][::-1])):
-                    pos, stop = _next_stops(letters, is_start, is_stop)
-                    whole = pos % 3 + (len(raw) - pos % 3) // 3 * 3
-                    keep = np.where(stop < 0, whole, stop) - pos >= least
-                    if not partial:
-                        keep &= stop >= 0
-                    if earliest:
-                        first = np.zeros(len(pos), bool)
-                        first[np.unique(np.where(stop < 0, -1 - pos, stop), return_index=True)[1]] = True
-                        keep &= first
-                    pos, stop, whole = pos[keep], stop[keep], whole[keep]
-                    for lo in range(0, len(pos), ROWS):
-                        p, q, w = pos[lo : lo + ROWS], stop[lo : lo + ROWS], whole[lo : lo + ROWS]
-                        n = len(p)
-                        columns = [
-                            pa.array([gid] * n, pa.string()), pa.array(np.full(n, len(raw))), pa.array(np.full(n, strand, np.int32)),
-                            pa.array((p % 3).astype(np.int32)), pa.array(p), pa.array(q, mask=q < 0), pa.array(w),
-                        ]
-                        if context:
-                            columns.append(pa.array([letters[max(x - UPSTREAM, 0) : x].tobytes().decode() for x in p.tolist()], pa.string()))
-                            columns.append(pa.array([letters[x:y].tobytes().decode() for x, y in zip(p.tolist(), np.where(q < 0, w, q).tolist(), strict=True)], pa.string()))
-                        yield pa.RecordBatch.from_arrays(columns, names=names)
+            for ids, raws in _together(batch):
+                lengths = np.array([len(x) for x in raws])
+                if len(raws) == 1:
+                    letters, first = np.frombuffer(raws[0], np.uint8), np.zeros(1, np.int64)
+                else:
+                    letters, first = np.frombuffer(GAP + GAP.join(raws) + GAP, np.uint8), len(GAP) + np.r_[0, np.cumsum(lengths[:-1] + len(GAP))]
+                for strand in (1, -1):
+                    if strand == -1:  # the last genome comes first
+                        first = (len(letters) - first - lengths)[::-1]
+                        letters, lengths, ids = _COMPLEMENT[letters][::-1], lengths[::-1], ids.take(pa.array(np.arange(len(ids))[::-1]))
+                    found = _next_stops(letters, is_start, is_stop) if len(raws) == 1 else _next_stops_of_many(letters, first + lengths, is_start, is_stop)
+                    yield from rows(ids, letters, first, lengths, strand, *found)
 
     schema = FRAMES + (", upstream string, sequence string" if context else "")
     names = [x.split()[0] for x in schema.split(", ")]

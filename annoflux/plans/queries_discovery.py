@@ -13,16 +13,20 @@ from annoflux.operators import motifs as mt
 from annoflux.operators import orfs
 from annoflux.plans.queries_sequence import ALL_STARTS, EVENTS, LONGEST, ORFS
 from annoflux.plans.registry import query
-from annoflux.plans.views import view
+from annoflux.plans.views import dealt_genomes, view
 
 
 def _genomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "genomes")
 
 
-def _genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _known(genomes: DataFrame) -> DataFrame:
     """Known genes of the fixture genomes: their six-frame ORFs of 300 bases and more."""
-    return orfs.six_frame_orfs(_genomes(spark, sf_dir), min_length=300).withColumn("source", F.lit("annotation"))
+    return orfs.six_frame_orfs(genomes, min_length=300).withColumn("source", F.lit("annotation"))
+
+
+def _genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _known(_genomes(spark, sf_dir))
 
 
 _KNOWN = ORFS + ", genes AS (SELECT * FROM orfs WHERE stop - pos >= 300) "
@@ -232,10 +236,10 @@ def o11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("o12_gene_discovery")
 def o12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole order, with short frames standing in for the finders' tRNA and rRNA."""
-    genomes = _genomes(spark, sf_dir)
+    genomes = dealt_genomes(spark, sf_dir)
     short = orfs.longest_orf_per_stop(genomes, 20).where(F.col("end") - F.col("start") < 100)
     trna, rrna = (short.where(F.col("strand") == s).select("genome_id", "start", "end", "strand") for s in (1, -1))
-    return dc.gene_discovery(genomes, _genes(spark, sf_dir).where(F.col("end") - F.col("start") >= 360), trna=trna, rrna=rrna)
+    return dc.gene_discovery(genomes, _known(genomes).where(F.col("end") - F.col("start") >= 360), trna=trna, rrna=rrna)
 
 
 @query("u1_union_and_distinct", "SELECT DISTINCT genome_id, start, \"end\", strand FROM spans WHERE flag IN ('A', 'R')", ("spans",))
