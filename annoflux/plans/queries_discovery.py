@@ -212,7 +212,8 @@ def o9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("o10_nested_orfs", _INNER + _rated("inner_", "sd") + "WHERE codon_score >= 0.012", ("genomes",))
 def o10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    genomes, genes = _genomes(spark, sf_dir), _genes(spark, sf_dir)
+    genomes = dealt_genomes(spark, sf_dir)
+    genes = _known(genomes)
     return dc.nested_orfs(genomes, genes, dc.codon_usage(dc.with_sequences(genes, genomes))).select("genome_id", "start", "end", "strand", "sd", F.round("codon_score", 6).alias("codon_score"))
 
 
