@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from annoflux.operators import discovery, orfs
+from annoflux.operators import discovery, hypotheses, orfs
 from annoflux.plans.views import dealt_genomes, view
 from tests.test_units import naive_orfs
 
@@ -58,3 +58,17 @@ def test_codon_scores(spark):
     codons = {n: [s.upper()[i : i + 3] for i in range(0, len(s or "") - 2, 3)] for _, n, _, s in genes if s}
     want = {n: sum(usage.get((g, c), 0) for c in codons.get(n, ())) / max(len(codons.get(n, ())), 1) for g, n, _, _ in genes}
     assert {r["n"]: r["codon_score"] for r in found.collect()} == pytest.approx(want)
+
+
+def test_motif_mean_does_not_depend_on_how_rows_lie(spark):
+    """0.38 + 0.92 + 0.2 lies below 1.5 or at it, by the order of adding; it is that of ev_seq, in which the SQL's rows come, however evidence is dealt out."""
+    rows = [("g", 1, 0.38), ("g", 4, 0.2 + 0.08 * 6 + 0.08 * 3), ("g", 5, 0.2)]
+    found = set()
+    for order in ((0, 1, 2), (2, 0, 1), (1, 2, 0), (0, 2, 1), (2, 1, 0)):
+        df = spark.createDataFrame([(g, n, "motif_match", "walker_b", c) for g, n, c in (rows[i] for i in order)], "gene_id string, ev_seq int, evidence_type string, motif_name string, confidence double").repartition(3, "ev_seq")
+        (row,) = hypotheses.motif_hypotheses(df).collect()
+        found.add((row["confidence"], tuple(row["ids"])))
+    mean = (rows[0][2] + rows[1][2] + rows[2][2]) / 3
+    assert mean < 0.5 and found == {(0.45, (1, 4, 5))}
+    none = spark.createDataFrame([("g", 1, "motif_match", "walker_b", None)], "gene_id string, ev_seq int, evidence_type string, motif_name string, confidence double")
+    assert [tuple(r["ids"]) for r in hypotheses.motif_hypotheses(none).collect()] == [(1,)]
