@@ -68,7 +68,7 @@ def interpret_genomes(
     noted = ev.annotation_evidence(coding_genes)
     scanned = mt.motif_scan(mt.scan_gate(coding_genes, noted), patterns, sequence="scanned")
     evidence = cut(ev.collect_evidence(noted, ev.motif_evidence(scanned), *(layers(coding_genes) if layers else [])))
-    ranked = cut(ip.rank_hypotheses(ip.score_confidence(hy.generate_hypotheses(evidence), evidence)))
+    ranked = cut(ip.rank_hypotheses(ip.score_confidence(hy.generate_hypotheses(evidence, deal=False), evidence)))
     told = ip.interpret(ranked)
     rna = ip.ncrna_interpretation(table)
     told = told.unionByName(rna, allowMissingColumns=True)

@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from annoflux.operators import discovery, hypotheses, orfs
+from annoflux.operators import discovery, hypotheses, interpretation, orfs
+from annoflux.operators.lineage import keep
 from annoflux.plans.views import dealt_genomes, view
 from tests.test_units import naive_orfs
 
@@ -72,3 +73,49 @@ def test_motif_mean_does_not_depend_on_how_rows_lie(spark):
     assert mean < 0.5 and found == {(0.45, (1, 4, 5))}
     none = spark.createDataFrame([("g", 1, "motif_match", "walker_b", None)], "gene_id string, ev_seq int, evidence_type string, motif_name string, confidence double")
     assert [tuple(r["ids"]) for r in hypotheses.motif_hypotheses(none).collect()] == [(1,)]
+
+
+def _evidence(spark, rnd, genes=60):
+    kinds, products = ["sequence_feature", "blast_homology", "domain_hit", "motif_match"], ["DNA polymerase", "putative kinase", "membrane pump [E. coli]", "holin", "orf0001", "capsid protein"]
+    rows = [(f"g{g}", n, rnd.choice(kinds), rnd.choice(products), rnd.randint(20, 99) / 100, rnd.choice(["walker_b", "mystery", "egf_like"])) for g in range(genes) for n in range(1, rnd.randint(2, 9))]
+    return spark.createDataFrame(rows, "gene_id string, ev_seq int, evidence_type string, description string, confidence double, motif_name string").withColumns({"domain_name": F.lit(None).cast("string"), "accession": F.lit(None).cast("string")})
+
+
+def test_evidence_is_dealt_out_once(spark):
+    """Hypotheses, confidence and interpretation of kept evidence move none of it again; without details they are those with details, without the lists."""
+    rows = hypotheses.dealt(_evidence(spark, random.Random(4)))
+    seen = {}
+    for details in (True, False):
+        scored = interpretation.score_confidence(hypotheses.generate_hypotheses(rows, details=details, deal=False), rows)
+        told = interpretation.interpret(interpretation.rank_hypotheses(scored))
+        seen[details] = sorted(map(str, told.select("gene_id", "hypothesis", "score", "level", "category", "severity", "competing", "uncertainty").collect()))
+        assert ("ids" in told.columns) == ("reasoning" in told.columns) == details
+        found = told.select("gene_id", "score")
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        # Python's groups of hypotheses are made once, and are all that is dealt out
+        assert plan.count("MapInPandas" if details else "MapInArrow") == 1 and "LeftOuter" not in plan
+    assert seen[True] == seen[False] and len(seen[True]) > 30
+    rows.unpersist()
+
+
+def test_brief_merge_is_the_whole_one(spark):
+    rnd = random.Random(6)
+    rows = [(f"g{n % 7}", rnd.randint(0, 2), n, rnd.choice(["Kinase", "kinase", "Pump", "pump", "X", None]), rnd.choice(["unknown", "metabolism", "transport", None]), rnd.random(), "S", [n], ["r"], ["k"]) for n in range(200)]
+    df = spark.createDataFrame(rows, "gene_id string, tier int, place int, function string, category string, confidence double, source_type string, ids array<int>, reasoning array<string>, keywords array<string>")
+    columns = ["gene_id", "hyp_seq", "function", "category", "confidence"]
+    brief = hypotheses.merge_similar(df.drop("source_type", "ids", "reasoning", "keywords"))
+    assert brief.columns == columns
+    assert sorted(map(str, brief.collect())) == sorted(map(str, hypotheses.merge_similar(df).select(columns).collect()))
+
+
+def test_kept_frame_is_read_anew(spark, tmp_path):
+    """A frame made alike after its files changed is not taken from the cache."""
+    import pandas as pd
+
+    seen = []
+    for value in (1, 2):
+        pd.DataFrame({"x": [value]}).to_parquet(f"{tmp_path}/a.parquet")
+        seen.append(keep(spark.read.parquet(f"{tmp_path}/a.parquet")).first()["x"])
+    assert seen == [1, 2]
+    spark.catalog.clearCache()
