@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from annoflux.operators import discovery, hypotheses, interpretation, orfs
 from annoflux.operators.lineage import keep
+from annoflux.plans import registry
 from annoflux.plans.views import dealt_genomes, view
 from tests.test_units import naive_orfs
 
@@ -119,3 +120,11 @@ def test_kept_frame_is_read_anew(spark, tmp_path):
         seen.append(keep(spark.read.parquet(f"{tmp_path}/a.parquet")).first()["x"])
     assert seen == [1, 2]
     spark.catalog.clearCache()
+
+
+def test_export_merges_hypotheses_once(spark, sf_dir, monkeypatch):
+    """The results, their sums and the lists of hypotheses were each made from the evidence anew."""
+    calls = []
+    monkeypatch.setattr(hypotheses, "merge_similar", lambda *x, f=hypotheses.merge_similar: calls.append(1) or f(*x))
+    registry.queries()["s15_export_interpretation_json"](spark, sf_dir)
+    assert len(calls) == 1
